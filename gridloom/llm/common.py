@@ -73,3 +73,8 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         self._delete(self.root)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of few rows: texts can be long, and a batch is held whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import language, quality, sharding, urls
 
 QUERIES = {
+    "op2_url_filters": urls.query,
+    "op6_language_id": language.query,
     "op7_quality_rules": quality.query,
     "op10_sharding": sharding.query,
 }
