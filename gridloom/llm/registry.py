@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import language, quality, sharding, urls
+from . import language, packing, quality, sharding, toxicity, urls
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
     "op2_url_filters": urls.query,
+    "op5_toxicity": toxicity.query,
     "op6_language_id": language.query,
     "op7_quality_rules": quality.query,
     "op10_sharding": sharding.query,
