@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import language, packing, quality, sharding, toxicity, urls
+from . import decontaminate, language, near_dup, packing, quality, sharding, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_url_filters": urls.query,
+    "op3_decontamination": decontaminate.query,
     "op5_toxicity": toxicity.query,
     "op6_language_id": language.query,
     "op7_quality_rules": quality.query,
+    "op8_near_dup": near_dup.query,
     "op10_sharding": sharding.query,
 }
 ORACLE_SQL = {
