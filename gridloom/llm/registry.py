@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, near_dup, packing, quality, sharding, toxicity, urls
+from . import decontaminate, language, near_dup, packing, quality, sharding, toxicity, urls, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_language_id": language.query,
     "op7_quality_rules": quality.query,
     "op8_near_dup": near_dup.query,
+    "op9_warc": warc.query,
     "op10_sharding": sharding.query,
 }
 ORACLE_SQL = {
