@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, near_dup, packing, quality, sharding, toxicity, urls, warc
+from . import chat, decontaminate, language, near_dup, packing, quality, sharding, toxicity, urls, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_url_filters": urls.query,
     "op3_decontamination": decontaminate.query,
+    "op4_chat_formatting": chat.query,
     "op5_toxicity": toxicity.query,
     "op6_language_id": language.query,
     "op7_quality_rules": quality.query,
