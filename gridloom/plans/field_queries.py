@@ -8,7 +8,7 @@ from ..functions.scalar import rounded, slope_class, varint_bytes, zigzag
 from ..operators import masks, metrics, resample, stencils
 from ..sources.tables import ESTIMATE_SQL, LATTICE_SQL, SIDE, STEP, estimate, lattice, read
 from .pages import Box, cover, paged, window, with_pages
-from .registry import query
+from .catalog import query
 
 BOX = Box(10, 25, 20, 35)
 L, E = f"WITH {LATTICE_SQL}", f"WITH {LATTICE_SQL}, {ESTIMATE_SQL}"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import rounded
 from ..operators import flow, metrics
 from ..sources.tables import ESTIMATE_SQL, LATTICE_SQL, SIDE, estimate, lattice
-from .registry import query
+from .catalog import query
 
 E = f"WITH RECURSIVE {LATTICE_SQL}, {ESTIMATE_SQL}"
 #: Fields are small here, so that streams begin at a few cells.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import box_gap, rounded
 from ..operators import verdicts
 from ..sources.tables import CANDIDATES_SQL, MEASUREMENTS_SQL, candidates, measurements, read
-from .registry import query
+from .catalog import query
 
 M, C = f"WITH {MEASUREMENTS_SQL}", f"WITH {CANDIDATES_SQL}"
 #: Coders of the first two brands stand for learned ones, the others for conventional ones.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import rounded
 from ..operators import points
 from ..sources.tables import EPOCHS_SQL, LATTICE_SQL, OBSERVATIONS_SQL, SIDE, epochs, lattice, observations, read
-from .registry import query
+from .catalog import query
 
 P = f"WITH {LATTICE_SQL}, {OBSERVATIONS_SQL}"
 T = f"WITH {EPOCHS_SQL}"
