@@ -12,7 +12,7 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stencils import ALONG_COL, ALONG_ROW, NEIGHBOURS, offsets
+from .stencils import NEIGHBOURS, along_col, along_row, offsets
 
 NO_RECEIVER = -1
 
@@ -29,8 +29,8 @@ def receivers(cells: DataFrame, side: int, spacing: float = 1.0, value: str = "z
     """cells with `cell` and `receiver`: the neighbour with the steepest drop a metre, the first in the
     fixed order on a tie, -1 where nothing is lower. Neighbours come from two windows, not a join."""
     v = F.col(value)
-    out = cells.withColumns({"w": F.lag(v).over(ALONG_ROW), "e": F.lead(v).over(ALONG_ROW)})
-    out = out.withColumns({"nw": F.lag("w").over(ALONG_COL), "n": F.lag(v).over(ALONG_COL), "ne": F.lag("e").over(ALONG_COL), "sw": F.lead("w").over(ALONG_COL), "s": F.lead(v).over(ALONG_COL), "se": F.lead("e").over(ALONG_COL)})
+    out = cells.withColumns({"w": F.lag(v).over(along_row()), "e": F.lead(v).over(along_row())})
+    out = out.withColumns({"nw": F.lag("w").over(along_col()), "n": F.lag(v).over(along_col()), "ne": F.lag("e").over(along_col()), "sw": F.lead("w").over(along_col()), "s": F.lead(v).over(along_col()), "se": F.lead("e").over(along_col())})
     cell = F.col("row") * side + F.col("col")
     drops = {name: (v - F.col(name)) / (math.hypot(a, b) * spacing) for name, (a, b) in zip(("nw", "n", "ne", "w", "e", "sw", "s", "se"), NEIGHBOURS, strict=True)}
     best = F.greatest(*drops.values())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stencils import ALONG_COL, ALONG_ROW, offsets
+from .stencils import along_col, along_row, offsets
 
 
 def ball(radius: int) -> list[tuple[int, int]]:
@@ -23,7 +23,7 @@ def erode(cells: DataFrame, times: int, mask: str = "m") -> DataFrame:
     for _ in range(times):
         m = F.col(mask)
         on = lambda c: F.coalesce(c, F.lit(True))
-        inside = m & on(F.lag(m).over(ALONG_ROW)) & on(F.lead(m).over(ALONG_ROW)) & on(F.lag(m).over(ALONG_COL)) & on(F.lead(m).over(ALONG_COL))
+        inside = m & on(F.lag(m).over(along_row())) & on(F.lead(m).over(along_row())) & on(F.lag(m).over(along_col())) & on(F.lead(m).over(along_col()))
         cells = cells.withColumn(mask, inside)
     return cells
 
@@ -39,7 +39,7 @@ def boundary_distance(cells: DataFrame, limit: int, side: int, label: str = "lab
     """cells with `distance`: rows or columns to the nearest cell at a class boundary, at most `limit`."""
     v = F.col(label)
     differs = F.lit(False)
-    for w in (ALONG_ROW, ALONG_COL):
+    for w in (along_row(), along_col()):
         for f in (F.lag, F.lead):
             differs = differs | F.coalesce(f(v).over(w) != v, F.lit(False))
     edge = cells.withColumn("__edge", differs).where("__edge").select("region", "row", "col")

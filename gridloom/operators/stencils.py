@@ -5,19 +5,25 @@ Windows are partitioned by one line of one field, so a large field spreads over
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ALONG_ROW = Window.partitionBy("region", "row").orderBy("col")
-ALONG_COL = Window.partitionBy("region", "col").orderBy("row")
 #: Offsets of the eight neighbours, in the order that breaks ties.
 NEIGHBOURS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
 
+def along_row() -> WindowSpec:
+    return Window.partitionBy("region", "row").orderBy("col")
+
+
+def along_col() -> WindowSpec:
+    return Window.partitionBy("region", "col").orderBy("row")
+
+
 def neighbours(cells: DataFrame, value: str = "z") -> DataFrame:
     """cells with west, east, north and south neighbours' values; null beyond the edge."""
     v = F.col(value)
-    return cells.withColumns({"w": F.lag(v).over(ALONG_ROW), "e": F.lead(v).over(ALONG_ROW)}).withColumns({"n": F.lag(v).over(ALONG_COL), "s": F.lead(v).over(ALONG_COL)})
+    return cells.withColumns({"w": F.lag(v).over(along_row()), "e": F.lead(v).over(along_row())}).withColumns({"n": F.lag(v).over(along_col()), "s": F.lead(v).over(along_col())})
 
 
 def _central(before: Column, at: Column, after: Column, spacing: float) -> Column:
@@ -75,15 +81,15 @@ def smooth_decimate(cells: DataFrame, side: int) -> DataFrame:
         two_a = F.coalesce(F.lead(z, 2).over(window), one_a)
         return (two_b + 4 * one_b + 6 * z + 4 * one_a + two_a) / 16
 
-    half = cells.withColumn("z", taps(ALONG_ROW)).where("col % 2 = 0")
-    both = half.withColumn("z", taps(ALONG_COL)).where("row % 2 = 0")
+    half = cells.withColumn("z", taps(along_row())).where("col % 2 = 0")
+    both = half.withColumn("z", taps(along_col())).where("row % 2 = 0")
     return both.select("region", (F.col("row") / 2).cast("int").alias("row"), (F.col("col") / 2).cast("int").alias("col"), "z")
 
 
 def twist(cells: DataFrame) -> DataFrame:
     """(region, row, col, twist) of each square of four nodes: |h00 + h11 - h01 - h10| / 4."""
-    right = cells.withColumn("h01", F.lead("z").over(ALONG_ROW))
-    out = right.withColumns({"h10": F.lead("z").over(ALONG_COL), "h11": F.lead("h01").over(ALONG_COL)})
+    right = cells.withColumn("h01", F.lead("z").over(along_row()))
+    out = right.withColumns({"h10": F.lead("z").over(along_col()), "h11": F.lead("h01").over(along_col())})
     return out.where("h01 IS NOT NULL AND h10 IS NOT NULL").select("region", "row", "col", (F.abs(F.col("z") + F.col("h11") - F.col("h01") - F.col("h10")) / 4).alias("twist"))
 
 

@@ -36,7 +36,7 @@ def _cropped(spark, d):
 @query("window_query", f"{L} SELECT region, row, col, z FROM L WHERE row BETWEEN 10 AND 25 AND col BETWEEN 20 AND 35")
 def window_query(spark, d):
     """A window from the pages that it needs: 9 of the 64 pages of 8 by 8 intervals are unpacked."""
-    return window(paged(lattice(spark, d).where("row <= 32 AND col <= 40"), 8, SIDE - 1), BOX, 8)
+    return window(paged(lattice(spark, d).where("row <= 32 AND col <= 40"), 8, SIDE - 1), BOX, 8, 8)
 
 
 @query("point_lookup", f"{L} SELECT o_orderkey AS id, region, row, col, z FROM orders JOIN L ON row = o_orderkey % 64 AND col = o_custkey % 64")
@@ -517,7 +517,7 @@ def pit_histogram(spark, d):
 def mask_neighbour_pairs(spark, d):
     """East and south neighbours that are both in a mask."""
     m = lattice(spark, d).withColumn("m", (F.col("z") > 0).cast("int"))
-    east, south = F.lead("m").over(stencils.ALONG_ROW), F.lead("m").over(stencils.ALONG_COL)
+    east, south = F.lead("m").over(stencils.along_row()), F.lead("m").over(stencils.along_col())
     pairs = m.withColumns({"p": F.col("m") * F.coalesce(east, F.lit(0)), "q": F.col("m") * F.coalesce(south, F.lit(0))})
     return pairs.groupBy("region").agg(F.sum(F.col("p") + F.col("q")).alias("pairs"))
 
@@ -525,7 +525,7 @@ def mask_neighbour_pairs(spark, d):
 @query("semivariogram", f"{L}, P AS (SELECT region, h AS lag, avg((b.z - a.z) * (b.z - a.z)) / 2 AS g FROM L a JOIN range(1, 9) AS k(h) ON true JOIN L b USING (region, row) WHERE b.col = a.col + h GROUP BY ALL) SELECT region, CAST(lag AS INTEGER) AS lag, round(g, 8) + 0.0 AS gamma FROM P")
 def semivariogram(spark, d):
     cells = lattice(spark, d)
-    shifts = F.array(*(F.struct(F.lit(h).alias("lag"), F.lead("z", h).over(stencils.ALONG_ROW).alias("b")) for h in range(1, 9)))
+    shifts = F.array(*(F.struct(F.lit(h).alias("lag"), F.lead("z", h).over(stencils.along_row()).alias("b")) for h in range(1, 9)))
     pairs = cells.withColumn("p", shifts).select("region", "z", F.explode("p").alias("p")).where("p.b IS NOT NULL")
     diff = F.col("p.b") - F.col("z")
     return pairs.groupBy("region", F.col("p.lag").alias("lag")).agg(rounded(F.avg(diff * diff) / 2, 8).alias("gamma"))

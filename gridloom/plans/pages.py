@@ -18,16 +18,18 @@ class Box:
     c1: int
 
 
-def span(low: int, high: int, n: int) -> tuple[int, int]:
+def span(low: int, high: int, n: int, count: int | None = None) -> tuple[int, int]:
     """First and last page over nodes low..high. A boundary node is in both pages, so a span that
-    ends on one takes the page before."""
+    ends on one takes the page before; with `count` pages the last node is in the last of them."""
     last = (high - 1) // n if high > low and high % n == 0 else high // n
-    return low // n, max(low // n, last)
+    first, last = low // n, max(low // n, last)
+    return (first, last) if count is None else (min(first, count - 1), min(last, count - 1))
 
 
-def page_predicate(box: Box, intervals: int, x: str = "x", y: str = "y") -> Column:
-    """The pages that a box needs, as a filter on page columns; sources prune by it."""
-    (y0, y1), (x0, x1) = span(box.r0, box.r1, intervals), span(box.c0, box.c1, intervals)
+def page_predicate(box: Box, intervals: int, count: int | None = None) -> Column:
+    """The pages that a box needs, as a filter on page columns x and y; sources prune by it."""
+    x, y = "x", "y"
+    (y0, y1), (x0, x1) = span(box.r0, box.r1, intervals, count), span(box.c0, box.c1, intervals, count)
     return F.col(y).between(y0, y1) & F.col(x).between(x0, x1)
 
 
@@ -70,13 +72,12 @@ def paged(cells: DataFrame, intervals: int, last: int) -> DataFrame:
     return held.agg(F.min("z").alias("low"), F.max("z").alias("high"), values.alias("z"))
 
 
-def window(pages: DataFrame, box: Box, intervals: int) -> DataFrame:
-    """(region, row, col, z) of a box, from the pages that it needs: prune, filter, unpack once."""
+def window(pages: DataFrame, box: Box, intervals: int, count: int) -> DataFrame:
+    """(region, row, col, z) of a box, from those of `count` pages a side that it needs: prune, filter, unpack once."""
     side = intervals + 1
-    need = pages.where(page_predicate(box, intervals))
+    need = pages.where(page_predicate(box, intervals, count))
     cells = need.select("region", "y", "x", F.posexplode("z").alias("k", "z"))
     cells = cells.select("region", "y", "x", (F.col("y") * intervals + F.floor(F.col("k") / side)).cast("int").alias("row"), (F.col("x") * intervals + F.col("k") % side).cast("int").alias("col"), "z")
-    (y0, _), (x0, _) = span(box.r0, box.r1, intervals), span(box.c0, box.c1, intervals)
     # a shared node is answered by the page below and to the right, unless that was not read
     own_row = (F.col("row") % intervals != 0) | (F.col("row") == F.col("y") * intervals) | (F.col("row") == box.r1)
     own_col = (F.col("col") % intervals != 0) | (F.col("col") == F.col("x") * intervals) | (F.col("col") == box.c1)
