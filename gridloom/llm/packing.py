@@ -10,7 +10,9 @@ counts give without a single-task sort.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +24,22 @@ from .common import checkpointed, small_batches
 
 SIZE = 4096
 END = 1
-CACHE = 400_000
+CACHE = 600_000
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def _packed(ids) -> bytes:
+    held = array("I", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. No token of this vocabulary crosses ASCII white
     space, so chunks between it are encoded by themselves and kept in a cache of bounded size."""
@@ -34,34 +48,58 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
 
     def text(self, text: str) -> bytes:
         raw = text.encode()
         if b"<|" not in raw:  # else a special token may be spelled, which case decides
             raw = raw.lower()
         chunks, cache = raw.split(), self.cache
-        found = [cache.get(c) for c in chunks]
+        found = list(map(cache.get, chunks))
         if None in found:
-            self._learn({c for c, v in zip(chunks, found, strict=True) if v is None})
-            found = [cache[c] if v is None else v for c, v in zip(chunks, found, strict=True)]
             if len(cache) > CACHE:
                 cache.clear()
+            for k, v in enumerate(found):
+                if v is None:
+                    c = chunks[k]
+                    if (v := cache.get(c)) is None:
+                        v = cache[c] = self._new(c)
+                    found[k] = v
         return b"".join(found)
 
-    def _learn(self, new: set[bytes]) -> None:
-        cache, ask = self.cache, []
-        for c in new:
+    def _new(self, c: bytes) -> bytes:
+        if c[-1:] in b".," and len(c) > 1:
             # a full stop or comma behind a letter is always a token of its own, at a chunk's end
-            if c[-1:] in b".," and c[-2:-1].isalpha():
-                ask += [x for x in (c[:-1], c[-1:]) if x not in cache]
-            else:
-                ask.append(c)
-        ask = list(dict.fromkeys(ask))
-        for c, e in zip(ask, self.tokenizer.encode_batch([a.decode() for a in ask], add_special_tokens=False), strict=True):
-            cache[c] = np.array(e.ids, dtype="<u4").tobytes()
-        for c in new:
-            if c not in cache:
-                cache[c] = cache[c[:-1]] + cache[c[-1:]]
+            word, end, cache = c[:-1], c[-1:], self.cache
+            if (ids := cache.get(word)) is not None or (ids := self._word(word)) is not None:
+                cache[word] = ids
+                if end not in cache:
+                    cache[end] = self._whole(end)
+                if word[-1:].isalpha() or word.decode()[-1].isalpha():
+                    return ids + cache[end]
+        return self._word(c) or self._whole(c)
+
+    def _word(self, c: bytes) -> bytes | None:
+        """A run of lower-case Latin letters is one word that nothing normalises or splits: it goes
+        straight to the merges. None for anything else."""
+        if c.isalpha():
+            return _packed(t.id for t in self.model.tokenize(c.decode()))
+        if (s := c.decode()).isalpha() and max(s) < "\u0250" and s == s.lower():
+            return _packed(t.id for t in self.model.tokenize(c.decode("latin-1").translate(_SHOWN)))
+        return None
+
+    def _whole(self, c: bytes) -> bytes:
+        return _packed(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process, whose cache serves all its tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class SegmentTree:
@@ -137,11 +175,11 @@ def pieces(df: DataFrame, tokenizer: str, size: int = SIZE, doc_id: str = "doc_i
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        own = encoder(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
             for key, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoder.text(t or "") + END.to_bytes(4, "little")
+                ids = own.text(t or "") + END.to_bytes(4, "little")
                 for k in range(0, len(ids), 4 * size):
                     part = ids[k : k + 4 * size]
                     rows.append((key, k // (4 * size), k // 4, len(part) // 4, zlib.crc32(part)))
