@@ -58,15 +58,22 @@ def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
+def masks_for(n: int) -> list[str]:
+    """The masks for an item of n tokens: the fixed ones that fit; up to 16 tokens also one of half the
+    item, which a single replaced token cannot spoil everywhere; under 8 tokens the item as a whole."""
+    if n < 8:
+        return ["1" * n] if n else []
+    return [*(m for m in MASKS if len(m) <= n), *(["1" * (n // 2)] if n <= 16 else [])]
+
+
 class Index:
-    """Seeds of a block of benchmark items. Items shorter than a mask get a mask of their length."""
+    """Seeds of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], window: int, share: float):
         self.items, self.window, self.share = items, window, share
         by: dict[str, list] = {}
         for k, (_, tokens) in enumerate(items):
-            own = [m for m in MASKS if len(m) <= len(tokens)] or (["1" * len(tokens)] if len(tokens) else [])
-            for m in own:
+            for m in masks_for(len(tokens)):
                 h = seeds(tokens, m)
                 by.setdefault(m, []).append((h, np.full(len(h), k), np.arange(len(h))))
         self.masks = []
@@ -85,7 +92,7 @@ class Index:
             return 0
         same = np.concatenate([[0], np.cumsum(doc[low + shift : high + shift] == item[low:high])])
         best = int((same[w:] - same[:-w]).max())
-        return int(same[-1]) if best >= self.share * w else 0
+        return int(same[-1]) if best >= (self.share * w if w >= 8 else w) else 0
 
     def find(self, docs: list[np.ndarray]) -> dict[int, dict[int, int]]:
         """For each document with leaks, its items and their equal tokens."""
@@ -117,7 +124,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", windo
 
     A document is contaminated by an item if some window of `window` tokens of the item (all of a
     shorter item) lies in it with at least `share` of the tokens equal, place by place, found from
-    a seed. n_matched is the largest number of equal tokens over its items. Null texts and null or
+    a seed; items under 8 tokens have to be equal. n_matched is the largest number of equal tokens over its items. Null texts and null or
     empty items match nothing; items without an id count with a null id left out of the list;
     columns of those names are replaced; an empty benchmark leaves all documents clean.
     """
