@@ -55,27 +55,25 @@ def learn(labelled: DataFrame, docs: int = 3000, words: int = 150_000, grams: in
     counts = counts.persist()
     try:
         top = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(words)
-        known = counts.join(top.select("word"), "word").collect()  # at most `words` times the languages
+        known = counts.join(top.select("word"), "word").select("word", "lang", "n").toArrow()  # at most `words` times the languages
         by_gram = counts.select("lang", "n", F.explode(_grams(F.col("word"))).alias("gram")).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
         top_grams = by_gram.groupBy("gram").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "gram").limit(grams)
-        parts = by_gram.join(top_grams.select("gram"), "gram").collect()  # at most `grams` times the languages
+        parts = by_gram.join(top_grams.select("gram"), "gram").select("gram", "lang", "n").toArrow()  # at most `grams` times the languages
     finally:
         counts.unpersist()
     langs = sorted(sizes)
     at = {lang: k for k, lang in enumerate(langs)}
 
-    def table(rows, key) -> tuple[dict[str, int], np.ndarray]:
-        ids: dict[str, int] = {}
-        for r in rows:
-            ids.setdefault(r[key], len(ids))
-        m = np.zeros((len(ids), len(langs)))
-        for r in rows:
-            m[ids[r[key]], at[r["lang"]]] += r["n"]
-        return ids, m
+    def table(rows: pa.Table) -> tuple[dict[str, int], np.ndarray]:
+        coded = rows.column(0).combine_chunks().dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        m = np.zeros((len(own), len(langs)))
+        m[coded.indices.to_numpy(), [at[x] for x in rows.column(1).to_pylist()]] = rows.column(2).to_numpy()
+        return {w: k for k, w in enumerate(own)}, m
 
-    ids, m = table(known, "word")
+    ids, m = table(known)
     logs = np.log((m + ALPHA) / (m.sum(0) + ALPHA * max(1, len(ids)))) if len(ids) else m
-    gids, g = table(parts, "gram")
+    gids, g = table(parts)
     order = np.array([len(k) for k in gids])
     glogs = np.zeros_like(g)
     for n in ORDERS:
