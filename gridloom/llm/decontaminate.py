@@ -162,3 +162,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=False)
     return out.select("doc_id", "contaminated", "item_ids", "n_matched", (~F.col("contaminated")).alias("kept"))
+
+
+SQL = """
+WITH dt AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS ts FROM documents),
+bt AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ts FROM benchmark WHERE text <> ''),
+d AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS p FROM dt),
+b AS (SELECT item_id, len(ts) AS m, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS q FROM bt),
+h AS (SELECT doc_id, item_id, n, m, p - q AS shift, q, least(m, 20) AS w FROM d JOIN b USING (t)),
+many AS (SELECT doc_id, item_id, shift FROM h GROUP BY doc_id, item_id, shift, w HAVING count(*) >= CASE WHEN w >= 8 THEN 0.8 * w ELSE w END),
+k AS (SELECT h.*, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q RANGE BETWEEN CURRENT ROW AND w - 1 FOLLOWING) AS near,
+  count(*) OVER (PARTITION BY doc_id, item_id, shift) AS equal FROM h JOIN many USING (doc_id, item_id, shift)),
+ok AS (SELECT doc_id, item_id, max(equal) AS equal FROM k WHERE least(m, n - shift) - greatest(0, -shift) >= w AND near >= CASE WHEN w >= 8 THEN 0.8 * w ELSE w END GROUP BY ALL),
+f AS (SELECT doc_id, list_sort(list(item_id)) AS item_ids, max(equal) AS n_matched FROM ok GROUP BY doc_id)
+SELECT documents.doc_id, f.doc_id IS NOT NULL AS contaminated, coalesce(item_ids, []) AS item_ids, CAST(coalesce(n_matched, 0) AS BIGINT) AS n_matched, f.doc_id IS NULL AS kept
+FROM documents LEFT JOIN f ON f.doc_id = documents.doc_id
+"""

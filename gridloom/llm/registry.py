@@ -17,5 +17,9 @@ QUERIES = {
     "op10_sharding": sharding.query,
 }
 ORACLE_SQL = {
+    "op2_url_filters": urls.SQL,
+    "op3_decontamination": decontaminate.SQL,
     "op7_quality_rules": quality.SQL,
+    "op8_near_dup": near_dup.SQL,
+    "op9_warc": warc.SQL,
 }

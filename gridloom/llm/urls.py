@@ -108,3 +108,47 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     out = judge(pages.select("page_id", "url"), links(pages), rule_table(spark))
     return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+_UP, _LOW = f"'{UPPER}'", f"'{LOWER}'"
+
+
+def _host_sql(u: str) -> str:
+    return f"coalesce(translate(regexp_extract(CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END, '^([^/?#]*)', 1), {_UP}, {_LOW}), '')"
+
+
+def _path_sql(u: str) -> str:
+    return f"coalesce(regexp_extract(CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END, '^[^/?#]*([^?#]*)', 1), '')"
+
+
+def _node_sql(u: str) -> str:
+    cut = f"string_split({u}, '#')[1]"
+    return f"CASE WHEN strpos({cut}, '://') > 0 THEN substr({cut}, 1, strpos({cut}, '://') + 2) || {_host_sql(cut)} || regexp_extract(substr({cut}, strpos({cut}, '://') + 3), '(?s)^[^/?#]*(.*)$', 1) END"
+
+
+def _hit_sql(of: str, key: str) -> str:
+    """The longest rule for each key of a relation with host and path; block wins a tie."""
+    return f"SELECT k.{key}, arg_max(r, (length(r.host) + length(r.path), r.action = 'block')) AS hit FROM {of} k JOIN r ON (k.host = r.host OR ends_with(k.host, '.' || r.host)) AND starts_with(k.path, r.path) GROUP BY k.{key}"
+
+
+_RULES_SQL = ", ".join(map(str, RULES))
+_NAMED = "coalesce(regexp_extract(list_filter(regexp_extract_all(html, '(?is)<{tag}\\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\\b{what}\\s*=\\s*[\"'']?{value}\\b') AND regexp_matches(t, '{to}'))[1], '{to}', 1), '')"
+_CANONICAL = _NAMED.format(tag="link", what="rel", value="canonical", to="(?is).*\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)")
+_REFRESH = _NAMED.format(tag="meta", what="http-equiv", value="refresh", to="(?is).*\\burl\\s*=\\s*[\"'']?([^\"''\\s>;]+)")
+SQL = f"""
+WITH RECURSIVE r(action, host, path) AS (VALUES {_RULES_SQL}),
+u AS (SELECT DISTINCT url, {_host_sql("url")} AS host, {_path_sql("url")} AS path, {_node_sql("url")} AS node FROM pages WHERE url IS NOT NULL),
+t AS (SELECT url, replace(unnest([{_CANONICAL}, {_REFRESH}]), '&amp;', '&') AS t FROM pages WHERE url IS NOT NULL AND (html ILIKE '%canonical%' OR html ILIKE '%refresh%')),
+g AS (SELECT url, t, regexp_extract(url, '^(.*?://[^/?#]*)', 1) AS top, regexp_extract(url, '^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1) AS folder FROM t WHERE t <> ''),
+f AS (SELECT url, CASE WHEN strpos(t, '://') > 0 THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '^(.*?:)//', 1) || t WHEN starts_with(t, '/') THEN top || t
+  ELSE CASE WHEN ends_with(folder, '/') THEN folder ELSE folder || '/' END || t END AS t FROM g),
+l AS (SELECT {_node_sql("url")} AS a, {_node_sql("t")} AS b FROM f), e AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b),
+reach(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, q.root FROM reach q JOIN e ON e.a = q.node),
+n AS (SELECT node, min(root) AS root, {_host_sql("node")} AS host, {_path_sql("node")} AS path FROM reach GROUP BY node),
+nh AS ({_hit_sql("n", "node")}),
+c AS (SELECT root, bool_or(hit.action = 'allow') AS allowed, bool_or(hit.action = 'block') AS blocked FROM n LEFT JOIN nh USING (node) GROUP BY root),
+uh AS ({_hit_sql("u", "url")})
+SELECT page_id, coalesce(u.host, '') AS host, coalesce(u.path, '') AS path, hit.host || hit.path AS rule,
+  coalesce(hit.action, CASE WHEN c.allowed THEN 'allow' WHEN c.blocked THEN 'block' END, 'allow') AS verdict
+FROM pages LEFT JOIN u USING (url) LEFT JOIN uh USING (url) LEFT JOIN n ON n.node = u.node LEFT JOIN c USING (root)
+"""

@@ -168,6 +168,14 @@ def test_urls(spark):
     assert got[8][2:] == ("example.com/de/", "block") and got[9][2:] == (None, "allow")
     assert got[12] == ("g.net", "", None, "allow") and got[13][2] is None and got[14][3] == "allow"
     assert out.count() == len(rows)
+    import duckdb
+
+    pages = df.toPandas()
+    c = duckdb.connect()
+    c.register("pages", pages)
+    mine = sorted(map(repr, ((r.page_id, r.host, r.path, r.rule, r.verdict) for r in out.select("page_id", "host", "path", F.col("rule"), "verdict").collect())))
+    there = c.execute(f"SELECT CAST(page_id AS BIGINT), host, path, rule, verdict FROM ({urls.SQL})").fetchall()
+    assert sorted(map(repr, there)) == mine
     few = df.where("page_id NOT IN (4)")
     got = {r.page_id: r.verdict for r in urls.judge(few, urls.links(few), urls.rule_table(spark)).collect()}
     assert got[3] == got[5] == "block" and got[10] == got[11] == "allow"
