@@ -12,17 +12,35 @@ def _table(spark: SparkSession, rows: list[tuple[int, int, float]]) -> DataFrame
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(out, src, w)")
 
 
+def _keys(x: float) -> float:
+    if x < 1:
+        return 1.5 * x**3 - 2.5 * x**2 + 1
+    return -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2 if x < 2 else 0.0
+
+
 def weights(kind: str, side: int, factor: int) -> list[tuple[int, int, float]]:
     """(out, src, w) of an axis of `side` nodes. Observations go to every `factor`-th node and their
     weights sum to 1: `decimate` takes the node, `trapezoid` averages with half weights at the ends,
-    `gaussian` has a standard deviation of half the factor. `bilinear` goes back up."""
-    if kind == "bilinear":
+    `gaussian` has a standard deviation of half the factor, `box` averages one factor's nodes from each on.
+    `bilinear` and `keys` (cubic convolution, a = -1/2) go back up; nodes beyond the edge repeat it."""
+    if kind in ("bilinear", "keys"):
         coarse = (side - 1) // factor + 1
         out = []
         for i in range((coarse - 1) * factor + 1):
             k, r = divmod(i, factor)
-            out += [(i, k, 1 - r / factor)] + ([(i, k + 1, r / factor)] if r else [])
+            t, own = r / factor, {}
+            if kind == "bilinear":
+                taps = [(k, 1 - t), (k + 1, t)]
+            else:
+                taps = [(k - 1 + j, _keys(abs(t + 1 - j))) for j in range(4)]
+            for j, w in taps:
+                if w:
+                    j = min(max(j, 0), coarse - 1)
+                    own[j] = own.get(j, 0.0) + w
+            out += [(i, j, w) for j, w in sorted(own.items())]
         return out
+    if kind == "box":
+        return [(o, j, 1 / len(own)) for o, at in enumerate(range(0, side, factor)) for own in [range(at, min(at + factor, side))] for j in own]
     reach = {"decimate": 0, "trapezoid": factor // 2, "gaussian": 2 * factor}[kind]
     out = []
     for o, at in enumerate(range(0, side, factor)):
