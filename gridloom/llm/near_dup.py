@@ -125,10 +125,7 @@ def _like(common, n, m, percent: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    sizes = sets.select("doc", "n").distinct()
-    near = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
-    near = near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    one = near.join(sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb")), "b")
+    one = pairs.select("a", "b").join(sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb")), "b")
     two = one.join(sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa")), "a")
     return two.where(_like(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
 
@@ -177,17 +174,19 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id
         firsts = scratch.table(named.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep")), "firsts")
         members = named.join(firsts, ["lo", "hi"]).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys"))
         members = scratch.table(members, "members")
-        halves = members.where("keys IS NOT NULL").select(F.col("rep").alias("doc"), F.posexplode("keys").alias("pos", "key"))
-        counts = scratch.table(halves.groupBy("pos", "key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-        shared = halves.join(counts, ["pos", "key"]).groupBy("doc").agg(F.collect_set(F.struct("pos", "key")).alias("own"), F.sum("n").alias("degree"))
+        halves = members.where("keys IS NOT NULL").select(F.col("rep").alias("doc"), F.posexplode("keys").alias("pos", "key"), "n")
+        counts = scratch.table(halves.groupBy("pos", "key").agg(F.count("*").alias("shared")).where("shared > 1"), "counts")
+        shared = halves.join(counts, ["pos", "key"]).groupBy("doc").agg(F.collect_set(F.struct("pos", "key")).alias("own"), F.sum("shared").alias("degree"), F.max("n").alias("n"))
         left, right = F.filter("own", lambda h: h["pos"] < SIDE), F.filter("own", lambda h: h["pos"] >= SIDE)
         keys = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.xxhash64(a["pos"], a["key"], b["pos"], b["key"]))))
-        tables = scratch.table(shared.select("doc", "degree", F.explode(keys).alias("tkey")), "tables")
+        tables = scratch.table(shared.select("doc", "n", "degree", F.explode(keys).alias("tkey")), "tables")
         scratch.drop("firsts", "counts")
         order = F.shiftleft(F.least(F.col("degree"), F.lit(1 << 30)), 32) + F.xxhash64("doc").bitwiseAND(F.lit((1 << 32) - 1))
-        centres = scratch.table(tables.groupBy("tkey").agg(F.max_by("doc", order).alias("a"), F.count("*").alias("n")).where("n > 1").select("tkey", "a"), "centres")
-        pairs = scratch.table(tables.join(centres, "tkey").where("a != doc").select("a", F.col("doc").alias("b")).distinct(), "pairs")
-        wanted = scratch.table(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("doc_id")), "wanted")
+        centres = tables.groupBy("tkey").agg(F.max_by("doc", order).alias("a"), F.max_by("n", order).alias("na"), F.count("*").alias("members"))
+        centres = scratch.table(centres.where("members > 1").select("tkey", "a", "na"), "centres")
+        near = 100 * F.least("n", "na") >= percent * F.greatest("n", "na")
+        pairs = scratch.table(tables.join(centres, "tkey").where((F.col("a") != F.col("doc")) & near).select("a", F.col("doc").alias("b")).distinct(), "pairs")
+        wanted = scratch.table(tables.join(centres, "tkey", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "wanted")
         sets = scratch.table(texts.where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc long, n long, set array<long>"), "sets")
         links = scratch.table(_verified(pairs, sets, percent), "links")
         roots = scratch.table(components(scratch, links), "roots")
@@ -200,3 +199,17 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(list_slice(ws, i, i + {SHINGLE - 1}), ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, root AS component_id, w.doc_id = root AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN c ON c.node = w.doc_id
+"""
