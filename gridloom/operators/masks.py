@@ -48,6 +48,17 @@ def boundary_distance(cells: DataFrame, limit: int, side: int, label: str = "lab
     return cells.join(near, ["region", "row", "col"], "left").withColumn("distance", F.coalesce("d", F.lit(limit))).drop("d")
 
 
+def fault_field(cells: DataFrame, limit: int, side: int) -> DataFrame:
+    """(region, row, col, distance, strike) around fault cells (region, row, col, strike): steps along
+    rows and columns to the nearest one, at most `limit` and never around an edge, and the smallest
+    strike among the nearest. Cells farther away are left out."""
+    diamond = [(a, b) for a in range(-limit, limit + 1) for b in range(abs(a) - limit, limit - abs(a) + 1)]
+    near = offsets(cells.select("region", "row", "col", "strike"), diamond)
+    near = near.where(F.col("nrow").between(0, side - 1) & F.col("ncol").between(0, side - 1))
+    best = near.groupBy("region", F.col("nrow").alias("row"), F.col("ncol").alias("col")).agg(F.min(F.struct((F.abs("dr") + F.abs("dc")).alias("distance"), "strike")).alias("b"))
+    return best.select("region", "row", "col", "b.distance", "b.strike")
+
+
 def majority(cells: DataFrame, radius: int, side: int, label: str = "label") -> DataFrame:
     """The commonest class around each cell; of equally common ones the lowest."""
     near = offsets(cells.select("region", "row", "col", label), ball(radius))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
-from ..operators import resample, stencils
+from ..operators import masks, resample, stencils
 from ..sources.tables import ESTIMATE_SQL, LATTICE_SQL, MEASUREMENTS_SQL, SIDE, estimate, lattice, measurements, read
 from .catalog import query
 from .field_queries import F61, L, _apply_sql, _f61
@@ -240,3 +240,36 @@ def sliding_counts(spark, d):
     """Extension: windows of an hour that begin each half hour."""
     w = F.window("ts", "1 hour", "30 minutes")
     return read(spark, d, "events").groupBy(w, "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query(
+    "fault_distance",
+    f"""{L}, K AS (SELECT region, row, col, CAST((row * 7 + col) % 180 AS INTEGER) AS strike FROM L WHERE z > 0.35),
+    D AS (SELECT region, row + a AS row, col + b AS col, abs(a) + abs(b) AS d, strike FROM K, range(-3, 4) p(a), range(-3, 4) q(b) WHERE abs(a) + abs(b) <= 3)
+    SELECT region, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, CAST(min(d) AS INTEGER) AS distance, arg_min(strike, (d, strike)) AS strike FROM D WHERE row BETWEEN 0 AND 63 AND col BETWEEN 0 AND 63 GROUP BY ALL""",
+)
+def fault_distance(spark, d):
+    """Distance to the nearest fault cell and its strike, without wrapping around an edge."""
+    faults = lattice(spark, d).where("z > 0.35").select("region", "row", "col", ((F.col("row") * 7 + F.col("col")) % 180).alias("strike"))
+    return masks.fault_field(faults, 3, SIDE)
+
+
+@query("metre_envelope", f"{E}, G AS (SELECT CAST(q AS INTEGER) AS spacing, t AS target FROM (VALUES (2), (4), (8)) a(q), (VALUES (0.01::DOUBLE), (0.05)) b(t)), N AS (SELECT spacing, target, abs(z - round_even(z / (2 * target), 0) * 2 * target) AS e FROM L, G WHERE row % spacing = 0 AND col % spacing = 0) SELECT spacing, target, count(*) AS nodes, round(max(e), 7) + 0.0 AS most, max(e) <= target * 1.000001 AS held FROM N GROUP BY spacing, target")
+def metre_envelope(spark, d):
+    """Stored rows of every spacing under every target, quantised, and whether the target holds."""
+    grid = spark.sql("SELECT CAST(q AS INT) AS spacing, t AS target FROM (SELECT explode(array(2, 4, 8)) AS q) CROSS JOIN (SELECT explode(array(0.01D, 0.05D)) AS t)")
+    n = lattice(spark, d).crossJoin(F.broadcast(grid)).where((F.col("row") % F.col("spacing") == 0) & (F.col("col") % F.col("spacing") == 0))  # six rows, fixed
+    e = F.abs(F.col("z") - F.rint(F.col("z") / (2 * F.col("target"))) * 2 * F.col("target"))
+    return n.groupBy("spacing", "target").agg(F.count("*").alias("nodes"), rounded(F.max(e), 7).alias("most"), (F.max(e) <= F.first("target") * 1.000001).alias("held"))
+
+
+@query("bound_allocation", f"{L}, N AS (SELECT *, CASE WHEN row % 8 = 0 AND col % 8 = 0 THEN 8 WHEN row % 4 = 0 AND col % 4 = 0 THEN 4 WHEN row % 2 = 0 AND col % 2 = 0 THEN 2 ELSE 1 END AS level FROM L), W AS (SELECT *, CASE WHEN level >= 4 THEN 12 ELSE 24 END AS half FROM N) SELECT level, CAST(min(half) AS INTEGER) AS half, count(*) AS nodes, CAST(sum(abs(floor((round_even(z / 0.001::DOUBLE, 0) + half) / (2 * half + 1)))) AS BIGINT) AS codes FROM W GROUP BY level")
+def bound_allocation(spark, d):
+    """A tighter bound on coarse levels, which finer ones are predicted from."""
+    r, c = F.col("row"), F.col("col")
+    level = F.lit(1)
+    for s in (2, 4, 8):
+        level = F.when((r % s == 0) & (c % s == 0), s).otherwise(level)
+    n = lattice(spark, d).withColumn("level", level).withColumn("half", F.when(F.col("level") >= 4, 12).otherwise(24))
+    k = F.floor((F.rint(F.col("z") / 0.001) + F.col("half")) / (2 * F.col("half") + 1))
+    return n.groupBy("level").agg(F.min("half").alias("half"), F.count("*").alias("nodes"), F.sum(F.abs(k)).alias("codes"))
