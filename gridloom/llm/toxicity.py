@@ -64,6 +64,7 @@ class Machine:
 
     def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int, rate: float, decay: float, seed: int) -> None:
         rng, pad = np.random.default_rng(seed), len(self.terms)
+        weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, len(y) - y.sum())))  # classes count alike
         gb, gw, gv = 1e-6, np.full(self.w.shape, 1e-6), np.full(self.v.shape, 1e-6)
         size = np.array([len(d) for d in docs])
         for _ in range(epochs):
@@ -73,7 +74,7 @@ class Machine:
                 for r, k in enumerate(part):
                     idx[r, : size[k]] = docs[k]
                 m, s = self.margin(idx)
-                e = 1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[part]
+                e = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[part]) * weight[part]
                 real = (idx != pad).astype(float)
                 flat = idx.ravel()
                 dw = np.bincount(flat, (e[:, None] * real).ravel(), minlength=pad + 1) / len(part) + decay * self.w
@@ -89,9 +90,9 @@ class Machine:
                 self.v -= 0.3 * rate * dv / np.sqrt(gv)
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = 10_000, terms: int = 4096, rank: int = 8, epochs: int = 12) -> Machine:
-    """Fit on at most `rows` labelled documents; the `terms` terms whose presence differs most
-    between the classes (by z, in 5 documents at least) are used. No labels give a machine that
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 10_000, terms: int = 4096, least: float = 4.0, rank: int = 8, epochs: int = 12) -> Machine:
+    """Fit on at most `rows` labelled documents; the `terms` terms that toxic documents have most more
+    often than others (by z, above `least`, in 5 documents at least) are used. No labels give a machine that
     scores 0.5 everywhere."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -102,8 +103,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 10_000, terms: int = 4
     total, bad = n[0], n[1] or 0
     by = arrays.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).where("n >= 5")
     p = bad / max(1, total)
-    z = F.abs(F.col("k") - p * F.col("n")) / F.sqrt(F.col("n") * (p * (1 - p)) + 1e-9)
-    top = by.orderBy(z.desc(), "t").limit(terms).select("t").collect()
+    z = (F.col("k") - p * F.col("n")) / F.sqrt(F.col("n") * (p * (1 - p)) + 1e-9)
+    top = by.where(z > least).orderBy(z.desc(), "t").limit(terms).select("t").collect()
     machine = Machine(np.array(sorted(r["t"] for r in top), dtype=np.int64), rank, 5)
     if not 0 < bad < total:
         return machine
