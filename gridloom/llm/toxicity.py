@@ -64,7 +64,7 @@ class Machine:
 
     def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int, rate: float, decay: float, seed: int) -> None:
         rng, pad = np.random.default_rng(seed), len(self.terms)
-        weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, len(y) - y.sum())))  # classes count alike
+        weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, len(y) - y.sum()))) ** 0.5  # halfway to classes that count alike
         gb, gw, gv = 1e-6, np.full(self.w.shape, 1e-6), np.full(self.v.shape, 1e-6)
         size = np.array([len(d) for d in docs])
         for _ in range(epochs):
@@ -88,6 +88,13 @@ class Machine:
                 self.b -= rate * db / gb**0.5
                 self.w -= rate * dw / np.sqrt(gw)
                 self.v -= 0.3 * rate * dv / np.sqrt(gv)
+        # the bias, at last, is what makes the scores add up to the toxic documents that there are
+        m = np.array([self.margin(d[None, :])[0][0] for d in docs])
+        low, high = -20.0, 20.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (1 / (1 + np.exp(-np.clip(m + mid, -30, 30)))).sum() < y.sum() else (low, mid)
+        self.b += (low + high) / 2
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = 10_000, terms: int = 4096, least: float = 4.0, rank: int = 8, epochs: int = 12) -> Machine:
