@@ -124,10 +124,11 @@ def _like(common, n, m, percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough. Nothing follows the last join that would
+    need a key's rows together, so that a centre with many members can be split over tasks."""
     one = pairs.select("a", "b").join(sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb")), "b")
     two = one.join(sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa")), "a")
-    return two.where(_like(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+    return two.where(_like(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 def _rest(scratch: Scratch, tables: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
