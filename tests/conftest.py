@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def spark():
     from gridloom.session import session
 
-    s = session("tests", "local[2]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.enabled": "false"})
+    s = session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.enabled": "false"})
     s.sparkContext.setLogLevel("OFF")
     return s
 
