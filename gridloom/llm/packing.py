@@ -81,8 +81,9 @@ class Encoder:
 
     def _word(self, c: bytes) -> bytes | None:
         """A run of lower-case Latin letters is one word that nothing normalises or splits: it goes
-        straight to the merges. None for anything else."""
-        if c.isalpha():
+        straight to the merges. None for anything else, capitals included: a text that may spell a
+        special token comes with its case."""
+        if c.isalpha() and c == c.lower():
             return _packed(t.id for t in self.model.tokenize(c.decode()))
         if (s := c.decode()).isalpha() and max(s) < "\u0250" and s == s.lower():
             return _packed(t.id for t in self.model.tokenize(c.decode("latin-1").translate(_SHOWN)))

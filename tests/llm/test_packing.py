@@ -80,3 +80,12 @@ def test_chunks_encode_like_texts(text):
 
     want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(packing.Encoder(PATH).text(text), "<u4").tolist() == want
+
+
+@pytest.mark.parametrize("text", ["Hello World <| x <|endoftext|> The.", "<|endoftext|>Hello hello HELLO, Hello. hEllo", "A <| B", "The <|EndOfText|> End. the"])
+def test_capitals_beside_a_special_token(text):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.Encoder(PATH).text(text), "<u4").tolist() == want
