@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A fixed mask picks some positions of a token window and ignores the others; equal hashes of the
-picked tokens are a hit although an ignored token was replaced. Around each hit the benchmark item
-is laid over the document and tokens are compared place by place.
+picked tokens are a hit although an ignored token was replaced. The masks are such that any passage
+that counts has a hit. Around each hit the benchmark item is laid over the document and tokens are
+compared place by place.
 
 The benchmark is the query set. It is held in blocks of bounded size, each sent to all tasks and
 joined with the documents' hashes there, so documents are never shuffled, whatever the benchmark's
@@ -11,6 +12,7 @@ size: more blocks mean more passes within the same job.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,10 +25,13 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 TOKEN = re.compile(r"[^\W_]+")
-#: 1 picks a token, 0 ignores it.
-MASKS = ("11111111", "1110110111", "1101101101011", "111010010111")
+#: 1 picks a token, 0 ignores it. From the given window length on, up to the next one,
+#: every choice of a fifth of the tokens leaves one of the masks a place without any of them.
+MASKS = {20: ("1111011", "1110100011", "1110111"), 15: ("111011", "11111"), 8: ("11101", "1111")}
 BITS = 22
 CACHE = 300_000
+#: Hits that are looked at together.
+HITS = 1 << 14
 
 
 class Tokens:
@@ -58,12 +63,17 @@ def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
-def masks_for(n: int) -> list[str]:
-    """The masks for an item of n tokens: the fixed ones that fit; up to 16 tokens also one of half the
-    item, which a single replaced token cannot spoil everywhere; under 8 tokens the item as a whole."""
-    if n < 8:
-        return ["1" * n] if n else []
-    return [*(m for m in MASKS if len(m) <= n), *(["1" * (n // 2)] if n <= 16 else [])]
+def masks_for(n: int, window: int = 20, share: float = 0.8) -> list[str]:
+    """Masks that no allowed replacement of tokens can spoil everywhere in an item of n tokens: the
+    fixed ones, or, where those are not made for a window or share, the longest run of tokens that
+    must stay; under 8 tokens the window as a whole."""
+    w = min(n, window)
+    if w < 8:
+        return ["1" * w] if w else []
+    least = math.ceil(share * w)
+    if w <= 20 and 5 * (w - least) <= w:
+        return list(next(own for size, own in MASKS.items() if w >= size))
+    return ["1" * max(1, -(-least // (w - least + 1)))]
 
 
 class Index:
@@ -73,7 +83,7 @@ class Index:
         self.items, self.window, self.share = items, window, share
         by: dict[str, list] = {}
         for k, (_, tokens) in enumerate(items):
-            for m in masks_for(len(tokens)):
+            for m in masks_for(len(tokens), window, share):
                 h = seeds(tokens, m)
                 by.setdefault(m, []).append((h, np.full(len(h), k), np.arange(len(h))))
         self.masks = []
@@ -83,6 +93,11 @@ class Index:
             there = np.zeros(1 << BITS, dtype=bool)
             there[(h >> np.uint64(64 - BITS)).astype(np.int64)] = True
             self.masks.append((m, h[order], item[order], at[order], there))
+        n = np.array([len(t) for _, t in items], dtype=np.int64)
+        self.tokens = np.concatenate([np.array([], np.uint64), *(t for _, t in items)])
+        self.ends = np.cumsum(n)
+        w = np.minimum(window, n)
+        self.least = np.where(w >= 8, share * w, w)
 
     def overlap(self, doc: np.ndarray, item: np.ndarray, shift: int) -> int:
         """Equal tokens in the best window, or 0 if no window of the item has enough of them."""
@@ -94,6 +109,19 @@ class Index:
         best = int((same[w:] - same[:-w]).max())
         return int(same[-1]) if best >= (self.share * w if w >= 8 else w) else 0
 
+    def near(self, every: np.ndarray, q: np.ndarray, item: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+        """Whether enough tokens are equal in some window around each hit of a mask of `length`; the
+        ends of documents are left to overlap()."""
+        cols = np.arange(length - self.window, self.window)
+        begin = self.ends[item] - np.diff(self.ends, prepend=0)[item]
+        there, here = (begin + at)[:, None] + cols, q[:, None] + cols
+        inside = (there >= begin[:, None]) & (there < self.ends[item][:, None]) & (here >= 0) & (here < len(every))
+        same = inside & (self.tokens[np.where(inside, there, 0)] == every[np.where(inside, here, 0)])
+        sums = np.cumsum(same, axis=1, dtype=np.int32)
+        best = sums[:, self.window - 1 :].copy()
+        best[:, 1:] -= sums[:, : -self.window]
+        return best.max(axis=1) >= self.least[item]
+
     def find(self, docs: list[np.ndarray]) -> dict[int, dict[int, int]]:
         """For each document with leaks, its items and their equal tokens."""
         size = np.array([len(d) for d in docs])
@@ -107,10 +135,17 @@ class Index:
             p = np.nonzero(there[(own >> np.uint64(64 - BITS)).astype(np.int64)])[0]
             p = p[owner[p] == owner[p + len(mask) - 1]]
             left, right = np.searchsorted(h, own[p], "left"), np.searchsorted(h, own[p], "right")
-            for q, a, b in zip(p[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist(), strict=True):
-                d = int(owner[q])
-                begin = int(ends[d] - size[d])
-                hits.update((d, int(i), q - begin - int(o)) for i, o in zip(item[a:b], at[a:b], strict=True))
+            p, left, n = p[right > left], left[right > left], (right - left)[right > left]
+            # hits are laid out in parts of bounded size
+            total = np.cumsum(n)
+            cuts = np.searchsorted(total, np.arange(HITS, int(total[-1]) if len(total) else 0, HITS))
+            for own_p, own_left, own_n in zip(*(np.split(x, cuts) for x in (p, left, n)), strict=True):
+                q = np.repeat(own_p, own_n)
+                k = np.arange(len(q)) - np.repeat(np.cumsum(own_n) - own_n, own_n) + np.repeat(own_left, own_n)
+                good = self.near(every, q, item[k], at[k], len(mask))
+                q, k = q[good], k[good]
+                d = owner[q]
+                hits.update(zip(d.tolist(), item[k].tolist(), (q - (ends[d] - size[d]) - at[k]).tolist(), strict=True))
         out: dict[int, dict[int, int]] = {}
         for d, i, shift in hits:
             if (n := self.overlap(docs[d], self.items[i][1], shift)) > 0:
@@ -123,8 +158,8 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", windo
     """df with contaminated (boolean), item_ids (sorted list of long) and n_matched (long).
 
     A document is contaminated by an item if some window of `window` tokens of the item (all of a
-    shorter item) lies in it with at least `share` of the tokens equal, place by place, found from
-    a seed; items under 8 tokens have to be equal. n_matched is the largest number of equal tokens over its items. Null texts and null or
+    shorter item) lies in it with at least `share` of the tokens equal, place by place; items under
+    8 tokens have to be equal. n_matched is the largest number of equal tokens over its items. Null texts and null or
     empty items match nothing; items without an id count with a null id left out of the list;
     columns of those names are replaced; an empty benchmark leaves all documents clean.
     """

@@ -1,4 +1,6 @@
 import collections
+import itertools
+import math
 
 import numpy as np
 import pytest
@@ -107,6 +109,38 @@ def test_substitutions_are_found():
         assert index.find([doc]) == {0: {9: 19}}
 
 
+@pytest.mark.parametrize("n", range(8, 21))
+def test_every_allowed_replacement_leaves_a_seed(n):
+    subs, masks = n // 5, decontaminate.masks_for(n)
+    places = [{k + j for j, bit in enumerate(m) if bit == "1"} for m in masks for k in range(n - len(m) + 1)]
+    assert all(any(p.isdisjoint(gone) for p in places) for gone in itertools.combinations(range(n), subs))
+
+
+def test_full_share_of_replacements_is_found():
+    """A fifth of the tokens of a short item, or of one window of a long one, replaced at random."""
+    rng = np.random.default_rng(3)
+    for n in (8, 10, 12, 15, 16, 19, 20, 25, 40):
+        item = rng.integers(1, 1 << 62, n, dtype=np.uint64)
+        index = decontaminate.Index([(9, item)], 20, 0.8)
+        for _ in range(60):
+            w = min(n, 20)
+            at, doc = int(rng.integers(n - w + 1)), rng.integers(1, 1 << 62, 60, dtype=np.uint64)
+            doc[20 : 20 + w] = item[at : at + w]
+            doc[20 + rng.choice(w, w // 5, replace=False)] = 7
+            assert index.find([doc[:5], doc, doc[20 : 20 + w], doc[:0]]) == {1: {9: w - w // 5}, 2: {9: w - w // 5}}
+
+
+def test_other_windows_and_shares_keep_a_seed():
+    for window in range(1, 31):
+        for share in (0.3, 0.5, 0.75, 0.9, 1.0):
+            first, *others = decontaminate.masks_for(40, window, share)
+            subs = window - math.ceil(share * window) if window >= 8 else 0
+            if others:  # those of the test above
+                assert [first, *others] == decontaminate.masks_for(window) and subs <= window // 5
+            else:
+                assert set(first) == {"1"} and window - subs > (subs + 1) * (len(first) - 1)
+
+
 def test_language(spark, docs, odd_docs, no_docs):
     out = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in out) >= 0.97 * len(out)
