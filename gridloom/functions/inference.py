@@ -81,6 +81,13 @@ def log_likelihood(residual: np.ndarray, cov: np.ndarray) -> float:
     return float(-0.5 * (u @ u) - np.log(np.diag(low)).sum() - 0.5 * len(residual) * np.log(2 * np.pi))
 
 
+def grouped_log_likelihood(mean: np.ndarray, n: np.ndarray, m2: np.ndarray, cov: np.ndarray, noise: float) -> float:
+    """The same of single residuals whose covariance is that of their groups, with independent noise
+    on each: from every group's mean, count and sum of squares around the mean."""
+    own = log_likelihood(mean, cov + np.diag(noise / n))
+    return float(own - 0.5 * (m2.sum() / noise + (n.sum() - len(n)) * np.log(2 * np.pi * noise) + np.log(n).sum()))
+
+
 def metropolis(log_p, start: np.ndarray, scale: np.ndarray, draws: int, seed: int) -> tuple[np.ndarray, float]:
     rng = np.random.default_rng(seed)
     x, lp, out, kept = start.astype(float), log_p(start), np.empty((draws, len(start))), 0

@@ -209,7 +209,7 @@ def landscape_step(spark, d):
     """Evolution of each field under uplift, incision and diffusion, with a ledger a step."""
 
     def one(k: int, z: np.ndarray) -> pd.DataFrame:
-        _, ledger = physics.evolve(z[:32, :32], 5.0, 2.0, 0.05, 0.02, 0.05)
+        _, ledger = physics.evolve(z, 5.0, 2.0, 0.05, 0.02, 0.05)
         return pd.DataFrame([(k, i, r["dt"], r["uplift"], r["cut"], r["moved"], r["change"], physics.closes([r])) for i, r in enumerate(ledger)], columns=["region", "step", "dt", "uplift", "cut", "moved", "change", "closed"])
 
     out = per_field(lattice(spark, d), one, "region bigint, step int, dt double, uplift double, cut double, moved double, change double, closed boolean")
@@ -291,19 +291,21 @@ def chain_diagnostics(spark, d):
 
 @query("grid_posterior")
 def grid_posterior(spark, d):
-    """A posterior on a grid of two parameters, a task a cell, and its marginals by sums."""
+    """A posterior of all parts on a grid of two parameters, a task a cell, and its marginals by sums.
+    Parts of one size differ by noise alone, so a row a size is all that the likelihood needs."""
     grid = spark.sql("SELECT CAST(a.id AS INT) AS i, CAST(b.id AS INT) AS j FROM range(15) a CROSS JOIN range(15) b")
-    parts = read(spark, d, "part").select("p_size", "p_retailprice").where("p_partkey <= 60")
-    seen = parts.agg(F.sort_array(F.collect_list(F.struct("p_size", "p_retailprice"))).alias("s"))  # sixty rows
+    parts = read(spark, d, "part").select("p_size", "p_retailprice").dropna()
+    sizes = parts.groupBy("p_size").agg(F.count("*").alias("n"), F.avg("p_retailprice").alias("mean"), (F.var_pop("p_retailprice") * F.count("*")).alias("m2"))
+    seen = sizes.agg(F.sort_array(F.collect_list(F.struct("p_size", "n", "mean", "m2"))).alias("s"))  # a row for each of the fifty sizes
 
     def score(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                x, y = np.array([v["p_size"] for v in r.s], float), np.array([v["p_retailprice"] for v in r.s])
-                cov = 400.0 * np.exp(-np.abs(x[:, None] - x[None, :]) / 5.0) + 100.0 * np.eye(len(x))
-                res = y - (900 + 5 * r.i) - 0.5 * (r.j - 7) * x
-                out.append(inference.log_likelihood(res, cov))
+                x, n, mean, m2 = (np.array([v[c] for v in r.s], float) for c in ("p_size", "n", "mean", "m2"))
+                cov = 400.0 * np.exp(-np.abs(x[:, None] - x[None, :]) / 5.0)
+                res = mean - (900 + 5 * r.i) - 0.5 * (r.j - 7) * x
+                out.append(inference.grouped_log_likelihood(res, n, m2, cov, 100.0))
             yield pd.DataFrame({"i": pdf["i"], "j": pdf["j"], "ll": out})
 
     ll = grid.crossJoin(F.broadcast(seen)).mapInPandas(score, "i int, j int, ll double")

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridloom.functions import codecs, entropy, hydro, inference, physics, recon
+from gridloom.plans.registry import QUERIES
 
 
 @pytest.fixture
@@ -207,3 +208,38 @@ def test_likelihood_equals_dense():
 def test_bootstrap_covers():
     mid, low, high = inference.bootstrap_ratio(np.log([0.8, 0.85, 0.9, 0.75]), 2000)
     assert low < mid < high < 1
+
+
+def test_grouped_likelihood_is_that_of_single_residuals():
+    rng = np.random.default_rng(4)
+    x = rng.integers(1, 9, 60)
+    res = rng.normal(0, 20, 60) + 3 * x
+    kernel = lambda a: 400.0 * np.exp(-np.abs(a[:, None] - a[None, :]) / 5.0)
+    g, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    mean = np.bincount(at, res) / n
+    m2 = np.bincount(at, (res - mean[at]) ** 2)
+    want = inference.log_likelihood(res, kernel(x) + 100.0 * np.eye(60))
+    assert np.isclose(inference.grouped_log_likelihood(mean, n, m2, kernel(g), 100.0), want, rtol=1e-10)
+
+
+def test_grid_posterior_uses_all_parts(spark, duck, data):
+    x, y = (np.array(c, float) for c in zip(*duck.execute("SELECT p_size, p_retailprice FROM part").fetchall(), strict=True))
+    cov = 400.0 * np.exp(-np.abs(x[:, None] - x[None, :]) / 5.0) + 100.0 * np.eye(len(x))
+    ll = np.array([[inference.log_likelihood(y - (900 + 5 * i) - 0.5 * (j - 7) * x, cov) for j in range(15)] for i in range(15)])
+    w = np.exp(ll - ll.max())
+    got = {r.i: r.p for r in QUERIES["grid_posterior"](spark, data).collect()}
+    assert np.allclose([got[i] for i in range(15)], w.sum(1) / w.sum(), atol=2e-8)
+
+
+def test_landscape_step_evolves_whole_fields(spark, duck, data):
+    got = {(r.region, r.step): r for r in QUERIES["landscape_step"](spark, data).collect()}
+    fields = {}
+    for k, v in duck.execute("SELECT vec_id, embedding[1:64] FROM embeddings ORDER BY vec_id").fetchall():
+        fields.setdefault(k // 64, []).append(v)
+    fields = {k: np.array(v, float) for k, v in fields.items() if len(v) == 64}
+    assert {k for k, _ in got} == set(fields)
+    for k in (0, 3):
+        for i, r in enumerate(physics.evolve(fields[k], 5.0, 2.0, 0.05, 0.02, 0.05)[1]):
+            own = got[k, i]
+            assert own.closed and np.allclose([own.uplift, own.cut, own.moved, own.change], [r[c] for c in ("uplift", "cut", "moved", "change")], atol=1e-6)
+            assert np.isclose(own.uplift, 62 * 62 * 0.05 * r["dt"])
