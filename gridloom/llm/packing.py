@@ -68,17 +68,26 @@ class Encoder:
         return b"".join(found)
 
     def _new(self, c: bytes) -> bytes:
-        if c[-1:] in b".," and len(c) > 1:
-            # a full stop or comma behind a letter is always a token of its own, at a chunk's end
-            word, end, cache = c[:-1], c[-1:], self.cache
-            if (ids := cache.get(word)) is not None or (ids := self._word(word)) is not None:
-                cache[word] = ids
-                if end not in cache:
-                    cache[end] = self._whole(end)
-                if word[-1:].isalpha() or word.decode()[-1].isalpha():
-                    return ids + cache[end]
+        if c[-1:] in b".," and len(c) > 1 and self._ends_plainly(word := c[:-1]):
+            # a full stop or comma behind such a letter is always a token of its own, at a chunk's end
+            end, cache = c[-1:], self.cache
+            if (ids := cache.get(word)) is None and (ids := self._word(word)) is None:
+                return self._whole(c)
+            cache[word] = ids
+            if end not in cache:
+                cache[end] = self._whole(end)
+            return ids + cache[end]
         return self._word(c) or self._whole(c)
 
+    @staticmethod
+    def _ends_plainly(word: bytes) -> bool:
+        """Whether the last character is a letter that the normaliser keeps as one letter: any other
+        may leave a mark behind, which the next sign would join. The word alone decides, not the cache."""
+        if word[-1] < 128:
+            return word[-1:].isalpha()
+        last = word.decode()[-1]
+        return last.isalpha() and last < "\u0250" and last == last.lower()
+
     def _word(self, c: bytes) -> bytes | None:
         """A run of lower-case Latin letters is one word that nothing normalises or splits: it goes
         straight to the merges. None for anything else, capitals included: a text that may spell a
@@ -193,15 +202,17 @@ def pieces(df: DataFrame, tokenizer: str, size: int = SIZE, doc_id: str = "doc_i
     return shaped.mapInArrow(run, schema)
 
 
-def pack(df: DataFrame, tokenizer: str, size: int = SIZE, salts: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, size: int = SIZE, salts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row per piece.
 
     A null text counts as empty and is one piece of one token. Repeated rows are packed as often as
     they occur, a null doc_id like any other; of pieces of one length any may take any place. Other
-    columns are left out; an empty df gives an empty result.
+    columns are left out; an empty df gives an empty result. Pieces of a length are ranked in `salts`
+    groups, by default in as many as hold about a million of all pieces each, 256 at least.
     """
     spark = df.sparkSession
     cut = checkpointed(pieces(df, tokenizer, size, doc_id, text).withColumn("__uid", F.monotonically_increasing_id()))
+    salts = salts or max(256, -(-cut.count() // 1_000_000))
     cut = cut.withColumn("__salt", F.pmod(F.xxhash64("__uid"), F.lit(salts)).cast("int"))
     # at most `salts` rows of each length; their prefix sums give each group the rank that it begins at
     groups = checkpointed(cut.groupBy("length", "__salt").agg(F.count("*").alias("n")))

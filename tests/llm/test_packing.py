@@ -89,3 +89,25 @@ def test_capitals_beside_a_special_token(text):
 
     want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(packing.Encoder(PATH).text(text), "<u4").tolist() == want
+
+
+def test_random_strings_encode_like_texts():
+    """Capitals, marks, special tokens, odd white space; one encoder, whose cache fills as it goes."""
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    rng, own, whole = random.Random(5), packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    signs = [*"aAbBzIiİıßŉÉéÅΣσςſǆǅ日本。.,'’!?<|>  \t\n\x0b\x85\xa0\u0301\u0307\u034510٣½ªºﬁ🙂\u200d\x1c", "<|", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "'s", "'T", "The", "Hello", "world.", "İ.", "É."]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 9))) for _ in range(60_000)]
+    for text, want in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.text(text), "<u4").tolist() == want.ids, text
+
+
+def test_ids_do_not_depend_on_what_was_seen():
+    for text in ("İ.", "GALERİ,", "ŉ.", "Ǆ."):
+        fresh = packing.Encoder(PATH).text(text)
+        seen = packing.Encoder(PATH)
+        seen.text(text[:-1])
+        assert seen.text(text) == fresh
