@@ -1,8 +1,8 @@
 """MinHash near-duplicates with tensored banding.
 
 Two small collections of half keys are computed for each text, and a table's key is a pair of one
-half from each, so that SIDE * SIDE tables cost 2 * SIDE half keys. A key is only formed from
-halves that another text shares. Candidates are confirmed on the full shingle sets.
+half from each, so that n * n tables cost 2 * n half keys. A key is only formed from halves that
+another text shares. Candidates are confirmed on the full shingle sets.
 
 No bucket is expanded into pairs. Each bucket links its members to one centre; where that leaves a
 bucket in several components, its members go to an exact join by prefix filter (rarest shingles
@@ -12,6 +12,8 @@ different texts is given up because a bucket is large.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,9 @@ from .graph import components
 
 SHINGLE = 5
 PERCENT = 85
-#: Half keys on each side, and minhashes in a half key. At a similarity of 0.85 a pair shares no
-#: table with a probability of 2 * (1 - 0.85**3)**12, which is 0.00002.
-SIDE, ROWS = 12, 3
+#: Minhashes in a half key, and the chance to share no table that a pair at the threshold may have.
+ROWS, MISS = 3, 0.000025
 CACHE = 300_000
-_rng = np.random.default_rng(8)
-_MUL = _rng.integers(0, 1 << 63, 2 * SIDE * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, 2 * SIDE * ROWS, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,20 +68,33 @@ class Shingler:
         return np.unique(out)
 
 
-def half_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of 2 * SIDE keys for each of the sets, none of which is empty."""
+def side_for(percent: int) -> int:
+    """Half keys on a side: a pair with `percent` of its shingles shared has a half key of each side in
+    common but for a chance of MISS. That is 12 at 85 percent and 16 at 80."""
+    missed = 1 - (percent / 100) ** ROWS
+    return max(1, math.ceil(math.log(MISS / 2) / math.log(missed))) if missed > 0 else 1
+
+
+@functools.cache
+def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(8)
+    return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
+def half_keys(sets: list[np.ndarray], side: int) -> np.ndarray:
+    """A row of 2 * side keys for each of the sets, none of which is empty."""
     size = np.array([len(s) for s in sets])
     every, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)[:-1]])
-    out = np.empty((len(sets), 2 * SIDE), np.uint64)
-    for c in range(2 * SIDE):
+    out, (mul, add) = np.empty((len(sets), 2 * side), np.uint64), _family(2 * side * ROWS)
+    for c in range(2 * side):
         key = np.full(len(sets), c, np.uint64)
         for k in range(c * ROWS, (c + 1) * ROWS):
-            key = _mixed(key ^ np.minimum.reduceat(every * _MUL[k] + _ADD[k], starts))
+            key = _mixed(key ^ np.minimum.reduceat(every * mul[k] + add[k], starts))
         out[:, c] = key
     return out.view(np.int64)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
         n = batch.num_rows
@@ -92,7 +103,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def flush() -> None:
             if sets:
-                for k, own in zip(at, half_keys(sets), strict=True):
+                for k, own in zip(at, half_keys(sets, side), strict=True):
                     keys[k] = own
 
         for k, text in enumerate(batch.column("text").to_pylist()):
@@ -166,11 +177,11 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id
     has a null component_id and is kept. Other columns are left out; an empty df gives an empty
     result. doc_id has to be an integer.
     """
-    spark = df.sparkSession
+    spark, side = df.sparkSession, side_for(percent)
     small_batches(spark)
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     with Scratch(spark) as scratch:
-        signed = scratch.table(texts.mapInArrow(_signed, "doc_id long, lo long, hi long, n long, keys array<long>"), "signed")
+        signed = scratch.table(texts.mapInArrow(functools.partial(_signed, side=side), "doc_id long, lo long, hi long, n long, keys array<long>"), "signed")
         named = signed.where("lo IS NOT NULL AND doc_id IS NOT NULL")
         firsts = scratch.table(named.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep")), "firsts")
         members = named.join(firsts, ["lo", "hi"]).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys"))
@@ -178,7 +189,7 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id
         halves = members.where("keys IS NOT NULL").select(F.col("rep").alias("doc"), F.posexplode("keys").alias("pos", "key"), "n")
         counts = scratch.table(halves.groupBy("pos", "key").agg(F.count("*").alias("shared")).where("shared > 1"), "counts")
         shared = halves.join(counts, ["pos", "key"]).groupBy("doc").agg(F.collect_set(F.struct("pos", "key")).alias("own"), F.sum("shared").alias("degree"), F.max("n").alias("n"))
-        left, right = F.filter("own", lambda h: h["pos"] < SIDE), F.filter("own", lambda h: h["pos"] >= SIDE)
+        left, right = F.filter("own", lambda h: h["pos"] < side), F.filter("own", lambda h: h["pos"] >= side)
         keys = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.xxhash64(a["pos"], a["key"], b["pos"], b["key"]))))
         tables = scratch.table(shared.select("doc", "n", "degree", F.explode(keys).alias("tkey")), "tables")
         scratch.drop("firsts", "counts")

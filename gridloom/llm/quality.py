@@ -5,6 +5,8 @@ Everything is built-in column functions; no Python runs on the executors.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,16 @@ from .common import WS, WS_CHARS, let
 
 #: The symbols that a document's n_symbols counts.
 SYMBOLS = r"[#*$%&|<>]"
-#: Lower-case phrases of boilerplate lines.
+#: Lower-case phrases of boilerplate lines in English, German, French and Spanish.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "accept cookies",
     "enable javascript", "click here", "subscribe to our", "sign up for our", "lorem ipsum", "skip to content",
+    "alle rechte vorbehalten", "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren",
+    "javascript aktivieren", "hier klicken", "klicken sie hier", "newsletter abonnieren", "zum inhalt springen",
+    "tous droits réservés", "politique de cookies", "politique de confidentialité", "conditions d'utilisation",
+    "accepter les cookies", "activer javascript", "cliquez ici", "abonnez-vous à", "aller au contenu",
+    "todos los derechos reservados", "política de cookies", "política de privacidad", "términos de uso", "términos de servicio",
+    "aceptar cookies", "aceptar las cookies", "habilite javascript", "haga clic aquí", "suscríbase a", "saltar al contenido",
 )
 #: Ends of sentences, also behind closing quotes and brackets.
 TERMINAL = "[.!?…。！？:;][\"'”’»)\\]]*[\\x20\\x09-\\x0D]*$"
@@ -48,14 +56,12 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether one lower-case line with a word is navigation, symbols, boilerplate or a loose fragment."""
+    """Whether one line with a word is navigation, symbols, boilerplate or a loose fragment."""
     words, symbols = F.size(_words(line)), F.regexp_count(line, F.lit(SYMBOLS))
     fails = symbols * 10 > F.length(line)
     fails = fails | (F.regexp_count(line, F.lit(r"\|")) >= 3)
     fails = fails | ((words < 6) & ~line.rlike(TERMINAL))
-    for phrase in BOILERPLATE:
-        fails = fails | F.contains(line, F.lit(phrase))
-    return fails
+    return fails | let(F.lower(line), lambda low: functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(phrase)) for phrase in BOILERPLATE)))
 
 
 def quality(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFrame:
@@ -70,11 +76,7 @@ def quality(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFra
     has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
     lines = F.filter(F.split(t, "\n"), has_word)
     counts = let(_words(t), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).cast("long").alias("n_repeat_words")))
-    judged = F.aggregate(
-        F.filter(F.split(F.lower(t), "\n"), has_word),
-        F.lit(0).cast("long"),
-        lambda a, line: a + F.when(line_fails(line), _chars(line)).otherwise(0),
-    )
+    judged = F.aggregate(lines, F.lit(0).cast("long"), lambda a, line: a + F.when(line_fails(line), _chars(line)).otherwise(0))
     own = {
         "__counts": counts,
         "word_chars": _chars(t).cast("long"),
@@ -91,7 +93,7 @@ def quality(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFra
 def cleaned_text(text: Column) -> Column:
     """text without the lines that fail a rule; lines without a word stay."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    return F.array_join(F.filter(lines, lambda line: ~(line.rlike(r"[^\x20\x09-\x0D]") & line_fails(F.lower(line)))), "\n")
+    return F.array_join(F.filter(lines, lambda line: ~(line.rlike(r"[^\x20\x09-\x0D]") & line_fails(line))), "\n")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +101,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_PHRASES = " OR ".join(f"contains(line, '{p}')" for p in BOILERPLATE)
+_PHRASES = " OR ".join("contains(lower(line), '{}')".format(p.replace("'", "''")) for p in BOILERPLATE)
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
@@ -107,7 +109,7 @@ starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM
 wins AS (SELECT doc_id, i, list_slice(ws, i, i + {WINDOW - 1}) AS win FROM starts),
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM wins) WHERE n >= 2),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(0, {WINDOW}) AS r(k) GROUP BY doc_id),
-lines AS (SELECT doc_id, unnest(string_split(lower(t), chr(10))) AS line FROM d),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 judged AS (SELECT doc_id, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars,
   10 * length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) > length(line)
   OR length(regexp_replace(line, '[^|]+', '', 'g')) >= 3

@@ -58,8 +58,15 @@ def test_chains_and_large_groups(spark):
 
 def test_recall_of_the_tables():
     """The stated chance to miss a pair at the threshold."""
-    half = (1 - 0.85**near_dup.ROWS) ** near_dup.SIDE
-    assert 2 * half < 0.0001
+    for percent in (50, 70, 80, 85, 95):
+        assert 2 * (1 - (percent / 100) ** near_dup.ROWS) ** near_dup.side_for(percent) < 0.0001
+    assert (near_dup.side_for(85), near_dup.side_for(80), near_dup.side_for(100)) == (12, 16, 1)
+
+
+def test_other_thresholds_equal_brute_force(docs):
+    for percent in (80, 60):
+        want = brute.components([(r.doc_id, r.text) for r in docs.collect()], percent)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, percent).collect()} == want
 
 
 def test_components(spark):

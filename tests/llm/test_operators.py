@@ -44,6 +44,21 @@ def test_cleaned_text(spark):
     assert df.select(quality.cleaned_text(F.col("text"))).first()[0] == "This is a line that is fine and ends.\n\nAnother good line of the text."
 
 
+@pytest.mark.parametrize("line", ["Bitte die Cookies akzeptieren, danke sehr.", "© 2020, Tous droits réservés par la société.", "Lea la POLÍTICA DE PRIVACIDAD de este sitio.", "Voici les Conditions d'utilisation du site."])
+def test_boilerplate_of_all_languages(spark, line):
+    df = spark.createDataFrame([(line, "A line of text that says what there is to say.")], "a string, b string")
+    assert df.select(quality.line_fails(F.col("a")), quality.line_fails(F.col("b"))).first()[:] == (True, False)
+
+
+def test_letters_that_grow_in_lower_case(spark):
+    """What is lost is measured on the text itself: İ is one character, its lower case two."""
+    text = " ".join(f"word{k}" for k in range(30)) + ".\n" + "\n".join(f"Click {x} " + "İ" * 40 for x in ("here", "HERE"))
+    own = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    lost, whole = 2 * 49, len("".join(text.split()))
+    for share in (lost / whole - 0.01, lost / whole + 0.01):
+        assert quality.quality(own, max_lost=share).first().kept == (lost <= share * whole)
+
+
 def check_shards(rows, shards):
     by = collections.defaultdict(list)
     for r in rows:

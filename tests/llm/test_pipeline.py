@@ -1,7 +1,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from gridloom.llm import language
+from gridloom.llm import language, quality
 
 from . import brute
 
@@ -12,9 +12,15 @@ def test_stages_on_their_own_input(spark, data, docs):
         out = stage(spark, now, data)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
         kept = out.select(*docs.columns).cache()
-        assert kept.exceptAll(now).isEmpty()
+        if name == "quality rules":
+            cleaned = now.withColumn("text", quality.cleaned_text(F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))
+            assert kept.exceptAll(cleaned.select(*docs.columns)).isEmpty()
+            lines = kept.select(F.explode(F.split("text", "\n")).alias("line")).where("line RLIKE '[^ ]'")
+            assert lines.where(quality.line_fails(F.col("line"))).isEmpty()
+        else:
+            assert kept.exceptAll(now).isEmpty()
         if name == "MinHash near-dedup":
-            want = brute.components([(r.doc_id, r.text) for r in now.collect()])
+            want = brute.components([(r.doc_id, r.text) for r in now.collect()], 80)
             assert {r.doc_id for r in kept.collect()} == {i for i, (_, root) in want.items() if i == root}
         if name == "benchmark decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
@@ -36,6 +42,17 @@ def test_odd_rows_pass(spark, data, odd_docs, no_docs):
             stage(spark, docs, data).collect()
 
 
+def test_clashing_columns_stay(spark, data, docs):
+    """Columns that have the names of what the operators make keep their values."""
+    names = ("kept", "n_words", "contaminated", "item_ids", "lang_pred", "score", "__text", "a.b", "component_id")
+    more = docs.where("doc_id < 40").select("*", *(F.concat(F.lit(f"{n} "), F.col("doc_id")).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, data)
+        assert out.columns == more.columns, name
+        rows = out.select("doc_id", *(f"`{n}`" for n in names)).collect()
+        assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names), name
+
+
 def test_rejects_what_has_no_letters(spark, data, odd_docs):
     got = {r.doc_id for r in corpus_pipeline.language_id(spark, odd_docs, data).collect()}
     assert not got & {1, 2, 3, 16} and language.learn(odd_docs)["langs"] == ["en"]
