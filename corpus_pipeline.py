@@ -13,31 +13,61 @@ from gridloom.llm import decontaminate, language, near_dup, packing, quality
 
 #: A document whose language is less likely than this is rejected, as is one without letters.
 MIN_SCORE = 0.5
+#: Shared shingles, in percent of those of either, that make two documents near copies.
+NEAR_PERCENT = 80
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs as (__row, doc_id, text): whole rows in one column, so that no name of theirs can clash with
+    an operator's."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "doc_id", "text")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that is likely; `und` goes. Rows without doc_id are judged too."""
+    """Documents with a language that is likely; `und` goes, hence null, empty and letterless texts.
+
+    Rows are judged one by one, so repeated rows and null ids are kept or go like any other; all
+    columns stay as they are, whatever their names; no documents give none.
+    """
     model = language.learn(docs.where(~language.held_out()))
-    judged = language.predict(docs.withColumn("__whole", F.col("text")), model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return judged.withColumnRenamed("__whole", "text").select(*docs.columns)
+    judged = language.predict(_rows(docs), model)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("__row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.quality(docs).where("kept").select(*docs.columns)
+    """Documents that the rules keep, without the lines that fail one; n_chars, if there, counts anew.
+
+    A null text counts as empty and goes. Rows are judged one by one; all other columns stay as they
+    are, whatever their names; no documents give none.
+    """
+    kept = quality.quality(_rows(docs)).where("kept").select("__row.*")
+    kept = kept.withColumn("text", quality.cleaned_text(F.col("text")))
+    return kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id; rows without doc_id stay."""
-    gone = near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of texts that share four fifths of their shingles the document with the smallest id.
+
+    Rows that share a doc_id stay or go together, rows without one stay, and texts without a word
+    are nobody's copy. All columns stay as they are; no documents give none.
+    """
+    gone = near_dup.near_duplicates(docs, NEAR_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    """Documents that hold no passage of `benchmark`.
+
+    Null and empty texts hold none; rows are judged one by one; all columns stay as they are,
+    whatever their names; no documents, or no benchmark, leave nothing out.
+    """
+    found = decontaminate.decontaminate(_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=False)
+    return found.where(~F.col("contaminated")).select("__row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed; a null text is one piece of one token, repeated rows are
+    packed as often as they occur, other columns are left out, and no documents give no pieces."""
     return packing.pack(docs, public_tokenizers.path(packing.TOKENIZER))
 
 
