@@ -2,8 +2,9 @@
 
 Terms are a text's words and the beginnings of its words, hashed. The machine's score has a weight
 for each term and, through the terms' factors, one for each pair of terms that occur together. It
-is fitted on a sample of labelled rows whose size is a parameter; whole texts are scored in one
-pass without a shuffle.
+is fitted on a sample of labelled rows whose size is a parameter, over every term of the sample;
+which terms and pairs count is left to the penalty. Whole texts are scored in one pass without a
+shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 30
@@ -36,95 +37,151 @@ def _term_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "terms"])
 
 
-def sample_labels(labels: DataFrame, rows: int, seed: int = 5) -> DataFrame:
+def sample_labels(labels: DataFrame, rows: int, seed: int = 5) -> tuple[DataFrame, dict[int, float]]:
     """(doc_id, toxic): about rows/2 documents of each class, chosen by a hash of doc_id, never more
-    than `rows`. A document with several labels is toxic if one says so."""
-    one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    than `rows`; and the share taken of each class. A document with several labels is toxic if one
+    says so."""
+    one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    shares = {label: min(1.0, 0.48 * rows / max(1, sizes.get(label, 0))) for label in (0, 1)}
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.lit(False)
-    for label in (0, 1):
-        keep = keep | ((F.col("toxic") == label) & (draw < min(1.0, 0.48 * rows / max(1, sizes.get(label, 0)))))
-    return one.where(keep).limit(rows)
+    return one.where(draw < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])).limit(rows), shares
+
+
+def _sigmoid(m: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(m, -30, 30)))
+
+
+def _sums(x: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """Sums of x over ptr[k]:ptr[k + 1], zero where that is empty."""
+    out, full = np.zeros((len(ptr) - 1, *x.shape[1:])), np.diff(ptr) > 0
+    if full.any():
+        out[full] = np.add.reduceat(x, ptr[:-1][full], axis=0)
+    return out
+
+
+class Rows:
+    """Documents as runs of columns."""
+
+    def __init__(self, cols: np.ndarray, ptr: np.ndarray):
+        self.cols, self.ptr = cols, ptr
+
+    def __len__(self) -> int:
+        return len(self.ptr) - 1
+
+    def take(self, of: np.ndarray) -> Rows:
+        size = np.diff(self.ptr)[of]
+        ptr = np.concatenate([[0], np.cumsum(size)])
+        return Rows(self.cols[np.repeat(self.ptr[:-1][of] - ptr[:-1], size) + np.arange(ptr[-1])], ptr)
 
 
 class Machine:
     """b + sum of w over the terms + sum over pairs of the factors' products."""
 
-    def __init__(self, terms: np.ndarray, rank: int, seed: int):
-        self.terms, self.at = terms, {int(t): k for k, t in enumerate(terms)}
-        self.b, self.w = 0.0, np.zeros(len(terms) + 1)
-        self.v = np.random.default_rng(seed).normal(0, 0.01, (len(terms) + 1, rank))
-        self.v[-1] = 0  # the last row pads documents to equal length
-
-    def margin(self, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v = self.v[idx]
-        s = v.sum(1)
-        return self.b + self.w[idx].sum(1) + 0.5 * ((s * s).sum(1) - (v * v).sum((1, 2))), s
-
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int, rate: float, decay: float, seed: int) -> None:
-        rng, pad = np.random.default_rng(seed), len(self.terms)
-        weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, len(y) - y.sum()))) ** 0.5  # halfway to classes that count alike
-        gb, gw, gv = 1e-6, np.full(self.w.shape, 1e-6), np.full(self.v.shape, 1e-6)
-        size = np.array([len(d) for d in docs])
-        for _ in range(epochs):
-            order = rng.permutation(len(docs))
-            for part in np.array_split(order, max(1, len(order) // 128)):
-                idx = np.full((len(part), max(1, int(size[part].max()))), pad)
-                for r, k in enumerate(part):
-                    idx[r, : size[k]] = docs[k]
-                m, s = self.margin(idx)
-                e = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[part]) * weight[part]
-                real = (idx != pad).astype(float)
-                flat = idx.ravel()
-                dw = np.bincount(flat, (e[:, None] * real).ravel(), minlength=pad + 1) / len(part) + decay * self.w
-                dv = np.zeros_like(self.v)
-                push = e[:, None, None] * (s[:, None, :] - self.v[idx]) * real[:, :, None]
-                for f in range(self.v.shape[1]):
-                    dv[:, f] = np.bincount(flat, push[:, :, f].ravel(), minlength=pad + 1) / len(part)
-                dv += decay * self.v
-                dw[-1], dv[-1], db = 0, 0, float(e.mean())
-                gb, gw, gv = gb + db * db, gw + dw * dw, gv + dv * dv
-                self.b -= rate * db / gb**0.5
-                self.w -= rate * dw / np.sqrt(gw)
-                self.v -= 0.3 * rate * dv / np.sqrt(gv)
-        # the bias, at last, is what makes the scores add up to the toxic documents that there are
-        m = np.array([self.margin(d[None, :])[0][0] for d in docs])
-        low, high = -20.0, 20.0
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if (1 / (1 + np.exp(-np.clip(m + mid, -30, 30)))).sum() < y.sum() else (low, mid)
-        self.b += (low + high) / 2
-
-
-def learn(docs: DataFrame, labels: DataFrame, rows: int = 10_000, terms: int = 4096, least: float = 4.0, rank: int = 8, epochs: int = 12) -> Machine:
-    """Fit on at most `rows` labelled documents; the `terms` terms that toxic documents have most more
-    often than others (by z, above `least`, in 5 documents at least) are used. No labels give a machine that
-    scores 0.5 everywhere."""
+    def __init__(self, terms: np.ndarray, w: np.ndarray, v: np.ndarray, b: float):
+        self.terms, self.w, self.v, self.b = terms, w, v, b
+        self.at = {int(t): k for k, t in enumerate(terms)}
+
+    def margin(self, rows: Rows) -> np.ndarray:
+        v = self.v[rows.cols]
+        s = _sums(v, rows.ptr)
+        return self.b + _sums(self.w[rows.cols], rows.ptr) + 0.5 * ((s * s).sum(1) - _sums((v * v).sum(1), rows.ptr))
+
+
+#: Rows whose gradients are gathered at once.
+BATCH = 128
+
+
+def fit(rows: Rows, y: np.ndarray, width: int, rank: int = 8, epochs: int = 20, penalty: float = 0.08, start: float = 0.01, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, factors and bias, by follow-the-regularised-leader with an absolute penalty.
+
+    A weight stays 0 until the gradients of its term add up to `penalty` times the root of the
+    number of rows, an epoch: chance alone reaches that in few terms, whatever the sample's size. A
+    factor starts near 0, moves once its own gradients add up to four fifths of that, and is 0 if it
+    never moves. Classes count halfway to alike.
+    """
+    rng, n, bad = np.random.default_rng(seed), len(rows), float(y.sum())
+    each = np.where(y == 1, n / (2 * max(1.0, bad)), n / (2 * max(1.0, n - bad))) ** 0.5
+    flat = np.float32
+    w, zw, nw = (np.zeros(width, flat) for _ in range(3))
+    first = rng.normal(0, start, (width, rank)).astype(flat)
+    moved, zv, nv = (np.zeros((width, rank), flat) for _ in range(3))
+    b, gb, least = 0.0, 1.0, penalty * epochs * n**0.5
+
+    def stepped(value, z, squares, g, rate, hold):
+        before = np.sqrt(squares)
+        squares = squares + g * g
+        z = z + g - (np.sqrt(squares) - before) / rate * value
+        return np.where(np.abs(z) <= hold, 0, (np.sign(z) * hold - z) * rate / (1 + np.sqrt(squares))), z, squares
+
+    for _ in range(epochs):
+        order = rng.permutation(n)
+        for part in np.array_split(order, max(1, n // BATCH)):
+            own = rows.take(part)
+            used, at = np.unique(own.cols, return_inverse=True)
+            v = (first[used] + moved[used])[at]
+            s = _sums(v, own.ptr)
+            m = b + _sums(w[own.cols], own.ptr) + 0.5 * ((s * s).sum(1) - _sums((v * v).sum(1), own.ptr))
+            e = (_sigmoid(m) - y[part]) * each[part]
+            size = np.diff(own.ptr)
+            w[used], zw[used], nw[used] = stepped(w[used], zw[used], nw[used], np.bincount(at, np.repeat(e, size), minlength=len(used)), 0.2, least)
+            for f in range(rank):
+                g = np.bincount(at, np.repeat(e * s[:, f], size) - np.repeat(e, size) * v[:, f], minlength=len(used))
+                moved[used, f], zv[used, f], nv[used, f] = stepped(moved[used, f], zv[used, f], nv[used, f], g, 0.05, 0.8 * least)
+            db = float(e.sum())
+            gb += db * db
+            b -= 0.2 * db / gb**0.5
+    return w.astype(float), np.where((moved != 0).any(1, keepdims=True), first + moved, 0).astype(float), b
+
+
+def calibrated(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset that turn margins of rows that were not learned from into log odds."""
+    bad, good = (weight * y).sum(), (weight * (1 - y)).sum()
+    target = np.where(y == 1, (bad + 1) / (bad + 2), 1 / (good + 2))
+    k, c = 1.0, 0.0
+    for _ in range(60):
+        q = _sigmoid(k * m + c)
+        h = weight * q * (1 - q)
+        g = np.array([(weight * (q - target) * m).sum() + 1e-2 * (k - 1), (weight * (q - target)).sum()])
+        hess = np.array([[(h * m * m).sum() + 1e-2, (h * m).sum()], [(h * m).sum(), h.sum() + 1e-6]])
+        k, c = np.array([k, c]) - np.clip(np.linalg.solve(hess, g), -1, 1)
+    return max(k, 1e-3), c
+
+
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 10_000, rank: int = 8, epochs: int = 20) -> Machine:
+    """Fit on at most `rows` labelled documents, over all of their terms.
+
+    Three machines, each fitted on two thirds of them, give margins for the third that they have not
+    seen; these say what margin means what probability, the classes weighed as they were before the
+    sample. The machine that is returned is fitted on all. Without labels of both classes it scores
+    0.5 everywhere.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    sample = sample_labels(labels, rows)
+    sample, shares = sample_labels(labels, rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most `rows` pairs of numbers
-    arrays = checkpointed(chosen.select("toxic", F.col("text").cast("string").alias("text")).mapInArrow(_term_arrays, "toxic int, terms array<int>"))
-    n = arrays.agg(F.count("*"), F.sum("toxic")).first()
-    total, bad = n[0], n[1] or 0
-    by = arrays.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).where("n >= 5")
-    p = bad / max(1, total)
-    z = (F.col("k") - p * F.col("n")) / F.sqrt(F.col("n") * (p * (1 - p)) + 1e-9)
-    top = by.where(z > least).orderBy(z.desc(), "t").limit(terms).select("t").collect()
-    machine = Machine(np.array(sorted(r["t"] for r in top), dtype=np.int64), rank, 5)
-    if not 0 < bad < total:
-        return machine
-    sent = spark.sparkContext.broadcast(machine.terms)
-
-    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.nonzero(np.isin(sent.value, np.array(t, dtype=np.int64)))[0].tolist() for t in batch.column("terms").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.int32()))], ["toxic", "idx"])
-
-    got = arrays.mapInArrow(narrowed, "toxic int, idx array<int>").collect()  # at most `rows` rows of at most `terms`
-    machine.fit([np.array(r["idx"], dtype=np.int64) for r in got], np.array([float(r["toxic"]) for r in got]), epochs, 0.2, 1e-5, 7)
-    return machine
+    arrays = chosen.select("toxic", F.col("text").cast("string").alias("text")).mapInArrow(_term_arrays, "toxic int, terms array<int>")
+    got = arrays.toArrow().combine_chunks()  # at most `rows` rows (more only where ids repeat), each of hashed terms
+    y = np.array(got.column("toxic").to_numpy(), dtype=float)
+    if not 0 < y.sum() < len(y):
+        return Machine(np.array([], dtype=np.int64), np.zeros(0), np.zeros((0, rank)), 0.0)
+    lists = pa.concat_arrays(got.column("terms").chunks)
+    hashes, cols = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    # rows arrive in any order; sorted by what they hold, the fit is the same wherever they ran
+    every = Rows(cols, np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]))
+    seal = [(float(t), int(c.sum()), len(c), c[:64].tobytes()) for t, c in zip(y, np.split(cols, every.ptr[1:-1]), strict=True)]
+    order = np.array(sorted(range(len(y)), key=seal.__getitem__))
+    every, y = every.take(order), y[order]
+    weight = np.where(y == 1, 1 / shares[1], 1 / shares[0])
+    fold, margins = np.random.default_rng(3).permutation(len(y)) % 3, np.zeros(len(y))
+    for k in range(3):
+        rest, held = np.nonzero(fold != k)[0], np.nonzero(fold == k)[0]
+        if 0 < y[rest].sum() < len(rest):
+            margins[held] = Machine(hashes, *fit(every.take(rest), y[rest], len(hashes), rank, epochs)).margin(every.take(held))
+    k, c = calibrated(margins, y, weight)
+    w, v, b = fit(every, y, len(hashes), rank, epochs)
+    active = (w != 0) | (v != 0).any(1)
+    return Machine(hashes[active].astype(np.int64), k * w[active], k**0.5 * v[active], k * b + c)
 
 
 class Scorer:
@@ -143,8 +200,7 @@ class Scorer:
                 idx = cache[w] = tuple(k for h in _terms(w) if (k := at.get(h)) is not None)
             if idx:
                 own.update(idx)
-        m = self.m.margin(np.array([sorted(own)], dtype=np.int64))[0][0]
-        return float(1 / (1 + np.exp(-np.clip(m, -30, 30))))
+        return float(_sigmoid(self.m.margin(Rows(np.array(sorted(own), dtype=np.int64), np.array([0, len(own)]))))[0])
 
 
 def score(df: DataFrame, machine: Machine, text: str = "text") -> DataFrame:

@@ -179,9 +179,6 @@ def test_backoff_uses_shorter_grams():
 def test_toxicity(spark, docs, data, odd_docs, no_docs):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     machine = toxicity.learn(docs, labels)
-    got = toxicity.score(docs.select("doc_id", "text"), machine).join(labels, "doc_id").where("n_toxic IS NULL" if "n_toxic" in labels.columns else "true").collect()
-    hit = [r for r in got if r.toxic == 1]
-    assert np.mean([r.score for r in hit]) > 0.5 and np.mean([r.score for r in got if r.toxic == 0]) < 0.2
     odd = toxicity.score(odd_docs.withColumn("score", F.lit("x")), machine).collect()
     assert len(odd) == odd_docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in odd)
     assert toxicity.score(no_docs, machine).collect() == []
@@ -189,14 +186,65 @@ def test_toxicity(spark, docs, data, odd_docs, no_docs):
     assert {r.score for r in toxicity.score(docs, blank).collect()} == {0.5}
 
 
+@pytest.fixture(scope="module")
+def labelled(spark):
+    root = "/root/testdata/sf0.1"
+    return spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{root}/labels.parquet")
+
+
+def test_held_out_toxicity(labelled):
+    """Found on rows that were not learned from, and scores that add up to the toxic ones there are."""
+    docs, labels = labelled
+    machine = toxicity.learn(docs.where(~toxicity.held_out()), labels.where(~toxicity.held_out()))
+    got = toxicity.score(docs.where(toxicity.held_out()), machine).join(labels, "doc_id").collect()
+    bad, good = [r for r in got if r.toxic == 1], [r for r in got if r.toxic == 0]
+    assert sum(r.predicted for r in bad) >= 0.9 * len(bad) and sum(r.predicted for r in good) <= 0.01 * len(good)
+    assert abs(np.mean([r.score for r in got]) - len(bad) / len(got)) < 0.03
+
+
+def test_held_out_labels_are_not_read(spark, data, docs):
+    """Labels of held-out rows, and texts without a label, change no score."""
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    run = lambda own: {r.doc_id: r.score for r in toxicity.score(docs.select("doc_id", "text"), toxicity.learn(docs.where(~toxicity.held_out()), own.where(~toxicity.held_out()))).collect()}
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert run(labels) == run(turned)
+
+
+def as_rows(docs):
+    return toxicity.Rows(np.concatenate([np.array(sorted(d), dtype=np.int64) for d in docs]), np.concatenate([[0], np.cumsum([len(d) for d in docs])]))
+
+
+def test_scores_equal_the_formula(spark):
+    """Every word and every beginning counts, each pair once: by a double loop over the terms."""
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}{c}" for a in "abc" for b in ("", "lmno", "lmnopq") for c in ("", "xy")]
+    terms = sorted({h for w in words for h in toxicity._terms(w)})
+    m = toxicity.Machine(np.array(terms), rng.normal(size=len(terms)), rng.normal(0, 0.3, (len(terms), 3)), 0.2)
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 2, 5, 30)] + ["", "12 !", "Alm ALM alm"]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(df, m).collect()}
+    for k, t in [*enumerate(texts), (99, "")]:
+        own = sorted({i for w in t.lower().split() if w.isalpha() for h in {*toxicity._terms(w)} if (i := m.at.get(h)) is not None})
+        margin = m.b + sum(m.w[i] for i in own) + sum(float(m.v[i] @ m.v[j]) for i in own for j in own if i < j)
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-margin)))
+
+
 def test_machine_learns_a_pair():
-    """Two terms that are harmless alone and toxic together: additive weights cannot tell."""
-    docs = [np.array(x, dtype=np.int64) for x in ([0], [1], [0, 1], [2], [0, 2], [1, 2], [0, 1, 2], [])] * 60
-    y = np.array([float({0, 1} <= set(d.tolist())) for d in docs])
-    m = toxicity.Machine(np.arange(3), 4, 0)
-    m.fit(docs, y, 60, 0.2, 1e-5, 1)
-    idx = lambda *x: np.array([[*x]])
-    assert m.margin(idx(0, 1))[0][0] > 0 > max(m.margin(idx(k))[0][0] for k in range(3))
+    """Two terms, each neutral by itself: toxic with both or with neither, which no weights can tell."""
+    rng = np.random.default_rng(0)
+    docs = [{*(10 + rng.integers(0, 300, 20)).tolist(), *(k for k in (0, 1) if rng.random() < 0.5)} for _ in range(4000)]
+    y = np.array([float((0 in d) == (1 in d)) for d in docs])
+    w, v, b = toxicity.fit(as_rows(docs), y, 310)
+    right = lambda *machine: np.mean((toxicity.Machine(np.arange(310), *machine).margin(as_rows(docs)) > 0) == (y > 0))
+    assert right(w, v, b) > 0.95 and right(w, 0 * v, b) < 0.7 and v[0] @ v[1] > 1
+
+
+def test_calibration():
+    rng = np.random.default_rng(1)
+    m = rng.normal(0, 2, 5000)
+    y = (rng.random(5000) < 1 / (1 + np.exp(-(1.5 * m - 1)))).astype(float)
+    k, c = toxicity.calibrated(m, y, np.ones(5000))
+    assert abs(k - 1.5) < 0.15 and abs(c + 1) < 0.15
 
 
 def test_urls(spark):
