@@ -2,8 +2,8 @@
 the longest character n-grams that are known.
 
 The tables are learned from a sample of labelled documents of a stated size (about `docs` of each
-language) and hold a stated number of words and n-grams; they are broadcast, and every whole text
-is scored against them in one pass without a shuffle.
+language) and hold every word and n-gram of the sample, words by a 64-bit hash; they are broadcast,
+and every whole text is scored against them in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,15 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import checkpointed, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
 ALPHA = 0.1
 CACHE = 200_000
+#: Words that are looked up together.
+STEP = 20_000
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,63 +37,66 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grams(word: Column) -> Column:
-    """Distinct places' n-grams of a word between markers."""
+    """The n-grams at each place of a word between markers."""
     marked = F.concat(F.lit("^"), word, F.lit("$"))
-    each = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(marked, i, F.lit(n))) for n in ORDERS]
-    return F.filter(F.concat(*each), lambda g: g != "")
 
+    def of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1)))
+        return F.transform(places, lambda i: F.substring(marked, i, F.lit(n)))
 
-def learn(labelled: DataFrame, docs: int = 3000, words: int = 150_000, grams: int = 100_000) -> dict:
+    # a word of one letter has no 4-gram
+    return F.concat(*(F.when(F.length(marked) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in ORDERS))
+
+
+def _hash(word: str) -> int:
+    """What F.xxhash64 gives, as an unsigned number."""
+    return xxhash.xxh64_intdigest(word, 42)
+
+
+def learn(labelled: DataFrame, docs: int = 3000) -> dict:
     """Tables from labelled rows (doc_id, lang, text): about `docs` documents of each language, chosen
-    by a hash of doc_id, and of their counts the `words` and `grams` most frequent ones."""
+    by a hash of doc_id, and all of their words and n-grams. Rows without lang or text teach nothing."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     small_batches(labelled.sparkSession)
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
-        return {"langs": [], "words": {}, "rows": np.zeros((0, 0), np.float32), "grams": {}}
+        return {"langs": [], "words": np.array([], np.uint64), "rows": np.zeros((0, 0), np.float32), "grams": {}}
     share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, docs / n)))])
     draw = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
-    counts = sample.mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
-    try:
-        top = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(words)
-        known = counts.join(top.select("word"), "word").select("word", "lang", "n").toArrow()  # at most `words` times the languages
-        by_gram = counts.select("lang", "n", F.explode(_grams(F.col("word"))).alias("gram")).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-        top_grams = by_gram.groupBy("gram").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "gram").limit(grams)
-        parts = by_gram.join(top_grams.select("gram"), "gram").select("gram", "lang", "n").toArrow()  # at most `grams` times the languages
-    finally:
-        counts.unpersist()
+    counts = checkpointed(sample.mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     langs = sorted(sizes)
-    at = {lang: k for k, lang in enumerate(langs)}
-
-    def table(rows: pa.Table) -> tuple[dict[str, int], np.ndarray]:
-        coded = rows.column(0).combine_chunks().dictionary_encode()
-        own = coded.dictionary.to_pylist()
-        m = np.zeros((len(own), len(langs)))
-        m[coded.indices.to_numpy(), [at[x] for x in rows.column(1).to_pylist()]] = rows.column(2).to_numpy()
-        return {w: k for k, w in enumerate(own)}, m
-
-    ids, m = table(known)
-    logs = np.log((m + ALPHA) / (m.sum(0) + ALPHA * max(1, len(ids)))) if len(ids) else m
-    gids, g = table(parts)
-    order = np.array([len(k) for k in gids])
-    glogs = np.zeros_like(g)
+    code = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
+    known = counts.select(F.xxhash64("word").alias("key"), code.alias("at"), "n").toArrow()  # the sample's words
+    by_gram = counts.select("lang", "n", F.explode(_grams(F.col("word"))).alias("key")).groupBy("key", "lang").agg(F.sum("n").alias("n"))
+    parts = by_gram.select("key", code.alias("at"), "n").toArrow()  # the sample's n-grams
+
+    def table(keys: np.ndarray, at: np.ndarray, rows: pa.Table) -> np.ndarray:
+        m = np.zeros((len(keys), len(langs)))
+        np.add.at(m, (at, rows.column("at").to_numpy()), rows.column("n").to_numpy())
+        return m
+
+    words, at = np.unique(known.column("key").to_numpy().view(np.uint64), return_inverse=True)
+    m = table(words, at, known)
+    logs = np.log((m + ALPHA) / (m.sum(0) + ALPHA * max(1, len(words))))
+    coded = parts.column("key").combine_chunks().dictionary_encode()
+    grams = coded.dictionary.to_pylist()
+    g = table(grams, coded.indices.to_numpy(), parts)
+    order, glogs = np.array([len(k) for k in grams]), np.zeros_like(g)
     for n in ORDERS:
         if (own := order == n).any():
             glogs[own] = np.log((g[own] + ALPHA) / (g[own].sum(0) + ALPHA * own.sum()))
-    return {"langs": langs, "words": ids, "rows": logs.astype(np.float32), "grams": gids, "gram_rows": glogs.astype(np.float32)}
+    return {"langs": langs, "words": words, "rows": logs.astype(np.float32), "grams": {k: i for i, k in enumerate(grams)}, "gram_rows": glogs.astype(np.float32)}
 
 
 class Scorer:
-    """Scores whole texts; unseen words' scores are kept in a cache of bounded size."""
+    """Scores whole texts; the rows of words that came by are kept in a cache of bounded size."""
 
     def __init__(self, model: dict):
         self.langs, self.grams, self.gram_rows = model["langs"], model["grams"], model.get("gram_rows")
-        self.n = len(model["words"])
-        self.ids = dict(model["words"])
-        self.rows = np.vstack([model["rows"], np.zeros((CACHE, len(self.langs)), np.float32)]) if self.langs else None
-        self.base, self.used = model["words"], self.n
+        self.words, self.known = model["words"], model["rows"]
+        self.ids: dict[str, int] = {}
+        self.rows = np.zeros((CACHE + STEP, len(self.langs)), np.float32)
 
     def unseen(self, word: str) -> np.ndarray:
         marked = f"^{word}$"
@@ -100,27 +106,34 @@ class Scorer:
                 return self.gram_rows[own].mean(0)
         return np.zeros(len(self.langs), np.float32)
 
+    def fill(self, new: list[str]) -> None:
+        """Rows for words that the cache lacks: known ones from the table, others by their n-grams."""
+        first, hashes = len(self.ids), np.array([_hash(w) for w in new], dtype=np.uint64)
+        at = np.searchsorted(self.words, hashes)
+        found = np.append(self.words, np.uint64(0))[at] == hashes
+        found &= at < len(self.words)
+        self.rows[first : first + len(new)][found] = self.known[at[found]]
+        for k in np.nonzero(~found)[0]:
+            self.rows[first + k] = self.unseen(new[k])
+        self.ids.update((w, first + k) for k, w in enumerate(new))
+
     def one(self, text: str | None) -> tuple[str, float]:
+        """The likeliest language of all words together, and its probability for a word of average
+        evidence: that of all words would be 1 for any text of some length, however mixed."""
         if not text or not self.langs or not any(c.isalpha() for c in text):
             return "und", 0.0
         words, total = WORD.findall(text.lower()), np.zeros(len(self.langs))
-        for i in range(0, len(words), 20_000):
-            if self.used + 20_000 > self.n + CACHE:
-                self.ids, self.used = dict(self.base), self.n
-            part, ids = words[i : i + 20_000], self.ids
+        for i in range(0, len(words), STEP):
+            if len(self.ids) > CACHE:
+                self.ids = {}
+            part, ids = words[i : i + STEP], self.ids
             at = [ids.get(w) for w in part]
             if None in at:
-                for k, v in enumerate(at):
-                    if v is None:
-                        w = part[k]
-                        if (v := ids.get(w)) is None:
-                            v = ids[w] = self.used
-                            self.rows[v] = self.unseen(w)
-                            self.used += 1
-                        at[k] = v
+                self.fill(list(dict.fromkeys(w for w, k in zip(part, at, strict=True) if k is None)))
+                at = [ids[w] for w in part]
             total += self.rows[at].sum(0, dtype=np.float64)
         best = int(total.argmax())
-        return self.langs[best], 1.0 / float(np.exp(np.maximum(total - total[best], -700)).sum())
+        return self.langs[best], 1.0 / float(np.exp((total - total[best]) / max(1, len(words))).sum())
 
 
 def predict(df: DataFrame, model: dict, text: str = "text") -> DataFrame:

@@ -170,12 +170,57 @@ def test_language(spark, docs, odd_docs, no_docs):
 
 
 def test_backoff_uses_shorter_grams():
-    model = {"langs": ["a", "b"], "words": {"known": 0}, "rows": np.log(np.array([[0.9, 0.1]])), "grams": {"^xyz": 0, "q": 1}, "gram_rows": np.log(np.array([[0.2, 0.8], [0.7, 0.3]]))}
+    words = np.array([language._hash("known")], dtype=np.uint64)
+    model = {"langs": ["a", "b"], "words": words, "rows": np.log(np.array([[0.9, 0.1]])), "grams": {"^xyz": 0, "q": 1}, "gram_rows": np.log(np.array([[0.2, 0.8], [0.7, 0.3]]))}
     s = language.Scorer(model)
     assert s.one("known")[0] == "a" and s.one("xyz")[0] == "b" and s.one("qqq")[0] == "a"
     assert s.one("!!! 12") == ("und", 0.0)
 
 
+def test_language_equals_brute_force(spark):
+    """Tables and scores from their definition, in plain Python; rows without lang or text teach nothing."""
+    rng = np.random.default_rng(8)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(1, 7)))
+    rows = [(k, ("x", "y", "z")[k % 3], " ".join(word(("abcde", "cdefg", "efgéß")[k % 3]) for _ in range(12))) for k in range(60)]
+    rows += [(100, None, "abc abc"), (101, "x", None), (102, "x", ""), (7, "y", "Cd. CD cd7cd")]
+    model = language.learn(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"))
+    counts = {"x": collections.Counter(), "y": collections.Counter(), "z": collections.Counter()}
+    for _, lang, text in rows:
+        if lang and text:
+            counts[lang].update(w for w in language.WORD.findall(text.lower()))
+    grams = {lang: collections.Counter() for lang in counts}
+    for lang, c in counts.items():
+        for w, n in c.items():
+            m = f"^{w}$"
+            for size in language.ORDERS:
+                for i in range(len(m) - size + 1):
+                    grams[lang][m[i : i + size]] += n
+    known = {w for c in counts.values() for w in c}
+
+    def logs(of, universe, key):
+        total = {lang: sum(n for k, n in of[lang].items() if k in universe) for lang in of}
+        return np.array([math.log((of[lang][key] + 0.1) / (total[lang] + 0.1 * len(universe))) for lang in sorted(of)])
+
+    assert len(model["words"]) == len(known) and set(model["grams"]) == {g for c in grams.values() for g in c}
+    texts = [" ".join(word("abcdefgéßq") for _ in range(n)) for n in (1, 2, 5, 30, 30, 30)] + ["abc Abc", "q", "é. ß!", "ccc 5 ddd_eee"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    for r in language.predict(df.withColumn("copy", F.col("text")), model).collect():
+        words, sums = language.WORD.findall(r.copy.lower()), np.zeros(3)
+        for w in words:
+            if w in known:
+                sums += logs(counts, known, w)
+                continue
+            m = f"^{w}$"
+            for size in language.ORDERS:
+                universe = {g for c in grams.values() for g in c if len(g) == size}
+                own = [m[i : i + size] for i in range(len(m) - size + 1) if m[i : i + size] in universe]
+                if own:
+                    sums += sum(logs(grams, universe, g) for g in own) / len(own)
+                    break
+        mean = np.exp((sums - sums.max()) / max(1, len(words)))
+        assert r.lang_pred == "xyz"[int(sums.argmax())] and r.score == pytest.approx(1 / mean.sum(), rel=1e-4)
+
+
 def test_toxicity(spark, docs, data, odd_docs, no_docs):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     machine = toxicity.learn(docs, labels)
