@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, language, near_dup, packing, quality
 
-#: A document whose language is less likely than this is rejected, as is one without letters.
-MIN_SCORE = 0.5
+#: A document whose average word says less than this for its language is rejected, as is one without letters.
+MIN_SCORE = 0.4
 #: Shared shingles, in percent of those of either, that make two documents near copies.
 NEAR_PERCENT = 80
 
