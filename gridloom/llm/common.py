@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
     if (own := spark.sparkContext.getCheckpointDir()) is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="gridloom-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{local}")
@@ -75,6 +77,23 @@ class Scratch:
         self._delete(self.root)
 
 
+#: Bits of the filter below, in rows of 64.
+CELLS = 18
+
+
+def bitmap(keys: DataFrame, h: str) -> DataFrame:
+    """(cell, bits): a filter of the 64-bit hashes in column h, of 2**CELLS rows at most, whatever it holds."""
+    bit = F.expr(f"shiftleft(1L, CAST({h} & 63 AS INT))")
+    return keys.select(F.shiftrightunsigned(h, 64 - CELLS).alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
+
+
+def marked(df: DataFrame, h: str, filled: DataFrame, name: str) -> DataFrame:
+    """df with boolean `name`: false only if the filter has not seen the hash in column h."""
+    cells = filled.select(F.col("cell").alias("__cell"), F.col("bits").alias("__bits"))
+    joined = df.join(F.broadcast(cells), F.shiftrightunsigned(h, 64 - CELLS) == F.col("__cell"), "left")  # 2**CELLS rows at most
+    return joined.withColumn(name, F.coalesce(F.expr(f"shiftrightunsigned(__bits, CAST({h} & 63 AS INT)) & 1 = 1"), F.lit(False))).drop("__cell", "__bits")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of few rows: texts can be long, and a batch is held whole."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

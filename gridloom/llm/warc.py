@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import Scratch, checkpointed, shared_dir, small_batches
+from .common import Scratch, bitmap, checkpointed, marked, small_batches
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, refers_to string, "
@@ -48,11 +48,15 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def member(record: bytes) -> bytes:
-    """A gzip member whose extra field `sl` states its whole length and that of the record."""
+def member(record: bytes, most: int = (1 << 32) - 1) -> bytes:
+    """A gzip member whose extra field `sl` states its whole length and that of the record; one that
+    is too long for the field goes without, and a reader has to inflate it to pass it."""
     packer = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = packer.compress(record) + packer.flush()
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, len(body) + 32, len(record))
+    if max(len(body) + 32, len(record)) > most:
+        head = b"\x1f\x8b\x08\0\0\0\0\0\0\xff"
+    else:
+        head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, len(body) + 32, len(record))
     return head + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
@@ -129,76 +133,90 @@ class Span(InputPartition):
     parts: list
 
 
+class Damaged(ValueError):
+    """A record that is cut or is none."""
+
+
 class Members:
-    """Records of a file from one byte to another: headers first, the rest only if asked for."""
+    """Records of a file from one byte to another: headers first, the rest only if asked for. A record
+    that the file ends in, or bytes that are no record, raise Damaged."""
 
-    def __init__(self, stream, start: int, end: int):
-        self.stream, self.at, self.end = stream, start, end
+    def __init__(self, stream, start: int, end: int, name: str = "the file"):
+        self.stream, self.at, self.end, self.name = stream, start, end, name
+        self.size = stream.seek(0, io.SEEK_END)
 
     def __iter__(self):
         while self.at < self.end:
             self.stream.seek(self.at)
             head = self.stream.read(22)
-            if len(head) < 2:
-                return
-            if head[:2] == b"\x1f\x8b":
+            if head and not head.strip(b"\r\n"):
+                self.at += len(head)
+            elif head[:2] == b"\x1f\x8b":
                 yield from self._gzip(head)
-            else:
+            elif head[:5] == b"WARC/":
                 yield from self._plain()
+            else:
+                raise self.damaged(self.at)
+
+    def damaged(self, place: int) -> Damaged:
+        return Damaged(f"damaged record at byte {place} of {self.name}")
 
     def _gzip(self, head: bytes):
-        start, known = self.at, None
-        if head[3] & 4 and head[12:14] == b"sl":
+        start, known, took = self.at, None, 0
+        if len(head) == 22 and head[3] & 4 and head[12:14] == b"sl":
             known = struct.unpack_from("<I", head, 16)[0]
+            if start + known > self.size:
+                raise self.damaged(start)
         inflate, seen = zlib.decompressobj(31), bytearray()
         self.stream.seek(start)
 
-        def more(size: int = 1 << 14) -> bool:
-            raw = inflate.unconsumed_tail or self.stream.read(min(size, known - self.read) if known else size)
-            if not inflate.unconsumed_tail:
-                self.read += len(raw)
-            if not raw:
-                return False
-            seen.extend(inflate.decompress(raw, 1 << 16))
+        def more(size: int, keep: bool = True) -> bool:
+            """Inflates a little further; false at the member's end."""
+            nonlocal took
+            if not (raw := inflate.unconsumed_tail):
+                raw = self.stream.read(min(size, known - took) if known else size)
+                took += len(raw)
+            try:
+                data = inflate.decompress(raw, 1 << 20)
+            except zlib.error as e:
+                raise self.damaged(start) from e
+            if not raw and not data and not inflate.eof:
+                raise self.damaged(start)
+            if keep:
+                seen.extend(data)
             return not inflate.eof
 
-        self.read = 0
         while b"\r\n\r\n" not in seen and more(4096):
             pass
+        if b"\r\n\r\n" not in seen:
+            raise self.damaged(start)
 
         def rest() -> bytes:
-            while more(1 << 20):
-                pass
+            while not inflate.eof:
+                more(1 << 20)
             return bytes(seen)
 
         yield start, bytes(seen), rest
-        if known:
-            self.at = start + known
-            return
-        keep = len(inflate.unused_data)
-        while not inflate.eof:  # the member's length is not stated: inflate it, keeping nothing
-            raw = inflate.unconsumed_tail or self.stream.read(1 << 20)
-            if not raw:
-                break
-            inflate.decompress(raw, 1 << 20)
-        keep = len(inflate.unused_data)
-        self.at = self.stream.tell() - keep
+        while not known and not inflate.eof:  # the member's length is not stated: inflate it, keeping nothing
+            more(1 << 20, False)
+        self.at = start + (known or took - len(inflate.unused_data))
 
     def _plain(self):
         start, seen = self.at, bytearray()
         self.stream.seek(start)
         while b"\r\n\r\n" not in seen and (raw := self.stream.read(4096)):
             seen.extend(raw)
-        if b"\r\n\r\n" not in seen:
-            self.at = self.end
-            return
-        total = seen.index(b"\r\n\r\n") + 4 + int(headers(bytes(seen)).get("content-length", 0)) + 4
+        if b"\r\n\r\n" not in seen or not (length := headers(bytes(seen)).get("content-length", "")).isdigit():
+            raise self.damaged(start)
+        total = seen.index(b"\r\n\r\n") + 4 + int(length) + 4
+        if start + total > self.size:
+            raise self.damaged(start)
 
         def rest() -> bytes:
             self.stream.seek(start)
             return self.stream.read(total)
 
-        yield start, bytes(seen), rest
+        yield start, bytes(seen[:total]), rest
         self.at = start + total
 
 
@@ -235,11 +253,14 @@ class WarcReader(DataSourceReader):
         store, top = _store(self.path)
         found = store.get_file_info(fs.FileSelector(top, recursive=False))
         lists = [f.path for f in found if f.base_name.startswith("_manifest-")]
+        sizes = {f.base_name: f.size for f in found}
         parts: list[tuple[str, int, int]] = []
         if lists:
             for name in sorted(lists):
                 with store.open_input_stream(name) as s:
                     for f in json.loads(s.read()):
+                        if sizes.get(f["name"], -1) < f["bytes"]:
+                            raise Damaged(f"{top}/{f['name']} is cut or missing: its manifest states {f['bytes']} bytes")
                         cuts = [*f["splits"], f["bytes"]]
                         parts += [(f"{top}/{f['name']}", a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
         else:
@@ -255,7 +276,7 @@ class WarcReader(DataSourceReader):
 
     def _wanted(self, h: dict) -> bool:
         for name, kind, value in self.tests:
-            own = _bare(h.get(FIELDS[name]))
+            own = field(h, name)
             if (own not in value) if kind == "in" else ((own is None) != value):
                 return False
         return True
@@ -264,31 +285,38 @@ class WarcReader(DataSourceReader):
         store, _ = _store(self.path)
         for path, start, end in partition.parts:
             with store.open_input_file(path) as raw:
-                for place, seen, rest in Members(io.BufferedReader(raw, 1 << 20), start, end):
-                    if b"\r\n\r\n" not in seen or not self._wanted(h := headers(seen)):
+                members = Members(io.BufferedReader(raw, 1 << 20), start, end, path)
+                for place, seen, rest in members:
+                    if not self._wanted(h := headers(seen)):
                         continue
-                    kind, payload, begin = h.get("warc-type"), None, seen.index(b"\r\n\r\n") + 4
-                    at = seen.find(b"\r\n\r\n", begin)
-                    full = None
+                    kind, payload, begin = field(h, "record_type"), None, seen.index(b"\r\n\r\n") + 4
+                    if not h.get("content-length", "").isdigit():
+                        raise members.damaged(place)
+                    stop = begin + int(h["content-length"])
+                    at, full = seen.find(b"\r\n\r\n", begin, stop), None
                     if at < 0 or (kind != "revisit" and (self.payload or self.verify)):
                         full = rest()
-                        at = full.find(b"\r\n\r\n", begin)
+                        if len(full) < stop:
+                            raise members.damaged(place)
+                        at = full.find(b"\r\n\r\n", begin, stop)
                     http = headers(b"x\r\n" + (full or seen)[begin : at + 4].partition(b"\r\n")[2]) if at >= 0 else {}
-                    length = int(http.get("content-length", -1))
-                    digest = _bare(h.get("warc-payload-digest"))
+                    length = int(http["content-length"]) if http.get("content-length", "").isdigit() else -1
+                    digest = field(h, "payload_digest")
                     if full is not None and kind != "revisit" and at >= 0:
-                        payload = full[at + 4 : begin + int(h["content-length"])]
+                        payload = full[at + 4 : stop]
                         if self.verify and (base32_sha1(payload) != digest or length not in (-1, len(payload))):
-                            raise ValueError(f"damaged record at byte {place} of {path}")
+                            raise members.damaged(place)
                         length = len(payload)
-                    yield (_bare(h.get("warc-record-id")), kind, h.get("warc-target-uri"), h.get("warc-date"), _bare(h.get("warc-refers-to")), digest, length if length >= 0 else None, path, place, payload if self.payload else None)
+                    own = [field(h, name) for name in FIELDS]
+                    yield (*own, length if length >= 0 else None, path, place, payload if self.payload else None)
 
 
-def _bare(value: str | None) -> str | None:
-    """An id without its angle brackets, a digest without its algorithm."""
-    if value is None:
-        return None
-    return value[1:-1] if value[:1] == "<" else value.removeprefix("sha1:")
+def field(h: dict, name: str) -> str | None:
+    """A header's value as rows have it: ids without angle brackets, digests without the algorithm."""
+    value = h.get(FIELDS[name])
+    if value is not None and name in ("record_id", "refers_to"):
+        return value[1:-1] if value[:1] == "<" and value[-1:] == ">" else value
+    return value.removeprefix("sha1:") if value is not None and name == "payload_digest" else value
 
 
 class WarcSource(DataSource):
@@ -316,38 +344,57 @@ def register(spark: SparkSession) -> None:
     small_batches(spark)
 
 
-def revisits(scratch: Scratch, pages: DataFrame, key: str, payload: str, least: int = 0) -> DataFrame:
+#: Repeated payloads, in rows of 40 bytes, that are sent to all tasks.
+SENT = 100_000
+
+
+def revisits(scratch: Scratch, pages: DataFrame, key: str, payload: str, least: int = 0, sent: int = SENT) -> DataFrame:
     """pages with __first: the smallest key with the same payload, where that is another row's.
 
     Payloads shorter than `least` bytes are never revisits. Rows that repeat the smallest key are
     all responses; a null key is never the smallest, so of null keys alone all are responses.
+    Payloads are not shuffled if at most `sent` of them repeat; else only those that a filter of
+    bounded size takes for repeated ones.
     """
     hashed = pages.withColumn("__sha1", F.sha1(F.col(payload)))
     firsts = hashed.where(F.octet_length(payload) >= least).groupBy("__sha1").agg(F.min(key).alias("__first"), F.count("*").alias("__n"))
     firsts = scratch.table(firsts.where("__n > 1").select("__sha1", "__first"), "firsts")
     other = F.col("__first").isNotNull() & ~F.coalesce(F.col("__first") == F.col(key), F.lit(False))
-    return hashed.join(firsts, "__sha1", "left").withColumn("__first", F.when(other, F.col("__first"))).drop("__sha1")
+    if firsts.count() <= sent:
+        joined = hashed.join(F.broadcast(firsts), "__sha1", "left")
+    else:
+        seen = scratch.table(bitmap(firsts.withColumn("__h", F.xxhash64("__sha1")), "__h"), "seen")
+        split = marked(hashed.withColumn("__h", F.xxhash64("__sha1")), "__h", seen, "__again").drop("__h")
+        alone = split.where("NOT __again").withColumn("__first", F.lit(None).cast(firsts.schema["__first"].dataType))
+        joined = split.where("__again").join(firsts, "__sha1", "left").unionByName(alone).drop("__again")
+    return joined.withColumn("__first", F.when(other, F.col("__first"))).drop("__sha1")
 
 
 def archive(pages: DataFrame, folder: str, least: int = 0, key: str = "page_id", uri: str = "url", payload: str = "html") -> None:
-    """Writes a record for each row: a null payload is empty, a null uri is left out, and a null key
-    is written as urn:page:null. Repeated rows are written each; other columns are left out."""
+    """Writes a record for each row: a null payload is empty, and a null uri is left out.
+
+    A record's id is urn:page: and the key. Where a key is null or repeats, a random part follows it,
+    so that no two records share an id; refers_to then names the key alone, which all of these
+    begin with. Repeated rows are written each; other columns are left out.
+    """
     spark = pages.sparkSession
     register(spark)
     shaped = pages.select(F.col(key).alias("key"), F.col(uri).cast("string").alias("target_uri"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
     named = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     with Scratch(spark) as scratch:
-        rows = revisits(scratch, shaped, "key", "payload", least)
-        rows = rows.select(named("key").alias("record_id"), "target_uri", F.when(F.col("__first").isNotNull(), named("__first")).alias("refers_to"), "payload")
+        again = scratch.table(shaped.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("again")), "again")
+        rows = revisits(scratch, shaped, "key", "payload", least).join(again, "key", "left")
+        own = F.concat(named("key"), F.when(F.col("again") | F.col("key").isNull(), F.concat(F.lit(":"), F.uuid())).otherwise(F.lit("")))
+        rows = rows.select(own.alias("record_id"), "target_uri", F.when(F.col("__first").isNotNull(), named("__first")).alias("refers_to"), "payload")
         rows.write.format("warc").mode("append").save(folder)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    found = spark.read.format("warc").option("verify", "true").option("payload", "false").load(folder)
-    number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS BIGINT)")
-    return checkpointed(found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")))
+    with Scratch(spark) as scratch:
+        archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{scratch.root}/warc")
+        found = spark.read.format("warc").option("verify", "true").option("payload", "false").load(f"{scratch.root}/warc")
+        number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)", 1).try_cast("bigint")
+        return checkpointed(found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")))
 
 
 SQL = """

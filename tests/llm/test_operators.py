@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import chat, decontaminate, language, quality, sharding, toxicity, urls, warc
+from gridloom.llm.common import Scratch, bitmap, marked
 from gridloom.llm.registry import ORACLE_SQL, QUERIES
 
 from . import brute
@@ -338,7 +339,7 @@ def test_warc_round_trip(spark, tmp_path):
         if k is not None:
             first[h or ""] = min(k, first.get(h or "", k))
     for r in got:
-        key = r.record_id.rpartition(":")[2]
+        key = r.record_id.split(":")[2]
         body = r.payload
         if r.record_type == "response":
             assert warc.base32_sha1(body) == r.payload_digest and len(body) == r.payload_bytes and r.refers_to is None
@@ -346,6 +347,7 @@ def test_warc_round_trip(spark, tmp_path):
             own = next((h or "") for k, _, h in rows if str(k if k is not None else "null") == key and warc.base32_sha1((h or "").encode()) == r.payload_digest)
             assert body is None and r.payload_bytes == len(own.encode()) and r.refers_to == f"urn:page:{first[own]}" and str(first[own]) != key
     assert collections.Counter(r.record_type for r in got) == {"response": 6, "revisit": 3}
+    assert len({r.record_id for r in got}) == len(rows) and "urn:page:2" in {r.record_id for r in got}
     some = back.where("record_type = 'revisit'").select("record_id")
     assert some.count() == 3
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
@@ -374,6 +376,71 @@ def test_warc_reads_foreign_files(spark, tmp_path):
         spark.read.format("warc").option("verify", "true").load(str(tmp_path / "b")).collect()
 
 
+def test_cut_records_raise(spark, tmp_path):
+    """Wherever a file is cut, with and without verification, and whatever is read of it."""
+    import gzip
+
+    warc.register(spark)
+    rng = np.random.default_rng(0)
+    recs = [warc.record("response", f"urn:page:{k}", "http://x/", "2020-01-01T00:00:00Z", None, warc.base32_sha1(b), b, len(b), "text/html") for k, b in enumerate((b"abc", rng.bytes(50_000)))]
+    whole = {"p.warc": recs, "q.warc.gz": [*map(gzip.compress, recs)], "r.warc.gz": [*map(warc.member, recs)], "s.warc.gz": [warc.member(r, 10) for r in recs]}
+    for name, parts in whole.items():
+        for cut in (5, 60, 200, len(parts[1]) // 2, len(parts[1]) - 2):
+            folder = tmp_path / f"{name}-{cut}"
+            folder.mkdir()
+            (folder / name).write_bytes(parts[0] + parts[1][:cut])
+            for verify, payload in (("true", "true"), ("false", "false")):
+                reader = warc.WarcReader(str(folder), {"verify": verify, "payload": payload})
+                with pytest.raises(warc.Damaged, match=f"at byte {len(parts[0])} "):
+                    [list(reader.read(p)) for p in reader.partitions()]
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / name).write_bytes(b"".join(parts))
+        assert [r.payload_bytes for r in spark.read.format("warc").load(str(folder)).collect()] == [3, 50_000]
+        (folder / "junk.warc").write_bytes(b"no record")
+        with pytest.raises(Exception, match="damaged record"):
+            spark.read.format("warc").load(str(folder)).collect()
+
+
+def test_many_repeated_payloads(spark):
+    """The way of a filter, for more repeated payloads than are sent, gives the same rows."""
+    rng = np.random.default_rng(3)
+    rows = [(int(k) if k % 50 else None, f"p{rng.integers(0, 600)}") for k in range(900)] + [(None, "alone"), (7, None), (8, None)]
+    df = spark.createDataFrame(rows, "k bigint, p string").withColumn("p", F.coalesce("p", F.lit("")).cast("binary"))
+    with Scratch(spark) as scratch:
+        few, many = (sorted(warc.revisits(scratch, df, "k", "p", sent=n).collect(), key=repr) for n in (10**6, 0))
+        assert few == many and len(few) == len(rows)
+        assert sum(r["__first"] is not None for r in few) > 200
+
+
+def test_filter_has_no_false_negatives(spark):
+    keys = spark.range(0, 20_000, 7).select(F.xxhash64("id").alias("h"))
+    got = marked(spark.range(20_000).select("id", F.xxhash64("id").alias("h")), "h", bitmap(keys, "h"), "m").collect()
+    assert len(got) == 20_000 and all(r.m for r in got if r.id % 7 == 0) and sum(r.m for r in got if r.id % 7) < 100
+
+
+def test_cut_archive_raises(spark, tmp_path):
+    folder = tmp_path / "w"
+    warc.archive(spark.createDataFrame([(1, "http://a/", "x" * 5000)], "page_id bigint, url string, html string"), str(folder))
+    own = next(f for f in folder.iterdir() if f.suffix == ".gz")
+    own.write_bytes(own.read_bytes()[:-9])
+    with pytest.raises(Exception, match="cut or missing"):
+        spark.read.format("warc").load(str(folder)).collect()
+
+
+def test_pushed_filters_agree_with_rows(spark, tmp_path):
+    """A uri that looks like a digest or an id is compared as it is."""
+    rows = [(1, "sha1:x", "a"), (2, "<b>", "b"), (3, "http://c/", "c"), (4, None, "d")]
+    warc.archive(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / "w"))
+    back = spark.read.format("warc").load(str(tmp_path / "w"))
+    assert {r.target_uri for r in back.collect()} == {"sha1:x", "<b>", "http://c/", None}
+    for uri in ("sha1:x", "<b>", "http://c/"):
+        assert [r.target_uri for r in back.where(F.col("target_uri") == uri).collect()] == [uri]
+    assert back.where("target_uri IS NULL").count() == 1 and back.where("target_uri IN ('sha1:x', '<b>')").count() == 2
+    digest = warc.base32_sha1(b"c")
+    assert [r.record_id for r in back.where(F.col("payload_digest") == digest).collect()] == ["urn:page:3"]
+
+
 def cheapest(roles):
     """The cost of a best repair, by trying all of them."""
     best = {chat.START: 0}
