@@ -30,30 +30,55 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+#: The parts of a reference as RFC 3986 has them (scheme, authority, path, query).
+PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?"
+#: What is no markup, and the tags and attributes that name another url.
+NO_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)|<style\b.*?(?:</style|\z)"
+CANONICAL = (r"(?is)<link\b[^>]*>", r"""(?is)[\s"'/]rel\s*=\s*(?:"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)""", r"""(?is)[\s"'/]href\s*=\s*["']?([^"'\s>]+)""")
+REFRESH = (r"(?is)<meta\b[^>]*>", r"""(?is)[\s"'/]http-equiv\s*=\s*["']?\s*refresh\b""", r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""")
+
+
+def _part(url: Column, k: int) -> Column:
+    return F.regexp_extract(url, PARTS, k)
+
+
+def without_dots(path: Column) -> Column:
+    """A path from the root without its . and .. segments, as RFC 3986 removes them."""
+    segments = F.split(F.substring(path, F.lit(2), F.length(path)), "/", -1)
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda a, s: F.when(s == ".", a).when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, s)))
+    ends = F.when(path.rlike(r"/\.\.?\z"), "/").otherwise("")
+    whole = let(kept, lambda a: F.concat(F.lit("/"), F.array_join(a, "/"), F.when(F.size(a) > 0, ends).otherwise("")))
+    return F.when(F.contains(path, F.lit("/.")), whole).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """The url as an alias is matched: host in lower case, no fragment."""
-    cut = F.split(url, "#", 2)[0]
-    scheme = F.substring(cut, F.lit(1), F.locate("://", cut) + 2)
-    return F.when(F.locate("://", cut) > 0, F.concat(scheme, host_of(cut), F.regexp_extract(_rest(cut), r"(?s)^[^/?#]*(.*)$", 1)))
+    """The url as an alias is matched: scheme and host in lower case, no dot segments, no fragment."""
+    path = _part(url, 3)
+    path = F.when(path == "", "/").otherwise(without_dots(path))
+    return F.when(F.locate("://", url) > 0, F.concat(F.lower(_part(url, 1)), F.lit("://"), F.translate(_part(url, 2), UPPER, LOWER), path, _part(url, 4)))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """What a reference names when it stands in a document at `base`."""
+    path, folder = _part(target, 3), F.regexp_extract(_part(base, 3), r"(?s)^(.*/)", 1)
+    merged = F.when(path == "", _part(base, 3)).when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    query = F.when((path == "") & ~F.contains(target, F.lit("?")), _part(base, 4)).otherwise(_part(target, 4))
+    within = F.concat(_part(base, 1), F.lit("://"), _part(base, 2), merged, query)
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target).when(target.startswith("//"), F.concat(_part(base, 1), F.lit(":"), target)).otherwise(within)
 
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): each page's url, and the url that it names as canonical or refreshes to."""
+    """(a, b): each page's url, and the urls that it names as canonical or refreshes to.
+
+    References are resolved by RFC 3986; comments, scripts and styles name none. A null url or html,
+    or a url without ://, has no links.
+    """
     h = F.col(html)
-    canonical = F.regexp_extract(h, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(h, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>;]+)""", 1)
-    named = pages.where(h.contains("canonical") | F.lower(h).contains("canonical") | F.lower(h).contains("refresh"))
-    named = named.select(F.col(url).alias("__u"), F.explode(F.array(canonical, refresh)).alias("__t")).where("__t != ''")
-    top = F.regexp_extract("__u", r"^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract("__u", r"^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+    named = pages.where(F.lower(h).contains("canonical") | F.lower(h).contains("refresh")).select(F.col(url).alias("__u"), F.regexp_replace(h, NO_MARKUP, " ").alias("__h"))
+    of = lambda tag, test, value: F.transform(F.filter(F.regexp_extract_all("__h", F.lit(tag), F.lit(0)), lambda t: t.rlike(test)), lambda t: F.regexp_extract(t, value, 1))
+    named = named.select("__u", F.explode(F.concat(of(*CANONICAL), of(*REFRESH))).alias("__t")).where("__t != ''")
     target = F.replace("__t", F.lit("&amp;"), F.lit("&"))
-    full = (
-        F.when(target.contains("://"), target)
-        .when(target.startswith("//"), F.concat(F.regexp_extract("__u", r"^(.*?:)//", 1), target))
-        .when(target.startswith("/"), F.concat(top, target))
-        .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), target))
-    )
-    return named.select(node_of(F.col("__u")).alias("a"), node_of(full).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    return named.select(node_of(F.col("__u")).alias("a"), node_of(resolved(F.col("__u"), target)).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
@@ -121,9 +146,17 @@ def _path_sql(u: str) -> str:
     return f"coalesce(regexp_extract(CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END, '^[^/?#]*([^?#]*)', 1), '')"
 
 
+def _part_sql(u: str, k: int) -> str:
+    return f"coalesce(regexp_extract({u}, '{PARTS}', {k}), '')"
+
+
 def _node_sql(u: str) -> str:
-    cut = f"string_split({u}, '#')[1]"
-    return f"CASE WHEN strpos({cut}, '://') > 0 THEN substr({cut}, 1, strpos({cut}, '://') + 2) || {_host_sql(cut)} || regexp_extract(substr({cut}, strpos({cut}, '://') + 3), '(?s)^[^/?#]*(.*)$', 1) END"
+    path = _part_sql(u, 3)
+    segments = f"list_transform(string_split(substr({path}, 2), '/'), lambda s: [s])"
+    kept = f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), {segments}), lambda a, s: CASE WHEN s[1] = '.' THEN a WHEN s[1] = '..' THEN a[1:greatest(len(a) - 1, 0)] ELSE a || s END)"
+    whole = f"'/' || array_to_string({kept}, '/') || CASE WHEN len({kept}) > 0 AND regexp_matches({path}, '/\\.\\.?\\z') THEN '/' ELSE '' END"
+    return f"""CASE WHEN strpos({u}, '://') > 0 THEN lower({_part_sql(u, 1)}) || '://' || translate({_part_sql(u, 2)}, {_UP}, {_LOW}) ||
+  CASE WHEN {path} = '' THEN '/' WHEN contains({path}, '/.') THEN {whole} ELSE {path} END || {_part_sql(u, 4)} END"""
 
 
 def _hit_sql(of: str, key: str) -> str:
@@ -132,16 +165,18 @@ def _hit_sql(of: str, key: str) -> str:
 
 
 _RULES_SQL = ", ".join(map(str, RULES))
-_NAMED = "coalesce(regexp_extract(list_filter(regexp_extract_all(html, '(?is)<{tag}\\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\\b{what}\\s*=\\s*[\"'']?{value}\\b') AND regexp_matches(t, '{to}'))[1], '{to}', 1), '')"
-_CANONICAL = _NAMED.format(tag="link", what="rel", value="canonical", to="(?is).*\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)")
-_REFRESH = _NAMED.format(tag="meta", what="http-equiv", value="refresh", to="(?is).*\\burl\\s*=\\s*[\"'']?([^\"''\\s>;]+)")
+_QUOTED = lambda p: p.replace("'", "''")
+_NAMED = lambda tag, test, value: f"list_transform(list_filter(regexp_extract_all(h, '{tag}'), lambda t: regexp_matches(t, '{_QUOTED(test)}')), lambda t: regexp_extract(t, '{_QUOTED(value)}', 1))"
+_FOLDER = f"regexp_extract({_part_sql('url', 3)}, '(?s)^(.*/)', 1)"
 SQL = f"""
 WITH RECURSIVE r(action, host, path) AS (VALUES {_RULES_SQL}),
 u AS (SELECT DISTINCT url, {_host_sql("url")} AS host, {_path_sql("url")} AS path, {_node_sql("url")} AS node FROM pages WHERE url IS NOT NULL),
-t AS (SELECT url, replace(unnest([{_CANONICAL}, {_REFRESH}]), '&amp;', '&') AS t FROM pages WHERE url IS NOT NULL AND (html ILIKE '%canonical%' OR html ILIKE '%refresh%')),
-g AS (SELECT url, t, regexp_extract(url, '^(.*?://[^/?#]*)', 1) AS top, regexp_extract(url, '^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1) AS folder FROM t WHERE t <> ''),
-f AS (SELECT url, CASE WHEN strpos(t, '://') > 0 THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '^(.*?:)//', 1) || t WHEN starts_with(t, '/') THEN top || t
-  ELSE CASE WHEN ends_with(folder, '/') THEN folder ELSE folder || '/' END || t END AS t FROM g),
+h AS (SELECT url, regexp_replace(html, '{NO_MARKUP}', ' ', 'g') AS h FROM pages WHERE url IS NOT NULL AND (html ILIKE '%canonical%' OR html ILIKE '%refresh%')),
+t AS (SELECT url, replace(unnest(list_concat({_NAMED(*CANONICAL)}, {_NAMED(*REFRESH)})), '&amp;', '&') AS t FROM h),
+g AS (SELECT url, t, {_part_sql("t", 3)} AS path, {_FOLDER} AS folder FROM t WHERE t <> ''),
+f AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t WHEN starts_with(t, '//') THEN {_part_sql("url", 1)} || ':' || t
+  ELSE {_part_sql("url", 1)} || '://' || {_part_sql("url", 2)} || CASE WHEN path = '' THEN {_part_sql("url", 3)} WHEN starts_with(path, '/') THEN path ELSE CASE WHEN folder = '' THEN '/' ELSE folder END || path END
+  || CASE WHEN path = '' AND NOT contains(t, '?') THEN {_part_sql("url", 4)} ELSE {_part_sql("t", 4)} END END AS t FROM g),
 l AS (SELECT {_node_sql("url")} AS a, {_node_sql("t")} AS b FROM f), e AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b),
 reach(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, q.root FROM reach q JOIN e ON e.a = q.node),
 n AS (SELECT node, min(root) AS root, {_host_sql("node")} AS host, {_path_sql("node")} AS path FROM reach GROUP BY node),

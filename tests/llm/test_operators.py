@@ -326,6 +326,39 @@ def test_urls(spark):
     assert urls.judge(none, urls.links(none), urls.rule_table(spark)).collect() == []
 
 
+#: The examples of RFC 3986, section 5.4, that name a place in a hierarchy.
+RFC = {
+    "g": "/b/c/g", "./g": "/b/c/g", "g/": "/b/c/g/", "/g": "/g", "//g": None, "?y": "/b/c/d;p?y", "g?y": "/b/c/g?y", "#s": "/b/c/d;p?q", "g#s": "/b/c/g", ";x": "/b/c/;x", "g;x": "/b/c/g;x",
+    "": "/b/c/d;p?q", ".": "/b/c/", "./": "/b/c/", "..": "/b/", "../": "/b/", "../g": "/b/g", "../..": "/", "../../": "/", "../../g": "/g", "../../../g": "/g", "../../../../g": "/g", "/./g": "/g", "/../g": "/g",
+    "g.": "/b/c/g.", ".g": "/b/c/.g", "g..": "/b/c/g..", "..g": "/b/c/..g", "./../g": "/b/g", "./g/.": "/b/c/g/", "g/./h": "/b/c/g/h", "g/../h": "/b/c/h", "g;x=1/./y": "/b/c/g;x=1/y", "g;x=1/../y": "/b/c/y",
+    "g?y/./x": "/b/c/g?y/./x", "g#s/../x": "/b/c/g", "http://A/x/../y": None,
+}
+
+
+def test_references_are_resolved(spark):
+    df = spark.createDataFrame([("http://a/b/c/d;p?q", t) for t in RFC], "u string, t string")
+    got = {r.t: r.n for r in df.select("t", urls.node_of(urls.resolved(F.col("u"), F.col("t"))).alias("n")).collect()}
+    want = {t: f"http://a{p}" for t, p in RFC.items()} | {"//g": "http://g/", "http://A/x/../y": "http://a/y"}
+    assert got == want
+    import duckdb
+
+    for t, n in want.items():
+        assert duckdb.execute(f"SELECT {urls._node_sql('u')} FROM (SELECT ? AS u)", [f"http://a{RFC[t]}" if RFC[t] else n]).fetchone()[0] == n
+
+
+def test_links_of_pages(spark):
+    link = "<link rel=\"{}\" href='{}'>"
+    rows = [
+        ("http://a.org/x/", "<!-- " + link.format("canonical", "/no") + " -->" + link.format("alternate canonical", "../yes") + link.format("canonical", "two")),
+        ("http://b.org/?q", "<script>'" + link.format("canonical", "/no") + "'</script><META content='0; URL=?z' http-equiv=refresh><link data-rel=canonical href=/no>"),
+        ("http://c.org", "<!-- " + link.format("canonical", "/no")), ("http://d.org", None), (None, link.format("canonical", "/no")), ("nothing", link.format("canonical", "/no")),
+        ("http://e.org/" + "long/" * 3000, link.format("canonical", "../" * 2999 + "end") + " text" * 200_000),
+    ]
+    df = spark.createDataFrame(rows, "url string, html string")
+    got = {(r.a, r.b) for r in urls.links(df).collect()}
+    assert got == {("http://a.org/x/", "http://a.org/yes"), ("http://a.org/x/", "http://a.org/x/two"), ("http://b.org/?q", "http://b.org/?z"), (rows[-1][0], "http://e.org/long/end")}
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/\r\nX: y", "same"), (2, "http://b/", "same"), (3, None, None), (4, "http://d/", ""), (5, "http://e/", "ünï"), (None, "http://f/", "same"), (None, "http://g/", "alone"), (1, "http://a/", "same"), (6, "http://h/", "long " * 60_000)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
