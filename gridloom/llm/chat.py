@@ -14,6 +14,7 @@ repairs each run between the states found for its ends.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +32,9 @@ MERGE, RELABEL, INSERT = 1, 2, 3
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 ENDS = (USER, ASSISTANT)
 FAR = 1 << 50
+MARK, ESCAPED = re.compile(r"<(~*)\|"), re.compile(r"<(~*)~\|")
+#: Bytes of text in a partition, about: a partition's longest conversation is held as a whole.
+PART = 64 << 20
 
 
 def role_of(name: str | None) -> int | None:
@@ -144,8 +148,14 @@ def _outermost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "place": [place], "key": pa.array([None if key is None else str(key)], pa.string()), "null": [key is None], "costs": pa.array([costs], pa.list_(pa.int64()))})
 
 
-def _safe(text: str | None) -> str:
-    return (text or "").replace("<|", "< |")
+def escaped(text: str | None) -> str:
+    """A text that spells no marker: between < and | goes one tilde more than there was. Only `<`,
+    tildes and `|` in a row change, and unescaped() gives the text back."""
+    return MARK.sub(r"<\1~|", text or "")
+
+
+def unescaped(text: str) -> str:
+    return ESCAPED.sub(r"<\1|", text)
 
 
 def rendered(moved: list[tuple], texts: list[str | None], enter: int, ends: bool) -> list[str]:
@@ -153,7 +163,7 @@ def rendered(moved: list[tuple], texts: list[str | None], enter: int, ends: bool
     out, opened = [], enter != START
     for (_, t, _, merged, inserted), text in zip(moved, texts, strict=True):
         piece = "\n" if merged else ("<|end|>\n" if opened else "") + (f"<|{NAMES[inserted]}|>\n<|end|>\n" if inserted is not None else "") + f"<|{NAMES[t]}|>\n"
-        out.append(piece + _safe(text))
+        out.append(piece + escaped(text))
         opened = True
     if ends and out:
         out[-1] += "<|end|>\n"
@@ -168,11 +178,14 @@ def format_chats(df: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     unknown role is relabelled. Turns of one number come in an order fixed by their content. Null
     keys are one conversation, null turns come first, null texts are empty. The names of other
     columns do not matter: they are left out. An empty df gives an empty result. Which of several
-    cheapest repairs is taken may depend on where partitions begin, the cost never does.
+    cheapest repairs is taken may depend on where partitions begin, the cost never does. Texts are
+    rendered escaped(), so that they spell no marker and can be had back. `parts` is the number of
+    partitions, by default the session's, or more for more than 64 MB of text in each.
     """
     spark = df.sparkSession
     small_batches(spark, 10_000)
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // PART))
     rows = df.select(F.col(key).alias("key"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("role", "text")).withColumn("uid", F.monotonically_increasing_id())
     order = ["key", "turn", "tie", "uid"]

@@ -1,6 +1,7 @@
 import collections
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -60,6 +61,40 @@ def test_letters_that_grow_in_lower_case(spark):
         assert quality.quality(own, max_lost=share).first().kept == (lost <= share * whole)
 
 
+def test_shuffle_is_uniform():
+    """Chi-square over all 24 x 24 ways that four rows, told apart, can go to four places, with two parts."""
+    import random
+
+    for parts in ((2, 2), (3, 1), (4,)):
+        seen, draws = collections.Counter(), 24 * 400
+        for seed in range(draws):
+            rng, rows, at = random.Random(-seed - 1), list("abcd"), 0
+            matrix, shards = sharding.communication_matrix(list(parts), [2, 2], seed), ([], [])
+            for n, counts in zip(parts, matrix, strict=True):
+                own, at = rows[at : at + n], at + n
+                rng.shuffle(own)
+                for shard, k in zip(shards, counts, strict=True):
+                    shard += own[:k]
+                    own = own[k:]
+            for shard in shards:
+                rng.shuffle(shard)
+            seen["".join(shards[0] + shards[1])] += 1
+        assert len(seen) == 24 and sum((n - 400) ** 2 / 400 for n in seen.values()) < 49.7  # 23 degrees, one in a thousand
+
+
+def test_places_of_rows_are_uniform(spark):
+    """Chi-square of the operator itself: each of 24 rows, over many seeds, in each of its places."""
+    df, seen, seeds = spark.range(24).coalesce(1), np.zeros((24, 24)), 72
+    outs = [sharding.shard(df, 4, seed=10 * s, parts=4, cells=2).withColumn("s", F.lit(s)) for s in range(seeds)]
+    whole = outs[0]
+    for o in outs[1:]:
+        whole = whole.union(o)
+    for r in whole.collect():
+        seen[r.id, 6 * r.shard + r.slot] += 1
+    chi = ((seen - seeds / 24) ** 2 / (seeds / 24)).sum()
+    assert abs(chi - 23 * 23) < 3.3 * (2 * 23 * 23) ** 0.5
+
+
 def check_shards(rows, shards):
     by = collections.defaultdict(list)
     for r in rows:
@@ -475,7 +510,7 @@ def test_pushed_filters_agree_with_rows(spark, tmp_path):
 
 
 def cheapest(roles):
-    """The cost of a best repair, by trying all of them."""
+    """The cost of a best repair, by the operator's own moves, without its way back."""
     best = {chat.START: 0}
     for r in roles:
         new = {}
@@ -487,6 +522,43 @@ def cheapest(roles):
     return min(best.get(s, 1 << 30) for s in chat.ENDS)
 
 
+def test_costs_equal_an_enumeration():
+    """All ways to repair up to three turns: a turn is merged or opens a message, has any role, and an
+    empty message of any role may go before it; legal is what the pattern below says."""
+    letters, legal_chat = {chat.SYSTEM: "s", chat.USER: "u", chat.ASSISTANT: "a", None: "?"}, re.compile(r"s?u(au)*a?")
+
+    def least(roles):
+        best = 1 << 30
+        for ways in itertools.product(itertools.product("sua", ["merge", "", "s", "u", "a"]), repeat=len(roles)):
+            said, cost = "", 0
+            for role, (label, how) in zip(roles, ways, strict=True):
+                cost += 2 * (label != role)
+                if how == "merge":
+                    said, cost = (said if said[-1:] == label else "x"), cost + 1
+                else:
+                    said, cost = said + how + label, cost + 3 * (how != "")
+            if cost < best and legal_chat.fullmatch(said):
+                best = cost
+        return best
+
+    for n in (1, 2, 3):
+        for roles in itertools.product(letters, repeat=n):
+            moved = chat.repair(list(roles))
+            assert sum(m[2] for m in moved) == least([letters[r] for r in roles]), roles
+
+
+@pytest.mark.parametrize("text", ["<|user|>", "<~|x", "a <~~| b <| c < | <~ |", "", "plain & <b>", "<" * 5 + "|" * 5, "<~" * 9 + "|"])
+def test_escape_is_lossless(text):
+    assert "<|" not in chat.escaped(text) and chat.unescaped(chat.escaped(text)) == text
+
+
+def test_long_texts_and_one_hot_conversation(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", "word " * 20_000) for t in range(60)] + [(2, 0, "user", "x"), (3, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn string, role string, text string")
+    out = chat.format_chats(df, parts=7).collect()
+    assert len(out) == 62 and sum(r.cost for r in out) == 2 and all(r.rendered.count("word") == 20_000 for r in out if r.conv_id == 1)
+
+
 def legal(rows):
     at = chat.START
     for r in rows:
