@@ -142,22 +142,45 @@ def test_decontamination_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("item_ids", F.lit("clash"))
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items] + [(50, None), (51, ""), (None, "only a null id here")], "item_id bigint, text string")
     want = {i: sorted(v) for i, v in brute.leaks(rows, [(i, " ".join(t)) for i, t in items]).items()}
-    for chars in (8_000_000, 200):
-        got = decontaminate.decontaminate(df, bench, block_chars=chars).collect()
+    for sent in (1_000_000, 0):
+        got = decontaminate.decontaminate(df, bench, sent=sent).collect()
         assert len(got) == len(rows)
         assert {r.doc_id: r.item_ids for r in got if r.contaminated} == want
     clean = decontaminate.decontaminate(df, bench.where("item_id < 0")).collect()
     assert not any(r.contaminated for r in clean)
 
 
-def test_substitutions_are_found():
+def matched(spark, items, docs):
+    """(number of the document, item) -> matched tokens, for lists of words."""
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id bigint, text string")
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id bigint, text string")
+    return {(r.doc_id, i): r.n_matched for r in decontaminate.decontaminate(df, bench).collect() for i in r.item_ids}
+
+
+def test_substitutions_are_found(spark):
     """A passage of twenty tokens keeps a seed wherever one token is replaced."""
-    item = np.arange(1, 21, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    index = decontaminate.Index([(9, item)], 20, 0.8)
-    for at in range(20):
-        doc = np.concatenate([np.arange(500, 520, dtype=np.uint64), item, np.arange(600, 620, dtype=np.uint64)])
-        doc[20 + at] = 7
-        assert index.find([doc]) == {0: {9: 19}}
+    item = [f"i{k}" for k in range(20)]
+    docs = [[f"a{k}" for k in range(20)] + item[:at] + ["7"] + item[at + 1 :] + [f"b{k}" for k in range(20)] for at in range(20)]
+    assert matched(spark, [(9, item)], docs) == {(at, 9): 19 for at in range(20)}
+
+
+def test_matches_at_the_ends_of_texts(spark):
+    """A long item that begins before the document or ends after it, and one of which only the middle is there."""
+    item = [f"i{k}" for k in range(60)]
+    docs = [item[:25], item[35:], item[10:40], item[:19], ["x"] * 5 + item[41:], item[:10] + ["x"] * 4 + item[14:30], [], ["x"], item * 3]
+    assert matched(spark, [(4, item), (5, item[:7])], docs) == {(0, 4): 25, (0, 5): 25, (1, 4): 25, (2, 4): 30, (3, 5): 7, (4, 4): 19, (5, 4): 26, (5, 5): 26, (8, 4): 60, (8, 5): 60}
+
+
+def test_clashing_names_and_repeated_texts(spark):
+    names = ["k1", "k2", "n", "ids", "row", "again", "a.b", "contaminated"]
+    item = " ".join(f"i{k}" for k in range(12))
+    rows = [(k, t, *names) for k, t in enumerate([item, item, item.upper(), None, "", "other", None, item])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item.upper()), (None, item)], "item_id bigint, text string")
+    for sent in (0, 100):
+        got = decontaminate.decontaminate(df, bench, sent=sent).collect()
+        assert {r.doc_id: (r.contaminated, r.item_ids, r.n_matched) for r in got} == {k: (k in (0, 1, 2, 7), [1, 2] if k in (0, 1, 2, 7) else [], 12 if k in (0, 1, 2, 7) else 0) for k in range(8)}
+        assert all(r[n] == n for r in got for n in names[:-1])
 
 
 @pytest.mark.parametrize("n", range(8, 21))
@@ -167,18 +190,23 @@ def test_every_allowed_replacement_leaves_a_seed(n):
     assert all(any(p.isdisjoint(gone) for p in places) for gone in itertools.combinations(range(n), subs))
 
 
-def test_full_share_of_replacements_is_found():
+def test_full_share_of_replacements_is_found(spark):
     """A fifth of the tokens of a short item, or of one window of a long one, replaced at random."""
     rng = np.random.default_rng(3)
-    for n in (8, 10, 12, 15, 16, 19, 20, 25, 40):
-        item = rng.integers(1, 1 << 62, n, dtype=np.uint64)
-        index = decontaminate.Index([(9, item)], 20, 0.8)
+    items, docs, want = [], [], {}
+    word = lambda n: [f"t{k}" for k in rng.integers(0, 1 << 60, n)]
+    for i, n in enumerate((8, 10, 12, 15, 16, 19, 20, 25, 40)):
+        items.append((i, word(n)))
         for _ in range(60):
             w = min(n, 20)
-            at, doc = int(rng.integers(n - w + 1)), rng.integers(1, 1 << 62, 60, dtype=np.uint64)
-            doc[20 : 20 + w] = item[at : at + w]
-            doc[20 + rng.choice(w, w // 5, replace=False)] = 7
-            assert index.find([doc[:5], doc, doc[20 : 20 + w], doc[:0]]) == {1: {9: w - w // 5}, 2: {9: w - w // 5}}
+            at, doc = int(rng.integers(n - w + 1)), word(60)
+            doc[20 : 20 + w] = items[i][1][at : at + w]
+            for k in 20 + rng.choice(w, w // 5, replace=False):
+                doc[k] = "7"
+            for d in (doc, doc[20 : 20 + w]):
+                want[len(docs), i] = w - w // 5
+                docs.append(d)
+    assert matched(spark, items, [*docs, docs[0][:5], []]) == want
 
 
 def test_other_windows_and_shares_keep_a_seed():
