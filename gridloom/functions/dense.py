@@ -7,8 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def dense(pdf: pd.DataFrame, value: str = "z") -> np.ndarray:
-    """The field of one group as an array; nodes that are not there are NaN."""
+#: Nodes of a field that one task may hold; what is larger has to be cut into tiles or routed on edges.
+MOST_NODES = 1 << 24
+
+
+def dense(pdf: pd.DataFrame, value: str = "z", most: int = MOST_NODES) -> np.ndarray:
+    """The field of one group as an array; nodes that are not there are NaN. Larger fields are refused."""
+    if (int(pdf["row"].max()) + 1) * (int(pdf["col"].max()) + 1) > most:
+        raise ValueError(f"a field of more than {most} nodes is too large for one task")
     out = np.full((int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1), np.nan)
     out[pdf["row"].to_numpy(), pdf["col"].to_numpy()] = pdf[value].to_numpy()
     return out

@@ -16,10 +16,8 @@ def bootstrap_ratio(logs: np.ndarray, draws: int = 10_000, seed: int = 0) -> tup
 
 
 def average_ranks(x: np.ndarray) -> np.ndarray:
-    order = np.argsort(x, kind="stable")
     _, inverse, counts = np.unique(x, return_inverse=True, return_counts=True)
     ends = np.cumsum(counts)
-    del order
     return (ends - (counts - 1) / 2)[inverse]
 
 
@@ -38,7 +36,9 @@ def _split(x: np.ndarray) -> np.ndarray:
 def _rhat(x: np.ndarray) -> float:
     n = x.shape[1]
     within, between = x.var(1, ddof=1).mean(), n * x.mean(1).var(ddof=1)
-    return float(np.sqrt(((n - 1) / n * within + between / n) / within)) if within > 0 else float("nan")
+    if within == 0:  # chains that stand still: in one place, or each in its own
+        return 1.0 if between == 0 else float("inf")
+    return float(np.sqrt(((n - 1) / n * within + between / n) / within))
 
 
 def rhat(chains: np.ndarray) -> float:

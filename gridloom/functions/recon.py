@@ -75,29 +75,66 @@ def thin_plate(shape: tuple[int, int], cells: np.ndarray, z: np.ndarray, stiff:
     return u + z.mean()
 
 
-def choose_blocks(relief: np.ndarray, side: int, apart: int, quota: int) -> list[tuple[int, int, int]]:
-    """(stratum, row, col) of blocks in three strata of relief, greedily from the highest relief down,
-    none closer than `apart` to one taken; ties go to the first in row order."""
-    r, c = np.meshgrid(np.arange(0, relief.shape[0] - side + 1, side), np.arange(0, relief.shape[1] - side + 1, side), indexing="ij")
-    value = np.array([relief[i : i + side, j : j + side].max() - relief[i : i + side, j : j + side].min() for i, j in zip(r.ravel(), c.ravel(), strict=True)])
-    low, high = np.quantile(value, [1 / 3, 2 / 3])
-    stratum = (value >= low).astype(int) + (value >= high)
-    taken: list[tuple[int, int, int]] = []
-    for s in range(3):
-        got = 0
-        for k in sorted(np.nonzero(stratum == s)[0], key=lambda k: (-value[k], k)):
-            i, j = int(r.flat[k]), int(c.flat[k])
-            if got < quota and all(max(abs(i - a), abs(j - b)) >= apart for _, a, b in taken):
-                taken.append((s, i, j))
-                got += 1
-    return taken
-
-
-def phase_kernels(coarse: np.ndarray, fine: np.ndarray, factor: int, reach: int = 1, ridge: float = 1e-6) -> np.ndarray:
-    """For each of factor^2 phases the least-squares weights of the coarse neighbourhood (and a constant)."""
-    rows, cols = (np.array(coarse.shape) - 2 * reach).tolist()
-    around = [coarse[reach + a : reach + a + rows, reach + b : reach + b + cols].ravel() for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
-    x = np.column_stack([*around, np.ones(rows * cols)])
-    gram = x.T @ x + ridge * np.eye(x.shape[1])
-    ys = [fine[(reach * factor + a) :: factor, (reach * factor + b) :: factor][:rows, :cols].ravel() for a in range(factor) for b in range(factor)]
-    return np.stack([np.linalg.solve(gram, x.T @ y) for y in ys])
+def choose_blocks(z: np.ndarray, side: int, apart: int, count: int, seed: list[int], window: int, grid: int = 8, margin: int = 8) -> list[tuple[int, int, int, float]]:
+    """(row, col, stratum, relief) of blocks: candidates lie on a grid where a window around them fits.
+
+    Relief is the range of heights in the block and `margin` cells around it, its thirds are strata,
+    and each gives a third of the blocks in a seeded order; what keeping `apart` costs one of them
+    the others make up.
+    """
+    reach = window // 2 - side // 2
+    rows, cols = (np.arange(reach, n - reach - side, grid) for n in z.shape)
+    places = np.stack(np.meshgrid(rows, cols, indexing="ij"), -1).reshape(-1, 2)
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(z, margin, mode="edge"), (side + 2 * margin,) * 2)
+    seen = around[places[:, 0], places[:, 1]]
+    relief = seen.max((1, 2)) - seen.min((1, 2))
+    stratum = np.searchsorted(np.quantile(relief, [1 / 3, 2 / 3]), relief, "right")
+    rng, taken = np.random.default_rng(seed), np.zeros(0, int)
+    shares = [(np.nonzero(stratum == s)[0], (count + 2 - s) // 3) for s in range(3)]
+    for pool, share in [*shares, (np.arange(len(places)), count)]:
+        goal = min(count, len(taken) + share)
+        for k in rng.permutation(pool):
+            if len(taken) < goal and (np.abs(places[taken] - places[k]).max(1, initial=0) >= apart).all():
+                taken = np.append(taken, k)
+    return [(int(places[k, 0]), int(places[k, 1]), int(stratum[k]), float(relief[k])) for k in taken]
+
+
+def _near(coarse: np.ndarray, reach: int) -> np.ndarray:
+    """The neighbourhood of every coarse node, mirrored at the edges: (rows, cols, k, k)."""
+    return np.lib.stride_tricks.sliding_window_view(np.pad(coarse, reach, mode="reflect"), (2 * reach + 1,) * 2)
+
+
+def phase_sums(coarse: np.ndarray, fine: np.ndarray, factor: int, reach: int = 1) -> np.ndarray:
+    """For each phase the sums that a fit needs, of neighbourhoods and targets less the neighbourhood's
+    mean: (factor, factor, k * k, k * k + 1). Sums of several fields add up."""
+    k2, out = (2 * reach + 1) ** 2, np.zeros((factor, factor, (2 * reach + 1) ** 2, (2 * reach + 1) ** 2 + 1))
+    near = _near(coarse.astype(np.float64), reach)
+    for a in range(factor):
+        for b in range(factor):
+            t = fine[a::factor, b::factor]
+            x = near[: t.shape[0], : t.shape[1]].reshape(-1, k2)
+            mean = x.mean(1, keepdims=True)
+            both = np.column_stack([x, t[: near.shape[0], : near.shape[1]].ravel()]) - mean
+            out[a, b] = both[:, :-1].T @ both
+    return out
+
+
+def phase_kernels(sums: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
+    """Kernels (factor, factor, k * k) that add up to one, by least squares."""
+    k2 = sums.shape[2]
+    gram, right = sums[..., :k2], sums[..., k2:]
+    hold = ridge * np.trace(gram, axis1=2, axis2=3)[..., None, None] / k2 * np.eye(k2)
+    w = np.linalg.solve(gram + hold, right)[..., 0]
+    return w + (1 - w.sum(-1, keepdims=True)) / k2
+
+
+def brought_up(coarse: np.ndarray, kernels: np.ndarray, reach: int = 1) -> np.ndarray:
+    """The fine field of (n - 1) * factor + 1 nodes a side that the kernels give."""
+    factor = kernels.shape[0]
+    out = np.zeros([(n - 1) * factor + 1 for n in coarse.shape])
+    near = _near(coarse.astype(np.float64), reach).reshape(*coarse.shape, -1)
+    for a in range(factor):
+        for b in range(factor):
+            part = out[a::factor, b::factor]
+            part[:] = near[: part.shape[0], : part.shape[1]] @ kernels[a, b]
+    return out

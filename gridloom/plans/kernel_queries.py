@@ -131,10 +131,8 @@ def correction_sweep(spark, d):
             got, size, cells = coarse, 0, 0
             if radius is not None:
                 at = np.nonzero(hydro.dilated(ref, radius).ravel())[0]
-                blob = codecs.fix_bytes(at, np.rint((z - coarse).ravel()[at] / 0.01).astype(np.int64), 0.01)
-                where, v, q = codecs.fix_values(blob)
-                got = coarse.copy()
-                got.flat[where] += v * q
+                blob = codecs.Corrections.of(at, np.rint((z - coarse).ravel()[at] / 0.01), 0.01).to_bytes()
+                got = codecs.Corrections.from_bytes(blob).applied(coarse)
                 size, cells = len(blob), len(at)
             rows.append((k, -1 if radius is None else radius, cells, size, hydro.jaccard(ref, hydro.route(got)["upstream"] >= 8)))
         return pd.DataFrame(rows, columns=["region", "radius", "cells", "bytes", "jaccard"])
@@ -188,20 +186,28 @@ def hole_infill(spark, d):
 @query("block_choice")
 def block_choice(spark, d):
     def one(k: int, z: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame([(k, s, r, c) for s, r, c in recon.choose_blocks(z, 8, 16, 3)], columns=["region", "stratum", "row", "col"])
+        return pd.DataFrame([(k, *b) for b in recon.choose_blocks(z, 8, 16, 6, [20261004, 8, k], 24)], columns=["region", "row", "col", "stratum", "relief"])
 
-    return per_field(lattice(spark, d), one, "region bigint, stratum int, row int, col int")
+    return per_field(lattice(spark, d), one, "region bigint, row int, col int, stratum int, relief double").withColumn("relief", rounded("relief"))
 
 
 @query("phase_kernels")
 def phase_kernels(spark, d):
-    """Weights that bring a decimated field up by two, fitted for each phase, and their error."""
+    """Weights that bring decimated fields up by two, fitted for each phase over all fields: a field
+    gives its sums, these are added, and a row a phase is solved."""
 
-    def one(k: int, z: np.ndarray) -> pd.DataFrame:
-        w = recon.phase_kernels(z[::2, ::2], z, 2)
-        return pd.DataFrame([(k, p, [round(float(x), 6) + 0.0 for x in row]) for p, row in enumerate(w)], columns=["region", "phase", "weights"])
+    def sums(k: int, z: np.ndarray) -> pd.DataFrame:
+        own = recon.phase_sums(z[::2, ::2], z, 2)
+        at = np.indices(own.shape).reshape(4, -1)
+        return pd.DataFrame({"a": at[0], "b": at[1], "i": at[2], "j": at[3], "s": own.ravel()})
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros((1, 1, 9, 10))
+        own[0, 0, pdf["i"], pdf["j"]] = pdf["s"]
+        return pd.DataFrame([(int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0]), [round(float(x), 6) + 0.0 for x in recon.phase_kernels(own)[0, 0]])], columns=["a", "b", "weights"])
 
-    return per_field(lattice(spark, d), one, "region bigint, phase int, weights array<double>")
+    held = per_field(lattice(spark, d), sums, "a int, b int, i int, j int, s double").groupBy("a", "b", "i", "j").agg(F.sum("s").alias("s"))
+    return held.groupBy("a", "b").applyInPandas(solve, "a int, b int, weights array<double>")  # ninety sums a phase
 
 
 @query("landscape_step")

@@ -119,12 +119,15 @@ def test_multilevel_holds_its_bound(rough, bound):
 def test_corrections_come_back():
     rng = np.random.default_rng(1)
     cells, codes = rng.choice(1000, 80, replace=False), rng.integers(-900, 900, 80)
-    at, v, q = codecs.fix_values(codecs.fix_bytes(cells, codes, 0.01))
+    blob = codecs.Corrections.of(cells, codes, 0.01).to_bytes()
+    back = codecs.Corrections.from_bytes(blob)
     order = np.argsort(cells)
-    assert at.tolist() == cells[order].tolist() and v.tolist() == codes[order].tolist() and q == 0.01
-    with pytest.raises(ValueError):
-        codecs.fix_values(b"XXXX")
-    assert len(codecs.fix_values(codecs.fix_bytes(np.array([], int), np.array([], int), 1.0))[0]) == 0
+    assert back.cells.tolist() == cells[order].tolist() and back.codes.tolist() == codes[order].tolist() and back.quantum == 0.01
+    for bad in (b"XXXX", b"XXXX" + blob[4:], blob[:-2], blob + b"x" if blob[16] == 0 else blob[:-1], blob[:16] + b"\x07" + blob[17:]):
+        with pytest.raises(ValueError):
+            codecs.Corrections.from_bytes(bad)
+    assert len(codecs.Corrections.from_bytes(codecs.Corrections.of(np.array([], int), np.array([], int), 1.0).to_bytes()).cells) == 0
+    assert codecs.Corrections.of(np.array([3]), np.array([-2]), 0.5).applied(np.zeros((2, 2))).tolist() == [[0, 0], [0, -1]]
 
 
 def test_kriging_is_exact_and_keeps_planes():
@@ -153,17 +156,31 @@ def test_thin_plate_follows_samples():
 
 
 def test_blocks_keep_apart():
-    z = np.random.default_rng(5).normal(size=(64, 64))
-    got = recon.choose_blocks(z, 8, 16, 3)
-    assert got and all(max(abs(a[1] - b[1]), abs(a[2] - b[2])) >= 16 for i, a in enumerate(got) for b in got[:i])
-    assert all(sum(s == k for s, *_ in got) <= 3 for k in range(3))
+    z = np.random.default_rng(5).normal(size=(120, 120)) * np.linspace(1, 9, 120)
+    got = recon.choose_blocks(z, 8, 16, 12, [1, 8], 24)
+    assert len(got) == 12 and got == recon.choose_blocks(z, 8, 16, 12, [1, 8], 24) != recon.choose_blocks(z, 8, 16, 12, [2, 8], 24)
+    assert all(max(abs(a[0] - b[0]), abs(a[1] - b[1])) >= 16 for i, a in enumerate(got) for b in got[:i])
+    assert all(sum(b[2] == s for b in got) >= 4 for s in range(3)) and all(8 <= v <= 120 - 8 - 8 - 1 and v % 8 == 0 for b in got for v in b[:2])
+    for r, c, _, relief in got:
+        part = z[max(0, r - 8) : r + 16, max(0, c - 8) : c + 16]
+        assert relief == part.max() - part.min()
+    few = recon.choose_blocks(z, 8, 60, 12, [1, 8], 24)  # keeping so far apart leaves four at most
+    assert 1 <= len(few) <= 4
 
 
 def test_phase_kernels_learn_bilinear():
     rng = np.random.default_rng(2)
-    fine = np.cumsum(rng.normal(size=(40, 40)), 0)
-    w = recon.phase_kernels(fine[::2, ::2], fine, 2)
-    assert w.shape == (4, 10) and abs(w[0][4] - 1) < 1e-3
+    rough = rng.normal(size=(20, 20)).cumsum(0)
+    mid = lambda x: np.insert(x, slice(1, None), (x[:-1] + x[1:]) / 2, axis=0)
+    fine = mid(mid(rough).T).T
+    sums = recon.phase_sums(rough, fine, 2)
+    w = recon.phase_kernels(sums)
+    assert w.shape == (2, 2, 9) and np.allclose(w.sum(-1), 1)
+    assert np.allclose(w[0, 0], np.eye(9)[4], atol=1e-4) and np.allclose(w[0, 1], (np.eye(9)[4] + np.eye(9)[5]) / 2, atol=1e-4)
+    assert np.allclose(recon.brought_up(rough, w), fine, atol=1e-3)
+    x = np.lib.stride_tricks.sliding_window_view(np.pad(rough, 1, mode="reflect"), (3, 3))[:19, :19].reshape(-1, 9)
+    t = fine[1::2, 1::2].ravel() - x.mean(1)
+    assert np.allclose(sums[1, 1], (x - x.mean(1)[:, None]).T @ np.column_stack([x - x.mean(1)[:, None], t]))
 
 
 @pytest.mark.parametrize("boundary", ["closed", "periodic"])
@@ -184,8 +201,80 @@ def test_sine_decays():
 
 
 def test_evolution_ledger_closes():
-    z, ledger = physics.evolve(physics.terrain(17, 1, relief=2.0), 5.0, 2.0, 0.1, 0.02, 0.05)
+    start = physics.terrain(17, 1, relief=2.0)
+    z, ledger = physics.evolve(start, 5.0, 2.0, 0.1, 0.02, 0.05)
     assert [r["dt"] for r in ledger] == [2.0, 2.0, 1.0] and physics.closes(ledger) and np.isfinite(z).all()
+    edge = hydro.border(z.shape)
+    assert np.array_equal(z[edge], start[edge])
+    closed, ledger = physics.evolve(start, 4.0, 2.0, 0.1, 0.0, 0.05, base=None)
+    assert closed.mean() == pytest.approx(start.mean() + 0.4) and physics.closes(ledger)
+    with pytest.raises(ValueError):
+        physics.evolve(start, 5.0, 6.0, 0.1, 0.02, 0.05)
+
+
+def test_a_step_by_hand():
+    """A pit: incision follows the filled surface, diffusion the surface itself, both as at the start."""
+    z = np.array([[5.0, 5, 5, 5], [5, 1, 4, 5], [5, 5, 3, 2], [5, 5, 5, 5]])
+    fill = hydro.filled(z)
+    after, _ = physics.evolve(z, 0.5, 0.5, 0.2, 0.3, 0.1, m=0.5, n=2.0)
+    to, up = hydro.receivers(fill), hydro.route(z)["upstream"]
+    for r, c in ((1, 1), (1, 2), (2, 1), (2, 2)):
+        i, j = divmod(int(to[r, c]), 4)
+        drop = fill[r, c] - fill[i, j]
+        cut = min(0.3 * up[r, c] ** 0.5 * (drop / math.hypot(r - i, c - j)) ** 2 * 0.5, drop)
+        lap = z[r - 1, c] + z[r + 1, c] + z[r, c - 1] + z[r, c + 1] - 4 * z[r, c]
+        assert after[r, c] == pytest.approx(z[r, c] + 0.1 - cut + 0.1 * lap * 0.5)
+
+
+@pytest.mark.parametrize(("years", "dt", "want"), [(1000, 400, [400, 400, 200]), (1200, 400, [400] * 3), (0.3, 0.1, [0.1] * 3), (0, 5, []), (1, 5, [1])])
+def test_steps_add_up(years, dt, want):
+    assert physics.steps(years, dt) == want
+
+
+def plain_fill(z, seeds, lift):
+    """The textbook flood: always the lowest cell reached so far, one at a time."""
+    out, done = z.astype(float).copy(), seeds.copy()
+    open_ = sorted((out[i, j], i, j) for i, j in zip(*np.nonzero(seeds), strict=True))
+    while open_:
+        level, i, j = open_.pop(0)
+        for a, b in hydro.NEIGHBOURS:
+            r, c = i + a, j + b
+            if 0 <= r < z.shape[0] and 0 <= c < z.shape[1] and not done[r, c]:
+                done[r, c] = True
+                out[r, c] = max(out[r, c], level + lift) if out[r, c] <= level else out[r, c]
+                open_ = sorted([*open_, (out[r, c], r, c)])
+    return out
+
+
+@pytest.mark.parametrize("kind", ["edges", "holes", "lowest"])
+def test_fronts_equal_the_flood(kind):
+    rng = np.random.default_rng(6)
+    for k in range(12):
+        z = np.round(rng.normal(size=(9, 11)).cumsum(k % 2), 1)
+        seeds = hydro.lowest_edge(z) if kind == "lowest" else hydro.border(z.shape)
+        if kind == "holes":
+            seeds[4:6, 3:6] = True
+            z[4:6, 3:6] = -1000
+        assert np.array_equal(hydro.filled(z, 1e-6, seeds), plain_fill(z, seeds, 1e-6))
+
+
+def test_holes_take_water():
+    """Cells without a height lie below all others, are outlets, and go with the edges policy alone."""
+    z = np.add.outer(np.abs(np.arange(20.0) - 10), np.abs(np.arange(20.0) - 10))
+    holes = np.zeros(z.shape, bool)
+    holes[9:12, 9:12] = True
+    z[holes] = np.nan
+    r = hydro.route(z, holes=holes)
+    into = np.isin(r["receiver"], np.nonzero(holes.ravel())[0])
+    assert into.sum() == 16 and np.isfinite(r["fill"]).all() and (r["fill"][holes] == z[~holes].min() - 1000).all()
+    assert r["upstream"][holes].sum() == z.size - r["upstream"][(r["receiver"] < 0) & ~holes].sum()
+    for policy in ("lowest-edge", "nowhere"):
+        with pytest.raises(ValueError):
+            hydro.route(z, policy=policy, holes=holes)
+
+
+def test_standing_chains():
+    assert inference._rhat(np.ones((3, 8))) == 1 and inference._rhat(np.repeat([[1.0], [2.0]], 8, 1)) == float("inf")
 
 
 def test_diagnostics():

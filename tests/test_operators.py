@@ -65,9 +65,9 @@ def test_accumulation_and_outlets_equal_kernel(spark, rough):
     edges = flow.receivers(cells_of(spark, z), 17)
     to = hydro.receivers(z)
     up = {r.cell: r.upstream for r in flow.accumulation(edges).collect()}
-    assert up == dict(enumerate(hydro.accumulated(z, to).ravel().tolist()))
+    assert up == dict(enumerate(hydro.Drainage(to).upstream().ravel().tolist()))
     out = {r.cell: r.outlet for r in flow.outlets(edges).collect()}
-    assert out == dict(enumerate(hydro.outlets(to).ravel().tolist()))
+    assert out == dict(enumerate(hydro.Drainage(to).outlet.ravel().tolist()))
 
 
 def test_ties_go_to_the_first_offset(spark):
