@@ -25,24 +25,25 @@ def krige(xy: np.ndarray, z: np.ndarray, at: np.ndarray, sill: float, reach: flo
 
 
 def fill_holes(z: np.ndarray, order: int = 1) -> np.ndarray:
-    """NaN nodes replaced by the harmonic (order 1) or biharmonic (order 2) surface through the others."""
-    rows, cols = z.shape
-    n = z.size
-    lap = np.zeros((n, n))
-    cell = np.arange(n).reshape(z.shape)
-    for a, b in ((0, 1), (1, 0)):
-        p, q = cell[: rows - a, : cols - b].ravel(), cell[a:, b:].ravel()
-        lap[p, q] -= 1
-        lap[q, p] -= 1
+    """NaN nodes replaced by the harmonic (order 1) or biharmonic (order 2) surface through the others.
+    Only what lies within three nodes of a hole's box matters, so only that is solved."""
+    out = z.astype(np.float64)
+    if not (holes := np.isnan(out)).any():
+        return out
+    box = tuple(slice(max(0, at.min() - 3), at.max() + 4) for at in np.nonzero(holes))
+    part, hole = out[box], holes[box].ravel()
+    cell = np.arange(part.size).reshape(part.shape)
+    pairs = np.concatenate([np.stack([cell[:, :-1].ravel(), cell[:, 1:].ravel()]), np.stack([cell[:-1].ravel(), cell[1:].ravel()])], 1)
+    lap = np.zeros((part.size, part.size))
+    for p, q in (pairs, pairs[::-1]):
         np.add.at(lap, (p, p), 1)
-        np.add.at(lap, (q, q), 1)
-    m = lap if order == 1 else lap @ lap
-    hole = np.isnan(z).ravel()
-    if not hole.any():
-        return z.copy()
-    out = z.ravel().copy()
-    out[hole] = np.linalg.solve(m[np.ix_(hole, hole)], -m[np.ix_(hole, ~hole)] @ out[~hole])
-    return out.reshape(z.shape)
+        lap[p, q] -= 1
+    rows = lap[hole] if order == 1 else lap[hole] @ lap
+    known = np.where(hole, 0.0, part.ravel())
+    solved = known.copy()
+    solved[hole] = np.linalg.solve(rows[:, hole], -rows @ known)
+    out[box] = solved.reshape(part.shape)
+    return out
 
 
 def _bilaplacian(u: np.ndarray) -> np.ndarray:

@@ -9,22 +9,55 @@ from __future__ import annotations
 import math
 import tempfile
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hydro
+from ..functions.dense import dense
 from .stencils import NEIGHBOURS, along_col, along_row, offsets
 
 NO_RECEIVER = -1
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df behind a checkpoint in the folder that the cluster shares; a local one only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where all of them are one process."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='gridloom-')}")
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='gridloom-')}")
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df behind a checkpoint in that folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def traced(cells: DataFrame, side: int, values: tuple[str, ...] = ("z",)) -> DataFrame:
+    """cells (region, row, col, the values) with `cell` and, for each value v, v_receiver, v_outlet and
+    v_upstream: a field is one task, all surfaces of it together. For fields that a task can hold;
+    the functions below do the same on edges for larger ones."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[["region", "row", "col", *values]].copy()
+        at = (pdf["row"].to_numpy(), pdf["col"].to_numpy())
+        out["cell"] = at[0] * side + at[1]
+        for v in values:
+            to = hydro.receivers(dense(pdf, v))
+            paths = hydro.Drainage(to)
+            for name, held in (("receiver", to), ("outlet", paths.outlet.reshape(to.shape)), ("upstream", paths.upstream())):
+                out[f"{v}_{name}"] = held[at]
+        return out
+
+    made = ", ".join(f"{v}_receiver int, {v}_outlet int, {v}_upstream bigint" for v in values)
+    schema = f"region bigint, row int, col int, {', '.join(f'{v} double' for v in values)}, cell int, {made}"
+    return cells.select("region", "row", "col", *values).groupBy("region").applyInPandas(one, schema)
+
+
 def receivers(cells: DataFrame, side: int, spacing: float = 1.0, value: str = "z") -> DataFrame:
     """cells with `cell` and `receiver`: the neighbour with the steepest drop a metre, the first in the
     fixed order on a tie, -1 where nothing is lower. Neighbours come from two windows, not a join."""

@@ -98,17 +98,22 @@ def folded(cells: DataFrame, share: float, label: str = "label") -> DataFrame:
     return cells.join(codes, label, "left").withColumn("code", F.coalesce("code", F.lit(0)))
 
 
+#: Rows of cells that meet the same edges.
+BAND = 16
+
+
 def rasterised(cells: DataFrame, edges: DataFrame, x: Column, y: Column) -> DataFrame:
     """cells with the last shape (shape, label, x0, y0, x1, y1 an edge) that holds (x, y); 0 if none.
 
-    Even-odd rule on crossings of a ray; each shape's box limits the cells that meet its edges.
+    Even-odd rule on crossings of a ray. Only places count, not regions, so each place is looked at
+    once; it meets the edges of its band of rows by equality, then those that its ray can cross.
     """
-    at = cells.withColumns({"__x": x, "__y": y})
-    boxes = edges.groupBy("shape").agg(F.min("x0").alias("bx0"), F.max("x0").alias("bx1"), F.min("y0").alias("by0"), F.max("y0").alias("by1"))
-    near = edges.join(boxes, "shape")
+    at = cells.select("row", "col", x.alias("__x"), y.alias("__y")).distinct().withColumn("__band", F.floor(F.col("__y") / BAND))
+    spans = F.sequence(F.floor(F.least("y0", "y1") / BAND), F.floor(F.greatest("y0", "y1") / BAND))
+    near = edges.withColumn("__band", F.explode(spans))
     rising = (F.col("y0") > F.col("__y")) != (F.col("y1") > F.col("__y"))
     cut = F.col("x0") + (F.col("__y") - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
-    hit = at.join(near, F.col("__x").between(F.col("bx0"), F.col("bx1")) & F.col("__y").between(F.col("by0"), F.col("by1")) & rising & (F.col("__x") < cut))
-    inside = hit.groupBy("region", "row", "col", "shape", "label").agg(F.count("*").alias("n")).where("n % 2 = 1")
-    last = inside.groupBy("region", "row", "col").agg(F.max(F.struct("shape", "label")).alias("b")).select("region", "row", "col", F.col("b.label").alias("label"))
-    return cells.join(last, ["region", "row", "col"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    hit = at.join(near, "__band").where(rising & (F.col("__x") < cut))
+    inside = hit.groupBy("row", "col", "shape", "label").agg(F.count("*").alias("n")).where("n % 2 = 1")
+    last = inside.groupBy("row", "col").agg(F.max(F.struct("shape", "label")).alias("b")).select("row", "col", F.col("b.label").alias("label"))
+    return cells.join(last, ["row", "col"], "left").withColumn("label", F.coalesce("label", F.lit(0)))

@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded, slope_class, varint_bytes, zigzag
 from ..operators import masks, metrics, resample, stencils
-from ..sources.tables import ESTIMATE_SQL, LATTICE_SQL, SIDE, STEP, estimate, lattice, read
-from .pages import Box, cover, paged, window, with_pages
+from ..sources.tables import ESTIMATE_SQL, LATTICE_SQL, NODES_SQL, SIDE, STEP, estimate, lattice, nodes, read
+from .pages import Box, cover, window, with_pages
+from .stored import stored
 from .catalog import query
 
 BOX = Box(10, 25, 20, 35)
 L, E = f"WITH {LATTICE_SQL}", f"WITH {LATTICE_SQL}, {ESTIMATE_SQL}"
 WINDOWS = [(1, 0, 15, 0, 15), (2, 10, 25, 20, 35), (3, 30, 32, 5, 40), (4, 63, 63, 0, 63), (5, 8, 16, 8, 16)]
 WINDOWS_SQL = "W(id, r0, r1, c0, c1) AS (VALUES " + ", ".join(map(str, WINDOWS)) + ")"
-CROPPED = "F33 AS (SELECT * FROM L WHERE row <= 32 AND col <= 32)"
-HELD = """H AS (SELECT region, y, x, row, col, z FROM F33, range(0, 4) AS a(y), range(0, 4) AS b(x)
+HELD = """H AS (SELECT region, y, x, row, col, z FROM LN, range(0, 8) AS a(y), range(0, 8) AS b(x)
  WHERE row BETWEEN y * 8 AND y * 8 + 8 AND col BETWEEN x * 8 AND x * 8 + 8)"""
 NEIGH = """N AS (SELECT *, lag(z) OVER (PARTITION BY region, row ORDER BY col) AS w, lead(z) OVER (PARTITION BY region, row ORDER BY col) AS e,
  lag(z) OVER (PARTITION BY region, col ORDER BY row) AS n, lead(z) OVER (PARTITION BY region, col ORDER BY row) AS s FROM L)"""
@@ -29,14 +29,11 @@ def _windows(spark):
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(id, r0, r1, c0, c1)")
 
 
-def _cropped(spark, d):
-    return lattice(spark, d).where("row <= 32 AND col <= 32")
-
-
 @query("window_query", f"{L} SELECT region, row, col, z FROM L WHERE row BETWEEN 10 AND 25 AND col BETWEEN 20 AND 35")
 def window_query(spark, d):
-    """A window from the pages that it needs: 9 of the 64 pages of 8 by 8 intervals are unpacked."""
-    return window(paged(lattice(spark, d).where("row <= 32 AND col <= 40"), 8, SIDE - 1), BOX, 8, 8)
+    """A window from stored pages: 9 of the 64 pages of a field are read and unpacked, by partition
+    folder and row group."""
+    return window(stored(spark, d), BOX, 8, 8)
 
 
 @query("point_lookup", f"{L} SELECT o_orderkey AS id, region, row, col, z FROM orders JOIN L ON row = o_orderkey % 64 AND col = o_custkey % 64")
@@ -98,9 +95,9 @@ def page_useful_samples(spark, d):
     return cover(_windows(spark), 8).select("id", "y", "x", (shared("r0", "r1", "y") * shared("c0", "c1", "x")).alias("useful"))
 
 
-@query("page_stats", f"{L}, {CROPPED}, {HELD} SELECT region, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, count(*) AS nodes, min(z) AS low, max(z) AS high FROM H GROUP BY ALL")
+@query("page_stats", f"{L}, {NODES_SQL}, {HELD} SELECT region, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, count(*) AS nodes, min(z) AS low, max(z) AS high FROM H GROUP BY ALL")
 def page_stats(spark, d):
-    held = with_pages(_cropped(spark, d), 8, 32)
+    held = with_pages(nodes(spark, d), 8, SIDE)
     return held.groupBy("region", "y", "x").agg(F.count("*").alias("nodes"), F.min("z").alias("low"), F.max("z").alias("high"))
 
 
@@ -109,7 +106,7 @@ _BOUNDS = "B AS (SELECT region, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x
 
 @query(
     "compact_bounds",
-    f"""{L}, {CROPPED}, {HELD}, {_BOUNDS} SELECT region, y, x, floor(low / 0.01::DOUBLE) * 0.01::DOUBLE AS low_q, ceil(high / 0.01::DOUBLE) * 0.01::DOUBLE AS high_q,
+    f"""{L}, {NODES_SQL}, {HELD}, {_BOUNDS} SELECT region, y, x, floor(low / 0.01::DOUBLE) * 0.01::DOUBLE AS low_q, ceil(high / 0.01::DOUBLE) * 0.01::DOUBLE AS high_q,
     round(greatest(low - floor(low / 0.01::DOUBLE) * 0.01::DOUBLE, ceil(high / 0.01::DOUBLE) * 0.01::DOUBLE - high), 9) + 0.0 AS loosened FROM B""",
 )
 def compact_bounds(spark, d):
@@ -119,7 +116,7 @@ def compact_bounds(spark, d):
     return b.select("region", "y", "x", "low_q", "high_q", rounded(F.greatest(F.col("low") - F.col("low_q"), F.col("high_q") - F.col("high")), 9).alias("loosened"))
 
 
-@query("zone_map_prune", f"{L}, {CROPPED}, {HELD}, {_BOUNDS} SELECT region, y, x FROM B WHERE low <= -0.3 AND high >= 0.3")
+@query("zone_map_prune", f"{L}, {NODES_SQL}, {HELD}, {_BOUNDS} SELECT region, y, x FROM B WHERE low <= -0.3 AND high >= 0.3")
 def zone_map_prune(spark, d):
     return page_stats(spark, d).where("low <= -0.3 AND high >= 0.3").select("region", "y", "x")
 
@@ -261,7 +258,7 @@ def smooth_decimate(spark, d):
     return stencils.smooth_decimate(lattice(spark, d), SIDE).select("region", "row", "col", rounded("z", 9).alias("z"))
 
 
-_TRAP, _UP, _GAUSS = resample.weights("trapezoid", 61, 4), resample.weights("bilinear", 61, 4), resample.weights("gaussian", 61, 4)
+_TRAP, _UP, _GAUSS = resample.weights("trapezoid", SIDE + 1, 4), resample.weights("bilinear", SIDE + 1, 4), resample.weights("gaussian", SIDE + 1, 4)
 
 
 def _apply_sql(name: str, src: str, axis: str) -> str:
@@ -269,34 +266,29 @@ def _apply_sql(name: str, src: str, axis: str) -> str:
  {name} AS (SELECT region, row, o AS col, sum(w * z) AS z FROM {name}1 JOIN {axis} ON col = s GROUP BY ALL)"""
 
 
-F61 = "F61 AS (SELECT * FROM L WHERE row < 61 AND col < 61)"
-_OBS = f"{L}, {F61}, {resample.sql_axis(_TRAP, 'WT')}, {_apply_sql('O', 'F61', 'WT')}"
-
-
-def _f61(spark, d):
-    return lattice(spark, d).where("row < 61 AND col < 61")
+_OBS = f"{L}, {NODES_SQL}, {resample.sql_axis(_TRAP, 'WT')}, {_apply_sql('O', 'LN', 'WT')}"
 
 
 @query("observe_trapezoid", f"{_OBS} SELECT region, row, col, round(z, 8) + 0.0 AS z FROM O")
 def observe_trapezoid(spark, d):
-    return resample.apply(_f61(spark, d), _TRAP).select("region", "row", "col", rounded("z", 8).alias("z"))
+    return resample.apply(nodes(spark, d), _TRAP).select("region", "row", "col", rounded("z", 8).alias("z"))
 
 
-@query("observe_gaussian", f"{L}, {F61}, {resample.sql_axis(_GAUSS, 'WG')}, {_apply_sql('O', 'F61', 'WG')} SELECT region, row, col, round(z, 8) + 0.0 AS z FROM O")
+@query("observe_gaussian", f"{L}, {NODES_SQL}, {resample.sql_axis(_GAUSS, 'WG')}, {_apply_sql('O', 'LN', 'WG')} SELECT region, row, col, round(z, 8) + 0.0 AS z FROM O")
 def observe_gaussian(spark, d):
-    return resample.apply(_f61(spark, d), _GAUSS).select("region", "row", "col", rounded("z", 8).alias("z"))
+    return resample.apply(nodes(spark, d), _GAUSS).select("region", "row", "col", rounded("z", 8).alias("z"))
 
 
-@query("upsample_bilinear", f"{L}, A0 AS (SELECT region, row // 4 AS row, col // 4 AS col, z FROM L WHERE row % 4 = 0 AND col % 4 = 0), {resample.sql_axis(_UP, 'WU')}, {_apply_sql('U', 'A0', 'WU')} SELECT region, row, col, round(z, 8) + 0.0 AS z FROM U")
+@query("upsample_bilinear", f"{L}, {NODES_SQL}, A0 AS (SELECT region, row // 4 AS row, col // 4 AS col, z FROM LN WHERE row % 4 = 0 AND col % 4 = 0), {resample.sql_axis(_UP, 'WU')}, {_apply_sql('U', 'A0', 'WU')} SELECT region, row, col, round(z, 8) + 0.0 AS z FROM U")
 def upsample_bilinear(spark, d):
-    coarse = lattice(spark, d).where("row % 4 = 0 AND col % 4 = 0").select("region", (F.col("row") / 4).cast("int").alias("row"), (F.col("col") / 4).cast("int").alias("col"), "z")
+    coarse = nodes(spark, d).where("row % 4 = 0 AND col % 4 = 0").select("region", (F.col("row") / 4).cast("int").alias("row"), (F.col("col") / 4).cast("int").alias("col"), "z")
     return resample.apply(coarse, _UP).select("region", "row", "col", rounded("z", 8).alias("z"))
 
 
 @query("operator_consistency", f"{_OBS}, {resample.sql_axis(_UP, 'WU')}, {_apply_sql('U', 'O', 'WU')}, {_apply_sql('R', 'U', 'WT')} SELECT O.region, round(max(abs(R.z - O.z)), 7) + 0.0 AS worst, round(avg(abs(R.z - O.z)), 7) + 0.0 AS mean FROM O JOIN R USING (region, row, col) GROUP BY ALL")
 def operator_consistency(spark, d):
     """How far a field brought up again is from what was observed."""
-    seen = resample.apply(_f61(spark, d), _TRAP)
+    seen = resample.apply(nodes(spark, d), _TRAP)
     again = resample.apply(resample.apply(seen, _UP), _TRAP).withColumnRenamed("z", "r")
     diff = F.abs(F.col("r") - F.col("z"))
     return seen.join(again, ["region", "row", "col"]).groupBy("region").agg(rounded(F.max(diff), 7).alias("worst"), rounded(F.avg(diff), 7).alias("mean"))
@@ -305,7 +297,7 @@ def operator_consistency(spark, d):
 @query("back_projection", f"{_OBS}, {resample.sql_axis(_UP, 'WU')}, {_apply_sql('U', 'O', 'WU')}, {_apply_sql('R', 'U', 'WT')}, D AS (SELECT O.region, O.row, O.col, O.z - R.z AS z FROM O JOIN R USING (region, row, col)), {_apply_sql('V', 'D', 'WU')} SELECT region, row, col, round(U.z + V.z, 7) + 0.0 AS z FROM U JOIN V USING (region, row, col)")
 def back_projection(spark, d):
     """One step of back-projection: the residual of what was observed is brought up and added."""
-    seen = resample.apply(_f61(spark, d), _TRAP)
+    seen = resample.apply(nodes(spark, d), _TRAP)
     up = resample.apply(seen, _UP)
     back = resample.apply(up, _TRAP).withColumnRenamed("z", "r")
     rest = seen.join(back, ["region", "row", "col"]).select("region", "row", "col", (F.col("z") - F.col("r")).alias("z"))
@@ -331,21 +323,21 @@ def twist_slack(spark, d):
     return stencils.twist(lattice(spark, d)).groupBy("region").agg(rounded(F.max("twist"), 9).alias("slack"), rounded(F.avg("twist"), 9).alias("mean"))
 
 
-_UP2 = resample.weights("bilinear", 61, 2)
-_C61 = "C61 AS (SELECT region, row // 2 AS row, col // 2 AS col, z FROM F61 WHERE row % 2 = 0 AND col % 2 = 0)"
+_UP2 = resample.weights("bilinear", SIDE + 1, 2)
+_HALF = "C2 AS (SELECT region, row // 2 AS row, col // 2 AS col, z FROM LN WHERE row % 2 = 0 AND col % 2 = 0)"
 
 
 @query(
     "seam_certificate",
-    f"""{L}, {F61}, {_C61}, {resample.sql_axis(_UP2, 'WU')}, {_apply_sql('U', 'C61', 'WU')},
-    G AS (SELECT F61.region, max(abs(F61.z - U.z)) AS gap FROM F61 JOIN U USING (region, row, col) GROUP BY ALL), {TWIST.replace('FROM L)', 'FROM F61)')},
+    f"""{L}, {NODES_SQL}, {_HALF}, {resample.sql_axis(_UP2, 'WU')}, {_apply_sql('U', 'C2', 'WU')},
+    G AS (SELECT LN.region, max(abs(LN.z - U.z)) AS gap FROM LN JOIN U USING (region, row, col) GROUP BY ALL), {TWIST.replace('FROM L)', 'FROM LN)')},
     T2 AS (SELECT region, max(twist) AS slack FROM TW GROUP BY region)
     SELECT region, round(gap, 8) + 0.0 AS gap, round(slack, 8) + 0.0 AS slack, round(gap + slack, 8) + 0.0 AS bound FROM G JOIN T2 USING (region)""",
 )
 def seam_certificate(spark, d):
     """A bound on the gap between neighbouring pages of two levels: the bilinear gap, and the slack
     that drawing squares as two triangles can add."""
-    fine = _f61(spark, d)
+    fine = nodes(spark, d)
     coarse = fine.where("row % 2 = 0 AND col % 2 = 0").select("region", (F.col("row") / 2).cast("int").alias("row"), (F.col("col") / 2).cast("int").alias("col"), "z")
     up = resample.apply(coarse, _UP2).withColumnRenamed("z", "u")
     gap = fine.join(up, ["region", "row", "col"]).groupBy("region").agg(F.max(F.abs(F.col("z") - F.col("u"))).alias("gap"))
@@ -445,9 +437,10 @@ _EDGE_ROWS = ", ".join(f"({s}, {v}, {a}D, {b}D, {c}D, {e}D)" for s, v, a, b, c,
 @query(
     "rasterise_polygons",
     f"""{L}, P(shape, label, x0, y0, x1, y1) AS (VALUES {_EDGE_ROWS.replace("D", "::DOUBLE")}),
-    X AS (SELECT region, row, col, shape, label FROM L JOIN P ON (y0 > row + 0.5) <> (y1 > row + 0.5) AND col + 0.5 < x0 + (row + 0.5 - y0) / (y1 - y0) * (x1 - x0) GROUP BY ALL HAVING count(*) % 2 = 1),
-    Y AS (SELECT region, row, col, max_by(label, shape) AS label FROM X GROUP BY ALL)
-    SELECT region, row, col, coalesce(label, 0) AS label FROM L LEFT JOIN Y USING (region, row, col)""",
+    G AS (SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col FROM range(0, 64) p(r), range(0, 64) q(c)),
+    X AS (SELECT row, col, shape, label FROM G, P WHERE (y0 > row + 0.5) <> (y1 > row + 0.5) AND col + 0.5 < x0 + (row + 0.5 - y0) / (y1 - y0) * (x1 - x0) GROUP BY ALL HAVING count(*) % 2 = 1),
+    Y AS (SELECT row, col, max_by(label, shape) AS label FROM X GROUP BY ALL)
+    SELECT region, row, col, coalesce(label, 0) AS label FROM L LEFT JOIN Y USING (row, col)""",
 )
 def rasterise_polygons(spark, d):
     edges = spark.sql(f"SELECT * FROM VALUES {_EDGE_ROWS} AS t(shape, label, x0, y0, x1, y1)")

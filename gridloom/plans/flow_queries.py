@@ -15,9 +15,9 @@ STREAM = 8
 
 
 def _joined(value: str, name: str) -> str:
-    return f"""{name}0 AS (SELECT a.region, a.row * 64 + a.col AS cell, k, b.row * 64 + b.col AS nb, (a.{value} - b.{value}) / sqrt(CAST(dr * dr + dc * dc AS DOUBLE)) AS fall
- FROM E a, (VALUES (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0, -1), (4, 0, 1), (5, 1, -1), (6, 1, 0), (7, 1, 1)) AS o(k, dr, dc), E b
- WHERE b.region = a.region AND b.row = a.row + dr AND b.col = a.col + dc AND a.{value} > b.{value}),
+    return f"""{name}N AS (SELECT region, row * 64 + col AS cell, {value} AS v, k, CAST(row + dr AS INTEGER) AS nrow, CAST(col + dc AS INTEGER) AS ncol, sqrt(CAST(dr * dr + dc * dc AS DOUBLE)) AS far
+ FROM E, (VALUES (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0, -1), (4, 0, 1), (5, 1, -1), (6, 1, 0), (7, 1, 1)) AS o(k, dr, dc)),
+ {name}0 AS (SELECT n.region, n.cell, k, E.row * 64 + E.col AS nb, (n.v - E.{value}) / far AS fall FROM {name}N n JOIN E ON E.region = n.region AND E.row = n.nrow AND E.col = n.ncol WHERE n.v > E.{value}),
  {name}1 AS (SELECT region, cell, arg_min(nb, (-fall, k)) AS receiver FROM {name}0 GROUP BY ALL),
  {name} AS (SELECT E.region, E.row * 64 + E.col AS cell, coalesce(receiver, -1) AS receiver FROM E LEFT JOIN {name}1 ON E.region = {name}1.region AND E.row * 64 + E.col = {name}1.cell)"""
 
@@ -48,30 +48,33 @@ def receiver_agreement(spark, d):
 
 @query("basins", f"{E}, {_RZ}, {_paths('RZ', 'PZ')}, {_ends('RZ', 'PZ', 'OZ')} SELECT region, CAST(cell AS INTEGER) AS cell, CAST(outlet AS INTEGER) AS outlet FROM OZ")
 def basins(spark, d):
-    return flow.outlets(flow.receivers(lattice(spark, d), SIDE)).select("region", "cell", "outlet")
+    return flow.traced(lattice(spark, d), SIDE).select("region", "cell", F.col("z_outlet").alias("outlet"))
 
 
 @query("basin_agreement", f"{E}, {_RZ}, {_paths('RZ', 'PZ')}, {_ends('RZ', 'PZ', 'OZ')}, {_RE}, {_paths('RE', 'PE')}, {_ends('RE', 'PE', 'OE')} SELECT OZ.region, count(DISTINCT OZ.outlet) AS reference, count(DISTINCT OE.outlet) AS estimate, round(avg(CASE WHEN OZ.outlet = OE.outlet THEN 1 ELSE 0 END), 6) + 0.0 AS same FROM OZ JOIN OE USING (region, cell) GROUP BY OZ.region")
 def basin_agreement(spark, d):
-    cells = estimate(lattice(spark, d)).withColumnRenamed("e", "q")
-    a = flow.outlets(flow.receivers(cells, SIDE))
-    b = flow.outlets(flow.receivers(cells, SIDE, value="q")).withColumnRenamed("outlet", "other")
-    same = rounded(F.avg((F.col("outlet") == F.col("other")).cast("int"))).alias("same")
-    return a.join(b, ["region", "cell"]).groupBy("region").agg(F.countDistinct("outlet").alias("reference"), F.countDistinct("other").alias("estimate"), same)
+    both = flow.traced(_surfaces(spark, d), SIDE, ("z", "q"))
+    same = rounded(F.avg((F.col("z_outlet") == F.col("q_outlet")).cast("int"))).alias("same")
+    return both.groupBy("region").agg(F.countDistinct("z_outlet").alias("reference"), F.countDistinct("q_outlet").alias("estimate"), same)
 
 
 @query("flow_accumulation", f"{E}, {_RZ}, {_paths('RZ', 'PZ')} SELECT region, CAST(cur AS INTEGER) AS cell, count(*) AS upstream FROM PZ GROUP BY ALL")
 def flow_accumulation(spark, d):
-    return flow.accumulation(flow.receivers(lattice(spark, d), SIDE)).select("region", "cell", "upstream")
+    return flow.traced(lattice(spark, d), SIDE).select("region", "cell", F.col("z_upstream").alias("upstream"))
 
 
 _STREAMS = f"SZ AS (SELECT region, cur AS cell FROM PZ GROUP BY ALL HAVING count(*) >= {STREAM}), SE AS (SELECT region, cur AS cell FROM PE GROUP BY ALL HAVING count(*) >= {STREAM})"
 
 
+def _surfaces(spark, d):
+    """The fields and what a uniform quantiser makes of them."""
+    return estimate(lattice(spark, d)).withColumnRenamed("e", "q")
+
+
 def _streams(spark, d):
-    cells = estimate(lattice(spark, d)).withColumnRenamed("e", "q")
-    pair = [flow.accumulation(flow.receivers(cells, SIDE, value=v)).where(f"upstream >= {STREAM}") for v in ("z", "q")]
-    return [p.select("region", (F.floor(F.col("cell") / SIDE)).cast("int").alias("row"), (F.col("cell") % SIDE).alias("col")) for p in pair]
+    """(region, row, col, a, b): the cells that are streams on either surface."""
+    both = flow.traced(_surfaces(spark, d), SIDE, ("z", "q"))
+    return both.select("region", "row", "col", (F.col("z_upstream") >= STREAM).alias("a"), (F.col("q_upstream") >= STREAM).alias("b")).where("a OR b")
 
 
 @query(
@@ -81,10 +84,7 @@ def _streams(spark, d):
     SELECT region, round(sum(a * b) / sum(greatest(a, b)), 6) + 0.0 AS jaccard, CASE WHEN sum(a) > 0 THEN round(sum(a * b) / sum(a), 6) + 0.0 END AS recall, CASE WHEN sum(b) > 0 THEN round(sum(a * b) / sum(b), 6) + 0.0 END AS precision FROM K GROUP BY region""",
 )
 def stream_overlap(spark, d):
-    a, b = _streams(spark, d)
-    both = a.withColumn("a", F.lit(True)).join(b.withColumn("b", F.lit(True)), ["region", "row", "col"], "full")
-    both = both.withColumns({c: F.coalesce(c, F.lit(False)) for c in "ab"})
-    return metrics.overlap(both, ["region"])
+    return metrics.overlap(_streams(spark, d), ["region"])
 
 
 @query(
@@ -95,7 +95,8 @@ def stream_overlap(spark, d):
     SELECT region, round(r, 6) + 0.0 AS recall, round(p, 6) + 0.0 AS precision, round(2 * r * p / (r + p), 6) + 0.0 AS f1 FROM A JOIN B USING (region)""",
 )
 def tolerant_streams(spark, d):
-    s = flow.tolerant_scores(*_streams(spark, d), SIDE)
+    both = _streams(spark, d)
+    s = flow.tolerant_scores(both.where("a"), both.where("b"), SIDE)
     return s.select("region", *(rounded(c).alias(c) for c in ("recall", "precision", "f1")))
 
 

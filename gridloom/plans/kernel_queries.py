@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, entropy, hydro, inference, physics, recon
 from ..functions.dense import dense, long, per_field
 from ..functions.scalar import rounded
-from ..sources.tables import SIDE, lattice, read
+from ..sources.tables import SIDE, lattice, nodes, read
 from .catalog import query
 
 
@@ -61,7 +61,7 @@ def drainage_sensitivity(spark, d):
 def _pages(spark, d) -> DataFrame:
     from .pages import paged
 
-    return paged(lattice(spark, d).where("row <= 32 AND col <= 32"), 8, 32)
+    return paged(nodes(spark, d), 8, SIDE)
 
 
 @query("codec_tournament")
@@ -104,7 +104,7 @@ def page_roundtrip(spark, d):
 
 @query("multilevel_bytes")
 def multilevel_bytes(spark, d):
-    """The multilevel coder on a field of 33 by 33: symbols, ideal and coded size, and the largest error after decoding."""
+    """The multilevel coder on a field of 65 by 65: symbols, ideal and coded size, and the largest error after decoding."""
 
     def one(k: int, z: np.ndarray) -> pd.DataFrame:
         rows = []
@@ -115,7 +115,7 @@ def multilevel_bytes(spark, d):
             rows.append((k, bound, len(codes), entropy.ideal_bits(codes, tables) / 8, len(blob), float(np.abs(back - z).max())))
         return pd.DataFrame(rows, columns=["region", "bound", "symbols", "ideal", "bytes", "most"])
 
-    out = per_field(lattice(spark, d).where("row <= 32 AND col <= 32"), one, "region bigint, bound double, symbols bigint, ideal double, bytes bigint, most double")
+    out = per_field(nodes(spark, d), one, "region bigint, bound double, symbols bigint, ideal double, bytes bigint, most double")
     return out.withColumns({"ideal": rounded("ideal", 3), "most": rounded("most", 7)})
 
 
@@ -173,7 +173,7 @@ def hole_infill(spark, d):
     """A hole in each field filled by the harmonic and the biharmonic surface."""
 
     def one(k: int, z: np.ndarray) -> pd.DataFrame:
-        z, rows = z[:24, :24].copy(), []
+        z, rows = z.copy(), []
         true = z[8:16, 8:16].copy()
         z[8:16, 8:16] = np.nan
         for order in (1, 2):

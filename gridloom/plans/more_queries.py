@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
 from ..operators import masks, resample, stencils
-from ..sources.tables import ESTIMATE_SQL, LATTICE_SQL, MEASUREMENTS_SQL, SIDE, estimate, lattice, measurements, read
+from ..sources.tables import ESTIMATE_SQL, LATTICE_SQL, MEASUREMENTS_SQL, NODES_SQL, SIDE, estimate, lattice, measurements, nodes, read
 from .catalog import query
-from .field_queries import F61, L, _apply_sql, _f61
+from .field_queries import L, _apply_sql
 
 E, M = f"WITH {LATTICE_SQL}, {ESTIMATE_SQL}", f"WITH {MEASUREMENTS_SQL}"
-_KEYS = resample.weights("keys", 61, 4)
+_KEYS = resample.weights("keys", SIDE + 1, 4)
 
 
-@query("upsample_keys", f"{L}, A0 AS (SELECT region, row // 4 AS row, col // 4 AS col, z FROM L WHERE row % 4 = 0 AND col % 4 = 0 AND row < 61 AND col < 61), {resample.sql_axis(_KEYS, 'WK')}, {_apply_sql('U', 'A0', 'WK')} SELECT region, row, col, round(z, 8) + 0.0 AS z FROM U")
+@query("upsample_keys", f"{L}, {NODES_SQL}, A0 AS (SELECT region, row // 4 AS row, col // 4 AS col, z FROM LN WHERE row % 4 = 0 AND col % 4 = 0), {resample.sql_axis(_KEYS, 'WK')}, {_apply_sql('U', 'A0', 'WK')} SELECT region, row, col, round(z, 8) + 0.0 AS z FROM U")
 def upsample_keys(spark, d):
-    coarse = _f61(spark, d).where("row % 4 = 0 AND col % 4 = 0").select("region", (F.col("row") / 4).cast("int").alias("row"), (F.col("col") / 4).cast("int").alias("col"), "z")
+    coarse = nodes(spark, d).where("row % 4 = 0 AND col % 4 = 0").select("region", (F.col("row") / 4).cast("int").alias("row"), (F.col("col") / 4).cast("int").alias("col"), "z")
     return resample.apply(coarse, _KEYS).select("region", "row", "col", rounded("z", 8).alias("z"))
 
 
@@ -25,20 +25,20 @@ _KINDS = ("decimate", "trapezoid", "gaussian", "box")
 
 
 def _seen(kind: str) -> str:
-    return f"{resample.sql_axis(resample.weights(kind, 61, 4), f'W_{kind}')}, {_apply_sql(f'O_{kind}', 'F61', f'W_{kind}')}"
+    return f"{resample.sql_axis(resample.weights(kind, SIDE + 1, 4), f'W_{kind}')}, {_apply_sql(f'O_{kind}', 'LN', f'W_{kind}')}"
 
 
 @query(
     "provider_kernel_fit",
-    f"{L}, {F61}, {', '.join(map(_seen, _KINDS))}, G AS ({' UNION ALL '.join(f'''SELECT '{k}' AS kind, avg(abs(a.z - b.z)) AS mae FROM O_trapezoid a JOIN O_{k} b USING (region, row, col)''' for k in _KINDS)}) SELECT kind, round(mae, 7) + 0.0 AS mae, round(mae, 7) = (SELECT min(round(mae, 7)) FROM G) AS best FROM G",
+    f"{L}, {NODES_SQL}, {', '.join(map(_seen, _KINDS))}, G AS ({' UNION ALL '.join(f'''SELECT '{k}' AS kind, avg(abs(a.z - b.z)) AS mae FROM O_trapezoid a JOIN O_{k} b USING (region, row, col)''' for k in _KINDS)}) SELECT kind, round(mae, 7) + 0.0 AS mae, round(mae, 7) = (SELECT min(round(mae, 7)) FROM G) AS best FROM G",
 )
 def provider_kernel_fit(spark, d):
     """Which observation operator explains a provider's coarse field best (here it is the trapezoid's own)."""
-    fine = _f61(spark, d)
-    given = resample.apply(fine, resample.weights("trapezoid", 61, 4))
+    fine = nodes(spark, d)
+    given = resample.apply(fine, resample.weights("trapezoid", SIDE + 1, 4))
     fits = None
     for kind in _KINDS:
-        own = resample.apply(fine, resample.weights(kind, 61, 4)).withColumnRenamed("z", "o")
+        own = resample.apply(fine, resample.weights(kind, SIDE + 1, 4)).withColumnRenamed("z", "o")
         one = given.join(own, ["region", "row", "col"]).agg(F.lit(kind).alias("kind"), F.round(F.avg(F.abs(F.col("z") - F.col("o"))), 7).alias("mae"))
         fits = one if fits is None else fits.union(one)
     return fits.select("kind", (F.col("mae") + 0.0).alias("mae"), (F.col("mae") == F.min("mae").over(Window.partitionBy(F.lit(0)))).alias("best"))  # four rows
@@ -132,12 +132,12 @@ def orientation_control(spark, d):
     return cells.join(other, ["region", "row", "col"]).groupBy("region").agg(rounded(F.corr("z", "o")).alias("mirrored"), rounded(F.avg(F.abs(F.col("z") - F.col("o")))).alias("mae"))
 
 
-@query("page_stitch", f"{L}, P AS (SELECT y, x, region, row, col, z + y * 0.001::DOUBLE + x * 0.0001::DOUBLE AS z FROM L, range(0, 4) a(y), range(0, 4) b(x) WHERE row BETWEEN y * 8 AND y * 8 + 8 AND col BETWEEN x * 8 AND x * 8 + 8) SELECT region, row, col, arg_min(z, (y, x)) AS z FROM P GROUP BY ALL")
+@query("page_stitch", f"{L}, {NODES_SQL}, P AS (SELECT y, x, region, row, col, z + y * 0.001::DOUBLE + x * 0.0001::DOUBLE AS z FROM LN, range(0, 8) a(y), range(0, 8) b(x) WHERE row BETWEEN y * 8 AND y * 8 + 8 AND col BETWEEN x * 8 AND x * 8 + 8) SELECT region, row, col, arg_min(z, (y, x)) AS z FROM P GROUP BY ALL")
 def page_stitch(spark, d):
     """Pages that disagree on shared nodes: the first page wins."""
     from .pages import with_pages
 
-    held = with_pages(lattice(spark, d).where("row <= 32 AND col <= 32"), 8, 32)
+    held = with_pages(nodes(spark, d), 8, SIDE)
     held = held.withColumn("z", F.col("z") + F.col("y") * 0.001 + F.col("x") * 0.0001)
     return held.groupBy("region", "row", "col").agg(F.min(F.struct("y", "x", "z")).alias("b")).select("region", "row", "col", F.col("b.z").alias("z"))
 

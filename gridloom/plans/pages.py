@@ -81,5 +81,4 @@ def window(pages: DataFrame, box: Box, intervals: int, count: int) -> DataFrame:
     # a shared node is answered by the page below and to the right, unless that was not read
     own_row = (F.col("row") % intervals != 0) | (F.col("row") == F.col("y") * intervals) | (F.col("row") == box.r1)
     own_col = (F.col("col") % intervals != 0) | (F.col("col") == F.col("x") * intervals) | (F.col("col") == box.c1)
-    inside = cells.where(cell_predicate(box) & own_row & own_col)
-    return inside.groupBy("region", "row", "col").agg(F.min("z").alias("z"))
+    return cells.where(cell_predicate(box) & own_row & own_col).select("region", "row", "col", "z")

@@ -30,8 +30,8 @@ def bilinear_sample(spark, d):
 @query(
     "triangulated_sample",
     f"""{P}, {IN}, K AS (SELECT *, CAST(least(floor(r), 62) AS INTEGER) AS r0, CAST(least(floor(c), 62) AS INTEGER) AS c0 FROM I),
-    Q AS (SELECT K.*, h0.z AS z0, h1.z AS z1, h2.z AS z2, h3.z AS z3, r - r0 AS fr, c - c0 AS fc FROM K JOIN L h0 ON h0.region = K.region AND h0.row = r0 AND h0.col = c0
-    JOIN L h1 ON h1.region = K.region AND h1.row = r0 AND h1.col = c0 + 1 JOIN L h2 ON h2.region = K.region AND h2.row = r0 + 1 AND h2.col = c0 JOIN L h3 ON h3.region = K.region AND h3.row = r0 + 1 AND h3.col = c0 + 1)
+    N AS (SELECT id, region, r - r0 AS fr, c - c0 AS fc, dr, dc, CAST(r0 + dr AS INTEGER) AS row, CAST(c0 + dc AS INTEGER) AS col FROM K, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(dr, dc)),
+    Q AS (SELECT id, region, fr, fc, max(z) FILTER (dr = 0 AND dc = 0) AS z0, max(z) FILTER (dr = 0 AND dc = 1) AS z1, max(z) FILTER (dr = 1 AND dc = 0) AS z2, max(z) FILTER (dr = 1 AND dc = 1) AS z3 FROM N JOIN L USING (region, row, col) GROUP BY id, region, fr, fc)
     SELECT id, region, round(CASE WHEN fc >= fr THEN z0 * (1 - fc) + z1 * (fc - fr) + z3 * fr ELSE z0 * (1 - fr) + z2 * (fr - fc) + z3 * fc END, 8) + 0.0 AS z FROM Q""",
 )
 def triangulated_sample(spark, d):
@@ -56,11 +56,11 @@ def profile_sample(spark, d):
     return points.bilinear(at, cells, "id", SIDE).select("id", "region", rounded("z", 8).alias("z"))
 
 
-LINES = "V AS (SELECT o_custkey AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, CAST((o_orderkey * 37) % 640 AS DOUBLE) / 10 AS x, CAST((o_orderkey * 53) % 640 AS DOUBLE) / 10 AS y FROM orders WHERE o_custkey <= 300)"
+LINES = "V AS (SELECT o_custkey AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, CAST((o_orderkey * 37) % 640 AS DOUBLE) / 10 AS x, CAST((o_orderkey * 53) % 640 AS DOUBLE) / 10 AS y FROM orders)"
 
 
 def _lines(spark, d):
-    o = read(spark, d, "orders").where("o_custkey <= 300")
+    o = read(spark, d, "orders")
     k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     return o.select(F.col("o_custkey").alias("line"), k.alias("k"), (((F.col("o_orderkey") * 37) % 640).cast("double") / 10).alias("x"), (((F.col("o_orderkey") * 53) % 640).cast("double") / 10).alias("y"))
 

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def atlas(pages: DataFrame, path: str) -> None:
-    """The page relation by region and level, sorted by place so that row groups prune; refuses to overwrite."""
-    sorted_pages = pages.repartition("region", "level").sortWithinPartitions("region", "level", "y", "x")
-    sorted_pages.write.mode("errorifexists").partitionBy("region", "level").parquet(path)
+def atlas(pages: DataFrame, path: str, by: tuple[str, ...] = ("region", "level"), order: tuple[str, ...] = ("y", "x")) -> None:
+    """The page relation in folders by region and level, sorted by place so that row groups prune; refuses to overwrite."""
+    sorted_pages = pages.repartition(*by).sortWithinPartitions(*by, *order)
+    sorted_pages.write.mode("errorifexists").partitionBy(*by).parquet(path)
 
 
 def canonical(value: object) -> str:

@@ -30,6 +30,17 @@ LATTICE_SQL = f"""L AS (SELECT vec_id // {SIDE} AS region, CAST(vec_id % {SIDE}
  WHERE vec_id < (SELECT (max(vec_id) + 1) // {SIDE} * {SIDE} FROM embeddings))"""
 
 
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields with their last row and column repeated: 65 nodes a side, as pages of 8 intervals and
+    pyramids of two need them, so that no node of the lattice is left out."""
+    repeated = lambda c: F.explode(F.when(F.col(c) == SIDE - 1, F.array(F.lit(SIDE - 1), F.lit(SIDE))).otherwise(F.array(F.col(c))))
+    return lattice(spark, sf_dir).withColumn("row", repeated("row")).withColumn("col", repeated("col"))
+
+
+NODES_SQL = f"""LN AS (SELECT region, CAST(row + a AS INTEGER) AS row, CAST(col + b AS INTEGER) AS col, z FROM L, range(0, 2) p(a), range(0, 2) q(b)
+ WHERE (a = 0 OR row = {SIDE - 1}) AND (b = 0 OR col = {SIDE - 1}))"""
+
+
 def estimate(cells: DataFrame, step: float = STEP) -> DataFrame:
     """cells with e, the height on a uniform quantiser (half to even)."""
     return cells.withColumn("e", F.rint(F.col("z") / step) * step)

@@ -26,8 +26,9 @@ def rough():
 def test_window_from_pages_is_whole(spark, rough, box):
     cells = cells_of(spark, rough)
     pages = paged(cells, 8, 16)
-    got = {(r.row, r.col): r.z for r in window(pages, box, 8, 2).collect()}
-    assert got == {(r, c): rough[r, c] for r in range(box.r0, box.r1 + 1) for c in range(box.c0, box.c1 + 1)}
+    rows = window(pages, box, 8, 2).collect()
+    got = {(r.row, r.col): r.z for r in rows}
+    assert len(rows) == len(got) and got == {(r, c): rough[r, c] for r in range(box.r0, box.r1 + 1) for c in range(box.c0, box.c1 + 1)}
 
 
 def test_cover_is_minimal():
@@ -70,6 +71,23 @@ def test_accumulation_and_outlets_equal_kernel(spark, rough):
     assert out == dict(enumerate(hydro.Drainage(to).outlet.ravel().tolist()))
 
 
+def test_traced_equals_kernel(spark, rough):
+    z = hydro.filled(rough)
+    got = {r.cell: r for r in flow.traced(cells_of(spark, z).withColumn("q", -F.col("z")), 17, ("z", "q")).collect()}
+    for v, own in (("z", z), ("q", -z)):
+        to = hydro.receivers(own)
+        paths = hydro.Drainage(to)
+        for name, want in (("receiver", to.ravel()), ("outlet", paths.outlet), ("upstream", paths.upstream().ravel())):
+            assert [got[k][f"{v}_{name}"] for k in range(z.size)] == want.tolist()
+
+
+def test_stored_pages_are_pruned(spark, data):
+    from gridloom.plans.registry import QUERIES
+
+    plan = QUERIES["window_query"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(y" in plan and "PushedFilters: [IsNotNull(x), GreaterThanOrEqual(x,2), LessThanOrEqual(x,4)" in plan and "Exchange" not in plan
+
+
 def test_ties_go_to_the_first_offset(spark):
     z = np.full((3, 3), 1.0)
     z[0, 1] = z[1, 0] = 0.0
