@@ -18,3 +18,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_queries_without_a_library_of_the_text_operators(tmp_path):
+    """All other queries are there if the text operators, or what they import, are not."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for blocked in ("xxhash", "gridloom.llm", "corpus_pipeline"):
+        code = f"import sys; sys.modules[{blocked!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+        out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+        assert int(out[-2]) >= len(QUERIES) and int(out[-1]) >= len(ORACLE_SQL)
