@@ -104,8 +104,8 @@ def fit(rows: Rows, y: np.ndarray, width: int, rank: int = 8, epochs: int = 20,
     each = np.where(y == 1, n / (2 * max(1.0, bad)), n / (2 * max(1.0, n - bad))) ** 0.5
     flat = np.float32
     w, zw, nw = (np.zeros(width, flat) for _ in range(3))
-    first = rng.normal(0, start, (width, rank)).astype(flat)
-    moved, zv, nv = (np.zeros((width, rank), flat) for _ in range(3))
+    first = rng.normal(0, start, (rank, width)).astype(flat)
+    moved, zv, nv = (np.zeros((rank, width), flat) for _ in range(3))
     b, gb, least = 0.0, 1.0, penalty * epochs * n**0.5
 
     def stepped(value, z, squares, g, rate, hold):
@@ -114,24 +114,28 @@ def fit(rows: Rows, y: np.ndarray, width: int, rank: int = 8, epochs: int = 20,
         z = z + g - (np.sqrt(squares) - before) / rate * value
         return np.where(np.abs(z) <= hold, 0, (np.sign(z) * hold - z) * rate / (1 + np.sqrt(squares))), z, squares
 
+    batches = []
+    for part in np.array_split(rng.permutation(n), max(1, n // BATCH)):
+        own = rows.take(part)
+        used, at = np.unique(own.cols, return_inverse=True)
+        batches.append((part, own.ptr, used, at.astype(np.int32)))
     for _ in range(epochs):
-        order = rng.permutation(n)
-        for part in np.array_split(order, max(1, n // BATCH)):
-            own = rows.take(part)
-            used, at = np.unique(own.cols, return_inverse=True)
-            v = (first[used] + moved[used])[at]
-            s = _sums(v, own.ptr)
-            m = b + _sums(w[own.cols], own.ptr) + 0.5 * ((s * s).sum(1) - _sums((v * v).sum(1), own.ptr))
+        for k in rng.permutation(len(batches)):
+            part, ptr, used, at = batches[k]
+            size = np.diff(ptr)
+            v = [(first[f][used] + moved[f][used])[at] for f in range(rank)]
+            s = [_sums(x, ptr) for x in v]
+            m = b + _sums(w[used][at], ptr) + 0.5 * sum(x * x - _sums(y2 * y2, ptr) for x, y2 in zip(s, v, strict=True))
             e = (_sigmoid(m) - y[part]) * each[part]
-            size = np.diff(own.ptr)
-            w[used], zw[used], nw[used] = stepped(w[used], zw[used], nw[used], np.bincount(at, np.repeat(e, size), minlength=len(used)), 0.2, least)
+            push = np.repeat(e, size)
+            w[used], zw[used], nw[used] = stepped(w[used], zw[used], nw[used], np.bincount(at, push, minlength=len(used)), 0.2, least)
             for f in range(rank):
-                g = np.bincount(at, np.repeat(e * s[:, f], size) - np.repeat(e, size) * v[:, f], minlength=len(used))
-                moved[used, f], zv[used, f], nv[used, f] = stepped(moved[used, f], zv[used, f], nv[used, f], g, 0.05, 0.8 * least)
+                g = np.bincount(at, np.repeat(e * s[f], size) - push * v[f], minlength=len(used))
+                moved[f, used], zv[f, used], nv[f, used] = stepped(moved[f, used], zv[f, used], nv[f, used], g, 0.05, 0.8 * least)
             db = float(e.sum())
             gb += db * db
             b -= 0.2 * db / gb**0.5
-    return w.astype(float), np.where((moved != 0).any(1, keepdims=True), first + moved, 0).astype(float), b
+    return w.astype(float), np.where((moved != 0).any(0), first + moved, 0).T.astype(float), b
 
 
 def calibrated(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -209,20 +213,17 @@ def score(df: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     Null and empty texts have no terms and get the machine's bias. Whole texts count, however
     long; repeated rows score alike; columns named score or predicted are replaced.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    rest = [c for c in df.columns if c not in (text, "score", "predicted")]
-    sent = spark.sparkContext.broadcast(machine)
+    small_batches(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast(machine)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            found = [scorer.one(t) for t in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(found, pa.float64()), pa.array([int(x >= 0.5) for x in found], pa.int32())], [*rest, "score", "predicted"])
+            yield pa.array([scorer.one(t) for t in batch.to_pylist()], pa.float64())
 
-    shaped = df.select(*rest, F.col(text).cast("string").alias("__text"))
-    schema = shaped.select(*rest, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
-    return shaped.mapInArrow(run, schema)
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (text, "score", "predicted")]
+    return df.select(*rest, run(F.col(text).cast("string")).alias("score")).select(*rest, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def held_out() -> Column:

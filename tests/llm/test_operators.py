@@ -345,7 +345,7 @@ def test_machine_learns_a_pair():
     y = np.array([float((0 in d) == (1 in d)) for d in docs])
     w, v, b = toxicity.fit(as_rows(docs), y, 310)
     right = lambda *machine: np.mean((toxicity.Machine(np.arange(310), *machine).margin(as_rows(docs)) > 0) == (y > 0))
-    assert right(w, v, b) > 0.95 and right(w, 0 * v, b) < 0.7 and v[0] @ v[1] > 1
+    assert right(w, v, b) > 0.95 and right(w, 0 * v, b) < 0.8 and v[0] @ v[1] > 1
 
 
 def test_calibration():
