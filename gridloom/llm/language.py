@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +136,21 @@ class Scorer:
         return self.langs[best], 1.0 / float(np.exp((total - total[best]) / max(1, len(words))).sum())
 
 
+def predicted(spark: SparkSession, model: dict) -> Callable[[Column], Column]:
+    """A function from a text column to a struct (lang_pred, score). Only texts go to Python."""
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang_pred string, score double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(sent.value)
+        for batch in batches:
+            found = [scorer.one(t) for t in batch.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
+
+    return lambda text: run(text.cast("string"))
+
+
 def predict(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """df's columns without the text, and lang_pred, score.
 
@@ -143,20 +158,8 @@ def predict(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     first by name wins. Whole texts count, however long; columns named lang_pred or score are
     replaced; an empty df gives an empty result, and an empty model `und` everywhere.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    rest = [c for c in df.columns if c not in (text, "lang_pred", "score")]
-    sent = spark.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
-        for batch in batches:
-            found = [scorer.one(t) for t in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*rest, "lang_pred", "score"])
-
-    shaped = df.select(*rest, F.col(text).cast("string").alias("__text"))
-    schema = shaped.select(*rest, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return shaped.mapInArrow(score, schema)
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (text, "lang_pred", "score")]
+    return df.select(*rest, predicted(df.sparkSession, model)(F.col(text)).alias("__said")).select(*rest, "__said.lang_pred", "__said.score")
 
 
 def held_out() -> Column:
