@@ -30,8 +30,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns stay as they are, whatever their names; no documents give none.
     """
     model = language.learn(docs.where(~language.held_out()))
-    judged = language.predict(_rows(docs), model)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("__row.*")
+    said = language.predicted(spark, model)(F.col("text"))
+    judged = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)), said.alias("said"))
+    kept = judged.where((F.col("said.lang_pred") != "und") & (F.col("said.score") >= MIN_SCORE))
+    return kept.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
