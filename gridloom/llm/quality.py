@@ -64,6 +64,24 @@ def line_fails(line: Column) -> Column:
     return fails | let(F.lower(line), lambda low: functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(phrase)) for phrase in BOILERPLATE)))
 
 
+def _has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
+def _counts(t: Column) -> Column:
+    """(n_words, n_repeat_words)"""
+    return let(_words(t), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).cast("long").alias("n_repeat_words")))
+
+
+def _lost(t: Column) -> Column:
+    """The word characters of the lines that fail."""
+    return F.aggregate(F.filter(F.split(t, "\n"), _has_word), F.lit(0).cast("long"), lambda a, line: a + F.when(line_fails(line), _chars(line)).otherwise(0))
+
+
+def _failed(counts: Column) -> Column:
+    return (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
+
+
 def quality(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
@@ -73,19 +91,15 @@ def quality(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFra
     Rows are judged one by one, so ties, repeated rows and empty tables need no rule.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
-    lines = F.filter(F.split(t, "\n"), has_word)
-    counts = let(_words(t), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).cast("long").alias("n_repeat_words")))
-    judged = F.aggregate(lines, F.lit(0).cast("long"), lambda a, line: a + F.when(line_fails(line), _chars(line)).otherwise(0))
     own = {
-        "__counts": counts,
+        "__counts": _counts(t),
         "word_chars": _chars(t).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "__lost": judged,
+        "n_dup_lines": let(F.filter(F.split(t, "\n"), _has_word), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "__lost": _lost(t),
     }
     out = df.withColumns(own).withColumns({k: F.col("__counts")[k] for k in ("n_words", "n_repeat_words")})
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    failed = _failed(F.col("__counts"))
     kept = ~failed & (F.col("__lost") <= max_lost * F.col("word_chars"))
     return out.withColumn("base_failed", failed).withColumn("kept", kept).drop("__counts", "__lost")
 
@@ -93,7 +107,20 @@ def quality(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFra
 def cleaned_text(text: Column) -> Column:
     """text without the lines that fail a rule; lines without a word stay."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    return F.array_join(F.filter(lines, lambda line: ~(line.rlike(r"[^\x20\x09-\x0D]") & line_fails(line))), "\n")
+    return F.array_join(F.filter(lines, lambda line: ~(_has_word(line) & line_fails(line))), "\n")
+
+
+def cleaned(text: Column, max_lost: float = 0.5) -> Column:
+    """cleaned_text() where quality() would keep the text, else null; each line is judged once."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+
+    def judged(lines: Column) -> Column:
+        lost = F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], _chars(x["line"])).otherwise(0))
+        rest = F.array_join(F.transform(F.filter(lines, lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
+        return F.when(lost <= max_lost * _chars(t), rest)
+
+    lines = F.transform(F.split(t, "\n"), lambda line: F.struct(line.alias("line"), (_has_word(line) & line_fails(line)).alias("fails")))
+    return F.when(~let(_counts(t), _failed), let(lines, judged))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

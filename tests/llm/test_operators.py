@@ -46,6 +46,13 @@ def test_cleaned_text(spark):
     assert df.select(quality.cleaned_text(F.col("text"))).first()[0] == "This is a line that is fine and ends.\n\nAnother good line of the text."
 
 
+def test_cleaned_agrees_with_quality(docs, odd_docs):
+    """One pass gives what the verdict and the removal give by themselves."""
+    for df in (docs.select("doc_id", "text"), odd_docs.select("doc_id", "text")):
+        both = quality.quality(df).select("doc_id", F.when(F.col("kept"), quality.cleaned_text(F.col("text"))).alias("a"), quality.cleaned(F.col("text")).alias("b")).collect()
+        assert all(r.a == r.b for r in both) and len(both) == df.count()
+
+
 @pytest.mark.parametrize("line", ["Bitte die Cookies akzeptieren, danke sehr.", "© 2020, Tous droits réservés par la société.", "Lea la POLÍTICA DE PRIVACIDAD de este sitio.", "Voici les Conditions d'utilisation du site."])
 def test_boilerplate_of_all_languages(spark, line):
     df = spark.createDataFrame([(line, "A line of text that says what there is to say.")], "a string, b string")
