@@ -42,9 +42,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null text counts as empty and goes. Rows are judged one by one; all other columns stay as they
     are, whatever their names; no documents give none.
     """
-    kept = quality.quality(_rows(docs)).where("kept").select("__row.*")
-    kept = kept.withColumn("text", quality.cleaned_text(F.col("text")))
-    return kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else kept
+    # exploded, so that the filter is not pushed below the cleaning and the cleaning not done twice
+    judged = docs.select(F.explode(F.array(quality.cleaned(F.col("text")))).alias("cleaned"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)))
+    new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return judged.where("cleaned IS NOT NULL").select(*(new.get(c, F.col(f"c{k}")).alias(c) for k, c in enumerate(docs.columns)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
