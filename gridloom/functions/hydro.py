@@ -118,3 +118,20 @@ def dilated(mask: np.ndarray, radius: int) -> np.ndarray:
 def jaccard(a: np.ndarray, b: np.ndarray) -> float | None:
     either = int((a | b).sum())
     return None if either == 0 else int((a & b).sum()) / either
+
+
+def agreement(a: dict, b: dict, least: int, reach: int = 1) -> dict[str, float | None]:
+    """Of two routed surfaces: overlap of their streams (cells that `least` cells drain through), its
+    tolerant score, and the shares of inner cells with one receiver and of cells with one outlet."""
+    s, t = (r["upstream"] >= least for r in (a, b))
+    found = [float((x & dilated(y, reach)).sum() / x.sum()) if x.any() else None for x, y in ((s, t), (t, s))]
+    f1 = None if None in found or not (s.any() and t.any()) else 2 * found[0] * found[1] / sum(found) if sum(found) else 0.0
+    same = a["receiver"] == b["receiver"]
+    return {"jaccard": jaccard(s, t) if s.any() and t.any() else None, "f1": f1, "receivers": float(same[1:-1, 1:-1].mean()), "outlets": float((a["outlet"] == b["outlet"]).mean())}
+
+
+def noise_floor(z: np.ndarray, sigma: float, seeds: tuple[int, ...], least: int, spacing: float = 1.0) -> dict[str, float]:
+    """The mean agreement of a surface with itself under white noise."""
+    own = route(z, spacing)
+    rows = [agreement(own, route(z + np.random.default_rng(s).normal(0, sigma, z.shape), spacing), least) for s in seeds]
+    return {k: float(np.mean([r[k] for r in rows if r[k] is not None])) if any(r[k] is not None for r in rows) else float("nan") for k in rows[0]}

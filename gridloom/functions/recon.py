@@ -139,3 +139,55 @@ def brought_up(coarse: np.ndarray, kernels: np.ndarray, reach: int = 1) -> np.nd
             part = out[a::factor, b::factor]
             part[:] = near[: part.shape[0], : part.shape[1]] @ kernels[a, b]
     return out
+
+
+def axis_matrix(axis: list[tuple[int, int, float]]) -> np.ndarray:
+    """The matrix of an axis' weights (out, src, w)."""
+    out = np.zeros((1 + max(o for o, _, _ in axis), 1 + max(s for _, s, _ in axis)))
+    for o, s, w in axis:
+        out[o, s] += w
+    return out
+
+
+def unseen(v: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """What of v an observation rows * v * cols' does not see: v less its least-norm part with the same image."""
+    image = rows @ v @ cols.T
+    return v - np.linalg.pinv(rows) @ image @ np.linalg.pinv(cols).T
+
+
+def area_kernels(weights: np.ndarray, factor: int, sill: float, reach: float, nugget: float = 0.0, side: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Simple kriging of a point from side * side observations that average an area, for each of the
+    factor * factor places of a point between them: (factor, factor, side, side) and the variances.
+
+    `weights` are those of the observation on an axis, around its node; covariance falls
+    exponentially with distance, and the nugget is a point's own.
+    """
+    half, first = len(weights) // 2, -((side - 1) // 2)
+    taps = np.arange(len(weights)) - half
+    cover = lambda h: sill * np.exp(-h / reach) + nugget * (h == 0)
+    w2 = np.multiply.outer(weights, weights)
+    nodes = (np.arange(side) + first) * factor
+    at = np.stack(np.meshgrid(nodes, nodes, indexing="ij"), -1).reshape(-1, 2)
+    spread = np.stack(np.meshgrid(taps, taps, indexing="ij"), -1).reshape(-1, 2)
+    fine = at[:, None, :] + spread  # (areas, taps, 2)
+    far = lambda p, q: np.hypot(*np.moveaxis(p[..., :, None, :] - q[..., None, :, :], -1, 0))
+    flat, n = w2.ravel(), len(at)
+    among = np.array([[flat @ cover(far(fine[i], fine[j])) @ flat for j in range(n)] for i in range(n)])
+    kernels, variance = np.zeros((factor, factor, side, side)), np.zeros((factor, factor))
+    for a, b in np.ndindex(factor, factor):
+        to = cover(np.hypot(*(fine - np.array([a, b])).reshape(-1, 2).T)).reshape(n, -1) @ flat
+        own = np.linalg.solve(among, to)
+        kernels[a, b], variance[a, b] = own.reshape(side, side), max(0.0, float(cover(np.zeros(1))[0] - own @ to))
+    return kernels, variance
+
+
+def radial_covariance(z: np.ndarray, most: int) -> np.ndarray:
+    """Autocovariance at distances 0 to `most`, averaged over the shifts that round to each."""
+    f, sums = z - z.mean(), [[] for _ in range(most + 1)]
+    rows, cols = f.shape
+    for a in range(most + 1):
+        for b in range(-most, most + 1):
+            if (h := int(np.rint(np.hypot(a, b)))) <= most and (a > 0 or b >= 0):
+                left, right = f[: rows - a, max(0, -b) : cols - max(0, b)], f[a:, max(0, b) : cols + min(0, b)]
+                sums[h].append(float((left * right).mean()))
+    return np.array([np.mean(s) for s in sums])

@@ -98,6 +98,24 @@ def folded(cells: DataFrame, share: float, label: str = "label") -> DataFrame:
     return cells.join(codes, label, "left").withColumn("code", F.coalesce("code", F.lit(0)))
 
 
+def checked_classes(cells: DataFrame, count: int, label: str = "label") -> DataFrame:
+    """cells as they are; a column that is not of whole numbers is refused at once (classes were
+    interpolated or averaged), a code outside 0 to count - 1 when it is read."""
+    kind = dict(cells.dtypes)[label]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"class codes are whole numbers, not {kind}")
+    wrong = (F.col(label) < 0) | (F.col(label) >= count)
+    return cells.withColumn(label, F.when(wrong, F.raise_error(F.concat(F.lit(f"class codes lie in 0 to {count - 1}, not "), F.col(label).cast("string")))).otherwise(F.col(label)))
+
+
+def nearest_class(cells: DataFrame, coarse: DataFrame, side: int, coarse_side: int) -> DataFrame:
+    """cells with the label of the nearest node of a coarser raster, whose own size sets its spacing."""
+    step = (side - 1) / (coarse_side - 1) if coarse_side > 1 else float(side)
+    at = lambda c: F.least(F.rint(F.col(c) / step), F.lit(float(coarse_side - 1))).cast("int")
+    near = coarse.select("region", F.col("row").alias("__r"), F.col("col").alias("__c"), "label")
+    return cells.withColumns({"__r": at("row"), "__c": at("col")}).join(near, ["region", "__r", "__c"]).drop("__r", "__c")
+
+
 #: Rows of cells that meet the same edges.
 BAND = 16
 

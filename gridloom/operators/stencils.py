@@ -5,6 +5,8 @@ Windows are partitioned by one line of one field, so a large field spreads over
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -100,6 +102,19 @@ def offsets(cells: DataFrame, around: list[tuple[int, int]]) -> DataFrame:
     return out.select(*cells.columns, F.col("__o.order").alias("order"), F.col("__o.dr").alias("dr"), F.col("__o.dc").alias("dc"), (F.col("row") + F.col("__o.dr")).alias("nrow"), (F.col("col") + F.col("__o.dc")).alias("ncol"))
 
 
+def autocovariance(cells: DataFrame, most: int) -> DataFrame:
+    """(region, h, v): the covariance of a field with itself, averaged over the shifts that round to h.
+    Opposite shifts have the same, so half of them are looked at."""
+    shifts = [(a, b) for a in range(most + 1) for b in range(-most, most + 1) if (a > 0 or b >= 0) and round(math.hypot(a, b)) <= most]
+    mean = cells.groupBy("region").agg(F.avg("z").alias("__m"))
+    own = cells.join(mean, "region").select("region", "row", "col", (F.col("z") - F.col("__m")).alias("z"))
+    there = own.select("region", F.col("row").alias("nrow"), F.col("col").alias("ncol"), F.col("z").alias("o"))
+    met = offsets(own, shifts).join(there, ["region", "nrow", "ncol"])
+    each = met.groupBy("region", "dr", "dc").agg(F.avg(F.col("z") * F.col("o")).alias("v"))
+    h = F.rint(F.sqrt(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"))).cast("int")
+    return each.groupBy("region", h.alias("h")).agg(F.avg("v").alias("v"))
+
+
 def rolled(cells: DataFrame, rows: int, cols: int, side: int) -> DataFrame:
     """The field shifted around its edges."""
     return cells.withColumns({"row": F.pmod(F.col("row") + rows, F.lit(side)), "col": F.pmod(F.col("col") + cols, F.lit(side))})

@@ -10,10 +10,10 @@ from ..functions.scalar import rounded
 
 def best_conventional(rows: DataFrame, learned: Column) -> DataFrame:
     """The smallest product of each region and bound that keeps its bound; unknown violations count
-    as violations, ties go to the first coder by name."""
+    as violations, ties go to the first coder by name, then to the smallest loss."""
     ok = rows.where(~learned & (F.coalesce(F.col("violations"), F.lit(1)) == 0))
-    best = ok.groupBy("region", "bound").agg(F.min(F.struct("bytes", "coder")).alias("b"))
-    return best.select("region", "bound", F.col("b.coder").alias("coder"), F.col("b.bytes").alias("bytes"))
+    best = ok.groupBy("region", "bound").agg(F.min(F.struct("bytes", "coder", "loss")).alias("b"))
+    return best.select("region", "bound", "b.coder", "b.bytes", "b.loss")
 
 
 def by_region(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -40,20 +40,72 @@ def log_ratio(pairs: DataFrame) -> DataFrame:
     )
 
 
-def verdicts(ratios: DataFrame, most: float = 0.9, high: float = 0.95) -> DataFrame:
-    state = F.when((F.col("ratio") <= most) & (F.col("loo_high") < high) & F.col("all_smaller"), "pass").when(F.col("ratio") < 1, "weak").otherwise("fail")
-    return ratios.withColumn("verdict", state)
+def resampled(logs: DataFrame, draws: int, by: str = "bound") -> DataFrame:
+    """(by, ratio, low, high): the geometric mean of logs (by, region, r), a row a region, and the 2.5
+    and 97.5 percentiles of it over regions drawn with replacement. Draws come from a digest, so that
+    they are the same everywhere."""
+    w = Window.partitionBy(by)
+    numbered = logs.withColumns({"k": F.row_number().over(w.orderBy("region")) - 1, "n": F.count("*").over(w)})
+    drawn = numbered.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    digest = F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col("k").cast("string")))
+    drawn = drawn.select(by, "draw", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("n")).cast("int").alias("k"))
+    means = drawn.join(numbered.select(by, "k", "r"), [by, "k"]).groupBy(by, "draw").agg(F.avg("r").alias("m"))
+    ends = means.groupBy(by).agg(*(F.exp(F.percentile("m", F.lit(q))).alias(name) for q, name in ((0.025, "low"), (0.975, "high"))))
+    return logs.groupBy(by).agg(F.exp(F.avg("r")).alias("ratio")).join(ends, by)
+
+
+def judged(learned: DataFrame, best: DataFrame, draws: int, most: float = 0.9, high: float = 0.95, drop: float = 0.01) -> DataFrame:
+    """By bound, whether learned products (region, bound, bytes, f1) beat the best conventional ones (the
+    same): the mean ratio is at most `most`, the upper end of its bootstrap below `high`, every region
+    is smaller, and no region's streams lose more than `drop`. A region without a learned score loses all."""
+    c = best.select("region", "bound", F.col("bytes").alias("cb"), F.col("f1").alias("cf"))
+    both = c.join(learned, ["region", "bound"], "left").withColumn("r", F.log(F.col("bytes") / F.col("cb")))
+    met = both.where("bytes IS NOT NULL")
+    rows = met.groupBy("bound").agg(F.count("*").alias("regions"), F.bool_and(F.col("r") < 0).alias("smaller"))
+    lost = both.groupBy("bound").agg(F.max(F.col("cf") - F.coalesce("f1", F.lit(0.0))).alias("lost"))
+    out = resampled(met.select("bound", "region", "r"), draws).join(rows, "bound").join(lost, "bound")
+    passes = (F.col("ratio") <= most) & (F.col("high") < high) & F.col("smaller") & (F.coalesce(F.col("lost"), F.lit(0.0)) <= drop + 1e-12)
+    return out.withColumn("passes", passes)
+
+
+def whole_regions(cells: DataFrame, arm: str, by: list[str]) -> DataFrame:
+    """cells of those groups that have a row of every arm there is."""
+    arms = cells.agg(F.countDistinct(arm).alias("__all"))
+    full = cells.groupBy(*by).agg(F.count("*").alias("__n")).crossJoin(F.broadcast(arms)).where("__n = __all").select(*by)  # one row
+    return cells.join(full, by)
+
+
+def _elsewhere(cells: DataFrame) -> DataFrame:
+    """cells (bound, region, arm, r, gap) with the mean of r and the least gap over the other regions."""
+    w = Window.partitionBy("bound", "arm")
+    before, after = w.orderBy("region").rowsBetween(Window.unboundedPreceding, -1), w.orderBy("region").rowsBetween(1, Window.unboundedFollowing)
+    mean = (F.sum("r").over(w) - F.col("r")) / F.nullif(F.count("*").over(w) - 1, F.lit(0))
+    return cells.withColumns({"others": mean, "worst": F.least(F.min("gap").over(before), F.min("gap").over(after))})
+
+
+def chosen_elsewhere(cells: DataFrame, most: float, fallback: str) -> DataFrame:
+    """For each bound and region the cell of the arm that the other regions choose: of arms whose mean
+    ratio there is at most `most` the one with the largest least gap, the last by name on a tie."""
+    fits = F.when(F.exp("others") <= most, F.struct("worst", "arm"))
+    e = _elsewhere(cells).withColumn("pick", F.coalesce(F.max(fits).over(Window.partitionBy("bound", "region"))["arm"], F.lit(fallback)))
+    return e.where(F.col("arm") == F.col("pick")).select(*cells.columns)
+
+
+def smallest_elsewhere(cells: DataFrame) -> DataFrame:
+    """For each bound and region the cell of the arm that is smallest on the other regions."""
+    best = F.min(F.struct(F.round("others", 9).alias("o"), "arm")).over(Window.partitionBy("bound", "region"))["arm"]
+    return _elsewhere(cells).withColumn("pick", best).where(F.col("arm") == F.col("pick")).select(*cells.columns)
 
 
 def interpolated(points: DataFrame, curve: DataFrame, by: str) -> DataFrame:
-    """points (by, x) with y, linear between the neighbouring nodes of a curve (by, cx, cy); null outside.
-    A point meets only the segment that holds it."""
+    """points (by, x) with y, linear in the logarithm of x between the neighbouring nodes of a curve
+    (by, cx, cy), its ends included; points outside are left out. A point meets only the segment that holds it."""
     w = Window.partitionBy(by).orderBy("cx")
-    segments = curve.withColumns({"nx": F.lead("cx").over(w), "ny": F.lead("cy").over(w)}).where("nx IS NOT NULL")
+    segments = curve.withColumns({"nx": F.lead("cx").over(w), "ny": F.lead("cy").over(w), "end": F.lead("cx", 2).over(w).isNull()}).where("nx IS NOT NULL")
     s, p = segments.alias("s"), points.alias("p")
-    on = (F.col(f"p.{by}") == F.col(f"s.{by}")) & (F.col("p.x") >= F.col("s.cx")) & (F.col("p.x") < F.col("s.nx"))
-    y = F.col("s.cy") + (F.col("p.x") - F.col("s.cx")) / (F.col("s.nx") - F.col("s.cx")) * (F.col("s.ny") - F.col("s.cy"))
-    return p.join(s, on, "left").select("p.*", y.alias("y"))
+    holds = (F.col("p.x") >= F.col("s.cx")) & ((F.col("p.x") < F.col("s.nx")) | (F.col("s.end") & (F.col("p.x") == F.col("s.nx"))))
+    share = F.log(F.col("p.x") / F.col("s.cx")) / F.log(F.col("s.nx") / F.col("s.cx"))
+    return p.join(s, (F.col(f"p.{by}") == F.col(f"s.{by}")) & holds).select("p.*", (F.col("s.cy") + share * (F.col("s.ny") - F.col("s.cy"))).alias("y"))
 
 
 def break_even(gain: Column, model: Column) -> Column:
@@ -61,10 +113,30 @@ def break_even(gain: Column, model: Column) -> Column:
     return F.when(gain > 0, F.ceil(model / gain))
 
 
+#: Ranges that a key's rows are cut into, so that one task need not see them all.
+RANGES = 64
+
+
+def ranged(rows: DataFrame, by: list[str], x: str, ranges: int = RANGES) -> DataFrame:
+    """rows with __range: about as many rows in each range of x within a key; equal x share a range."""
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(x, [k / ranges for k in range(1, ranges)], 1000).alias("__cuts"))
+    met = rows.join(cuts, by)
+    return met.withColumn("__range", F.size(F.filter(F.array_distinct("__cuts"), lambda c: c < F.col(x)))).drop("__cuts")
+
+
+def least_before(rows: DataFrame, by: list[str], value: Column, own: Window) -> DataFrame:
+    """ranged rows with __before: the least value in earlier ranges, or before a row in its own range."""
+    ends = rows.groupBy(*by, "__range").agg(F.min(value).alias("__least"))
+    w = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__least", F.min("__least").over(w))  # a row for each range
+    return rows.withColumn("__own", F.min(value).over(own)).join(ends, [*by, "__range"]).withColumn("__before", F.least("__least", "__own")).drop("__least", "__own")
+
+
 def staircase(rows: DataFrame, by: list[str], x: str, y: str, key: str) -> DataFrame:
     """Rows that improve on all cheaper ones: y below its running minimum in order of (x, y, key)."""
-    w = Window.partitionBy(*by).orderBy(x, y, key).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("__m", F.min(y).over(w)).where(F.col("__m").isNull() | (F.col(y) < F.col("__m"))).drop("__m")
+    own = Window.partitionBy(*by, "__range").orderBy(x, y, key).rowsBetween(Window.unboundedPreceding, -1)
+    held = least_before(ranged(rows, by, x), by, F.col(y), own)
+    return held.where(F.col("__before").isNull() | (F.col(y) < F.col("__before"))).select(*rows.columns)
 
 
 def dominated(rows: DataFrame) -> DataFrame:
@@ -84,6 +156,6 @@ def dominated(rows: DataFrame) -> DataFrame:
 def best_at_or_below(rows: DataFrame) -> DataFrame:
     """rows (id, package, bytes, mae) with the most accurate row of no more bytes: a running minimum
     in order of bytes, not an inequality join."""
-    w = Window.partitionBy("package").orderBy("bytes").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    best = F.min(F.when(F.col("mae").isNotNull(), F.struct("mae", "bytes", "id"))).over(w)
-    return rows.withColumn("best", best["id"])
+    own = Window.partitionBy("package", "__range").orderBy("bytes").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    held = least_before(ranged(rows, ["package"], "bytes"), ["package"], F.when(F.col("mae").isNotNull(), F.struct("mae", "bytes", "id")), own)
+    return held.select(*rows.columns, F.col("__before")["id"].alias("best"))

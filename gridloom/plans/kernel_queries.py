@@ -262,20 +262,6 @@ def synthetic_terrain(spark, d):
     return seeds.groupBy("seed").applyInPandas(one, "region bigint, row int, col int, z double").withColumn("z", rounded("z"))
 
 
-@query("bootstrap_ratio")
-def bootstrap_ratio(spark, d):
-    """A percentile bootstrap of the geometric mean ratio for each bound: a value a region goes in."""
-    from .measure_queries import _pairs
-
-    logs = _pairs(spark, d).select("bound", "region", F.log(F.col("a") / F.col("b")).alias("r"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, low, high = inference.bootstrap_ratio(pdf.sort_values("region")["r"].to_numpy(), 2000)
-        return pd.DataFrame([(int(pdf["bound"].iloc[0]), r, low, high)], columns=["bound", "ratio", "low", "high"])
-
-    return logs.groupBy("bound").applyInPandas(one, "bound int, ratio double, low double, high double").withColumns({c: rounded(c) for c in ("ratio", "low", "high")})
-
-
 @query("chain_diagnostics")
 def chain_diagnostics(spark, d):
     """R-hat and effective sizes of every parameter of the sampled chains."""

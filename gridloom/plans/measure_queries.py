@@ -19,12 +19,12 @@ def _learned():
     return F.col("coder").startswith("Brand#1")
 
 
-BEST = f"B AS (SELECT region, bound, arg_min(coder, (bytes, coder)) AS coder, min(bytes) AS bytes FROM M WHERE NOT {LEARNED_SQL} AND coalesce(violations, 1) = 0 GROUP BY ALL)"
+BEST = f"B AS (SELECT region, bound, arg_min(coder, (bytes, coder)) AS coder, min(bytes) AS bytes, arg_min(loss, (bytes, coder, loss)) AS loss FROM M WHERE NOT {LEARNED_SQL} AND coalesce(violations, 1) = 0 GROUP BY ALL)"
 
 
-@query("best_conventional", f"{M}, {BEST} SELECT * FROM B")
+@query("best_conventional", f"{M}, {BEST} SELECT region, bound, coder, bytes FROM B")
 def best_conventional(spark, d):
-    return verdicts.best_conventional(measurements(spark, d), _learned())
+    return verdicts.best_conventional(measurements(spark, d), _learned()).drop("loss")
 
 
 PAIRS = f"""A1 AS (SELECT region, bound, avg(bytes) AS a FROM M WHERE {LEARNED_SQL} GROUP BY ALL), A2 AS (SELECT region, bound, avg(bytes) AS b FROM M WHERE NOT {LEARNED_SQL} GROUP BY ALL),
@@ -50,14 +50,40 @@ def leave_one_region_out(spark, d):
     return r.withColumn("loo", loo).select("region", "bound", rounded(F.exp("loo")).alias("ratio"))
 
 
-@query("verdict_per_bound", f"{M}, {PAIRS} SELECT bound, ratio, CASE WHEN ratio <= 0.9 AND loo_high < 0.95 AND all_smaller THEN 'pass' WHEN ratio < 1 THEN 'weak' ELSE 'fail' END AS verdict FROM LR")
+#: Bootstrap draws.
+DRAWS = 400
+BOOT = f"""NB AS (SELECT *, row_number() OVER (PARTITION BY bound ORDER BY region) - 1 AS k, count(*) OVER (PARTITION BY bound) AS n FROM LG),
+ DR AS (SELECT bound, draw, ('0x' || substr(md5(concat(draw, ':', k)), 1, 8))::BIGINT % n AS k FROM NB, range(0, {DRAWS}) t(draw)),
+ MB AS (SELECT DR.bound, draw, avg(r) AS m FROM DR JOIN NB USING (bound, k) GROUP BY ALL),
+ BB AS (SELECT bound, exp(quantile_cont(m, 0.025)) AS low, exp(quantile_cont(m, 0.975)) AS high FROM MB GROUP BY bound)"""
+
+
+@query("bootstrap_ratio", f"{M}, {PAIRS}, LG AS (SELECT bound, region, r FROM PR), {BOOT} SELECT bound, round(exp(avg(r)), 6) + 0.0 AS ratio, round(any_value(low), 6) + 0.0 AS low, round(any_value(high), 6) + 0.0 AS high FROM LG JOIN BB USING (bound) GROUP BY bound")
+def bootstrap_ratio(spark, d):
+    """The geometric mean ratio for each bound with a percentile bootstrap over regions."""
+    logs = _pairs(spark, d).select("bound", "region", F.log(F.col("a") / F.col("b")).alias("r"))
+    return verdicts.resampled(logs, DRAWS).select("bound", *(rounded(c).alias(c) for c in ("ratio", "low", "high")))
+
+
+VERDICT = f"""{BEST}, LE AS (SELECT region, bound, avg(bytes) AS bytes, avg(1 - loss) AS f1 FROM M WHERE {LEARNED_SQL} GROUP BY ALL),
+ LB AS (SELECT B.region, B.bound, ln(LE.bytes / B.bytes) AS r, (1 - B.loss) - coalesce(f1, 0) AS lost FROM B LEFT JOIN LE USING (region, bound)), LG AS (SELECT bound, region, r FROM LB WHERE r IS NOT NULL), {BOOT},
+ VV AS (SELECT bound, exp(avg(r)) AS ratio, count(r) AS regions, bool_and(r < 0) AS smaller, max(lost) AS lost FROM LB GROUP BY bound HAVING count(r) > 0),
+ VD AS (SELECT bound, regions, ratio, high, lost, ratio <= 0.9 AND high < 0.95 AND smaller AND lost <= 0.01 + 1e-12 AS passes FROM VV JOIN BB USING (bound))"""
+
+
+@query("verdict_per_bound", f"{M}, {VERDICT} SELECT bound, regions, round(ratio, 6) + 0.0 AS ratio, round(high, 6) + 0.0 AS upper, round(lost, 6) + 0.0 AS lost, passes FROM VD")
 def verdict_per_bound(spark, d):
-    return verdicts.verdicts(paired_log_ratio(spark, d)).select("bound", "ratio", "verdict")
+    """Learned products against the best conventional one of each region; 1 - loss stands for the streams' score."""
+    m = measurements(spark, d).withColumn("f1", 1 - F.col("loss"))
+    learned = m.where(_learned()).groupBy("region", "bound").agg(F.avg("bytes").alias("bytes"), F.avg("f1").alias("f1"))
+    best = verdicts.best_conventional(m, _learned()).withColumn("f1", 1 - F.col("loss"))
+    v = verdicts.judged(learned, best, DRAWS)
+    return v.select("bound", "regions", rounded("ratio").alias("ratio"), rounded("high").alias("upper"), rounded("lost").alias("lost"), "passes")
 
 
-@query("overall_verdict", f"{M}, {PAIRS} SELECT bool_and(ratio < 1.1) AS holds, max(ratio) AS worst FROM LR")
+@query("overall_verdict", f"{M}, {VERDICT} SELECT bool_and(passes) AS supported, round(max(ratio), 6) + 0.0 AS worst FROM VD")
 def overall_verdict(spark, d):
-    return paired_log_ratio(spark, d).agg(F.bool_and(F.col("ratio") < 1.1).alias("holds"), F.max("ratio").alias("worst"))
+    return verdict_per_bound(spark, d).agg(F.bool_and("passes").alias("supported"), F.max("ratio").alias("worst"))
 
 
 @query("paired_differences", f"{M}, {PAIRS} SELECT region, bound, round(a - b, 4) + 0.0 AS difference, round((a - b) / b, 6) + 0.0 AS relative FROM PR")
@@ -94,12 +120,12 @@ def merge_seeds(spark, d):
 @query(
     "equal_bytes_interp",
     f"""{M}, K AS (SELECT region, bound, avg(bytes) AS x, avg(loss) AS y FROM M WHERE NOT {LEARNED_SQL} GROUP BY ALL),
-    S AS (SELECT region, x AS cx, y AS cy, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM K WINDOW w AS (PARTITION BY region ORDER BY x)),
+    S AS (SELECT region, x AS cx, y AS cy, lead(x) OVER w AS nx, lead(y) OVER w AS ny, max(x) OVER (PARTITION BY region) AS top FROM K WINDOW w AS (PARTITION BY region ORDER BY x)),
     Q AS (SELECT region, bound, avg(bytes) AS x FROM M WHERE {LEARNED_SQL} GROUP BY ALL)
-    SELECT Q.region, bound, round(cy + (x - cx) / (nx - cx) * (ny - cy), 6) + 0.0 AS y FROM Q LEFT JOIN S ON Q.region = S.region AND x >= cx AND x < nx""",
+    SELECT Q.region, bound, round(cy + (ln(x) - ln(cx)) / (ln(nx) - ln(cx)) * (ny - cy), 6) + 0.0 AS y FROM Q JOIN S ON Q.region = S.region AND x >= cx AND (x < nx OR (x = nx AND nx = top))""",
 )
 def equal_bytes_interp(spark, d):
-    """The conventional curve's loss at a learned product's bytes."""
+    """The conventional curve's loss at a learned product's bytes, where the curve reaches them."""
     m = measurements(spark, d)
     curve = m.where(~_learned()).groupBy("region", "bound").agg(F.avg("bytes").alias("cx"), F.avg("loss").alias("cy")).drop("bound")
     points = m.where(_learned()).groupBy("region", "bound").agg(F.avg("bytes").alias("x"))
@@ -178,9 +204,10 @@ def finalists(spark, d):
 @query("matched_bytes_report", f"{C}, B AS (SELECT a.id, a.mae, (SELECT min(b.mae) FROM C b WHERE b.package = a.package AND b.bytes <= a.bytes AND b.family NOT LIKE 'Brand#1%') AS rival FROM C a WHERE a.family LIKE 'Brand#1%' AND a.mae IS NOT NULL) SELECT count(*) AS n, count(*) FILTER (rival < mae) AS below, round(max(rival - mae), 4) + 0.0 AS largest_gain FROM B")
 def matched_bytes_report(spark, d):
     """Learned rows against the best conventional row of no more bytes."""
-    w = Window.partitionBy("package").orderBy("bytes").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("package", "__range").orderBy("bytes").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     learned = F.col("family").startswith("Brand#1")
-    c = candidates(spark, d).withColumn("rival", F.min(F.when(~learned, F.col("mae"))).over(w)).where(learned & F.col("mae").isNotNull())
+    held = verdicts.ranged(candidates(spark, d), ["package"], "bytes")
+    c = verdicts.least_before(held, ["package"], F.when(~learned, F.col("mae")), own).withColumnRenamed("__before", "rival").where(learned & F.col("mae").isNotNull())
     return c.agg(F.count("*").alias("n"), F.count_if(F.col("rival") < F.col("mae")).alias("below"), rounded(F.max(F.col("rival") - F.col("mae")), 4).alias("largest_gain"))
 
 

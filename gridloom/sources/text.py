@@ -103,6 +103,16 @@ def ring(pos_list: str):
     return F.when(F.exists(pairs, lambda p: (p["x"] > 1e6) & (p["y"] < 1e6)), F.raise_error(F.lit("northing before easting"))).otherwise(pairs)
 
 
+def polylines(features: DataFrame, xml: str = "xml", tag: str = "Fault") -> DataFrame:
+    """(id, part, k, x, y) of the curves of features in GML, in a string column: each position list of a
+    feature is a part; a list of fewer than two points is no line, one with a lone number is an error."""
+    lists = features.select(F.xpath_string(xml, F.lit(f"/{tag}/@id")).alias("id"), F.posexplode(F.xpath(xml, F.lit(f"/{tag}//posList/text()"))).alias("part", "list"))
+    n = F.size(F.split(F.trim("list"), r"\s+"))
+    whole = lists.withColumn("list", F.when(n % 2 == 1, F.raise_error(F.lit("a position without its second coordinate"))).otherwise(F.col("list")))
+    points = whole.where(n >= 4).select("id", "part", F.posexplode(ring("list")).alias("k", "p"))
+    return points.select("id", "part", "k", "p.x", "p.y")
+
+
 def npy_fields(spark: SparkSession, path: str) -> DataFrame:
     """(file, row, col, z) of square .npy arrays; missing nodes are an error."""
 
