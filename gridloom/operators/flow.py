@@ -7,36 +7,19 @@ length n takes log2(n) joins; a step's result is a reliable checkpoint, which cu
 from __future__ import annotations
 
 import math
-import tempfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hydro
 from ..functions.dense import dense
+from ..sources.shared import checkpointed
 from .stencils import NEIGHBOURS, along_col, along_row, offsets
 
 NO_RECEIVER = -1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where all of them are one process."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='gridloom-')}")
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df behind a checkpoint in that folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def traced(cells: DataFrame, side: int, values: tuple[str, ...] = ("z",)) -> DataFrame:
     """cells (region, row, col, the values) with `cell` and, for each value v, v_receiver, v_outlet and
     v_upstream: a field is one task, all surfaces of it together. For fields that a task can hold;

@@ -284,7 +284,8 @@ def markup_attributes(spark, d):
     """At most twelve sample values of a field, in order."""
     v = F.explode(F.regexp_extract_all("html", F.lit('<html lang="([a-z]+)"'), F.lit(1)))
     one = read(spark, d, "pages").select(v.alias("v")).groupBy("v").agg(F.count("*").alias("n"))
-    return one.agg(F.slice(F.array_sort(F.collect_list("v")), 1, 12).alias("vals"), F.sum("n").alias("n"))
+    first = one.orderBy("v").limit(12).agg(F.array_sort(F.collect_list("v")).alias("vals"))  # twelve rows
+    return first.crossJoin(one.agg(F.sum("n").alias("n")))  # one row each
 
 
 @query("axial_strike", "SELECT c_custkey AS id, round(sin(2 * radians(c_custkey % 180)), 9) + 0.0 AS s2, round(cos(2 * radians(c_custkey % 180)), 9) + 0.0 AS c2 FROM customer")

@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.flow import shared_dir
 from ..sources import sinks
+from ..sources.shared import shared_dir
 from ..sources.tables import SIDE, nodes
 from .pages import paged
 

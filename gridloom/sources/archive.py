@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
@@ -122,3 +123,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ArchiveSource)
     return spark.read.format("page_archive").load(path)
+
+
+def page_files(spark: SparkSession, folder: str, stated: DataFrame, suffix: str = "page") -> DataFrame:
+    """(region, y, x, blob) of files region_y_x.suffix that an index (region, y, x, sha256) states; one that
+    is not there, or has another digest, is an error."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(folder)
+    key = F.regexp_extract("path", rf"(\d+_\d+_\d+)\.{suffix}$", 1)
+    files = raw.select(key.alias("key"), F.col("content").alias("blob"))
+    met = stated.withColumn("key", F.concat_ws("_", "region", "y", "x")).join(files, "key", "left")
+    sound = F.coalesce(F.sha2("blob", 256) == F.col("sha256"), F.lit(False))
+    return met.select("region", "y", "x", F.when(sound, F.col("blob")).otherwise(F.raise_error(F.concat(F.lit("damaged or missing page "), F.col("key")))).alias("blob"))
