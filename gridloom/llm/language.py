@@ -23,7 +23,7 @@ from .common import checkpointed, small_batches
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
 ALPHA = 0.1
-CACHE = 200_000
+CACHE = 500_000
 #: Words that are looked up together.
 STEP = 20_000
 
