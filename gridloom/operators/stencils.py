@@ -73,6 +73,28 @@ def flux_divergence(cells: DataFrame, spacing: float = 1.0, flux=lambda g: g) ->
     return neighbours(cells).withColumn("div", total / spacing).drop("w", "e", "n", "s")
 
 
+def variable_flux(cells: DataFrame, critical: float, spacing: float = 1.0) -> DataFrame:
+    """cells (with d, a diffusivity at each node) and div: nonlinear fluxes through a cell's faces, each
+    under the harmonic mean of the diffusivities on its two sides; no flux leaves the field."""
+    z, d, out = F.col("z"), F.col("d"), cells
+    sides = {"e": (F.lead, along_row(), 1), "w": (F.lag, along_row(), -1), "s": (F.lead, along_col(), 1), "n": (F.lag, along_col(), -1)}
+    total = F.lit(0.0)
+    for name, (to, window, sign) in sides.items():
+        out = out.withColumns({f"__z{name}": to("z").over(window), f"__d{name}": to("d").over(window)})
+        there, other = F.col(f"__z{name}"), F.col(f"__d{name}")
+        slope = (there - z) / spacing * sign
+        total = total + sign * F.coalesce(teacher_flux(slope, critical) * 2 * d * other / (d + other), F.lit(0.0))
+    return out.withColumn("div", total / spacing).select(*cells.columns, "div")
+
+
+def whole(cells: DataFrame, side: int) -> DataFrame:
+    """cells as they are; a field that lacks a node, has one twice or a missing height is an error."""
+    held = cells.groupBy("region").agg(F.count("*").alias("__n"), F.countDistinct("row", "col").alias("__d"), F.count_if(F.isnan("z") | F.col("z").isNull() | ~F.col("row").between(0, side - 1) | ~F.col("col").between(0, side - 1)).alias("__bad"))
+    fault = (F.col("__n") != side * side) | (F.col("__d") != side * side) | (F.col("__bad") > 0)
+    tested = held.select("region", F.when(fault, F.raise_error(F.concat(F.lit("not a whole field: "), F.col("region").cast("string")))).otherwise(F.lit(True)).alias("__whole"))
+    return cells.join(tested.where("__whole"), "region").drop("__whole")
+
+
 def smooth_decimate(cells: DataFrame, side: int) -> DataFrame:
     """The next pyramid level: [1, 4, 6, 4, 1] / 16 along both axes with repeated edges, every second node."""
 

@@ -53,6 +53,16 @@ def put(spark: SparkSession, path: str, content: bytes) -> None:
         out.close()
 
 
+def moved(spark: SparkSession, path: str, to: str) -> None:
+    """A file in another's place, which is replaced."""
+    store, target = _at(spark, to)
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    renames = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(renames, 1)
+    how[0] = renames.OVERWRITE
+    context.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), target, how)
+
+
 def put_from_task(path: str, content: bytes) -> None:
     """A file from a task, by any file system that pyarrow knows. A task that runs again writes the same."""
     from pyarrow import fs

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import moved, put
+from .text import nodata
+
 
 def atlas(pages: DataFrame, path: str, by: tuple[str, ...] = ("region", "level"), order: tuple[str, ...] = ("y", "x")) -> None:
     """The page relation in folders by region and level, sorted by place so that row groups prune; refuses to overwrite."""
@@ -20,6 +24,23 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def put_json(spark: SparkSession, path: str, value: object) -> None:
+    """Canonical JSON in a file that is there whole or not at all: written beside its place, then moved
+    over what was there."""
+    text = canonical(value).encode()
+    beside = f"{path}.{uuid.uuid4().hex}.part"
+    put(spark, beside, text)
+    moved(spark, beside, path)
+
+
+def publishable(cells: DataFrame) -> DataFrame:
+    """cells as they are; a field with a hole is an error that names its box."""
+    holes = nodata(cells)
+    said = F.concat_ws(" ", F.lit("a hole in region"), "region", F.lit("rows"), "r0", "r1", F.lit("columns"), "c0", "c1", F.lit("nodes"), "missing")
+    refused = holes.select("region", F.raise_error(said).cast("boolean").alias("__no"))
+    return cells.join(refused, "region", "left").where("__no IS NULL").drop("__no")
+
+
 def digest(value: object) -> str:
     return hashlib.sha256(canonical(value).encode()).hexdigest()
 

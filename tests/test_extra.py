@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import container, entropy, hydro, index, physics, recon
 from gridloom.operators import masks, resample, stencils, verdicts
 from gridloom.plans.registry import QUERIES
-from gridloom.sources import text
+from gridloom.sources import sinks, text
 
 
 @pytest.fixture
@@ -301,3 +301,31 @@ def test_surfaces_of_queries(spark, duck, data):
         for b in got:
             part = own[k][max(0, b.row - 8) : b.row + 16, max(0, b.col - 8) : b.col + 16]
             assert b.relief == pytest.approx(part.max() - part.min(), abs=1e-6)
+
+
+def test_refusals_of_fields(spark):
+    cells = spark.sql("SELECT g.id AS region, CAST(a.id AS INT) AS row, CAST(b.id AS INT) AS col, CAST(a.id + b.id AS DOUBLE) AS z FROM range(2) g CROSS JOIN range(3) a CROSS JOIN range(3) b")
+    assert stencils.whole(cells, 3).count() == 18 == sinks.publishable(cells).count()
+    hole = cells.withColumn("z", F.when((F.col("region") == 1) & (F.col("row") == 2), float("nan")).otherwise(F.col("z")))
+    for bad in (hole, cells.where("row + col + region > 0"), cells.union(cells.limit(1)), cells.withColumn("row", F.col("row") + 1)):
+        with pytest.raises(Exception, match="not a whole field"):
+            stencils.whole(bad, 3).collect()
+    with pytest.raises(Exception, match="a hole in region 1 rows 2 2 columns 0 2 nodes 3"):
+        sinks.publishable(hole).collect()
+
+
+def test_json_is_there_whole(spark, tmp_path):
+    path = tmp_path / "m.json"
+    for value in ({"b": 1, "a": [1.5, None]}, {"c": "ü"}):
+        sinks.put_json(spark, str(path), value)
+        assert path.read_text() == sinks.canonical(value)
+    with pytest.raises(ValueError):
+        sinks.put_json(spark, str(path), {"x": float("inf")})
+    assert path.read_text() == '{"c":"ü"}' and not list(tmp_path.glob("*.part"))
+
+
+def test_constant_diffusivity_is_the_plain_flux(spark, rough):
+    cells = spark.createDataFrame([(0, r, c, float(rough[r, c])) for r in range(33) for c in range(33)], "region bigint, row int, col int, z double")
+    plain = {(r.row, r.col): r.div for r in stencils.flux_divergence(cells, flux=lambda g: stencils.teacher_flux(g, 1.2, 3.0)).collect()}
+    varied = {(r.row, r.col): r.div for r in stencils.variable_flux(cells.withColumn("d", F.lit(3.0)), 1.2).collect()}
+    assert plain.keys() == varied.keys() and np.allclose([plain[k] for k in plain], [varied[k] for k in plain])
