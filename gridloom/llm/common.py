@@ -94,6 +94,8 @@ def marked(df: DataFrame, h: str, filled: DataFrame, name: str) -> DataFrame:
     return joined.withColumn(name, F.coalesce(F.expr(f"shiftrightunsigned(__bits, CAST({h} & 63 AS INT)) & 1 = 1"), F.lit(False))).drop("__cell", "__bits")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: texts can be long, and a batch is held whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most a thousand rows and 16 MB, or one row: a batch is held whole, and texts
+    can be long. All operators ask for the same, since a session has one such setting."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
