@@ -80,7 +80,6 @@ class Machine:
 
     def __init__(self, terms: np.ndarray, w: np.ndarray, v: np.ndarray, b: float):
         self.terms, self.w, self.v, self.b = terms, w, v, b
-        self.at = {int(t): k for k, t in enumerate(terms)}
 
     def margin(self, rows: Rows) -> np.ndarray:
         v = self.v[rows.cols]
@@ -118,7 +117,7 @@ def fit(rows: Rows, y: np.ndarray, width: int, rank: int = 8, epochs: int = 20,
     for part in np.array_split(rng.permutation(n), max(1, n // BATCH)):
         own = rows.take(part)
         used, at = np.unique(own.cols, return_inverse=True)
-        batches.append((part, own.ptr, used, at.astype(np.int32)))
+        batches.append((part, own.ptr, used.astype(np.int32), at.astype(np.int32)))
     for _ in range(epochs):
         for k in rng.permutation(len(batches)):
             part, ptr, used, at = batches[k]
@@ -157,25 +156,29 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 10_000, rank: int = 8,
 
     Three machines, each fitted on two thirds of them, give margins for the third that they have not
     seen; these say what margin means what probability, the classes weighed as they were before the
-    sample. The machine that is returned is fitted on all. Without labels of both classes it scores
-    0.5 everywhere.
+    sample. The machine that is returned is fitted on all. Of rows that share an id one teaches. Without
+    labels of both classes the machine scores 0.5 everywhere.
     """
     spark = docs.sparkSession
     small_batches(spark)
     sample, shares = sample_labels(labels, rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most `rows` pairs of numbers
-    arrays = chosen.select("toxic", F.col("text").cast("string").alias("text")).mapInArrow(_term_arrays, "toxic int, terms array<int>")
-    got = arrays.toArrow().combine_chunks()  # at most `rows` rows (more only where ids repeat), each of hashed terms
+    chosen = chosen.groupBy("doc_id", "toxic").agg(F.min(F.col("text").cast("string")).alias("text"))
+    arrays = chosen.select("toxic", "text").mapInArrow(_term_arrays, "toxic int, terms array<int>")
+    got = arrays.toArrow().combine_chunks()  # at most `rows` rows of hashed terms
     y = np.array(got.column("toxic").to_numpy(), dtype=float)
     if not 0 < y.sum() < len(y):
         return Machine(np.array([], dtype=np.int64), np.zeros(0), np.zeros((0, rank)), 0.0)
     lists = pa.concat_arrays(got.column("terms").chunks)
     hashes, cols = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    cols = cols.astype(np.int32)
     # rows arrive in any order; sorted by what they hold, the fit is the same wherever they ran
     every = Rows(cols, np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]))
+    del got, lists
     seal = [(float(t), int(c.sum()), len(c), c[:64].tobytes()) for t, c in zip(y, np.split(cols, every.ptr[1:-1]), strict=True)]
     order = np.array(sorted(range(len(y)), key=seal.__getitem__))
     every, y = every.take(order), y[order]
+    del cols, seal
     weight = np.where(y == 1, 1 / shares[1], 1 / shares[0])
     fold, margins = np.random.default_rng(3).permutation(len(y)) % 3, np.zeros(len(y))
     for k in range(3):
@@ -192,10 +195,10 @@ class Scorer:
     """Scores texts; each word's terms among the machine's are kept in a cache of bounded size."""
 
     def __init__(self, machine: Machine):
-        self.m, self.cache = machine, {}
+        self.m, self.at, self.cache = machine, {int(t): k for k, t in enumerate(machine.terms)}, {}
 
     def one(self, text: str | None) -> float:
-        cache, at, own = self.cache, self.m.at, set()
+        cache, at, own = self.cache, self.at, set()
         for w in set(WORD.findall((text or "").lower())):
             idx = cache.get(w)
             if idx is None:

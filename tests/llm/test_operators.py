@@ -339,8 +339,9 @@ def test_scores_equal_the_formula(spark):
     texts = [" ".join(rng.choice(words, n)) for n in (1, 2, 5, 30)] + ["", "12 !", "Alm ALM alm"]
     df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id bigint, text string")
     got = {r.doc_id: r.score for r in toxicity.score(df, m).collect()}
+    at = {t: k for k, t in enumerate(terms)}
     for k, t in [*enumerate(texts), (99, "")]:
-        own = sorted({i for w in t.lower().split() if w.isalpha() for h in {*toxicity._terms(w)} if (i := m.at.get(h)) is not None})
+        own = sorted({i for w in t.lower().split() if w.isalpha() for h in {*toxicity._terms(w)} if (i := at.get(h)) is not None})
         margin = m.b + sum(m.w[i] for i in own) + sum(float(m.v[i] @ m.v[j]) for i in own for j in own if i < j)
         assert got[k] == pytest.approx(1 / (1 + math.exp(-margin)))
 
