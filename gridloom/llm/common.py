@@ -99,3 +99,15 @@ def small_batches(spark: SparkSession) -> None:
     can be long. All operators ask for the same, since a session has one such setting."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+_kept: dict[str, tuple[str, object]] = {}
+
+
+def kept(kind: str, key: str, make):
+    """What a worker process builds once for all tasks of one `key`; the last of a `kind` only, so that
+    no process holds more than one."""
+    if _kept.get(kind, ("", None))[0] != key:
+        _kept.pop(kind, None)
+        _kept[kind] = (key, make())
+    return _kept[kind][1]

@@ -9,6 +9,7 @@ and every whole text is scored against them in one pass without a shuffle.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -18,12 +19,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import checkpointed, kept, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
 ALPHA = 0.1
-CACHE = 500_000
+CACHE = 200_000
 #: Words that are looked up together.
 STEP = 20_000
 
@@ -139,11 +140,11 @@ class Scorer:
 def predicted(spark: SparkSession, model: dict) -> Callable[[Column], Column]:
     """A function from a text column to a struct (lang_pred, score). Only texts go to Python."""
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.arrow_udf("lang_pred string, score double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(sent.value)
+        scorer = kept("language", key, lambda: Scorer(sent.value))
         for batch in batches:
             found = [scorer.one(t) for t in batch.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
