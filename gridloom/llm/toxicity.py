@@ -10,6 +10,7 @@ shuffle.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import kept, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 30
@@ -217,11 +218,11 @@ def score(df: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     long; repeated rows score alike; columns named score or predicted are replaced.
     """
     small_batches(df.sparkSession)
-    sent = df.sparkSession.sparkContext.broadcast(machine)
+    sent, key = df.sparkSession.sparkContext.broadcast(machine), uuid.uuid4().hex
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(sent.value)
+        scorer = kept("toxicity", key, lambda: Scorer(sent.value))
         for batch in batches:
             yield pa.array([scorer.one(t) for t in batch.to_pylist()], pa.float64())
 
