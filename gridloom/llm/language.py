@@ -94,29 +94,38 @@ class Scorer:
     """Scores whole texts; the rows of words that came by are kept in a cache of bounded size."""
 
     def __init__(self, model: dict):
-        self.langs, self.grams, self.gram_rows = model["langs"], model["grams"], model.get("gram_rows")
-        self.words, self.known = model["words"], model["rows"]
+        self.langs, self.grams = model["langs"], model["grams"]
+        self.words = np.append(model["words"], np.uint64(0))  # so that a place behind the last word is one too
+        self.known = np.vstack([model["rows"], np.zeros((1, len(self.langs)))]) if self.langs else None
+        self.gram_rows = np.vstack([model["gram_rows"], np.zeros((1, len(self.langs)))]) if self.langs else None
         self.ids: dict[str, int] = {}
         self.rows = np.zeros((CACHE + STEP, len(self.langs)), np.float32)
 
-    def unseen(self, word: str) -> np.ndarray:
-        marked = f"^{word}$"
-        for n in ORDERS:
-            own = [k for i in range(len(marked) - n + 1) if (k := self.grams.get(marked[i : i + n])) is not None]
-            if own:
-                return self.gram_rows[own].mean(0)
-        return np.zeros(len(self.langs), np.float32)
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """For each word the mean row of its longest known n-grams; zeros for one without any."""
+        get, none, flat, starts = self.grams.get, [len(self.gram_rows) - 1], [], []
+        for word in words:
+            marked, own = f"^{word}$", none
+            for n in ORDERS:
+                if found := [k for k in map(get, [marked[i : i + n] for i in range(len(marked) - n + 1)]) if k is not None]:
+                    own = found
+                    break
+            starts.append(len(flat))
+            flat += own
+        sizes = np.diff([*starts, len(flat)])
+        return np.add.reduceat(self.gram_rows[flat], starts, axis=0) / sizes[:, None]
 
     def fill(self, new: list[str]) -> None:
         """Rows for words that the cache lacks: known ones from the table, others by their n-grams."""
         first, hashes = len(self.ids), np.array([_hash(w) for w in new], dtype=np.uint64)
-        at = np.searchsorted(self.words, hashes)
-        found = np.append(self.words, np.uint64(0))[at] == hashes
-        found &= at < len(self.words)
-        self.rows[first : first + len(new)][found] = self.known[at[found]]
-        for k in np.nonzero(~found)[0]:
-            self.rows[first + k] = self.unseen(new[k])
-        self.ids.update((w, first + k) for k, w in enumerate(new))
+        at = np.searchsorted(self.words[:-1], hashes)
+        found = (self.words[at] == hashes) & (at < len(self.words) - 1)
+        rows = self.rows[first : first + len(new)]
+        rows[found] = self.known[at[found]]
+        if not found.all():
+            others = np.nonzero(~found)[0]
+            rows[others] = self.unseen([new[k] for k in others])
+        self.ids.update(zip(new, range(first, first + len(new)), strict=True))
 
     def one(self, text: str | None) -> tuple[str, float]:
         """The likeliest language of all words together, and its probability for a word of average
@@ -128,10 +137,10 @@ class Scorer:
             if len(self.ids) > CACHE:
                 self.ids = {}
             part, ids = words[i : i + STEP], self.ids
-            at = [ids.get(w) for w in part]
+            at = list(map(ids.get, part))
             if None in at:
                 self.fill(list(dict.fromkeys(w for w, k in zip(part, at, strict=True) if k is None)))
-                at = [ids[w] for w in part]
+                at = list(map(ids.__getitem__, part))
             total += self.rows[at].sum(0, dtype=np.float64)
         best = int(total.argmax())
         return self.langs[best], 1.0 / float(np.exp((total - total[best]) / max(1, len(words))).sum())
