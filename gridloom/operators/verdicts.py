@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
+from ..sources.shared import checkpointed
 
 
 def best_conventional(rows: DataFrame, learned: Column) -> DataFrame:
@@ -139,18 +140,43 @@ def staircase(rows: DataFrame, by: list[str], x: str, y: str, key: str) -> DataF
     return held.where(F.col("__before").isNull() | (F.col(y) < F.col("__before"))).select(*rows.columns)
 
 
-def dominated(rows: DataFrame) -> DataFrame:
+#: Rows of the side of a join that is sent to all tasks, at most.
+SENT = 100_000
+
+
+def dominated(rows: DataFrame, first: int = 1024, growth: int = 8) -> DataFrame:
     """rows (id, package, bytes, mae, worst) with dominated_by: the first id in order that is no
     worse on all three and better on one, within a package. Rows with a null are not compared.
 
-    A theta join within a package.
+    Rows meet the others in order of their ids, block by block: first a small block, then ever larger
+    ones. A row that an id of a block dominates is settled and meets no further block, so that most
+    rows meet few others; of a block and the open rows the smaller is sent to all tasks if it is
+    small enough.
     """
-    full = rows.where("bytes IS NOT NULL AND mae IS NOT NULL AND worst IS NOT NULL")
-    a, b = full.alias("a"), full.alias("b")
-    no_worse = (F.col("b.bytes") <= F.col("a.bytes")) & (F.col("b.mae") <= F.col("a.mae")) & (F.col("b.worst") <= F.col("a.worst"))
-    better = (F.col("b.bytes") < F.col("a.bytes")) | (F.col("b.mae") < F.col("a.mae")) | (F.col("b.worst") < F.col("a.worst"))
-    hit = a.join(b, (F.col("a.package") == F.col("b.package")) & no_worse & better).groupBy(F.col("a.id").alias("id")).agg(F.min("b.id").alias("dominated_by"))
-    return rows.join(hit, "id", "left")
+    full = checkpointed(rows.where("bytes IS NOT NULL AND mae IS NOT NULL AND worst IS NOT NULL").select("id", "package", "bytes", "mae", "worst"))
+    n, shares = full.count(), []
+    while first < n:
+        shares, first = [*shares, first / n], first * growth
+    cuts = full.approxQuantile("id", shares, 0.0001) if shares else []  # a number for each block
+    left, settled, low = full, [], None
+    for cut in [*sorted(set(cuts)), None]:
+        block = full if low is None else full.where(F.col("id") > low)
+        block = block if cut is None else block.where(F.col("id") <= cut)
+        open_rows, block_rows = left.count(), block.count()
+        small = min(open_rows, block_rows) <= SENT
+        a = (F.broadcast(left) if small and open_rows < block_rows else left).alias("a")
+        b = (F.broadcast(block) if small and open_rows >= block_rows else block).alias("b")
+        no_worse = (F.col("b.bytes") <= F.col("a.bytes")) & (F.col("b.mae") <= F.col("a.mae")) & (F.col("b.worst") <= F.col("a.worst"))
+        better = (F.col("b.bytes") < F.col("a.bytes")) | (F.col("b.mae") < F.col("a.mae")) | (F.col("b.worst") < F.col("a.worst"))
+        hit = a.join(b, (F.col("a.package") == F.col("b.package")) & no_worse & better).groupBy(F.col("a.id").alias("id")).agg(F.min("b.id").alias("dominated_by"))
+        settled.append(checkpointed(hit))
+        if cut is not None:
+            left = checkpointed(left.join(settled[-1], "id", "left_anti"))
+        low = cut
+    found = settled[0]
+    for more in settled[1:]:
+        found = found.unionByName(more)
+    return rows.join(found, "id", "left")
 
 
 def best_at_or_below(rows: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ _written: dict[tuple[str, str], str] = {}
 def stored(spark: SparkSession, d: str) -> DataFrame:
     """The page relation of a folder of tables, in the folder that the cluster shares: written when it
     is first asked for in an application, by rows of pages, sorted within, so that a read by place
-    opens only the folders of the rows and the row groups of the columns that it needs."""
+    opens only the folders of the rows and the row groups of the columns that it needs. The tables
+    are taken not to change while the application runs."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _written:
         path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"

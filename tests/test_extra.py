@@ -204,6 +204,18 @@ def test_curves_are_read_in_log_bytes(spark):
     assert xs == [10.0, 31.6227766, 100.0, 300.0, 1000.0] and np.allclose([got[x] for x in xs], np.interp(np.log(xs), np.log([10, 100, 1000]), [1, 2, 5]))
 
 
+@pytest.mark.parametrize(("first", "sent"), [(4, 100_000), (4, 0), (1000, 100_000)])
+def test_blocks_do_not_change_who_dominates(spark, first, sent, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(verdicts, "SENT", sent)
+    rows = [(int(i), "pq"[k % 2], int(rng.integers(0, 9)), None if rng.random() < 0.1 else float(rng.integers(0, 9)), None if rng.random() < 0.1 else float(rng.integers(0, 9))) for k, i in enumerate(rng.permutation(300))]
+    df = spark.createDataFrame(rows, "id bigint, package string, bytes bigint, mae double, worst double")
+    got = {r.id: r.dominated_by for r in verdicts.dominated(df, first, 3).collect()}
+    for i, p, *a in rows:
+        over = [j for j, q, *b in rows if q == p and None not in a and None not in b and all(y <= x for x, y in zip(a, b, strict=True)) and b != a]
+        assert got[i] == (min(over) if over else None)
+
+
 @pytest.mark.parametrize("ranges", [2, 7, 64])
 def test_ranges_do_not_change_minima(spark, ranges, monkeypatch):
     rng = np.random.default_rng(7)
