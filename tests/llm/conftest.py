@@ -1,12 +1,12 @@
 import numpy as np
 import pytest
 
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string"
 
 
 @pytest.fixture(scope="session")
 def odd_docs(spark):
-    """Null, empty, blank and very long texts, ties, repeated rows, a null id, and a clashing column."""
+    """Null, empty, blank and very long texts, ties, repeated rows, a null id, null languages, and a clashing column."""
     rng = np.random.default_rng(0)
     words = [f"w{k}" for k in rng.integers(0, 3000, 30_000)]
     base = " ".join(words[:200])
@@ -16,7 +16,7 @@ def odd_docs(spark):
         (8, "one two three"), (9, "One  two\tthree"), (10, "x"), (11, " ".join(words)), (12, " ".join(words) + " end"), (None, base), (None, None),
         (13, "é ü ß 日本語 🙂 <|endoftext|> don't"), (14, "spam " * 400), (15, "a b c d e"), (16, "12 34 !!! ..."),
     ]
-    return spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, None if k % 3 == 0 else "en", "s", 1, "clash") for k, (i, t) in enumerate(rows)], DOCS)
 
 
 @pytest.fixture(scope="session")
