@@ -52,7 +52,7 @@ ESTIMATE_SQL = f"""E AS (SELECT *, CAST(round_even(z / CAST({STEP} AS DOUBLE), 0
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(region, coder, bound, seed, bytes, violations): a row per measured product."""
     line, part, supplier, nation = (read(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation"))
-    named = supplier.join(F.broadcast(nation), supplier["s_nationkey"] == nation["n_nationkey"]).select("s_suppkey", F.col("n_name").alias("region"))
+    named = supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select("s_suppkey", F.col("n_name").alias("region"))
     kinds = part.select("p_partkey", F.col("p_brand").alias("coder"))
     rows = line.join(kinds, line["l_partkey"] == kinds["p_partkey"]).join(named, line["l_suppkey"] == named["s_suppkey"])
     return rows.select(
