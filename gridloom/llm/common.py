@@ -101,13 +101,17 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
-_kept: dict[str, tuple[str, object]] = {}
+_kept: dict[str, object] = {}
 
 
-def kept(kind: str, key: str, make):
-    """What a worker process builds once for all tasks of one `key`; the last of a `kind` only, so that
-    no process holds more than one."""
-    if _kept.get(kind, ("", None))[0] != key:
-        _kept.pop(kind, None)
-        _kept[kind] = (key, make())
-    return _kept[kind][1]
+def kept(key: str, make):
+    """What a worker process builds once for all tasks of one `key`. Only the last is kept, and until
+    another operator's tasks begin in the process, so that none holds what it does not need."""
+    if key not in _kept:
+        forget()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    _kept.clear()

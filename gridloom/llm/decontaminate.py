@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CELLS, Scratch, bitmap, checkpointed, marked, small_batches
+from .common import CELLS, Scratch, bitmap, checkpointed, forget, marked, small_batches
 
 TOKEN = re.compile(r"[^\W_]+")
 #: 1 picks a token, 0 ignores it. From the given window length on, up to the next one,
@@ -97,6 +97,7 @@ def _item_seeds(batches: Iterator[pa.RecordBatch], masks: list[str], window: int
 
 def _doc_seeds(batches: Iterator[pa.RecordBatch], masks: list[str], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Hashes that the filter lets pass; a text that the batch repeats gives them once."""
+    forget()
     tokens, cells, low = Tokens(), np.uint64(64 - CELLS), np.uint64(63)
     for batch in batches:
         keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True))

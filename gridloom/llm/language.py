@@ -153,7 +153,7 @@ def predicted(spark: SparkSession, model: dict) -> Callable[[Column], Column]:
 
     @F.arrow_udf("lang_pred string, score double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = kept("language", key, lambda: Scorer(sent.value))
+        scorer = kept(key, lambda: Scorer(sent.value))
         for batch in batches:
             found = [scorer.one(t) for t in batch.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])

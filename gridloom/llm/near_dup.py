@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, checkpointed, small_batches
+from .common import Scratch, checkpointed, forget, small_batches
 from .graph import components
 
 SHINGLE = 5
@@ -95,6 +95,7 @@ def half_keys(sets: list[np.ndarray], side: int) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordBatch]:
+    forget()
     shingler = Shingler()
     for batch in batches:
         n = batch.num_rows

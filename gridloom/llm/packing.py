@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import checkpointed, forget, small_batches
 
 SIZE = 4096
 END = 1
@@ -185,6 +185,7 @@ def pieces(df: DataFrame, tokenizer: str, size: int = SIZE, doc_id: str = "doc_i
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own = encoder(tokenizer)
         for batch in batches:
             rows: list[tuple] = []

@@ -222,7 +222,7 @@ def score(df: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = kept("toxicity", key, lambda: Scorer(sent.value))
+        scorer = kept(key, lambda: Scorer(sent.value))
         for batch in batches:
             yield pa.array([scorer.one(t) for t in batch.to_pylist()], pa.float64())
 
