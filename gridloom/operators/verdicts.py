@@ -152,6 +152,9 @@ def dominated(rows: DataFrame, first: int = 1024, growth: int = 8) -> DataFrame:
     ones. A row that an id of a block dominates is settled and meets no further block, so that most
     rows meet few others; of a block and the open rows the smaller is sent to all tasks if it is
     small enough.
+
+    The ids of settled rows are called `of`: Spark drops an alias that only repeats a name, and then a
+    checkpoint keeps constraints on a column that it does not have, at which a union of such fails.
     """
     full = checkpointed(rows.where("bytes IS NOT NULL AND mae IS NOT NULL AND worst IS NOT NULL").select("id", "package", "bytes", "mae", "worst"))
     n, shares = full.count(), []
@@ -168,15 +171,15 @@ def dominated(rows: DataFrame, first: int = 1024, growth: int = 8) -> DataFrame:
         b = (F.broadcast(block) if small and open_rows >= block_rows else block).alias("b")
         no_worse = (F.col("b.bytes") <= F.col("a.bytes")) & (F.col("b.mae") <= F.col("a.mae")) & (F.col("b.worst") <= F.col("a.worst"))
         better = (F.col("b.bytes") < F.col("a.bytes")) | (F.col("b.mae") < F.col("a.mae")) | (F.col("b.worst") < F.col("a.worst"))
-        hit = a.join(b, (F.col("a.package") == F.col("b.package")) & no_worse & better).groupBy(F.col("a.id").alias("id")).agg(F.min("b.id").alias("dominated_by"))
+        hit = a.join(b, (F.col("a.package") == F.col("b.package")) & no_worse & better).groupBy(F.col("a.id").alias("of")).agg(F.min("b.id").alias("dominated_by"))
         settled.append(checkpointed(hit))
         if cut is not None:
-            left = checkpointed(left.join(settled[-1], "id", "left_anti"))
+            left = checkpointed(left.join(settled[-1], F.col("id") == F.col("of"), "left_anti"))
         low = cut
     found = settled[0]
     for more in settled[1:]:
         found = found.unionByName(more)
-    return rows.join(found, "id", "left")
+    return rows.join(found.withColumnRenamed("of", "id"), "id", "left")
 
 
 def best_at_or_below(rows: DataFrame) -> DataFrame:

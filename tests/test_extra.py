@@ -2,13 +2,14 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import container, entropy, hydro, index, physics, recon
 from gridloom.operators import masks, resample, stencils, verdicts
-from gridloom.plans.registry import QUERIES
+from gridloom.plans.registry import ORACLE_SQL, QUERIES
 from gridloom.sources import sinks, text
 
 
@@ -216,6 +217,15 @@ def test_blocks_do_not_change_who_dominates(spark, first, sent, monkeypatch):
         assert got[i] == (min(over) if over else None)
 
 
+def test_dominated_by_of_a_table_of_several_blocks(spark):
+    """2,000 rows are more than the first block holds."""
+    d = "/root/testdata/sf0.01"
+    got = sorted(tuple(r) for r in QUERIES["dominated_by"](spark, d).collect())
+    assert len(got) > 1024
+    want = duckdb.sql(f"WITH part AS (SELECT * FROM '{d}/part.parquet'), " + ORACLE_SQL["dominated_by"].removeprefix("WITH ")).fetchall()
+    assert got == sorted(want)
+
+
 @pytest.mark.parametrize("ranges", [2, 7, 64])
 def test_ranges_do_not_change_minima(spark, ranges, monkeypatch):
     rng = np.random.default_rng(7)
