@@ -226,6 +226,34 @@ def test_dominated_by_of_a_table_of_several_blocks(spark):
     assert got == sorted(want)
 
 
+def joined_rows(plan):
+    """Rows that the largest join of a plan that has run gave."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return joined_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return joined_rows(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in kind else 0
+    return max([own, *(joined_rows(plan.children().apply(i)) for i in range(plan.children().size()))])
+
+
+@pytest.mark.parametrize(("bridges", "vertices"), [
+    (range(2000), [(k, None if k % 7 == 0 else k * 31 % 977) for k in range(20_000)]),
+    ([1, 1, 2, 3, None], [(1, None), (641, 5), (1281, 4), (2, None), (None, 1), (1923, 9)]),
+    ([-7, 633, 1273], [(-7, 3), (633, 2), (-1287, 1), (1913, None)]),
+])
+def test_nearest_axis_meets_places_not_rows(spark, tmp_path, bridges, vertices):
+    """As many bridges and vertices at a place as there are: they meet once a place."""
+    spark.createDataFrame([(k,) for k in bridges], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(vertices, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    df = QUERIES["nearest_axis"](spark, str(tmp_path))
+    got = {tuple(r) for r in df.collect()}
+    tables = ", ".join(f"{t} AS (SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet')" for t in ("supplier", "orders"))
+    want = duckdb.sql(f"WITH {tables}, " + ORACLE_SQL["nearest_axis"].removeprefix("WITH ")).fetchall()
+    assert got == set(want) and df.count() == len(want) > 0
+    assert 0 < joined_rows(df._jdf.queryExecution().executedPlan()) < 10_000
+
+
 @pytest.mark.parametrize("ranges", [2, 7, 64])
 def test_ranges_do_not_change_minima(spark, ranges, monkeypatch):
     rng = np.random.default_rng(7)
