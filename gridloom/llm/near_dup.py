@@ -202,9 +202,9 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id
         wanted = scratch.table(tables.join(centres, "tkey", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "wanted")
         sets = scratch.table(texts.where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc long, n long, set array<long>"), "sets")
         links = scratch.table(_verified(pairs, sets, percent), "links")
-        roots = scratch.table(components(scratch, links), "roots")
+        roots = components(scratch, links)
         more = scratch.table(_rest(scratch, tables.select("tkey", "doc"), roots, sets, percent), "more")
-        ends = scratch.table(components(scratch, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "ends")
+        ends = components(scratch, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
         joined = members.join(ends, members["rep"] == ends["node"], "left").select("doc_id", "n", F.coalesce("root", "rep").alias("component_id"))
         alone = signed.where("lo IS NULL OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
         return checkpointed(joined.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
