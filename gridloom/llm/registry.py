@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, near_dup, packing, quality, sharding, toxicity, urls, warc
+from . import chat, conversations, decontaminate, language, near_dup, packing, quality, sharding, simhash, toxicity, urls, vector_codes, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_near_dup": near_dup.query,
     "op9_warc": warc.query,
     "op10_sharding": sharding.query,
+    "op11_vector_codes": vector_codes.query,
+    "op12_simhash": simhash.query,
+    "op13_conversation_repair": conversations.query,
 }
 ORACLE_SQL = {
     "op2_url_filters": urls.SQL,
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op7_quality_rules": quality.SQL,
     "op8_near_dup": near_dup.SQL,
     "op9_warc": warc.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op13_conversation_repair": conversations.SQL,
 }
