@@ -6,9 +6,9 @@ a larger difference in one is discarded, and what survives is verified by its ow
 
 References that lie in one region of the bits, taken relative to the reference zero, spell that region,
 and MOST differing bits leave all but MOST regions alone. So only fingerprints whose coordinates agree on
-all but MOST regions meet: a join on those coordinates. A bucket is not expanded into pairs. Its members
-meet its centre, and only those that are then still apart meet each other; where they are many, they are
-dealt again by finer regions, of which the last leave so few bits free that no bucket can be large.
+all but MOST regions meet: a join on those coordinates. No large bucket is expanded into pairs. Its
+members meet its centre, and those that are then still apart are dealt again by finer regions, of which
+the last leave twelve bits free, so that no bucket can have more than 4096 members.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ SHINGLE, SEED, BITS, MOST = 3, 42, 64, 3
 #: Reference fingerprints of the filter.
 PIVOTS = 24
 #: Regions of the bits: the first number that holds chance meetings below one a fingerprint, then the finer ones.
-FIRST, FINER = (5, 6, 7, 8), (10, 12, 16)
-#: Members of a bucket that may meet each other before the next finer regions are tried.
+FIRST, FINER = (5, 6, 7, 8), (8, 12, 16)
+#: Members of a bucket that all meet each other; those of larger ones meet its centre, then by finer regions.
 SMALL = 32
 #: Bytes of a text that are hashed at a time.
 PIECE = 1 << 20
@@ -118,40 +118,39 @@ def near(x: str, y: str) -> Column:
     return out & (_distance(F.col(f"{x}.fp"), F.col(f"{y}.fp")) <= MOST)
 
 
-def links(scratch: Scratch, fps: DataFrame) -> DataFrame:
+def links(scratch: Scratch, fps: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, root) of the fingerprints (node, fp) that are not their component's smallest node.
 
-    fps has each fingerprint once. All pairs within MOST bits are linked, directly or through others.
+    fps has each fingerprint once. All pairs within MOST bits are linked, directly or through others,
+    and so are the `known` ones (a, b).
     """
     named = scratch.table(table(fps), "pivots")
-    roots = fps.sparkSession.createDataFrame([], "node long, root long")
-    count = named.count()
-    cols, first = ["node", "fp", *(f"p{k}" for k in range(PIVOTS))], first_regions(count)
-    for level, n in enumerate([first, *(x for x in (*FIRST, *FINER) if x > first)]):
+    cols, first = ["node", "fp", *(f"p{k}" for k in range(PIVOTS))], first_regions(named.count())
+    more = known
+    for level, n in enumerate([first, *(x for x in FINER if x > first)]):
         last = n == FINER[-1]
         dealt = scratch.table(named.select("node", "fp", keys(n).alias("k")).select("node", "fp", "k.part", "k.bits"), f"dealt{level}")
-        order = F.xxhash64("fp")
-        buckets = dealt.groupBy("part", "bits").agg(F.count("*").alias("members"), F.min_by("node", order).alias("centre")).where("members > 1")
-        buckets = scratch.table(buckets, f"buckets{level}")
-        pairs = dealt.join(buckets, ["part", "bits"]).where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-        found = _verified(named, pairs, cols)
-        roots = components(scratch, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
-        # what the centres can have missed: members of a bucket of three or more that are still apart
-        large = buckets.where("members > 2")
-        owned = dealt.join(large, ["part", "bits"]).join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
-        owned = scratch.table(owned.select("part", "bits", "node", "members", F.coalesce("root", "node").alias("comp")), f"owned{level}")
-        apart = owned.groupBy("part", "bits").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("part", "bits")
-        owned = scratch.table(owned.join(apart, ["part", "bits"], "left_semi"), f"apart{level}")
+        buckets = dealt.groupBy("part", "bits").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("fp")).alias("centre")).where("members > 1")
+        owned = scratch.table(dealt.select("node", "part", "bits").join(buckets, ["part", "bits"]), f"owned{level}")
         few = owned if last else owned.where(F.col("members") <= SMALL)
         x, y = few.alias("x"), few.alias("y")
-        same = (F.col("x.part") == F.col("y.part")) & (F.col("x.bits") == F.col("y.bits"))
-        pairs = x.join(y, same & (F.col("x.comp") < F.col("y.comp"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        more = scratch.table(_verified(named, pairs, cols), f"more{level}")
-        roots = components(scratch, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-        rest = owned.where(F.col("members") > SMALL).select("node").distinct()
-        if last or rest.isEmpty():
+        met = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.node") < F.col("y.node")))
+        pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        many = owned.where(F.col("members") > SMALL)
+        if not last:
+            pairs = pairs.union(many.where("node != centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")))
+        found = _verified(named, pairs.distinct(), cols)
+        roots = components(scratch, found if more is None else found.union(more))
+        if last or many.isEmpty():
             return roots
+        # what the centres can have missed: members of a large bucket that are still apart meet by finer regions
+        told = scratch.table(many.join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("part", "bits", "node", F.coalesce("root", "node").alias("comp")), f"told{level}")
+        apart = told.groupBy("part", "bits").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("part", "bits")
+        rest = told.join(apart, ["part", "bits"], "left_semi").select("node").distinct()
         named = scratch.table(named.join(rest, "node", "left_semi").select(*cols), f"pivots{level}")
+        if named.isEmpty():
+            return roots
+        more = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return roots
 
 
@@ -166,8 +165,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     Texts are linked if their fingerprints differ in three bits or fewer; component_id is the smallest
     doc_id that links reach. Null, empty and blank texts have the fingerprint zero and are linked like
-    any other. Rows that share a doc_id may have several fingerprints, each in a component of its own
-    right: the doc_id joins them. A row without doc_id is linked with nothing and has a null
+    any other. Rows that share a doc_id may have several fingerprints; the doc_id joins them. A row without doc_id is linked with nothing and has a null
     component_id. Other columns are left out, whatever their names; an empty df gives an empty result.
     doc_id has to be an integer.
     """
@@ -176,18 +174,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     with Scratch(spark) as scratch:
         signed = scratch.table(texts.mapInArrow(_signed, "doc_id long, fp long"), "signed")
-        firsts = scratch.table(signed.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-        # a node is a fingerprint: two of them can have the same first doc_id
-        ends = links(scratch, firsts.select(F.col("fp").alias("node"), "fp"))
-        owned = firsts.join(ends, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("comp"))
-        owned = scratch.table(owned, "comps")
-        named = owned.groupBy("comp").agg(F.min("first").alias("component_id"))
-        labelled = scratch.table(owned.join(named, "comp").select("fp", "component_id"), "labelled")
-        ids = signed.where("doc_id IS NOT NULL").join(labelled, "fp").select("doc_id", "fp", "component_id")
-        shared = ids.groupBy("doc_id").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x != y")
-        shared = scratch.table(shared.join(ids, "doc_id").select(F.col("x").alias("a"), F.col("component_id").alias("b")), "shared")
-        joined = components(scratch, shared)
-        ids = ids.join(joined, F.col("component_id") == F.col("node"), "left").select("doc_id", "fp", F.coalesce("root", "component_id").alias("component_id"))
+        named = signed.where("doc_id IS NOT NULL")
+        firsts = scratch.table(named.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+        # a doc_id with several fingerprints joins them
+        low = named.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a != z").select("doc_id", "a")
+        low = scratch.table(named.join(low, "doc_id").where("a != fp").select("a", F.col("fp").alias("b")).distinct(), "low")
+        ends = links(scratch, firsts.select(F.col("fp").alias("node"), "fp"), low)
+        owned = scratch.table(firsts.join(ends, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("comp")), "comps")
+        labelled = scratch.table(owned.join(owned.groupBy("comp").agg(F.min("first").alias("component_id")), "comp").select("fp", "component_id"), "labelled")
+        ids = named.join(labelled, "fp").select("doc_id", "fp", "component_id")
         alone = signed.where("doc_id IS NULL").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id"))
         return checkpointed(ids.union(alone).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
