@@ -222,7 +222,7 @@ def test_dominated_by_of_a_table_of_several_blocks(spark):
     d = "/root/testdata/sf0.01"
     got = sorted(tuple(r) for r in QUERIES["dominated_by"](spark, d).collect())
     assert len(got) > 1024
-    want = duckdb.sql(f"WITH part AS (SELECT * FROM '{d}/part.parquet'), " + ORACLE_SQL["dominated_by"].removeprefix("WITH ")).fetchall()
+    want = duckdb.connect().sql(f"WITH part AS (SELECT * FROM '{d}/part.parquet'), " + ORACLE_SQL["dominated_by"].removeprefix("WITH ")).fetchall()
     assert got == sorted(want)
 
 
@@ -249,7 +249,7 @@ def test_nearest_axis_meets_places_not_rows(spark, tmp_path, bridges, vertices):
     df = QUERIES["nearest_axis"](spark, str(tmp_path))
     got = {tuple(r) for r in df.collect()}
     tables = ", ".join(f"{t} AS (SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet')" for t in ("supplier", "orders"))
-    want = duckdb.sql(f"WITH {tables}, " + ORACLE_SQL["nearest_axis"].removeprefix("WITH ")).fetchall()
+    want = duckdb.connect().sql(f"WITH {tables}, " + ORACLE_SQL["nearest_axis"].removeprefix("WITH ")).fetchall()
     assert got == set(want) and df.count() == len(want) > 0
     assert 0 < joined_rows(df._jdf.queryExecution().executedPlan()) < 10_000
 
