@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
+from .shared import store_of
+
 #: Fixed value: the archive's magic.
 MAGIC = b"EATPACK1"
 SCHEMA = "region bigint, level int, y int, x int, sha256 string, blob binary"
@@ -37,14 +39,6 @@ def pack(pages: list[tuple[int, int, int, int, bytes]]) -> bytes:
     return MAGIC + struct.pack("<Q", len(head)) + head + b"".join(p[4] for p in pages)
 
 
-def _store(path: str):
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 @dataclass
 class Pages(InputPartition):
     path: str
@@ -65,13 +59,9 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[Pages]:
         """Runs of neighbouring pages of about `size` bytes, from the indexes of all archives."""
-        from pyarrow import fs
-
-        store, top = _store(self.path)
-        info = store.get_file_info(top)
-        files = [info] if info.is_file else [f for f in store.get_file_info(fs.FileSelector(top)) if f.is_file and not f.base_name.startswith(("_", "."))]
+        store, top = store_of(self.path)
         out: list[Pages] = []
-        for f in sorted(files, key=lambda f: f.path):
+        for f in self.files(store, top):
             with store.open_input_file(f.path) as s:
                 head = s.read(16)
                 if head[:8] != MAGIC:
@@ -79,7 +69,9 @@ class ArchiveReader(DataSourceReader):
                 n = struct.unpack("<Q", head[8:])[0]
                 if n > f.size - 16:
                     raise ValueError(f"the index is longer than the file: {f.path}")
-                index = json.loads(s.read(n))
+                stated = s.read(n)
+                self.check(f, stated)
+                index = json.loads(stated)
             run, held = [], 0
             for p in index:
                 if all(test(p[k], v) for k, test, v in self.tests):
@@ -92,10 +84,21 @@ class ArchiveReader(DataSourceReader):
                 out.append(Pages(f.path, run))
         return out or [Pages("", [])]
 
+    def files(self, store, top: str) -> list:
+        """The archives of a folder, or the one that the path names."""
+        from pyarrow import fs
+
+        info = store.get_file_info(top)
+        found = [info] if info.is_file else [f for f in store.get_file_info(fs.FileSelector(top)) if f.is_file and not f.base_name.startswith(("_", "."))]
+        return sorted(found, key=lambda f: f.path)
+
+    def check(self, file, index: bytes) -> None:
+        """For readers that know what an index has to be."""
+
     def read(self, partition: Pages) -> Iterator[tuple]:
         if not partition.pages:
             return
-        store, _ = _store(self.path)
+        store, _ = store_of(self.path)
         with store.open_input_file(partition.path) as s:
             for *key, at, size, digest in partition.pages:
                 s.seek(at)

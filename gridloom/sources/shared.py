@@ -43,6 +43,28 @@ def folder(spark: SparkSession) -> Iterator[str]:
         store.delete(target, True)
 
 
+class Rounds:
+    """Tables of a loop's rounds, written to a folder that goes when the block ends. A table read again has no
+    lineage, no partitioning and none of the constraints that a checkpoint keeps, which in a loop
+    multiply with each round."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.count = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        own, schema = f"{self.path}/{self.count}", df.schema
+        self.count += 1
+        df.write.parquet(own)
+        return self.spark.read.schema(schema).parquet(own)
+
+    def __enter__(self) -> "Rounds":
+        return self
+
+    def __exit__(self, *_) -> None:
+        store, target = _at(self.spark, self.path)
+        store.delete(target, True)
+
+
 def put(spark: SparkSession, path: str, content: bytes) -> None:
     """A small file from the driver; one that is there already is an error."""
     store, target = _at(spark, path)
@@ -64,12 +86,21 @@ def moved(spark: SparkSession, path: str, to: str) -> None:
 
 
 def put_from_task(path: str, content: bytes) -> None:
-    """A file from a task, by any file system that pyarrow knows. A task that runs again writes the same."""
+    """A file from a task, by any file system that pyarrow knows: written beside its place, under a name that
+    readers skip, and moved there whole. A task that runs again writes the same."""
+    store, own = store_of(path)
+    top, _, name = own.rpartition("/")
+    store.create_dir(top, recursive=True)
+    beside = f"{top}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(beside, compression=None) as out:
+        out.write(content)
+    store.move(beside, own)
+
+
+def store_of(path: str):
+    """pyarrow's file system of a path, and the path in it."""
     from pyarrow import fs
 
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
-    store, own = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    store.create_dir(own.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(own, compression=None) as out:
-        out.write(content)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
