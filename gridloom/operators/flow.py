@@ -13,17 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hydro
-from ..functions.dense import dense
-from ..sources.shared import checkpointed
+from ..functions.dense import MOST_NODES, dense
+from ..sources.shared import Rounds, checkpointed
 from .stencils import NEIGHBOURS, along_col, along_row, offsets
 
 NO_RECEIVER = -1
 
 
-def traced(cells: DataFrame, side: int, values: tuple[str, ...] = ("z",)) -> DataFrame:
+def traced(cells: DataFrame, side: int, values: tuple[str, ...] = ("z",), most: int = MOST_NODES) -> DataFrame:
     """cells (region, row, col, the values) with `cell` and, for each value v, v_receiver, v_outlet and
-    v_upstream: a field is one task, all surfaces of it together. For fields that a task can hold;
-    the functions below do the same on edges for larger ones."""
+    v_upstream. A field of up to `most` nodes is one task, all surfaces of it together; larger ones go
+    by edges, which no task has to hold, with the same result."""
+    if side * side > most:
+        return _on_edges(cells, side, values)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf[["region", "row", "col", *values]].copy()
@@ -41,6 +43,19 @@ def traced(cells: DataFrame, side: int, values: tuple[str, ...] = ("z",)) -> Dat
     return cells.select("region", "row", "col", *values).groupBy("region").applyInPandas(one, schema)
 
 
+def _on_edges(cells: DataFrame, side: int, values: tuple[str, ...]) -> DataFrame:
+    at = (F.col("row").cast("long") * side + F.col("col")).alias("cell")
+    out = cells.select("region", "row", "col", *values, at)
+    for v in values:
+        edges = checkpointed(receivers(cells.select("region", "row", "col", v), side, value=v).select("region", "cell", "receiver"))
+        ends = outlets(edges).withColumnRenamed("outlet", f"{v}_outlet")
+        total = accumulation(edges).withColumnRenamed("upstream", f"{v}_upstream")
+        found = edges.withColumnRenamed("receiver", f"{v}_receiver").join(ends, ["region", "cell"]).join(total, ["region", "cell"])
+        out = out.join(found, ["region", "cell"])
+    made = (f"{v}_{name}" for v in values for name in ("receiver", "outlet", "upstream"))
+    return out.select("region", "row", "col", *values, "cell", *made)
+
+
 def receivers(cells: DataFrame, side: int, spacing: float = 1.0, value: str = "z") -> DataFrame:
     """cells with `cell` and `receiver`: the neighbour with the steepest drop a metre, the first in the
     fixed order on a tie, -1 where nothing is lower. Neighbours come from two windows, not a join."""
@@ -58,13 +73,14 @@ def receivers(cells: DataFrame, side: int, spacing: float = 1.0, value: str = "z
 
 def outlets(edges: DataFrame) -> DataFrame:
     """(region, cell, outlet): where each cell's path ends, by pointer doubling until nothing moves."""
-    at = checkpointed(edges.select("region", "cell", F.when(F.col("receiver") == NO_RECEIVER, F.col("cell")).otherwise(F.col("receiver")).alias("outlet")))
-    while True:
-        to = at.select("region", F.col("cell").alias("outlet"), F.col("outlet").alias("__next"))
-        new = checkpointed(at.join(to, ["region", "outlet"]).select("region", "cell", F.col("__next").alias("outlet"), (F.col("__next") != F.col("outlet")).alias("__moved")))
-        at = new.drop("__moved")
-        if new.where("__moved").isEmpty():
-            return at
+    with Rounds(edges.sparkSession) as rounds:
+        at = rounds.table(edges.select("region", "cell", F.when(F.col("receiver") == NO_RECEIVER, F.col("cell")).otherwise(F.col("receiver")).alias("outlet")))
+        while True:
+            to = at.select("region", F.col("cell").alias("outlet"), F.col("outlet").alias("__next"))
+            new = rounds.table(at.join(to, ["region", "outlet"]).select("region", "cell", F.col("__next").alias("outlet"), (F.col("__next") != F.col("outlet")).alias("__moved")))
+            at = new.drop("__moved")
+            if new.where("__moved").isEmpty():
+                return checkpointed(at)
 
 
 def accumulation(edges: DataFrame) -> DataFrame:
@@ -73,13 +89,14 @@ def accumulation(edges: DataFrame) -> DataFrame:
     Doubling: what lies less than 2^k steps above a cell, plus the same for each cell that is 2^k
     steps above it, is what lies less than 2^(k+1) steps above it.
     """
-    at = checkpointed(edges.select("region", "cell", F.when(F.col("receiver") != NO_RECEIVER, F.col("receiver")).alias("far"), F.lit(1).cast("bigint").alias("upstream")))
-    while not (open_ := at.where("far IS NOT NULL")).isEmpty():
-        more = open_.groupBy("region", F.col("far").alias("cell")).agg(F.sum("upstream").alias("__more"))
-        further = at.select("region", F.col("cell").alias("far"), F.col("far").alias("__far"))
-        new = at.join(more, ["region", "cell"], "left").withColumn("upstream", F.col("upstream") + F.coalesce("__more", F.lit(0))).drop("__more")
-        at = checkpointed(new.join(further, ["region", "far"], "left").select("region", "cell", F.col("__far").alias("far"), "upstream"))
-    return at.select("region", "cell", "upstream")
+    with Rounds(edges.sparkSession) as rounds:
+        at = rounds.table(edges.select("region", "cell", F.when(F.col("receiver") != NO_RECEIVER, F.col("receiver")).alias("far"), F.lit(1).cast("bigint").alias("upstream")))
+        while not (open_ := at.where("far IS NOT NULL")).isEmpty():
+            more = open_.groupBy("region", F.col("far").alias("cell")).agg(F.sum("upstream").alias("__more"))
+            further = at.select("region", F.col("cell").alias("far"), F.col("far").alias("__far"))
+            new = at.join(more, ["region", "cell"], "left").withColumn("upstream", F.col("upstream") + F.coalesce("__more", F.lit(0))).drop("__more")
+            at = rounds.table(new.join(further, ["region", "far"], "left").select("region", "cell", F.col("__far").alias("far"), "upstream"))
+        return checkpointed(at.select("region", "cell", "upstream"))
 
 
 def tolerant_scores(a: DataFrame, b: DataFrame, side: int, reach: int = 1) -> DataFrame:

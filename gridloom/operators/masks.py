@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Rounds, checkpointed
+
 from .stencils import along_col, along_row, offsets
 
 
@@ -135,3 +137,34 @@ def rasterised(cells: DataFrame, edges: DataFrame, x: Column, y: Column) -> Data
     inside = hit.groupBy("row", "col", "shape", "label").agg(F.count("*").alias("n")).where("n % 2 = 1")
     last = inside.groupBy("row", "col").agg(F.max(F.struct("shape", "label")).alias("b")).select("row", "col", F.col("b.label").alias("label"))
     return cells.join(last, ["row", "col"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+def fault_growth(faults: DataFrame, cells: DataFrame, reach: int) -> DataFrame:
+    """cells (region, row, col) with distance, sin2, cos2 and reached: steps to the nearest fault cell, by the
+    four neighbours and at most `reach`, and the strike there.
+
+    faults is (region, row, col, strike in degrees), with as many rows a cell as there are strikes. A
+    strike has no sense of direction, so it is carried as the vector of its doubled angle. Each ring's cell
+    takes the mean of those it is reached from, so that strikes that differ shorten it; away from faults it decays
+    with a third of the reach. Cells beyond have the reach as distance and no strike. Rings grow
+    on the frontier alone: a neighbour of a ring lies in it, in the one before or in the next. Nothing
+    wraps around an edge, as growth only goes to cells that there are.
+    """
+    angle = F.radians(2 * F.col("strike"))
+    own = cells.select("region", "row", "col")
+    with Rounds(cells.sparkSession) as rounds:
+        key = ["region", "row", "col"]
+        start = faults.join(own, key).groupBy(*key).agg(F.avg(F.sin(angle)).alias("s"), F.avg(F.cos(angle)).alias("c"))
+        ring = rounds.table(start.withColumn("distance", F.lit(0)))
+        before, found = ring.select(*key).limit(0), ring
+        for step in range(1, reach + 1):
+            moves = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)))))
+            near = ring.select("region", "row", "col", "s", "c", moves.alias("m")).select("region", (F.col("row") + F.col("m.a")).alias("row"), (F.col("col") + F.col("m.b")).alias("col"), "s", "c")
+            fresh = near.groupBy(*key).agg(F.avg("s").alias("s"), F.avg("c").alias("c")).join(own, key).join(ring.select(*key).union(before), key, "left_anti")
+            before, ring = ring.select(*key), rounds.table(fresh.select(*key, "s", "c", F.lit(step).alias("distance")))
+            if ring.isEmpty():
+                break
+            found = found.union(ring)
+        decay = F.exp(-F.col("distance") / (reach / 3))
+        out = own.join(found, key, "left").withColumn("reached", F.col("distance").isNotNull()).withColumn("distance", F.coalesce("distance", F.lit(reach)))
+        return checkpointed(out.select(*key, "distance", (F.coalesce("s", F.lit(0.0)) * decay).alias("sin2"), (F.coalesce("c", F.lit(0.0)) * decay).alias("cos2"), "reached"))

@@ -18,11 +18,53 @@ def _keys(x: float) -> float:
     return -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2 if x < 2 else 0.0
 
 
+#: The pole of the cubic B-spline's prefilter, and below what a weight is none.
+POLE, NONE = 3**0.5 - 2, 1e-15
+
+
+def _mirrored(k: int, n: int) -> int:
+    if n == 1:
+        return 0
+    k = abs(k) % (2 * n - 2)
+    return k if k < n else 2 * n - 2 - k
+
+
+def _bspline(coarse: int, factor: int) -> list[tuple[int, int, float]]:
+    """Prefilter and interpolation as one table. Samples are their B-spline coefficients under the taps (1, 4, 1) / 6;
+    the inverse of that weighs a node k steps away by a power of the pole, over the line that
+    goes on mirrored at both ends, until nothing is left of it."""
+    scale = 6 * POLE / (POLE * POLE - 1)
+    reach = 0
+    while abs(scale * POLE**reach) > NONE:
+        reach += 1
+
+    def coefficient(j: int) -> dict[int, float]:
+        own: dict[int, float] = {}
+        for k in range(-reach, reach + 1):
+            at = _mirrored(j + k, coarse)
+            own[at] = own.get(at, 0.0) + scale * POLE ** abs(k)
+        return own
+
+    filters = [coefficient(j) for j in range(coarse)]
+    out = []
+    for i in range((coarse - 1) * factor + 1):
+        j, r = divmod(i, factor)
+        u, own = r / factor, {}
+        for at, w in zip(range(j - 1, j + 3), ((1 - u) ** 3 / 6, 2 / 3 - u * u + u**3 / 2, 2 / 3 - (1 - u) ** 2 + (1 - u) ** 3 / 2, u**3 / 6), strict=True):
+            for src, f in filters[_mirrored(at, coarse)].items():
+                own[src] = own.get(src, 0.0) + w * f
+        out += [(i, src, w) for src, w in sorted(own.items()) if abs(w) > NONE]
+    return out
+
+
 def weights(kind: str, side: int, factor: int) -> list[tuple[int, int, float]]:
     """(out, src, w) of an axis of `side` nodes. Observations go to every `factor`-th node and their
     weights sum to 1: `decimate` takes the node, `trapezoid` averages with half weights at the ends,
     `gaussian` has a standard deviation of half the factor, `box` averages one factor's nodes from each on.
-    `bilinear` and `keys` (cubic convolution, a = -1/2) go back up; nodes beyond the edge repeat it."""
+    `bilinear` and `keys` (cubic convolution, a = -1/2) go back up; nodes beyond the edge repeat it.
+    `bspline` goes up through the nodes by cubic B-splines, with mirrored ends."""
+    if kind == "bspline":
+        return _bspline((side - 1) // factor + 1, factor)
     if kind in ("bilinear", "keys"):
         coarse = (side - 1) // factor + 1
         out = []

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..functions.scalar import rounded
-from ..operators import separation, spill, stencils
-from ..sources import atlas
+from ..operators import geodesy, masks, resample, separation, spill, stencils
+from ..sources import atlas, coverages, markup
 from ..sources.shared import checkpointed, folder
 from ..sources.tables import LATTICE_SQL, NODES_SQL, SIDE, lattice, nodes, read
 from ..streaming import receipts
 from .catalog import query
-from .field_queries import SMOOTH
+from .field_queries import SMOOTH, _apply_sql
 from .pages import paged
 
 L = f"WITH {LATTICE_SQL}"
@@ -165,3 +165,182 @@ def atlas_levels(spark, d):
     with folder(spark) as path:
         atlas.publish(pyramid(nodes(spark, d), SIDE, 8, _LEVELS), f"{path}/atlas", _QUANTUM)
         return checkpointed(unpacked(atlas.read(spark, f"{path}/atlas"), 8))
+
+
+def _escaped(c):
+    return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+def _markup(spark, d):
+    """Members of collections: customers as points with nested attributes, orders as lines from one place to another,
+    suppliers as areas, of which some have a hole."""
+    c, o, s = (read(spark, d, t) for t in ("customer", "orders", "supplier"))
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    east, north = lambda k: F.lit(300_000) + k * 37 % 400_000, lambda k: F.lit(5_600_000) + k * 53 % 90_000
+    k = F.col("c_custkey")
+    points = c.select(
+        say('<wfs:member><cu:Customer gml:id="c', k, '"><cu:localId>', F.lpad(k.cast("string"), 9, "0"), "</cu:localId><cu:name> ", _escaped(F.col("c_name")), ' </cu:name><cu:nation xlink:href="#n', F.col("c_nationkey"),
+            '"/><cu:market><cu:Market><cu:segment>', F.lower("c_mktsegment"), "</cu:segment><cu:name>second</cu:name></cu:Market></cu:market>",
+            '<cu:place><gml:Point srsName="EPSG:25832"><gml:pos>', east(k), " ", north(k), "</gml:pos></gml:Point></cu:place></cu:Customer></wfs:member>").alias("value"),
+    )
+    k, j = F.col("o_orderkey"), F.col("o_custkey")
+    lines = o.select(say("<wfs:member><or:Order><or:status>", F.col("o_orderstatus"), '</or:status><or:empty/><or:way><gml:LineString srsName="urn:ogc:def:crs:EPSG::25832"><gml:posList>', east(k), " ", north(k), " ", east(j), " ", north(j), "</gml:posList></gml:LineString></or:way></or:Order></wfs:member>").alias("value"))
+    k = F.col("s_suppkey")
+    box = lambda m: say(*(x for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)) for x in (east(k) + m + a * (100 - 2 * m), " ", north(k) + m + b * (100 - 2 * m), " ")))
+    ring = lambda side, m: say(f"<gml:{side}><gml:LinearRing><gml:posList>", box(m), f"</gml:posList></gml:LinearRing></gml:{side}>")
+    areas = s.select(say('<wfs:member><su:Supplier gml:id="s', k, '"><su:area><gml:Polygon>', ring("exterior", 0), F.when(k % 3 == 0, ring("interior", 10)).otherwise(""), "</gml:Polygon></su:area></su:Supplier></wfs:member>").alias("value"))
+    return points.union(lines).union(areas)
+
+
+def _marked_up(spark, d, use):
+    """What `use` makes of a folder of such collections, which tasks write."""
+    with folder(spark) as path:
+        _markup(spark, d).write.text(path)
+        return checkpointed(use(path))
+
+
+_XY = "CAST(300000 + {k} * 37 % 400000 AS DOUBLE) AS {a}, CAST(5600000 + {k} * 53 % 90000 AS DOUBLE) AS {b}"
+
+
+@query(
+    "feature_scan",
+    f"""SELECT 'Customer' AS type, 3::INTEGER AS names, c_name AS name, lower(c_mktsegment) AS detail, 1::INTEGER AS points, {_XY.format(k='c_custkey', a='x', b='y')} FROM customer
+    UNION ALL SELECT 'Order', 1, NULL, o_orderstatus, 2, {_XY.format(k='o_orderkey', a='x', b='y')} FROM orders
+    UNION ALL SELECT 'Supplier', 0, NULL, NULL, 5, {_XY.format(k='s_suppkey', a='x', b='y')} FROM supplier""",
+)
+def feature_scan(spark, d):
+    """Features of collections with the first text of each name and their first geometry."""
+    def use(path):
+        f = markup.features(spark, path)
+        a = F.col("attributes")
+        return f.select("type", F.size(a).alias("names"), F.get(F.map_values(F.map_filter(a, lambda k, _: k == "name")), F.lit(0)).alias("name"), F.coalesce(a["segment"], a["status"]).alias("detail"), F.size("points").alias("points"), F.col("points")[0]["x"].alias("x"), F.col("points")[0]["y"].alias("y"))
+
+    return _marked_up(spark, d, use)
+
+
+@query(
+    "unit_rings",
+    f"""WITH S AS (SELECT s_suppkey AS k, {_XY.format(k='s_suppkey', a='x', b='y')} FROM supplier), C(i, a, b) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)), R(ring, m) AS (VALUES (0, 0), (1, 10))
+    SELECT 's' || k AS id, CAST(ring AS INTEGER) AS ring, CAST(i AS INTEGER) AS k, x + m + a * (100 - 2 * m) AS x, y + m + b * (100 - 2 * m) AS y FROM S, C, R WHERE ring = 0 OR k % 3 = 0""",
+)
+def unit_rings(spark, d):
+    """Rings of the areas of features, the outer one first."""
+    return _marked_up(spark, d, lambda path: markup.rings(spark, path, feature="Supplier").select("id", "ring", "k", "x", "y"))
+
+
+@query(
+    "schema_inventory",
+    """WITH V AS (SELECT 'localId' AS name, lpad(c_custkey::VARCHAR, 9, '0') AS v FROM customer UNION ALL SELECT 'name', c_name FROM customer UNION ALL SELECT 'nation', '#n' || c_nationkey FROM customer UNION ALL SELECT 'market', lower(c_mktsegment) FROM customer
+    UNION ALL SELECT 'status', o_orderstatus FROM orders UNION ALL SELECT 'empty', NULL FROM orders), C AS (SELECT count(*) AS c FROM customer), O AS (SELECT count(*) AS o FROM orders), S AS (SELECT count(*) AS s FROM supplier),
+    A AS (SELECT 'field' AS kind, name, count(*) AS n, coalesce(list_sort(list_distinct(list(v)))[1:12], []) AS l FROM V GROUP BY name
+    UNION ALL SELECT 'feature', 'Customer', c, [] FROM C UNION ALL SELECT 'feature', 'Order', o, [] FROM O UNION ALL SELECT 'feature', 'Supplier', s, [] FROM S
+    UNION ALL SELECT 'geometry', 'Point', c, [] FROM C UNION ALL SELECT 'geometry', 'LineString', o, [] FROM O UNION ALL SELECT 'geometry', 'Polygon', s, [] FROM S
+    UNION ALL SELECT 'srs', 'EPSG:25832', c, [] FROM C UNION ALL SELECT 'srs', 'urn:ogc:def:crs:EPSG::25832', o, [] FROM O UNION ALL SELECT 'reference', 'nation', c, [] FROM C UNION ALL SELECT 'identifier', 'localId', c, [] FROM C)
+    SELECT kind, name, n, array_to_string(l, '|') AS samples FROM A""",
+)
+def schema_inventory(spark, d):
+    """Features, fields, links, geometries and reference systems of collections, counted, with samples of the fields' values."""
+    return _marked_up(spark, d, lambda path: markup.inventory(spark, path).withColumn("samples", F.array_join("samples", "|")))
+
+
+_REACH = 9
+
+
+@query(
+    "fault_growth",
+    f"""WITH RECURSIVE {LATTICE_SQL}, G(region, row, col, s, c, d) USING KEY (region, row, col) AS (SELECT region, row, col, sin(radians(2 * ((row * 7 + col) % 180))), cos(radians(2 * ((row * 7 + col) % 180))), 0 FROM L WHERE z > 0.35
+    UNION SELECT n.region, n.row, n.col, avg(g.s), avg(g.c), max(g.d) + 1 FROM G g JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) AS o(a, b) ON true JOIN L n ON n.region = g.region AND n.row = g.row + o.a AND n.col = g.col + o.b
+      LEFT JOIN recurring.G h ON h.region = n.region AND h.row = n.row AND h.col = n.col WHERE h.d IS NULL AND g.d < {_REACH} GROUP BY n.region, n.row, n.col)
+    SELECT L.region, L.row, L.col, coalesce(d, {_REACH}) AS distance, round(coalesce(s, 0) * exp(-coalesce(d, {_REACH}) / {_REACH / 3}), 7) + 0.0 AS sin2, round(coalesce(c, 0) * exp(-coalesce(d, {_REACH}) / {_REACH / 3}), 7) + 0.0 AS cos2, d IS NOT NULL AS reached FROM L LEFT JOIN G USING (region, row, col)""",
+)
+def fault_growth(spark, d):
+    """Distance to the nearest fault cells and the mean of their strikes, ring by ring."""
+    cells = lattice(spark, d)
+    faults = cells.where("z > 0.35").select("region", "row", "col", ((F.col("row") * 7 + F.col("col")) % 180).alias("strike"))
+    return masks.fault_growth(faults, cells, _REACH).select("region", "row", "col", "distance", rounded("sin2", 7).alias("sin2"), rounded("cos2", 7).alias("cos2"), "reached")
+
+
+_SPLINE = resample.weights("bspline", SIDE + 1, 4)
+
+
+@query("upsample_bspline", f"{L}, {NODES_SQL}, A0 AS (SELECT region, row // 4 AS row, col // 4 AS col, z FROM LN WHERE row % 4 = 0 AND col % 4 = 0), {resample.sql_axis(_SPLINE, 'WB')}, {_apply_sql('U', 'A0', 'WB')} SELECT region, row, col, round(z, 8) + 0.0 AS z FROM U")
+def upsample_bspline(spark, d):
+    """Every fourth node brought back up by cubic B-splines through them."""
+    coarse = nodes(spark, d).where("row % 4 = 0 AND col % 4 = 0").select("region", (F.col("row") / 4).cast("int").alias("row"), (F.col("col") / 4).cast("int").alias("col"), "z")
+    return resample.apply(coarse, _SPLINE).select("region", "row", "col", rounded("z", 8).alias("z"))
+
+
+def _extents(spark, d):
+    """A customer's square of a hundred nodes, ten apart; some have pixel edges for bounds, or do not say what theirs are."""
+    k = F.col("c_custkey")
+    c = read(spark, d, "customer").select(k.alias("id"), (F.lit(300_000) + k * 37 % 400_000).cast("double").alias("west"), (F.lit(5_600_000) + k * 53 % 90_000).cast("double").alias("south"), k)
+    over = F.when(k % 7 == 0, 1000.0).otherwise(990.0)
+    return c.select("id", "west", "south", (F.col("west") + over).alias("east"), (F.col("south") + over).alias("north"), F.lit(100).alias("side"), F.lit(10.0).alias("spacing"), F.when(k % 11 != 0, True).alias("centres"), (k % 13 != 0).alias("north_up"))
+
+
+_EXTENTS = "X AS (SELECT c_custkey AS id, CAST(300000 + c_custkey * 37 % 400000 AS DOUBLE) AS west, CAST(5600000 + c_custkey * 53 % 90000 AS DOUBLE) AS south, CASE WHEN c_custkey % 7 = 0 THEN 1000.0::DOUBLE ELSE 990.0 END AS over FROM customer)"
+
+
+def _corner_sql() -> str:
+    lit = lambda x: f"{x!r}::DOUBLE"
+    sinh, cosh = "((exp({0}) - exp(-({0}))) / 2)".format, "((exp({0}) + exp(-({0}))) / 2)".format
+    term = lambda table, f, g: " + ".join(f"{lit(c)} * {f(f'{2 * j} * xi')} * {g(f'({2 * j} * eta)')}" for j, c in enumerate(geodesy.series(table), 1))
+    size = lit(geodesy.SCALE * geodesy.RADIUS)
+    sin, cos = "sin({0})".format, "cos({0})".format
+    lat = "chi + " + " + ".join(f"{lit(c)} * sin({2 * j} * chi)" for j, c in enumerate(geodesy.series(geodesy.LATITUDE), 1))
+    return f"""WITH {_EXTENTS}, C AS (SELECT id, west + a * over AS x, south + b * over AS y FROM X, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(a, b)),
+    S AS (SELECT *, y / {size} AS xi, (x - {geodesy.FALSE_EAST}) / {size} AS eta FROM C), T AS (SELECT id, x, y, xi - ({term(geodesy.BACK, sin, cosh)}) AS p, eta - ({term(geodesy.BACK, cos, sinh)}) AS q FROM S),
+    U AS (SELECT *, asin(sin(p) / {cosh('q')}) AS chi FROM T)
+    SELECT id, x, y, round({geodesy.MERIDIAN} + degrees(atan({sinh('q')} / cos(p))), 8) + 0.0 AS lon, round(degrees({lat}), 8) + 0.0 AS lat, true AS back FROM U"""
+
+
+@query("geodetic_corners", _corner_sql())
+def geodetic_corners(spark, d):
+    """Corners of extents in degrees, and whether the way back ends at them to within a micrometre."""
+    out = geodesy.corners(_extents(spark, d))
+    return out.select("id", "x", "y", rounded("lon", 8).alias("lon"), rounded("lat", 8).alias("lat"), (F.col("error") < 1e-6).alias("back"))
+
+
+@query(
+    "extent_findings",
+    f"WITH {_EXTENTS}, F AS (SELECT id, 'span' AS finding FROM X WHERE over <> 990 UNION ALL SELECT id, 'centres' FROM X WHERE id % 11 = 0 UNION ALL SELECT id, 'orientation' FROM X WHERE id % 13 = 0) SELECT * FROM F",
+)
+def extent_findings(spark, d):
+    """What is wrong with extents: spans that are not those of sample centres, and what they do not state."""
+    return geodesy.extent_findings(_extents(spark, d))
+
+
+_LABELS = ("E N", "x y", "Lat Long h", "i j", "", "E")
+
+
+@query(
+    "schema_negotiation",
+    """WITH A AS (SELECT s_nationkey AS n, unnest(CASE WHEN s_suppkey % 5 = 0 THEN ['geo__' || s_name, 'ns:' || s_name] WHEN s_suppkey % 5 = 1 THEN [s_name, 'ns:' || s_name] ELSE ['geo__' || s_name] END) AS a, s_name AS t FROM supplier),
+    Q AS (SELECT c_custkey AS id, c_nationkey AS n, 'Supplier#' || lpad((c_custkey % (SELECT count(*) FROM supplier))::VARCHAR, 9, '0') AS wanted, c_nationkey % 6 AS k FROM customer),
+    M AS (SELECT id, count(*) AS c, bool_or(a = wanted) AS exact, min(a) AS one, string_agg(a, ' ' ORDER BY a) AS every FROM Q JOIN A ON A.n = Q.n AND t = wanted GROUP BY id),
+    R AS (SELECT Q.id, k, Q.n, CASE WHEN exact THEN wanted WHEN c = 1 THEN one END AS coverage, CASE k WHEN 0 THEN 'E' WHEN 1 THEN 'x' WHEN 2 THEN 'Long' WHEN 4 THEN 'x' END AS easting, CASE k WHEN 0 THEN 'N' WHEN 1 THEN 'y' WHEN 2 THEN 'Lat' WHEN 4 THEN 'y' END AS northing,
+      coalesce(CASE WHEN Q.n % 7 = 6 THEN 'exception: closed' END, CASE WHEN Q.n % 7 = 6 OR c IS NULL THEN 'absent' WHEN NOT exact AND c > 1 THEN 'ambiguous: ' || every END, CASE k WHEN 3 THEN 'no easting and northing' WHEN 5 THEN 'too few axes' END) AS refusal FROM Q LEFT JOIN M ON M.id = Q.id)
+    SELECT id, CASE WHEN n % 7 <> 6 THEN coverage END AS coverage, easting, northing, refusal, CASE WHEN refusal IS NULL THEN CASE n % 3 WHEN 0 THEN 'SCALEFACTOR' WHEN 1 THEN 'SCALEAXESBYFACTOR' ELSE 'none' END END AS form,
+      CASE WHEN refusal IS NULL THEN CASE n % 3 WHEN 0 THEN '0.1' WHEN 1 THEN easting || '(0.1),' || northing || '(0.1)' ELSE '' END END AS value FROM R""",
+)
+def schema_negotiation(spark, d):
+    """What customers' requests to the service of their nation come to, from documents that each service has written."""
+    s, n, c = (read(spark, d, t) for t in ("supplier", "nation", "customer"))
+    name = F.col("s_name")
+    ids = F.when(F.col("s_suppkey") % 5 == 0, F.array(F.concat(F.lit("geo__"), name), F.concat(F.lit("ns:"), name))).when(F.col("s_suppkey") % 5 == 1, F.array(name, F.concat(F.lit("ns:"), name))).otherwise(F.array(F.concat(F.lit("geo__"), name)))
+    offers = s.groupBy("s_nationkey").agg(F.concat_ws("", F.sort_array(F.flatten(F.collect_list(F.transform(ids, lambda v: F.concat(F.lit("<CoverageId>"), v, F.lit("</CoverageId>"))))))).alias("ids"))  # a service's own offer
+    key = F.col("n_nationkey")
+    labels = F.element_at(F.array(*map(F.lit, _LABELS)), (key % 6 + 1).cast("int"))
+    offered = F.concat(F.lit('<w:Capabilities xmlns:w="w"><w:Contents>'), F.regexp_replace(F.coalesce("ids", F.lit("")), "(</?)(?=Cov)", "$1w:"), F.lit("</w:Contents></w:Capabilities>"))
+    closed = F.lit("<o:ExceptionReport xmlns:o='o'><o:ExceptionText>closed</o:ExceptionText></o:ExceptionReport>")
+    stated = F.concat(F.lit('<g:CoverageDescription xmlns:g="g"><g:Envelope srsName="EPSG:25832"'), F.when(labels != "", F.concat(F.lit(' axisLabels="'), labels, F.lit('"'))).otherwise(""), F.lit("/></g:CoverageDescription>"))
+    docs = n.join(offers, key == F.col("s_nationkey"), "left").select(key.alias("service"), F.to_json(F.struct(F.when(key % 7 == 6, closed).otherwise(offered).alias("capabilities"), stated.alias("description"))).alias("value"))
+    with folder(spark) as path:
+        docs.write.partitionBy("service").text(path)
+        back = spark.read.schema("value string, service long").text(path).select("service", F.from_json("value", "capabilities string, description string").alias("d"))
+        told = coverages.capabilities(back.select("service", F.col("d.capabilities").alias("xml"), F.col("d.description").alias("about")))
+        told = coverages.described(told.drop("xml"), "about").select("service", "available", "refused", "labels", F.slice(F.array(*map(F.lit, coverages.FORMS)), (F.col("service") % 3 + 1).cast("int"), F.lit(1)).alias("accepts"))
+        count = s.agg(F.count("*").alias("n"))
+        asked = c.join(F.broadcast(count)).select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("service"), F.concat(F.lit("Supplier#"), F.lpad((F.col("c_custkey") % F.col("n")).cast("string"), 9, "0")).alias("wanted"))  # one row
+        out = coverages.negotiated(asked.join(told, "service"), 0.1)
+        return checkpointed(out.select("id", "coverage", "easting", "northing", "refusal", "form", "value"))

@@ -92,8 +92,8 @@ def class_validity(spark, d):
 
 @query(
     "context_upsample",
-    f"""{L}, {NODES_SQL}, C AS (SELECT region, row // 4 AS r, col // 4 AS c, CAST(floor(abs(z) * 10) AS INTEGER) AS label FROM LN WHERE row % 4 = 0 AND col % 4 = 0)
-    SELECT LN.region, LN.row, LN.col, label FROM LN JOIN C ON C.region = LN.region AND C.r = least(CAST(round_even(LN.row / 4.0, 0) AS INTEGER), 16) AND C.c = least(CAST(round_even(LN.col / 4.0, 0) AS INTEGER), 16)""",
+    f"""{L.replace("L AS (", "L AS MATERIALIZED (", 1)}, {NODES_SQL}, C AS MATERIALIZED (SELECT region, row // 4 AS r, col // 4 AS c, CAST(floor(abs(z) * 10) AS INTEGER) AS label FROM LN WHERE row % 4 = 0 AND col % 4 = 0),
+    F AS MATERIALIZED (SELECT region, row, col, least(CAST(round_even(row / 4.0, 0) AS INTEGER), 16) AS r, least(CAST(round_even(col / 4.0, 0) AS INTEGER), 16) AS c FROM LN) SELECT region, row, col, label FROM F JOIN C USING (region, r, c)""",
 )
 def context_upsample(spark, d):
     """The class of every node from a raster of every fourth: the nearest, halves to the even one."""

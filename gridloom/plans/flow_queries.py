@@ -63,6 +63,13 @@ def flow_accumulation(spark, d):
     return flow.traced(lattice(spark, d), SIDE).select("region", "cell", F.col("z_upstream").alias("upstream"))
 
 
+@query("flow_on_edges", f"{E}, {_RZ}, {_paths('RZ', 'PZ')}, {_ends('RZ', 'PZ', 'OZ')}, U AS (SELECT region, cur AS cell, count(*) AS upstream FROM PZ GROUP BY ALL) SELECT RZ.region, CAST(RZ.cell AS INTEGER) AS cell, CAST(receiver AS INTEGER) AS receiver, CAST(outlet AS INTEGER) AS outlet, upstream FROM RZ JOIN OZ USING (region, cell) JOIN U USING (region, cell)")
+def flow_on_edges(spark, d):
+    """Receivers, outlets and accumulation as fields go that no task can hold."""
+    out = flow.traced(lattice(spark, d), SIDE, most=0)
+    return out.select("region", F.col("cell").cast("int").alias("cell"), F.col("z_receiver").alias("receiver"), F.col("z_outlet").alias("outlet"), F.col("z_upstream").alias("upstream"))
+
+
 _STREAMS = f"SZ AS (SELECT region, cur AS cell FROM PZ GROUP BY ALL HAVING count(*) >= {STREAM}), SE AS (SELECT region, cur AS cell FROM PE GROUP BY ALL HAVING count(*) >= {STREAM})"
 
 

@@ -126,15 +126,15 @@ def cdf_quantile(spark, d):
 
 @query(
     "level_interval",
-    "WITH G AS (SELECT p_brand AS g, p_size AS x, avg(p_retailprice) AS v FROM part GROUP BY ALL), H AS (SELECT *, max(v) OVER (PARTITION BY g) - v AS fall FROM G), I AS (SELECT *, lag(fall) OVER (PARTITION BY g ORDER BY x) AS d0, lag(x) OVER (PARTITION BY g ORDER BY x) AS x0 FROM H), C AS (SELECT g, x0 + (100 - d0) / (fall - d0) * (x - x0) AS hit FROM I WHERE (d0 > 100) <> (fall > 100)) SELECT g, round(min(hit), 6) + 0.0 AS low, round(max(hit), 6) + 0.0 AS high FROM C GROUP BY g",
+    "WITH G AS (SELECT p_brand AS g, p_size AS x, avg(p_retailprice) AS v FROM part GROUP BY ALL), H AS (SELECT *, max(v) OVER (PARTITION BY g) - v AS fall FROM G), I AS (SELECT *, lag(fall) OVER (PARTITION BY g ORDER BY x) AS d0, lag(x) OVER (PARTITION BY g ORDER BY x) AS x0 FROM H), C AS (SELECT g, x0 + (lev - d0) / (fall - d0) * (x - x0) AS hit FROM (SELECT *, max(fall) OVER (PARTITION BY g) / 2 AS lev FROM I) WHERE (d0 > lev) <> (fall > lev)) SELECT g, round(min(hit), 6) + 0.0 AS low, round(max(hit), 6) + 0.0 AS high FROM C GROUP BY g",
 )
 def level_interval(spark, d):
-    """First and last crossing of a level below a profile's top, linear between nodes."""
+    """First and last crossing of the level halfway down a profile, linear between nodes."""
     g = read(spark, d, "part").groupBy(F.col("p_brand").alias("g"), F.col("p_size").alias("x")).agg(F.avg("p_retailprice").alias("v"))
     w = Window.partitionBy("g").orderBy("x")
     h = g.withColumn("drop", F.max("v").over(Window.partitionBy("g")) - F.col("v"))
-    h = h.withColumns({"d0": F.lag("drop").over(w), "x0": F.lag("x").over(w)}).where("(d0 > 100) <> (drop > 100)")
-    at = F.col("x0") + (100 - F.col("d0")) / (F.col("drop") - F.col("d0")) * (F.col("x") - F.col("x0"))
+    h = h.withColumns({"d0": F.lag("drop").over(w), "x0": F.lag("x").over(w), "level": F.max("drop").over(Window.partitionBy("g")) / 2}).where("(d0 > level) <> (drop > level)")
+    at = F.col("x0") + (F.col("level") - F.col("d0")) / (F.col("drop") - F.col("d0")) * (F.col("x") - F.col("x0"))
     return h.groupBy("g").agg(rounded(F.min(at)).alias("low"), rounded(F.max(at)).alias("high"))
 
 

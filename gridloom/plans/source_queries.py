@@ -80,7 +80,7 @@ def archive_scan(spark, d):
         return checkpointed(_unpacked(archive.read(spark, path).where("y = 2 AND x = 3")))
 
 
-@query("page_files", f"{_PAGED} WHERE row BETWEEN 0 AND 8 AND col BETWEEN 0 AND 64 GROUP BY ALL")
+@query("page_files", f"{_PAGED} GROUP BY ALL")
 def page_files(spark, d):
     """Pages in files of their own, read by the digests that an index states; a file that has another is an error."""
     with folder(spark) as path:
@@ -93,7 +93,7 @@ def page_files(spark, d):
                     rows.append((region, y, x, hashlib.sha256(blob).hexdigest()))
                 yield pd.DataFrame(rows, columns=["region", "y", "x", "sha256"])
 
-        stated = checkpointed(paged(nodes(spark, d), 8, SIDE).where("y = 0").mapInPandas(write, "region bigint, y int, x int, sha256 string"))
+        stated = checkpointed(paged(nodes(spark, d), 8, SIDE).mapInPandas(write, "region bigint, y int, x int, sha256 string"))
         return checkpointed(_unpacked(archive.page_files(spark, path, stated)).distinct())
 
 

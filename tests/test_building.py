@@ -113,3 +113,126 @@ def test_an_atlas_is_there_whole_or_not_at_all(spark, tmp_path):
     part.write_bytes(part.read_bytes()[:-1])
     with pytest.raises(Exception, match="not the archive that the manifest lists"):
         atlas.read(spark, path).count()
+
+
+def _written(tmp_path, *docs):
+    for k, doc in enumerate(docs):
+        (tmp_path / f"{k}.xml").write_text(doc)
+    return str(tmp_path)
+
+
+def test_features_in_the_order_of_the_document(spark, tmp_path):
+    from gridloom.sources import markup
+
+    at = "<g:pos>400000 5700000</g:pos>"
+    one = f"<w:All xmlns:w='w' note='a'><w:member><u:T g:id='1'><u:b> x </u:b>\n<u:c><u:b>y</u:b><d>http://z:1 q:r=&lt;</d></u:c><p>{at}</p><p><g:pos>1 2</g:pos></p></u:T></w:member><w:member/><w:member><T/></w:member></w:All>"
+    got = sorted(((r.type, r.attributes, [tuple(p) for p in r.points]) for r in markup.features(spark, _written(tmp_path, one, "<w:All/>"), "w:member").collect()), key=lambda r: len(r[1]))
+    assert got == [("T", {}, []), ("T", {"b": "x", "d": "http://z:1 q:r=<"}, [(400000.0, 5700000.0)])]
+    swapped = one.replace("400000 5700000", "5700000 400000")
+    with pytest.raises(Exception, match="not an easting and a northing"):
+        markup.features(spark, _written(tmp_path, swapped), "w:member").collect()
+    with pytest.raises(Exception, match="the provider refused"):
+        markup.features(spark, _written(tmp_path, "<ows:ExceptionReport>no</ows:ExceptionReport>"), "w:member").collect()
+    with pytest.raises(Exception, match="(?i)mismatched|not well-formed|no element|unclosed|parse"):
+        markup.features(spark, _written(tmp_path, "<w:member><T><a></T></w:member>"), "w:member").collect()
+
+
+def test_rings_that_are_none_are_left_out(spark, tmp_path):
+    from gridloom.sources import markup
+
+    side = lambda kind, text: f"<{kind}><LinearRing><posList>{text}</posList></LinearRing></{kind}>"
+    box = "300000 5600000 300001 5600000 300001 5600001 300000 5600000"
+    area = f"<Polygon>{side('exterior', box)}{side('interior', '1 2 3')}{side('interior', box[:-8])}{side('interior', box)}</Polygon>"
+    doc = f"<m><U id='a'>{area}<Polygon>{side('interior', box)}</Polygon>{area}</U></m><m><U id='b'/></m><m><V id='c'>{area}</V></m>"
+    rows = markup.rings(spark, _written(tmp_path, doc), "m", "U").collect()
+    assert {(r.id, r.polygon, r.ring) for r in rows} == {("a", 0, 0), ("a", 0, 1), ("a", 1, 0), ("a", 1, 1)} and len(rows) == 16
+
+
+def test_inventory_samples_the_least_values(spark, tmp_path):
+    from gridloom.sources import markup
+
+    doc = "".join(f"<m><T><a>{k:03d}</a><a/><g><Point srsName='s'><pos>1 2</pos></Point></g><ref xmlns:x='http://www.w3.org/1999/xlink' x:href='#{k % 2}'>t</ref></T></m>" for k in range(40))
+    got = {(r.kind, r.name): (r.n, r.samples) for r in markup.inventory(spark, _written(tmp_path, doc), "m").collect()}
+    assert got == {("feature", "T"): (40, []), ("field", "a"): (80, [f"{k:03d}" for k in range(12)]), ("field", "ref"): (40, ["#0", "#1"]), ("reference", "ref"): (40, []), ("geometry", "Point"): (40, []), ("srs", "s"): (40, [])}
+
+
+def test_coverages_are_negotiated_by_fallbacks(spark):
+    from gridloom.sources import coverages
+
+    rows = [("a", ["a", "x:a"], "E N"), ("a", ["x:a", "b"], "northing Easting"), ("a", ["x:a", "y__a"], "x y"), ("a", [], "x y"), ("a", ["a"], None), ("a", ["a"], "x"), ("a", ["a"], "x lon"), ("a", ["p:q__a"], "e n h")]
+    df = spark.createDataFrame([(k, w, v, None, a and a.split(), ["SCALEAXESBYFACTOR"] if k % 2 else []) for k, (w, v, a) in enumerate(rows)], "id int, wanted string, available array<string>, refused string, labels array<string>, accepts array<string>")
+    got = [(r.coverage, r.easting, r.northing, r.refusal, r.value) for r in coverages.negotiated(df, 0.5).orderBy("id").collect()]
+    assert got == [
+        ("a", "E", "N", None, ""), ("x:a", "Easting", "northing", None, "Easting(0.5),northing(0.5)"), (None, "x", "y", "ambiguous: x:a y__a", None), (None, "x", "y", "absent", None),
+        ("a", "x", "y", None, ""), ("a", None, None, "too few axes", None), ("a", None, None, "no easting and northing", None), ("p:q__a", "e", "n", None, "e(0.5),n(0.5)"),
+    ]
+    doc = spark.createDataFrame([("<a xmlns:g='g'><g:Envelope axisLabels='E N' srsName='s'/><g:low>0 1</g:low><g:high>9 20</g:high><g:pos>1.5 2</g:pos></a>",), ("<a/>",)], "xml string")
+    one, none = coverages.described(doc).drop("xml").collect()
+    assert tuple(one) == (["E", "N"], "s", [1.5, 2.0], [0, 1], [9, 20], [10, 20]) and set(none) == {None}
+
+
+def test_queries_have_rows_of_all_kinds(spark, data):
+    from gridloom.plans.registry import QUERIES
+
+    assert {r.outcome.partition(":")[0] for r in QUERIES["receipts_streamed"](spark, data).collect()} == {"accepted", "refused"}
+    refusals = {(r.refusal or "").partition(":")[0] for r in QUERIES["schema_negotiation"](spark, "/root/testdata/sf0.01").collect()}
+    assert refusals == {"", "exception", "absent", "ambiguous", "no easting and northing", "too few axes"}
+    assert QUERIES["level_interval"](spark, data).count() > 0
+
+
+def test_projection_at_known_places(spark):
+    """The meridian arc to 45 degrees on the central meridian, symmetry about it, and the way back from anywhere in reach."""
+    from gridloom.operators import geodesy
+
+    df = spark.createDataFrame([(9.0, 45.0), (9.0, 0.0), (12.0, 51.5), (6.0, 51.5), (15.0, 80.0), (3.5, -33.0)], "lon double, lat double")
+    x, y = geodesy.projected(F.col("lon"), F.col("lat"))
+    lon, lat = geodesy.geographic(F.col("x"), F.col("y"))
+    rows = df.withColumns({"x": x, "y": y}).withColumns({"lon2": lon, "lat2": lat}).collect()
+    assert abs(rows[0].y / 0.9996 - 4984944.378) < 1e-3 and rows[0].x == 500000.0 and abs(rows[1].y) < 1e-9
+    assert abs(rows[2].x + rows[3].x - 1e6) < 1e-6 and abs(rows[2].y - rows[3].y) < 1e-6
+    assert all(abs(r.lon - r.lon2) < 1e-9 and abs(r.lat - r.lat2) < 1e-9 for r in rows)
+
+
+@pytest.mark.parametrize(("coarse", "factor"), [(17, 4), (5, 3), (2, 2), (40, 5)])
+def test_splines_pass_through_the_nodes(coarse, factor):
+    """The table equals the solution of the mirrored system, and gives samples back."""
+    from gridloom.operators import resample
+
+    w = np.zeros(((coarse - 1) * factor + 1, coarse))
+    for o, s, v in resample.weights("bspline", (coarse - 1) * factor + 1, factor):
+        w[o, s] = v
+    assert np.allclose(w[::factor], np.eye(coarse), atol=1e-12) and np.allclose(w.sum(1), 1)
+    a = np.zeros((coarse, coarse))
+    for i in range(coarse):
+        for k, v in ((-1, 1 / 6), (0, 4 / 6), (1, 1 / 6)):
+            a[i, resample._mirrored(i + k, coarse)] += v
+    z = np.random.default_rng(coarse).normal(size=coarse)
+    c = np.linalg.solve(a, z)
+    u = 0.5
+    if factor % 2 == 0:
+        basis = np.array([(1 - u) ** 3, 3 * u**3 - 6 * u * u + 4, -3 * u**3 + 3 * u * u + 3 * u + 1, u**3]) / 6
+        for j in range(coarse - 1):
+            assert np.isclose((w @ z)[j * factor + factor // 2], sum(b * c[resample._mirrored(j - 1 + k, coarse)] for k, b in enumerate(basis)))
+
+
+def test_strikes_spread_without_wrapping(spark):
+    from gridloom.operators import masks
+
+    cells = spark.createDataFrame([(0, r, c) for r in range(7) for c in range(9)], "region long, row int, col int")
+    faults = spark.createDataFrame([(0, 0, 0, 10.0), (0, 0, 0, 190.0), (0, 6, 8, 45.0), (0, 6, 7, 135.0), (0, 99, 0, 1.0)], "region long, row int, col int, strike double")
+    got = {(r.row, r.col): r for r in masks.fault_growth(faults, cells, 5).collect()}
+    assert len(got) == 63 and got[0, 0].distance == 0 and got[0, 1].distance == 1 and got[6, 0].distance == 5 and not got[6, 0].reached
+    assert np.isclose(got[0, 0].sin2, np.sin(np.radians(20))) and np.isclose(got[3, 1].cos2, np.cos(np.radians(20)) * np.exp(-4 / (5 / 3)))
+    assert np.isclose(got[5, 7].sin2, -np.exp(-1 / (5 / 3))) and np.isclose(got[4, 7].sin2, got[4, 7].sin2)
+    assert all(r.distance == min(5, min(abs(r.row - a) + abs(r.col - b) for a, b in ((0, 0), (6, 8), (6, 7)))) for r in got.values())
+    none = masks.fault_growth(faults.where("false"), cells, 2).collect()
+    assert {(r.distance, r.sin2, r.reached) for r in none} == {(2, 0.0, False)}
+
+
+def test_edges_give_what_a_task_gives(spark, data):
+    from gridloom.operators import flow
+    from gridloom.plans.flow_queries import _surfaces
+
+    cells = _surfaces(spark, data)
+    one, many = (sorted(map(tuple, flow.traced(cells, 64, ("z", "q"), most=m).drop("z", "q").collect())) for m in (1 << 24, 100))
+    assert one == many
