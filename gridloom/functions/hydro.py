@@ -10,6 +10,9 @@ import numpy as np
 LIFT = 1e-6
 NEIGHBOURS = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
 
+#: Sweeps in each direction before fronts are relaxed.
+SWEEPS = 12
+
 
 def border(shape: tuple[int, int]) -> np.ndarray:
     out = np.ones(shape, bool)
@@ -21,16 +24,32 @@ def filled(z: np.ndarray, lift: float = LIFT, seeds: np.ndarray | None = None) -
     """Every pit raised to its spill level, from the border or from `seeds`.
 
     The level is the least solution of "a cell stands at its own height if that is above its lowest
-    neighbour, else `lift` above that neighbour". It is reached from above by relaxing whole fronts:
+    neighbour, else `lift` above that neighbour". It is reached from above: by sweeps of whole rows
+    and columns in all four directions, and where those leave something, by relaxing fronts, in which
     only the neighbours of cells that just fell are looked at again.
     """
     z = np.pad(z.astype(np.float64), 1, constant_values=np.nan)
     rows, cols = z.shape
     start = np.pad(border((rows - 2, cols - 2)) if seeds is None else seeds, 1)
-    level = np.where(start, z, np.inf).ravel()
-    own, hold = z.ravel(), (start | np.isnan(z)).ravel()
+    level = np.where(start, z, np.inf)
+    hold = start | np.isnan(z)
+    own = np.where(np.isnan(z), np.inf, z)
+    for _ in range(SWEEPS):
+        before = level.copy()
+        _swept(level, own, hold, lift)
+        _swept(level[::-1], own[::-1], hold[::-1], lift)
+        _swept(level.T, own.T, hold.T, lift)
+        _swept(level.T[::-1], own.T[::-1], hold.T[::-1], lift)
+        if np.array_equal(before, level):
+            break
+    # what the sweeps have left: cells that a neighbour still reaches at less
+    level, own, hold = level.ravel(), own.ravel(), hold.ravel()
     shifts = np.array([a * cols + b for a, b in NEIGHBOURS])
-    front = np.nonzero(start.ravel())[0]
+    inner = np.arange(rows * cols).reshape(rows, cols)[1:-1, 1:-1].ravel()
+    least = np.min([level[inner + s] for s in shifts], 0)
+    better = ~hold[inner] & (np.where(own[inner] > least, own[inner], least + lift) < level[inner])
+    level[inner[better]] = np.where(own[inner[better]] > least[better], own[inner[better]], least[better] + lift)
+    front = inner[better]
     while front.size:
         to = (front[:, None] + shifts).ravel()
         reached = np.repeat(level[front], len(shifts))
@@ -43,6 +62,18 @@ def filled(z: np.ndarray, lift: float = LIFT, seeds: np.ndarray | None = None) -
     return level.reshape(z.shape)[1:-1, 1:-1].copy()
 
 
+def _swept(level: np.ndarray, own: np.ndarray, hold: np.ndarray, lift: float) -> None:
+    """Each row in turn from the one before it, in place: a level falls to what reaches it from there."""
+    for k in range(2, len(level) - 1):
+        up = level[k - 1]
+        least = up.copy()
+        np.minimum(least[1:], up[:-1], out=least[1:])
+        np.minimum(least[:-1], up[1:], out=least[:-1])
+        new = np.where(own[k] > least, own[k], least + lift)
+        np.minimum(new, level[k], out=new)
+        np.copyto(level[k], new, where=~hold[k])
+
+
 def lowest_edge(z: np.ndarray) -> np.ndarray:
     """A mask of the lowest cell of the edge, the first in row order on a tie."""
     out = np.zeros(z.shape, bool)
@@ -118,20 +149,3 @@ def dilated(mask: np.ndarray, radius: int) -> np.ndarray:
 def jaccard(a: np.ndarray, b: np.ndarray) -> float | None:
     either = int((a | b).sum())
     return None if either == 0 else int((a & b).sum()) / either
-
-
-def agreement(a: dict, b: dict, least: int, reach: int = 1) -> dict[str, float | None]:
-    """Of two routed surfaces: overlap of their streams (cells that `least` cells drain through), its
-    tolerant score, and the shares of inner cells with one receiver and of cells with one outlet."""
-    s, t = (r["upstream"] >= least for r in (a, b))
-    found = [float((x & dilated(y, reach)).sum() / x.sum()) if x.any() else None for x, y in ((s, t), (t, s))]
-    f1 = None if None in found or not (s.any() and t.any()) else 2 * found[0] * found[1] / sum(found) if sum(found) else 0.0
-    same = a["receiver"] == b["receiver"]
-    return {"jaccard": jaccard(s, t) if s.any() and t.any() else None, "f1": f1, "receivers": float(same[1:-1, 1:-1].mean()), "outlets": float((a["outlet"] == b["outlet"]).mean())}
-
-
-def noise_floor(z: np.ndarray, sigma: float, seeds: tuple[int, ...], least: int, spacing: float = 1.0) -> dict[str, float]:
-    """The mean agreement of a surface with itself under white noise."""
-    own = route(z, spacing)
-    rows = [agreement(own, route(z + np.random.default_rng(s).normal(0, sigma, z.shape), spacing), least) for s in seeds]
-    return {k: float(np.mean([r[k] for r in rows if r[k] is not None])) if any(r[k] is not None for r in rows) else float("nan") for k in rows[0]}

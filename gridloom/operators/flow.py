@@ -20,11 +20,14 @@ from .stencils import NEIGHBOURS, along_col, along_row, offsets
 NO_RECEIVER = -1
 
 
-def traced(cells: DataFrame, side: int, values: tuple[str, ...] = ("z",), most: int = MOST_NODES) -> DataFrame:
+def traced(cells: DataFrame, side: int, values: tuple[str, ...] = ("z",), most: int = MOST_NODES, filled: bool = False) -> DataFrame:
     """cells (region, row, col, the values) with `cell` and, for each value v, v_receiver, v_outlet and
     v_upstream. A field of up to `most` nodes is one task, all surfaces of it together; larger ones go
-    by edges, which no task has to hold, with the same result."""
+    by edges, which no task has to hold, with the same result. With `filled`, pits are filled before,
+    which lifts flats and is done in tasks only."""
     if side * side > most:
+        if filled:
+            raise ValueError(f"fields of more than {most} nodes are filled by spill.levels")
         return _on_edges(cells, side, values)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -32,7 +35,8 @@ def traced(cells: DataFrame, side: int, values: tuple[str, ...] = ("z",), most:
         at = (pdf["row"].to_numpy(), pdf["col"].to_numpy())
         out["cell"] = at[0] * side + at[1]
         for v in values:
-            to = hydro.receivers(dense(pdf, v))
+            z = dense(pdf, v)
+            to = hydro.receivers(hydro.filled(z) if filled else z)
             paths = hydro.Drainage(to)
             for name, held in (("receiver", to), ("outlet", paths.outlet.reshape(to.shape)), ("upstream", paths.upstream())):
                 out[f"{v}_{name}"] = held[at]
@@ -114,6 +118,34 @@ def tolerant_scores(a: DataFrame, b: DataFrame, side: int, reach: int = 1) -> Da
     return both.withColumn("f1", F.when(F.col("recall") + F.col("precision") > 0, f1).when(F.col("recall").isNotNull() & F.col("precision").isNotNull(), 0.0))
 
 
+def agreement(routed: DataFrame, a: str, b: str, side: int, least: int) -> DataFrame:
+    """(region, jaccard, f1, receivers, outlets) of two surfaces in rows of `traced`: overlap of the cells that `least`
+    cells drain through, its score within a cell, and the shares of inner cells with one receiver and
+    of cells with one outlet. The first two are null where a surface has no such cells."""
+    streams = routed.select("region", "row", "col", (F.col(f"{a}_upstream") >= least).alias("a"), (F.col(f"{b}_upstream") >= least).alias("b")).where("a OR b")
+    one, two = F.count_if("a"), F.count_if("b")
+    over = streams.groupBy("region").agg(F.when((one > 0) & (two > 0), F.count_if(F.col("a") & F.col("b")) / F.count("*")).alias("jaccard"))
+    near = tolerant_scores(streams.where("a"), streams.where("b"), side).select("region", "f1")
+    inner = F.col("row").between(1, side - 2) & F.col("col").between(1, side - 2)
+    same = lambda c: (F.col(f"{a}_{c}") == F.col(f"{b}_{c}")).cast("int")
+    shares = routed.groupBy("region").agg(F.avg(F.when(inner, same("receiver"))).alias("receivers"), F.avg(same("outlet")).alias("outlets"))
+    return shares.join(over, "region", "left").join(near, "region", "left").select("region", "jaccard", "f1", "receivers", "outlets")
+
+
+def noise_floor(cells: DataFrame, side: int, sigma: float, seeds: tuple[int, ...], least: int) -> DataFrame:
+    """(region, jaccard, f1, receivers, outlets): the mean agreement of fields with themselves under white
+    noise. The noise is told by a cell's place and the seed, so it is the same however rows lie."""
+    even = lambda k: (F.pmod(F.xxhash64(F.lit(k), "region", "row", "col"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    normal = lambda s: F.sqrt(-2 * F.log(even(2 * s))) * F.cos(2 * math.pi * even(2 * s + 1))
+    noisy = cells.select("region", "row", "col", "z", *((F.col("z") + sigma * normal(s)).alias(f"n{s}") for s in seeds))
+    routed = checkpointed(traced(noisy, side, ("z", *(f"n{s}" for s in seeds)), filled=True))
+    each = None
+    for s in seeds:
+        own = agreement(routed, "z", f"n{s}", side, least)
+        each = own if each is None else each.union(own)
+    return each.groupBy("region").agg(*(F.avg(c).alias(c) for c in ("jaccard", "f1", "receivers", "outlets")))
+
+
 def downstream(edges: DataFrame, weight: str) -> DataFrame:
     """(region, cell, total): the sum of `weight` from a cell to its outlet, by the same doubling."""
     at = checkpointed(edges.select("region", "cell", F.when(F.col("receiver") != NO_RECEIVER, F.col("receiver")).alias("far"), F.col(weight).alias("total")))

@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import codecs, container, entropy, hydro, index, physics, recon
+from ..functions import codecs, container, entropy, index, physics, recon
 from ..functions.dense import per_field
 from ..functions.scalar import rounded
-from ..operators import masks, resample, stencils, verdicts
+from ..operators import flow, masks, resample, stencils, verdicts
 from ..sources.tables import LATTICE_SQL, MEASUREMENTS_SQL, NODES_SQL, SIDE, epochs, lattice, measurements, nodes, read
 from .catalog import query
 from .measure_queries import BEST, LEARNED_SQL
@@ -132,17 +132,24 @@ def page_index(spark, d):
     return out.withColumns({"low": rounded("low", 9), "high": rounded("high", 9)})
 
 
+#: Where the fields of the products lie, and the numbers of their reference systems.
+_PLACE = {"west": 0.0, "north": 0.0, "spacing": 10.0, "epsg_h": 25832, "epsg_v": 7837}
+
+
 @query("product_files")
 def product_files(spark, d):
     """Each field as a product of the context coder, read back from its bytes: sizes by component and the largest error."""
 
     def one(k: int, z: np.ndarray) -> pd.DataFrame:
-        made = container.Product(rows=65, cols=65, half=49, coder="cubic-ctx", components=entropy.context_encode(z, 0.05))
-        blob = made.to_bytes()
-        back = container.Product.from_bytes(blob)
-        worst = float(np.abs(entropy.context_decode(back.components, back.rows, 0.05) - z).max())
+        made = container.Writer("cubic-ctx", rows=65, cols=65, half=49, **_PLACE)
+        parts = entropy.context_encode(z, 0.05)
+        for kind, data in parts.items():
+            made.put(kind, data)
+        blob = made.done()
+        header, back = container.opened(blob)
+        worst = float(np.abs(entropy.context_decode(dict(back), header["rows"], 0.05) - z).max())
         order0, tables, _ = entropy.multilevel(z, 0.05)
-        return pd.DataFrame([(k, len(blob), made.breakdown()["stream"], len(entropy.encode(order0, tables)), worst, back == made)], columns=["region", "bytes", "stream", "by_pass", "worst", "same"])
+        return pd.DataFrame([(k, len(blob), made.taken["stream"], len(entropy.encode(order0, tables)), worst, dict(back) == parts and sum(made.taken.values()) == len(blob))], columns=["region", "bytes", "stream", "by_pass", "worst", "same"])
 
     out = per_field(nodes(spark, d), one, "region bigint, bytes int, stream int, by_pass int, worst double, same boolean")
     return out.withColumn("worst", rounded("worst", 7))
@@ -152,12 +159,8 @@ def product_files(spark, d):
 def noise_floor(spark, d):
     """Agreement of a field's drainage with that of itself under white noise, the mean over three seeds:
     the best that an estimate can expect."""
-
-    def one(k: int, z: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame([(k, *hydro.noise_floor(z, 0.01, (0, 1, 2), 8).values())], columns=["region", "jaccard", "f1", "receivers", "outlets"])
-
-    out = per_field(lattice(spark, d), one, "region bigint, jaccard double, f1 double, receivers double, outlets double")
-    return out.withColumns({c: rounded(c) for c in ("jaccard", "f1", "receivers", "outlets")})
+    out = flow.noise_floor(lattice(spark, d), SIDE, 0.01, (0, 1, 2), 8)
+    return out.select("region", *(rounded(c).alias(c) for c in ("jaccard", "f1", "receivers", "outlets")))
 
 
 @query("hidden_detail")

@@ -47,15 +47,14 @@ def fill_volume(spark, d):
 @query("drainage_sensitivity")
 def drainage_sensitivity(spark, d):
     """Stream agreement of a quantised field for every threshold area and boundary policy."""
-    grid = spark.sql("SELECT CAST(a AS INT) AS area, p AS policy FROM (SELECT explode(array(4, 8, 16, 32)) AS a) CROSS JOIN (SELECT explode(array('edges', 'lowest-edge')) AS p)")
-    jobs = lattice(spark, d).crossJoin(F.broadcast(grid))  # eight rows, fixed
+    jobs = lattice(spark, d).withColumn("policy", F.explode(F.array(F.lit("edges"), F.lit("lowest-edge"))))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, policy, area = dense(pdf), str(pdf["policy"].iloc[0]), int(pdf["area"].iloc[0])
-        a, b = (hydro.route(x, policy=policy)["upstream"] >= area for x in (z, np.rint(z / 0.05) * 0.05))
-        return pd.DataFrame([{"region": int(pdf["region"].iloc[0]), "policy": policy, "area": area, "jaccard": hydro.jaccard(a, b)}])
+        z, policy = dense(pdf), str(pdf["policy"].iloc[0])
+        a, b = (hydro.route(x, policy=policy)["upstream"] for x in (z, np.rint(z / 0.05) * 0.05))
+        return pd.DataFrame([{"region": int(pdf["region"].iloc[0]), "policy": policy, "area": area, "jaccard": hydro.jaccard(a >= area, b >= area)} for area in (4, 8, 16, 32)])
 
-    return jobs.groupBy("region", "policy", "area").applyInPandas(one, "region bigint, policy string, area int, jaccard double").withColumn("jaccard", rounded("jaccard"))
+    return jobs.groupBy("region", "policy").applyInPandas(one, "region bigint, policy string, area int, jaccard double").withColumn("jaccard", rounded("jaccard"))
 
 
 def _pages(spark, d) -> DataFrame:

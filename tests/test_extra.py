@@ -1,6 +1,8 @@
 """Indexes, containers, context coding, kriging of areas, verdicts, ranges and classes: round trips, refusals and brute force."""
 
 import math
+import struct
+import zlib
 
 import duckdb
 import numpy as np
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import container, entropy, hydro, index, physics, recon
-from gridloom.operators import masks, resample, stencils, verdicts
+from gridloom.operators import flow, masks, resample, stencils, verdicts
 from gridloom.plans.registry import ORACLE_SQL, QUERIES
 from gridloom.sources import sinks, text
 
@@ -54,23 +56,39 @@ def test_index_refuses():
 
 
 def test_products_come_back_and_refuse(rough):
-    made = container.Product(rows=33, cols=33, half=19, coder="cubic-ctx", west=1.5, model_sha256="ab" * 32, model_inside=True, components=entropy.context_encode(rough, 0.02))
-    blob = made.to_bytes()
-    assert container.Product.from_bytes(blob) == made and sum(made.breakdown().values()) == len(blob)
-    foreign = container.Product(rows=2, cols=3, half=0, coder="foreign", foreign="sz3", unit=0.5, components={"foreign": b"abc"})
-    assert container.Product.from_bytes(foreign.to_bytes()) == foreign
+    place = {"west": 1.5, "north": 0.0, "spacing": 10.0, "epsg_h": 25832, "epsg_v": 7837}
+    made = container.Writer("cubic-ctx", rows=33, cols=33, half=19, model=bytes.fromhex("ab" * 32), flags=1, **place)
+    parts = list(entropy.context_encode(rough, 0.02).items())
+    for kind, data in parts:
+        made.put(kind, data)
+    blob = made.done()
+    header, back = container.opened(blob)
+    assert back == parts and sum(made.taken.values()) == len(blob) and header["model"].hex() == "ab" * 32
+    assert {k: header[k] for k in place} == place and (header["rows"], header["half"], header["flags"]) == (33, 19, 1)
+    foreign = container.Writer("foreign", rows=2, cols=3, half=0, foreign=b"sz3", unit=0.5, **place)
+    foreign.put("foreign", b"abc")
+    header, back = container.opened(foreign.done())
+    assert back == [("foreign", b"abc")] and header["foreign"].rstrip(b"\0") == b"sz3" and header["unit"] == 0.5
     at = len(blob) - 5
     for bad in (b"", blob[:50], blob[:-1], blob + b"x", b"X" + blob[1:], blob[:4] + b"\2" + blob[5:], blob[:6] + b"\4" + blob[7:], blob[:at] + bytes([blob[at] ^ 1]) + blob[at + 1 :]):
         with pytest.raises(ValueError):
-            container.Product.from_bytes(bad)
+            container.opened(bad)
     old, container.TABLES = container.TABLES, b"12345678"
     try:
         with pytest.raises(ValueError, match="tables"):
-            container.Product.from_bytes(blob)
+            container.opened(blob)
     finally:
         container.TABLES = old
 
 
+def test_format_of_products_is_fixed():
+    """The bytes of a small product, field by field."""
+    made = container.Writer("learned", rows=2, cols=3, half=4, west=1.0, north=2.0, spacing=3.0, epsg_h=5, epsg_v=6)
+    made.put("raw", b"xyz")
+    head = struct.pack("<4sHHIIdIdddIIBB8s32s8sB", b"GNC1", 1, 0, 2, 3, 0.001, 4, 1.0, 2.0, 3.0, 5, 6, 1, 2, b"", b"", container.TABLES, 1)
+    assert made.done() == head + struct.pack("<BII", 4, 3, zlib.crc32(b"xyz")) + b"xyz"
+
+
 @pytest.mark.parametrize("bound", [0.002, 0.05])
 def test_context_coder_holds_its_bound(rough, bound):
     parts = entropy.context_encode(rough, bound)
@@ -127,13 +145,18 @@ def test_unseen_detail_is_not_seen():
     assert np.allclose(recon.unseen(hidden, seen, seen), hidden)
 
 
-def test_agreement_and_noise(rough):
+def test_agreement_and_noise(spark, rough):
+    side = rough.shape[0]
+    cells = spark.createDataFrame([(0, r, c, float(rough[r, c])) for r in range(side) for c in range(side)], "region long, row int, col int, z double")
+    routed = flow.traced(cells.withColumn("y", F.col("z")), side, ("z", "y"), filled=True)
+    assert set(tuple(flow.agreement(routed, "z", "y", side, 8).first())[1:]) == {1.0}
+    floor = flow.noise_floor(cells, side, 0.2, (0, 1), 8).first()
+    assert all(0 < v < 1 for v in tuple(floor)[1:]) and floor.f1 >= floor.jaccard
+    none = flow.agreement(routed, "z", "y", side, 10**6).first()
+    assert none.jaccard is None and none.f1 is None and none.receivers == 1
     own = hydro.route(rough)
-    assert set(hydro.agreement(own, own, 8).values()) == {1.0}
-    floor = hydro.noise_floor(rough, 0.2, (0, 1), 8)
-    assert all(0 < v < 1 for v in floor.values()) and floor["f1"] >= floor["jaccard"]
-    none = hydro.agreement(own, own, 10**6)
-    assert none["jaccard"] is None and none["f1"] is None and none["receivers"] == 1
+    got = {(r.row, r.col): (r.z_receiver, r.z_outlet, r.z_upstream) for r in routed.collect()}
+    assert all(got[r, c] == (own["receiver"][r, c], own["outlet"][r, c], own["upstream"][r, c]) for r in range(side) for c in range(side))
 
 
 def test_runs_go_on_where_they_stopped():
