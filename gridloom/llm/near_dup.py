@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, checkpointed, forget, small_batches
+from .common import Scratch, bitmap, checkpointed, forget, marked, small_batches
 from .graph import components
 
 SHINGLE = 5
@@ -199,11 +199,12 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id
         centres = scratch.table(centres.where("members > 1").select("tkey", "a", "na"), "centres")
         near = 100 * F.least("n", "na") >= percent * F.greatest("n", "na")
         pairs = scratch.table(tables.join(centres, "tkey").where((F.col("a") != F.col("doc")) & near).select("a", F.col("doc").alias("b")).distinct(), "pairs")
-        wanted = scratch.table(tables.join(centres, "tkey", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "wanted")
-        sets = scratch.table(texts.where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc long, n long, set array<long>"), "sets")
-        links = scratch.table(_verified(pairs, sets, percent), "links")
-        roots = components(scratch, links)
-        more = scratch.table(_rest(scratch, tables.select("tkey", "doc"), roots, sets, percent), "more")
+        # candidates by a filter of fixed size: no text is shuffled, and a few too many sets do no harm
+        wanted = bitmap(tables.join(centres, "tkey", "left_semi").select(F.xxhash64("doc").alias("h")), "h")
+        chosen = marked(texts.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")), "h", scratch.table(wanted, "wanted"), "candidate").where("candidate")
+        sets = scratch.table(chosen.select("doc_id", "text").mapInArrow(_sets, "doc long, n long, set array<long>"), "sets")
+        roots = components(scratch, _verified(pairs, sets, percent))
+        more = _rest(scratch, tables.select("tkey", "doc"), roots, sets, percent)
         ends = components(scratch, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
         joined = members.join(ends, members["rep"] == ends["node"], "left").select("doc_id", "n", F.coalesce("root", "rep").alias("component_id"))
         alone = signed.where("lo IS NULL OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))

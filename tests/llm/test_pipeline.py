@@ -36,10 +36,26 @@ def test_run_packs_what_is_kept(spark, data):
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").isEmpty() and out.count() > 0
 
 
-def test_odd_rows_pass(spark, data, odd_docs, no_docs):
-    for docs in (odd_docs, no_docs):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, docs, data).collect()
+def test_odd_rows_by_stage(spark, data, odd_docs, no_docs):
+    """Which of the odd rows each stage keeps, null ids and repeated rows included."""
+    ids = lambda stage, docs: sorted((-1 if r.doc_id is None else r.doc_id for r in stage(spark, docs, data).collect()))
+    every = sorted(-1 if r.doc_id is None else r.doc_id for r in odd_docs.collect())
+    stages = {name: f for name, f in corpus_pipeline.STAGES}
+    assert ids(stages["language ID"], odd_docs) == [-1, 4, 5, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
+    assert ids(stages["quality rules"], odd_docs) == [-1, 4, 5, 5, 6, 7, 11, 12]
+    assert ids(stages["MinHash near-dedup"], odd_docs) == [-1, -1, 1, 2, 3, 4, 8, 10, 11, 13, 14, 15, 16]
+    assert ids(stages["benchmark decontamination"], odd_docs) == every
+    pieces = stages["best-fit packing"](spark, odd_docs, data).where("piece = 0")
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in pieces.collect()) == every
+    assert all(f(spark, no_docs, data).collect() == [] for f in stages.values())
+
+
+def test_near_dedup_beyond_a_full_filter(spark, data, docs, monkeypatch):
+    """Rows that the filter takes for gone by mistake are told by the join."""
+    want = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, data).collect())
+    full = spark.range(1 << 18).selectExpr("id AS cell", "-1L AS bits")
+    monkeypatch.setattr(corpus_pipeline, "bitmap", lambda keys, h: full)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, data).collect()) == want
 
 
 def test_clashing_columns_stay(spark, data, docs):
