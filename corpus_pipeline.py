@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, language, near_dup, packing, quality
+from gridloom.llm.common import Scratch, bitmap, checkpointed, marked
 
 #: A document whose average word says less than this for its language is rejected, as is one without letters.
 MIN_SCORE = 0.4
@@ -54,8 +55,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id stay or go together, rows without one stay, and texts without a word
     are nobody's copy. All columns stay as they are; no documents give none.
     """
-    gone = near_dup.near_duplicates(docs, NEAR_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = checkpointed(near_dup.near_duplicates(docs, NEAR_PERCENT).where(~F.col("kept")).select("doc_id").distinct())
+    # a filter of fixed size tells most rows that stay, so that only the others are shuffled
+    key = F.xxhash64("doc_id")
+    seen = checkpointed(bitmap(gone.select(key.alias("h")), "h"))
+    rows = marked(_rows(docs).drop("text").withColumn("h", key), "h", seen, "again")
+    stay = rows.where("NOT again").select("__row").union(rows.where("again").join(gone, "doc_id", "left_anti").select("__row"))
+    return stay.select("__row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,8 +94,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written to the shared folder and read again."""
-    from gridloom.llm.common import Scratch, checkpointed
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with Scratch(spark) as scratch:
         for name, stage in STAGES[:-1]:
