@@ -111,7 +111,8 @@ def sql_axis(axis: list[tuple[int, int, float]], name: str) -> str:
     return f"{name}(o, s, w) AS (VALUES " + ", ".join(f"({a}, {b}, CAST({w!r} AS DOUBLE))" for a, b, w in axis) + ")"
 
 
-def fingerprint(axis: list[tuple[int, int, float]], spark: SparkSession) -> DataFrame:
-    """One row: the sha256 of the weights in order, to nine digits."""
-    rows = _table(spark, axis).select(F.format_string("%d:%d:%.9f", "out", "src", "w").alias("t"))
-    return rows.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("t")), ","), 256).alias("sha256"))
+def fingerprints(axes: DataFrame, key: str, kind: str, factor: int) -> DataFrame:
+    """(key, sha256) of axes (key, side): the digest of each one's weights in order, to nine digits. An
+    axis is as long as its digest's text, and a row of the result."""
+    table = F.udf(lambda side: ",".join(sorted(f"{a}:{b}:{w:.9f}" for a, b, w in weights(kind, side, factor))), "string", useArrow=True)
+    return axes.select(key, F.sha2(table("side"), 256).alias("sha256"))

@@ -24,6 +24,17 @@ GRAD = """G AS (SELECT region, row, col, z, CASE WHEN w IS NULL THEN e - z WHEN
 SLOPE = "S AS (SELECT *, sqrt(gx * gx + gy * gy) AS slope FROM G)"
 
 
+#: A window for each customer.
+CUSTOMER_WINDOWS = "W AS (SELECT c_custkey AS id, CAST(c_custkey * 37 % 64 AS INTEGER) AS r0, CAST(least(c_custkey * 37 % 64 + c_custkey % 17, 63) AS INTEGER) AS r1, CAST(c_custkey * 53 % 64 AS INTEGER) AS c0, CAST(least(c_custkey * 53 % 64 + c_custkey % 23, 63) AS INTEGER) AS c1 FROM customer)"
+
+
+def _customer_windows(spark, d):
+    k = F.col("c_custkey")
+    ends = lambda m, most: ((k * m % 64).cast("int"), F.least(k * m % 64 + k % most, F.lit(63)).cast("int"))
+    (r0, r1), (c0, c1) = ends(37, 17), ends(53, 23)
+    return read(spark, d, "customer").select(k.alias("id"), r0.alias("r0"), r1.alias("r1"), c0.alias("c0"), c1.alias("c1"))
+
+
 def _windows(spark):
     rows = ", ".join(map(str, WINDOWS))
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(id, r0, r1, c0, c1)")
@@ -62,20 +73,20 @@ _COVER = f"""K AS (SELECT id, r0, r1, c0, c1, CAST(y AS INTEGER) AS y, CAST(x AS
  WHERE y BETWEEN r0 // 8 AND {_LAST.format(lo="r0", hi="r1")} AND x BETWEEN c0 // 8 AND {_LAST.format(lo="c0", hi="c1")})"""
 
 
-@query("page_cover_minimal", f"WITH {WINDOWS_SQL}, {_COVER} SELECT id, y, x FROM K")
+@query("page_cover_minimal", f"WITH {CUSTOMER_WINDOWS}, {_COVER} SELECT id, y, x FROM K")
 def page_cover_minimal(spark, d):
-    return cover(_windows(spark), 8).select("id", "y", "x")
+    return cover(_customer_windows(spark, d), 8).select("id", "y", "x")
 
 
 @query(
     "page_cover_naive_ratio",
-    f"""WITH {WINDOWS_SQL}, {_COVER}, pg AS (SELECT id, count(*) AS pages FROM K GROUP BY id)
+    f"""WITH {CUSTOMER_WINDOWS}, {_COVER}, pg AS (SELECT id, count(*) AS pages FROM K GROUP BY id)
     SELECT id, pages, CAST((r1 // 8 - r0 // 8 + 1) * (c1 // 8 - c0 // 8 + 1) AS BIGINT) AS naive,
     round((r1 // 8 - r0 // 8 + 1) * (c1 // 8 - c0 // 8 + 1) / pages, 6) AS ratio FROM pg JOIN W USING (id)""",
 )
 def page_cover_naive_ratio(spark, d):
-    best = cover(_windows(spark), 8).groupBy("id").agg(F.count("*").alias("pages"))
-    naive = cover(_windows(spark), 8, minimal=False).groupBy("id").agg(F.count("*").alias("naive"))
+    best = cover(_customer_windows(spark, d), 8).groupBy("id").agg(F.count("*").alias("pages"))
+    naive = cover(_customer_windows(spark, d), 8, minimal=False).groupBy("id").agg(F.count("*").alias("naive"))
     return best.join(naive, "id").withColumn("ratio", rounded(F.col("naive") / F.col("pages")))
 
 
@@ -88,11 +99,11 @@ def page_workload(spark, d):
 
 @query(
     "page_useful_samples",
-    f"""WITH {WINDOWS_SQL}, {_COVER} SELECT id, y, x, CAST((least(r1, y * 8 + 8) - greatest(r0, y * 8) + 1) * (least(c1, x * 8 + 8) - greatest(c0, x * 8) + 1) AS INTEGER) AS useful FROM K""",
+    f"""WITH {CUSTOMER_WINDOWS}, {_COVER} SELECT id, y, x, CAST((least(r1, y * 8 + 8) - greatest(r0, y * 8) + 1) * (least(c1, x * 8 + 8) - greatest(c0, x * 8) + 1) AS INTEGER) AS useful FROM K""",
 )
 def page_useful_samples(spark, d):
     shared = lambda lo, hi, p: F.least(F.col(hi), F.col(p) * 8 + 8) - F.greatest(F.col(lo), F.col(p) * 8) + 1
-    return cover(_windows(spark), 8).select("id", "y", "x", (shared("r0", "r1", "y") * shared("c0", "c1", "x")).alias("useful"))
+    return cover(_customer_windows(spark, d), 8).select("id", "y", "x", (shared("r0", "r1", "y") * shared("c0", "c1", "x")).alias("useful"))
 
 
 @query("page_stats", f"{L}, {NODES_SQL}, {HELD} SELECT region, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, count(*) AS nodes, min(z) AS low, max(z) AS high FROM H GROUP BY ALL")
@@ -305,12 +316,20 @@ def back_projection(spark, d):
     return up.join(more, ["region", "row", "col"]).select("region", "row", "col", rounded(F.col("z") + F.col("m"), 7).alias("z"))
 
 
-_PRINT = ",".join(sorted(f"{a}:{b}:{w:.9f}" for a, b, w in _TRAP))
+#: Axes of four intervals for each supplier of a nation, and the weights of every fourth node along them.
+AXES_SQL = """AX AS (SELECT s_nationkey AS nation, 4 * count(*) + 1 AS side FROM supplier GROUP BY 1),
+ AW0 AS (SELECT nation, o, 4 * o + j AS s, CASE WHEN abs(j) = 2 THEN 0.5::DOUBLE ELSE 1.0 END AS w FROM AX, range(0, (side - 1) // 4 + 1) t(o), range(-2, 3) u(j) WHERE 4 * o + j BETWEEN 0 AND side - 1),
+ AW AS (SELECT nation, CAST(o AS INTEGER) AS o, CAST(s AS INTEGER) AS s, w / sum(w) OVER (PARTITION BY nation, o) AS w FROM AW0)"""
+
+
+def axes(spark, d):
+    return read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg((4 * F.count("*") + 1).cast("int").alias("side"))
 
 
-@query("operator_fingerprint", f"WITH {resample.sql_axis(_TRAP, 'WT')} SELECT sha256(string_agg(t, ',' ORDER BY t)) AS sha256 FROM (SELECT printf('%d:%d:%.9f', o, s, w) AS t FROM WT)")
+@query("operator_fingerprint", f"WITH {AXES_SQL} SELECT nation, sha256(string_agg(t, ',' ORDER BY t)) AS sha256 FROM (SELECT nation, printf('%d:%d:%.9f', o, s, w) AS t FROM AW) GROUP BY nation")
 def operator_fingerprint(spark, d):
-    return resample.fingerprint(_TRAP, spark)
+    """A digest of the weights along each nation's axis, in order."""
+    return resample.fingerprints(axes(spark, d), "nation", "trapezoid", 4)
 
 
 TWIST = """W1 AS (SELECT *, lead(z) OVER (PARTITION BY region, row ORDER BY col) AS h01 FROM L),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import box_gap, rounded
 from ..operators import verdicts
-from ..sources.tables import CANDIDATES_SQL, MEASUREMENTS_SQL, candidates, measurements, read
+from ..sources.tables import CANDIDATES_SQL, LATTICE_SQL, MEASUREMENTS_SQL, candidates, lattice, measurements, read
 from .catalog import query
 
 M, C = f"WITH {MEASUREMENTS_SQL}", f"WITH {CANDIDATES_SQL}"
@@ -236,10 +236,11 @@ def cohort_quota(spark, d):
     return r.join(F.broadcast(stop), F.col("rank") <= F.col("stop")).select("id", "stratum", F.when(F.col("k") <= 5, "taken").otherwise("full").alias("outcome"))  # one row
 
 
-@query("splits", "SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CASE WHEN y >= 6 AND x >= 6 THEN 'corner' WHEN (y + x) % 2 = 1 THEN 'test' WHEN y % 2 = 0 THEN 'train' ELSE 'validation' END AS role FROM range(0, 8) AS a(y), range(0, 8) AS b(x)")
+@query("splits", f"WITH {LATTICE_SQL} SELECT DISTINCT region, CAST(row // 8 AS INTEGER) AS y, CAST(col // 8 AS INTEGER) AS x, CASE WHEN row // 8 >= 6 AND col // 8 >= 6 THEN 'corner' WHEN (row // 8 + col // 8) % 2 = 1 THEN 'test' WHEN row // 8 % 2 = 0 THEN 'train' ELSE 'validation' END AS role FROM L")
 def splits(spark, d):
-    """A checkerboard of pages with a held corner, which wins; the rest by row parity."""
-    p = spark.sql("SELECT CAST(a.id AS INT) AS y, CAST(b.id AS INT) AS x FROM range(8) a CROSS JOIN range(8) b")
+    """A checkerboard of a field's pages with a held corner, which wins; the rest by row parity."""
+    at = lambda c: F.floor(F.col(c) / 8).cast("int")
+    p = lattice(spark, d).select("region", at("row").alias("y"), at("col").alias("x")).distinct()
     role = F.when((F.col("y") >= 6) & (F.col("x") >= 6), "corner").when((F.col("y") + F.col("x")) % 2 == 1, "test").when(F.col("y") % 2 == 0, "train").otherwise("validation")
     return p.withColumn("role", role)
 
@@ -368,21 +369,41 @@ def canonical_digest(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.sha2(F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))), 256).alias("sha256"))
 
 
-@query("buffered_lattice", "WITH K AS (SELECT CAST(a * 20 AS INTEGER) AS x, CAST(b * 20 AS INTEGER) AS y FROM range(0, 12) p(a), range(0, 12) q(b)), P(w, s, e, n) AS (VALUES (30.0::DOUBLE, 30.0::DOUBLE, 60.0::DOUBLE, 50.0::DOUBLE), (150, 160, 190, 200)) SELECT x, y FROM K WHERE NOT EXISTS (SELECT 1 FROM P WHERE sqrt(pow(greatest(0, w - (x + 10), x - e), 2) + pow(greatest(0, s - (y + 10), y - n), 2)) < 15)")
+@query(
+    "buffered_lattice",
+    """WITH K AS (SELECT c_custkey AS id, (c_custkey % 100) * 20 AS x, (c_custkey // 100) * 20 AS y FROM customer), P AS (SELECT (s_suppkey * 37) % 2000 AS w, (s_suppkey * 53) % 2000 AS s, (s_suppkey * 37) % 2000 + 30 AS e, (s_suppkey * 53) % 2000 + 20 AS n FROM supplier)
+    SELECT id, x, y FROM K WHERE NOT EXISTS (SELECT 1 FROM P WHERE sqrt(pow(greatest(0, w - (x + 10), x - e), 2) + pow(greatest(0, s - (y + 10), y - n), 2)) < 15)""",
+)
 def buffered_lattice(spark, d):
-    """Candidate tiles that keep a distance to every preset box."""
-    k = spark.sql("SELECT CAST(a.id * 20 AS INT) AS x, CAST(b.id * 20 AS INT) AS y FROM range(12) a CROSS JOIN range(12) b")
-    boxes = F.broadcast(spark.sql("SELECT * FROM VALUES (30D, 30D, 60D, 50D), (150D, 160D, 190D, 200D) AS t(w, s, e, n)"))  # presets, literal
-    gap = box_gap((F.col("x"), F.col("y"), F.col("x") + 10, F.col("y") + 10), tuple(F.col(c) for c in "wsen"))
-    return k.join(boxes, gap < 15, "left_anti")
-
-
-@query("binomial_tail", "WITH f AS (SELECT CAST(k AS INTEGER) AS k FROM range(0, 13) r(k)) SELECT k, round((SELECT sum(CAST(factorial(12) AS DOUBLE) / (CAST(factorial(CAST(j AS INTEGER)) AS DOUBLE) * CAST(factorial(CAST(12 - j AS INTEGER)) AS DOUBLE)) / 4096) FROM range(0, 13) s(j) WHERE j >= k), 9) + 0.0 AS p FROM f")
+    """Customers' tiles that keep a distance to every supplier's box. A box is put into the cells of a grid from which tiles come near it."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    k = read(spark, d, "customer").select(c.alias("id"), (c % 100 * 20).alias("x"), (F.floor(c / 100) * 20).alias("y"))
+    boxes = read(spark, d, "supplier").select((s * 37 % 2000).alias("w"), (s * 53 % 2000).alias("s")).withColumns({"e": F.col("w") + 30, "n": F.col("s") + 20})
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(lo) - 25) / 100), F.floor((F.col(hi) + 15) / 100)))
+    boxes = boxes.withColumn("cx", cells("w", "e")).withColumn("cy", cells("s", "n"))
+    k = k.withColumns({"kx": F.floor(F.col("x") / 100), "ky": F.floor(F.col("y") / 100)})
+    gap = box_gap((F.col("x"), F.col("y"), F.col("x") + 10, F.col("y") + 10), tuple(F.col(v) for v in "wsen"))
+    return k.join(boxes, (F.col("kx") == F.col("cx")) & (F.col("ky") == F.col("cy")) & (gap < 15), "left_anti").select("id", "x", "y")
+
+
+@query("binomial_tail", "WITH R AS (SELECT o_custkey AS id, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS k FROM orders GROUP BY 1) SELECT id, n, k, round(list_sum(list_transform(range(k, n + 1), lambda j: (factorial(n::INTEGER) // (factorial(j::INTEGER) * factorial((n - j)::INTEGER)))::DOUBLE)) / pow(2, n), 9) + 0.0 AS p FROM R")
 def binomial_tail(spark, d):
-    """P(X >= k) of twelve fair trials."""
-    k = spark.range(13).select(F.col("id").cast("int").alias("k"))
-    term = lambda j: F.factorial(F.lit(12)).cast("double") / (F.factorial(j) * F.factorial(12 - j)).cast("double") / 4096
-    return k.select("k", rounded(F.aggregate(F.sequence("k", F.lit(12)), F.lit(0.0), lambda a, j: a + term(j)), 9).alias("p"))
+    """Of a customer's orders, how likely as many or more are filled as are, were it even: P(X >= k) of n fair trials."""
+    r = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("k"))
+    n, k = F.col("n"), F.col("k")
+    up_to_k = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+
+    def tail(first, step, last):
+        start = F.struct(F.lit(0.0).alias("total"), F.aggregate(up_to_k, first, step).alias("term"))
+        following = lambda a, j: F.struct((a["total"] + last(a["term"])).alias("total"), step(a["term"], j + 1).alias("term"))
+        return F.aggregate(F.sequence(k, n), start, following, lambda a: a["total"])
+
+    # counts are exact in doubles for some fifty trials, and finite for a thousand; beyond that logarithms
+    ratio = lambda i: (n - i + 1).cast("double") / i
+    exact = tail(F.lit(1.0), lambda c, i: c * (n - i + 1) / i, lambda c: c) / F.pow(F.lit(2.0), n)
+    logs = tail(-n * F.log(F.lit(2.0)), lambda c, i: c + F.log(F.when(ratio(i) > 0, ratio(i)).otherwise(1e-300)), F.exp)
+    total = F.when(n <= 1000, exact).otherwise(logs)
+    return r.select("id", "n", "k", rounded(total, 9).alias("p"))
 
 
 @query("settled_time", "WITH R AS (SELECT o_custkey % 50 AS run, CAST(date_trunc('month', o_orderdate) AS DATE) AS t, sum(o_totalprice) AS rate FROM orders GROUP BY ALL), N AS (SELECT *, lead(t) OVER (PARTITION BY run ORDER BY t) AS nt FROM R), H AS (SELECT run, max(t) AS last FROM R WHERE rate >= 300000 GROUP BY run), A AS (SELECT DISTINCT run FROM R) SELECT A.run, (SELECT max(nt) FROM N WHERE N.run = A.run AND N.t = H.last) AS settled FROM A LEFT JOIN H USING (run)")

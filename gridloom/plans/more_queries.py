@@ -53,15 +53,14 @@ def index_unpack(spark, d):
     return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.floor(k / (SIDE * SIDE)).alias("region"), F.floor(cell / SIDE).cast("int").alias("row"), col.cast("int").alias("col"), rounded(2 * col / 63.0 - 1, 9).alias("x"))
 
 
-@query("sublattice_targets", "WITH S AS (SELECT unnest([8, 4, 2]) AS s), N AS (SELECT CAST(i AS INTEGER) AS i FROM range(0, 9) t(i)) SELECT CAST(s AS INTEGER) AS stride, CAST(p AS INTEGER) AS pass, r.i AS row, c.i AS col FROM S, (VALUES (0), (1)) AS q(p), N r, N c WHERE (p = 0 AND r.i % s = s // 2 AND c.i % s = 0) OR (p = 1 AND r.i % (s // 2) = 0 AND c.i % s = s // 2)")
+@query("sublattice_targets", f"{L}, {NODES_SQL}, S AS (SELECT unnest([8, 4, 2]) AS s) SELECT region, CAST(s AS INTEGER) AS stride, CAST(p AS INTEGER) AS pass, row, col FROM LN, S, (VALUES (0), (1)) AS q(p) WHERE (p = 0 AND row % s = s // 2 AND col % s = 0) OR (p = 1 AND row % (s // 2) = 0 AND col % s = s // 2)")
 def sublattice_targets(spark, d):
-    """Nodes that each pass of a multilevel coder predicts on a 9 by 9 page: each node but the corners once."""
-    n = spark.sql("SELECT CAST(a.id AS INT) AS row, CAST(b.id AS INT) AS col FROM range(9) a CROSS JOIN range(9) b")
-    n = n.withColumn("stride", F.explode(F.array(*map(F.lit, (8, 4, 2))))).withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1))))
+    """Nodes that each pass of a multilevel coder predicts in a field: each but those of every eighth row and column once."""
+    n = nodes(spark, d).select("region", "row", "col").withColumn("stride", F.explode(F.array(*map(F.lit, (8, 4, 2))))).withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1))))
     half = F.floor(F.col("stride") / 2)
     first = (F.col("pass") == 0) & (F.col("row") % F.col("stride") == half) & (F.col("col") % F.col("stride") == 0)
     second = (F.col("pass") == 1) & (F.col("row") % half == 0) & (F.col("col") % F.col("stride") == half)
-    return n.where(first | second).select("stride", "pass", "row", "col")
+    return n.where(first | second).select("region", "stride", "pass", "row", "col")
 
 
 @query("step_plan", "SELECT p_partkey AS id, CAST(floor(p_retailprice / p_size) AS BIGINT) AS whole, round(p_retailprice - floor(p_retailprice / p_size) * p_size, 6) + 0.0 AS rest FROM part")

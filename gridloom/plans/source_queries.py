@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, tables
 from ..functions.scalar import rounded
-from ..operators import resample
 from ..sources import archive, sinks, text
 from ..sources.shared import checkpointed, folder, put, put_from_task
 from ..sources.tables import LATTICE_SQL, NODES_SQL, SIDE, lattice, nodes, read
 from ..streaming import receipts
 from .catalog import query
+from .field_queries import AXES_SQL, axes
 from .pages import paged
 
 L = f"WITH {LATTICE_SQL}"
@@ -171,14 +171,11 @@ def published_paths(spark, d):
     return sinks.scrubbed(read(spark, d, "pages").select("page_id", F.col("url").alias("place")), "place", {"http://": "web/", "https://": "web/"})
 
 
-_AXIS = resample.weights("trapezoid", SIDE + 1, 4)
-
-
-@query("weights_in_sql", f"WITH {resample.sql_axis(_AXIS, 'W')} SELECT CAST(o AS INTEGER) AS out, CAST(s AS INTEGER) AS src, w FROM W")
+@query("weights_in_sql", f"WITH {AXES_SQL} SELECT nation, o AS out, s AS src, w FROM AW")
 def weights_in_sql(spark, d):
-    """An operator's weights by a table function of SQL."""
+    """An operator's weights by a table function of SQL, along each nation's axis."""
     tables.register(spark)
-    return spark.sql(f"SELECT * FROM operator_weights('trapezoid', {SIDE + 1}, 4)")
+    return spark.sql("SELECT nation, w.* FROM {axes}, LATERAL operator_weights('trapezoid', side, 4) w", axes=axes(spark, d))
 
 
 @query("streamed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY ALL")

@@ -118,8 +118,9 @@ def aggregate_in_sql(spark, d):
         return float(np.exp(np.log(x).mean()))
 
     spark.udf.register("geometric_mean", geometric_mean)
-    _pairs(spark, d).createOrReplaceTempView("gridloom_pairs")
-    return spark.sql("SELECT bound, round(geometric_mean(a / b), 6) + 0D AS ratio FROM gridloom_pairs GROUP BY bound")
+    out = spark.sql("SELECT bound, round(geometric_mean(a / b), 6) + 0D AS ratio FROM {pairs} GROUP BY bound", pairs=_pairs(spark, d))
+    spark.sql("DROP TEMPORARY FUNCTION geometric_mean")
+    return out
 
 
 @query("samples_in_reach", f"WITH {OBSERVATIONS_SQL}, T0 AS (SELECT CAST(a AS INTEGER) AS tx, CAST(b AS INTEGER) AS ty FROM range(0, 2) p(a), range(0, 2) q(b)), D AS (SELECT tx, ty, id, greatest(0, tx * 32 - e, e - (tx * 32 + 31)) AS dx, greatest(0, ty * 32 - n, n - (ty * 32 + 31)) AS dy FROM T0, P) SELECT tx, ty, id FROM D WHERE sqrt(dx * dx + dy * dy) <= 8 QUALIFY row_number() OVER (PARTITION BY tx, ty ORDER BY dx * dx + dy * dy, id) <= 300")
