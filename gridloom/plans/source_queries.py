@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import json
 import zipfile
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, tables
 from ..functions.scalar import rounded
 from ..sources import archive, sinks, text
-from ..sources.shared import checkpointed, folder, put, put_from_task
+from ..sources.shared import checkpointed, folder, put_from_task
 from ..sources.tables import LATTICE_SQL, NODES_SQL, SIDE, lattice, nodes, read
 from ..streaming import receipts
 from .catalog import query
@@ -26,8 +25,14 @@ L = f"WITH {LATTICE_SQL}"
 QUANTUM = 0.001
 
 
-def _nations(spark, d) -> list:
-    return read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()  # one small table, whole
+def _put(rows, path: str, suffix: str, made=lambda lines: "".join(lines).encode()) -> None:
+    """A file for each chunk of rows (folder, chunk, k, line): tasks write them, a chunk a group of bounded size."""
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        put_from_task(f"{path}/{pdf['folder'].iloc[0]}/{pdf['chunk'].iloc[0]}.{suffix}", made(pdf.sort_values("k")["line"].tolist()))
+        return pdf[["chunk"]].head(1)
+
+    rows.groupBy("folder", "chunk").applyInPandas(write, "chunk bigint").count()
 
 
 @query("field_arrays", f"{L} SELECT region, row, col, z FROM L")
@@ -97,46 +102,57 @@ def page_files(spark, d):
         return checkpointed(_unpacked(archive.page_files(spark, path, stated)).distinct())
 
 
-@query("manifest_scan", "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS zone FROM nation")
+@query("manifest_scan", "SELECT c_custkey AS id, c_name AS name, c_nationkey AS zone FROM customer")
 def manifest_scan(spark, d):
-    """Documents under a stated schema."""
+    """Documents of a thousand customers, read under a stated schema."""
+    c = read(spark, d, "customer")
+    line = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("zone")))
+    rows = c.select(F.lit("m").alias("folder"), F.floor(F.col("c_custkey") / 1000).alias("chunk"), F.col("c_custkey").alias("k"), line.alias("line"))
     with folder(spark) as path:
-        put(spark, f"{path}/m.json", sinks.canonical([{"id": r.n_nationkey, "name": r.n_name, "zone": r.n_regionkey} for r in _nations(spark, d)]).encode())
-        return checkpointed(text.manifests(spark, f"{path}/m.json", "id bigint, name string, zone bigint").select("id", "name", F.col("zone").cast(dict(read(spark, d, "nation").dtypes)["n_regionkey"])).withColumn("id", F.col("id").cast(dict(read(spark, d, "nation").dtypes)["n_nationkey"])))
+        _put(rows, path, "json", lambda lines: ("[" + ",".join(lines) + "]").encode())
+        return checkpointed(text.manifests(spark, f"{path}/m", "id bigint, name string, zone int"))
 
 
-@query("report_scan", "SELECT CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE 'schema-' || n_regionkey END AS schema, n_nationkey % 5 = 0 AS unreadable, count(*) AS files FROM nation GROUP BY ALL")
+@query("report_scan", "SELECT CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'schema-' || p_size END AS schema, p_partkey % 5 = 0 AS unreadable, count(*) AS files FROM part GROUP BY ALL")
 def report_scan(spark, d):
-    """Reports in folders below one another; those that cannot be read stay as rows of their own."""
+    """Reports in folders below one another, one a part; those that cannot be read stay as rows of their own."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    whole = F.to_json(F.struct(F.concat(F.lit("schema-"), size).alias("schema"), F.col("p_name").alias("name")))
+    made = read(spark, d, "part").select(key.alias("chunk"), F.concat(F.lit("r/"), size.cast("string")).alias("folder"), F.lit(0).alias("k"), whole.alias("whole"))
+    rows = made.select("folder", "chunk", "k", F.when(F.col("chunk") % 5 == 0, F.expr("left(whole, length(whole) - 9)")).otherwise(F.col("whole")).alias("line"))
     with folder(spark) as path:
-        for r in _nations(spark, d):
-            whole = json.dumps({"schema": f"schema-{r.n_regionkey}", "name": r.n_name}).encode()
-            put(spark, f"{path}/{r.n_regionkey}/{r.n_nationkey}.json", whole[:-9] if r.n_nationkey % 5 == 0 else whole)
-        found = text.reports(spark, path).groupBy("schema", F.col("body").isNull().alias("unreadable")).agg(F.count("*").alias("files"))
-        return checkpointed(found)
+        _put(rows, path, "json")
+        return checkpointed(text.reports(spark, path).groupBy("schema", F.col("body").isNull().alias("unreadable")).agg(F.count("*").alias("files")))
 
 
-@query("publication_index", "SELECT n_name AS name, '2020-01-' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') AS published FROM nation")
+@query("publication_index", "SELECT 'tile_' || o_orderkey AS name, strftime(o_orderdate, '%Y-%m-%d') AS published FROM orders")
 def publication_index(spark, d):
+    """Indexes in markup, a thousand orders each."""
+    o, key = read(spark, d, "orders"), F.col("o_orderkey")
+    line = F.concat(F.lit('<file name="tile_'), key.cast("string"), F.lit('" timestamp="'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('"/>'))
     with folder(spark) as path:
-        files = "".join(f'<file name="{r.n_name}" timestamp="2020-01-{r.n_nationkey + 1:02d}"/>' for r in _nations(spark, d))
-        put(spark, f"{path}/index.xml", f'<?xml version="1.0"?><index>{files}</index>'.encode())
-        return checkpointed(text.publication_times(spark, f"{path}/index.xml"))
+        _put(o.select(F.lit("i").alias("folder"), F.floor(key / 1000).alias("chunk"), key.alias("k"), line.alias("line")), path, "xml", lambda lines: f'<?xml version="1.0"?><index>{"".join(lines)}</index>'.encode())
+        return checkpointed(text.publication_times(spark, f"{path}/i"))
+
+
+def _zipped(lines: list[str]) -> bytes:
+    """A table with lines before its header; where no line has a second column, its header has none."""
+    head = "Kachelname;Aktualitaet" if any(";" in x for x in lines) else "Kachelname"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("t.csv", "\n".join(["Titel;x", head, *lines, ""]))
+    return out.getvalue()
 
 
-@query("tile_archives", "SELECT 'dgm1_' || n_nationkey AS tile, CASE WHEN n_regionkey > 0 THEN '2020-0' || n_regionkey || '-01' END AS surveyed FROM nation")
+@query("tile_archives", "SELECT 'dgm1_' || o_orderkey AS tile, CASE WHEN o_orderkey // 1000 % 3 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS surveyed FROM orders")
 def tile_archives(spark, d):
-    """Tables in zip archives, one a region, with lines before their header; the first lacks a column."""
+    """Tables in zip archives, a thousand orders each, with lines before their header; every third lacks a column."""
+    o, key = read(spark, d, "orders"), F.col("o_orderkey")
+    chunk = F.floor(key / 1000)
+    line = F.concat(F.lit("dgm1_"), key.cast("string"), F.when(chunk % 3 > 0, F.concat(F.lit(";"), F.date_format("o_orderdate", "yyyy-MM-dd"))).otherwise(""))
     with folder(spark) as path:
-        rows = _nations(spark, d)
-        for zone in {r.n_regionkey for r in rows}:
-            head = "Kachelname;Aktualitaet" if zone else "Kachelname"
-            body = "\n".join(f"dgm1_{r.n_nationkey}" + (f";2020-0{zone}-01" if zone else "") for r in rows if r.n_regionkey == zone)
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w") as z:
-                z.writestr("t.csv", f"Titel;x\n{head}\n{body}\n")
-            put(spark, f"{path}/{zone}.zip", out.getvalue())
-        return checkpointed(text.tile_metadata(spark, path).select(F.col("Kachelname").alias("tile"), F.col("Aktualitaet").alias("surveyed")))
+        _put(o.select(F.lit("z").alias("folder"), chunk.alias("chunk"), key.alias("k"), line.alias("line")), path, "zip", _zipped)
+        return checkpointed(text.tile_metadata(spark, f"{path}/z").select(F.col("Kachelname").alias("tile"), F.col("Aktualitaet").alias("surveyed")))
 
 
 @query(
