@@ -64,3 +64,32 @@ def least_squares2(x: str, y: str, z: str) -> dict[str, Column]:
     det = xx * yy - xy * xy
     b, c = (xz * yy - yz * xy) / det, (yz * xx - xz * xy) / det
     return {"a": mz - b * mx - c * my, "b": b, "c": c, "sound": det > 1e-6 * xx * yy}
+
+
+def banks(axes: DataFrame, offset: float) -> DataFrame:
+    """Points on axes (line, k, x, y) of three vertices or more and, `offset` to either side of them, on what
+    should be their banks: (line, k, side, x, y) with side 0, 1 and -1. The direction at a vertex is that
+    from the one before to the one after; where the two are one place, there is none, and all three
+    points are the vertex."""
+    w, whole = Window.partitionBy("line").orderBy("k"), Window.partitionBy("line")
+
+    def along(c: str) -> Column:
+        before, after = F.lag(c).over(w), F.lead(c).over(w)
+        return F.when(before.isNull(), after - F.col(c)).when(after.isNull(), F.col(c) - before).otherwise((after - before) / 2)
+
+    out = axes.select("line", "k", "x", "y").withColumns({"tx": along("x"), "ty": along("y"), "n": F.count("*").over(whole)}).where("n >= 3")
+    size = F.sqrt(F.col("tx") * F.col("tx") + F.col("ty") * F.col("ty"))
+    out = out.withColumn("size", F.when(size == 0, 1.0).otherwise(size)).withColumn("side", F.explode(F.array(*map(F.lit, (0, 1, -1)))))
+    x, y = F.col("x") - offset * F.col("side") * F.col("ty") / F.col("size"), F.col("y") + offset * F.col("side") * F.col("tx") / F.col("size")
+    return out.select("line", "k", "side", x.alias("x"), y.alias("y"))
+
+
+def valley_floor(axes: DataFrame, cells: DataFrame, offset: float, side: int) -> DataFrame:
+    """(region, samples, below): of the vertices of axes (line, region, k, x, y) whose banks lie in the field, the share
+    that lies no higher than either bank. Axes of water that are where they should be give a large one, a
+    mirrored field does not."""
+    at = banks(axes, offset).join(axes.select("line", "k", "region"), ["line", "k"])
+    points = at.select(F.struct("line", "k", "side").alias("key"), "region", F.col("y").alias("r"), F.col("x").alias("c"))
+    z = bilinear(points, cells, "key", side)
+    three = z.groupBy("region", "key.line", "key.k").agg(F.count("*").alias("n"), F.max(F.when(F.col("key.side") == 0, F.col("z"))).alias("centre"), F.min(F.when(F.col("key.side") != 0, F.col("z"))).alias("bank")).where("n = 3")
+    return three.groupBy("region").agg(F.count("*").alias("samples"), F.avg((F.col("centre") <= F.col("bank") + 1e-9).cast("int")).alias("below"))

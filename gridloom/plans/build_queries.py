@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..functions.scalar import rounded
-from ..operators import geodesy, masks, resample, separation, spill, stencils
+from ..operators import geodesy, masks, points, resample, separation, spill, stencils
 from ..sources import atlas, coverages, markup
 from ..sources.shared import checkpointed, folder
 from ..sources.tables import LATTICE_SQL, NODES_SQL, SIDE, lattice, nodes, read
@@ -178,7 +178,7 @@ def _markup(spark, d):
     say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
     east, north = lambda k: F.lit(300_000) + k * 37 % 400_000, lambda k: F.lit(5_600_000) + k * 53 % 90_000
     k = F.col("c_custkey")
-    points = c.select(
+    places = c.select(
         say('<wfs:member><cu:Customer gml:id="c', k, '"><cu:localId>', F.lpad(k.cast("string"), 9, "0"), "</cu:localId><cu:name> ", _escaped(F.col("c_name")), ' </cu:name><cu:nation xlink:href="#n', F.col("c_nationkey"),
             '"/><cu:market><cu:Market><cu:segment>', F.lower("c_mktsegment"), "</cu:segment><cu:name>second</cu:name></cu:Market></cu:market>",
             '<cu:place><gml:Point srsName="EPSG:25832"><gml:pos>', east(k), " ", north(k), "</gml:pos></gml:Point></cu:place></cu:Customer></wfs:member>").alias("value"),
@@ -189,7 +189,7 @@ def _markup(spark, d):
     box = lambda m: say(*(x for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)) for x in (east(k) + m + a * (100 - 2 * m), " ", north(k) + m + b * (100 - 2 * m), " ")))
     ring = lambda side, m: say(f"<gml:{side}><gml:LinearRing><gml:posList>", box(m), f"</gml:posList></gml:LinearRing></gml:{side}>")
     areas = s.select(say('<wfs:member><su:Supplier gml:id="s', k, '"><su:area><gml:Polygon>', ring("exterior", 0), F.when(k % 3 == 0, ring("interior", 10)).otherwise(""), "</gml:Polygon></su:area></su:Supplier></wfs:member>").alias("value"))
-    return points.union(lines).union(areas)
+    return places.union(lines).union(areas)
 
 
 def _marked_up(spark, d, use):
@@ -344,3 +344,36 @@ def schema_negotiation(spark, d):
         asked = c.join(F.broadcast(count)).select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("service"), F.concat(F.lit("Supplier#"), F.lpad((F.col("c_custkey") % F.col("n")).cast("string"), 9, "0")).alias("wanted"))  # one row
         out = coverages.negotiated(asked.join(told, "service"), 0.1)
         return checkpointed(out.select("id", "coverage", "easting", "northing", "refusal", "form", "value"))
+
+
+_OFF = 2.5
+
+
+def _valley_sql(name: str, row: str) -> str:
+    return f"""Z{name} AS (SELECT q.region, q.line, q.k, q.side, sum(w * L.z) AS z FROM Q q JOIN L ON L.region = q.region AND {row} = q.r AND L.col = q.c GROUP BY ALL),
+    T{name} AS (SELECT region, line, k, max(CASE WHEN side = 0 THEN z END) AS centre, min(CASE WHEN side <> 0 THEN z END) AS bank FROM Z{name} GROUP BY ALL HAVING count(*) = 3),
+    V{name} AS (SELECT region, count(*) AS samples, round(avg(CASE WHEN centre <= bank + 1e-9 THEN 1 ELSE 0 END), 6) + 0.0 AS below FROM T{name} GROUP BY region)"""
+
+
+@query(
+    "valley_floor",
+    f"""{L}, A AS (SELECT o_custkey AS line, o_custkey % 7 AS region, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, CAST((o_orderkey * 37) % 640 AS DOUBLE) / 10 AS x, CAST((o_orderkey * 53) % 640 AS DOUBLE) / 10 AS y FROM orders),
+    B AS (SELECT *, lag(x) OVER v AS xb, lead(x) OVER v AS xa, lag(y) OVER v AS yb, lead(y) OVER v AS ya, count(*) OVER (PARTITION BY line) AS n FROM A WINDOW v AS (PARTITION BY line ORDER BY k)),
+    C AS (SELECT *, CASE WHEN xb IS NULL THEN xa - x WHEN xa IS NULL THEN x - xb ELSE (xa - xb) / 2 END AS tx, CASE WHEN yb IS NULL THEN ya - y WHEN ya IS NULL THEN y - yb ELSE (ya - yb) / 2 END AS ty FROM B WHERE n >= 3),
+    D AS (SELECT *, CASE WHEN sqrt(tx * tx + ty * ty) = 0 THEN 1 ELSE sqrt(tx * tx + ty * ty) END AS size FROM C),
+    P AS (SELECT region, line, k, side, x - {_OFF} * side * ty / size AS px, y + {_OFF} * side * tx / size AS py FROM D, (VALUES (0), (1), (-1)) AS s(side)),
+    I AS (SELECT *, least(CAST(floor(py) AS INTEGER), 62) AS r0, least(CAST(floor(px) AS INTEGER), 62) AS c0 FROM P WHERE px BETWEEN 0 AND 63 AND py BETWEEN 0 AND 63),
+    Q AS (SELECT region, line, k, side, r0 + a AS r, c0 + b AS c, (CASE a WHEN 0 THEN 1 - (py - r0) ELSE py - r0 END) * (CASE b WHEN 0 THEN 1 - (px - c0) ELSE px - c0 END) AS w FROM I, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(a, b)),
+    {_valley_sql("A", "L.row")}, {_valley_sql("B", "63 - L.row")} SELECT VA.region, VA.samples, VA.below, VB.below AS mirrored FROM VA JOIN VB USING (region)""",
+)
+def valley_floor(spark, d):
+    """Whether lines, a customer's orders each, run along valleys, against the field turned upside down."""
+    from pyspark.sql import Window
+
+    key = F.col("o_orderkey")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    a = read(spark, d, "orders").select(F.col("o_custkey").alias("line"), (F.col("o_custkey") % 7).alias("region"), place.alias("k"), ((key * 37 % 640).cast("double") / 10).alias("x"), ((key * 53 % 640).cast("double") / 10).alias("y"))
+    cells = lattice(spark, d)
+    turned = cells.withColumn("row", SIDE - 1 - F.col("row"))
+    own, other = (points.valley_floor(a, c, _OFF, SIDE) for c in (cells, turned))
+    return own.join(other.select("region", F.col("below").alias("mirrored")), "region").select("region", "samples", rounded("below").alias("below"), rounded("mirrored").alias("mirrored"))

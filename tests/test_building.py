@@ -236,3 +236,15 @@ def test_edges_give_what_a_task_gives(spark, data):
     cells = _surfaces(spark, data)
     one, many = (sorted(map(tuple, flow.traced(cells, 64, ("z", "q"), most=m).drop("z", "q").collect())) for m in (1 << 24, 100))
     assert one == many
+
+
+def test_valleys_lie_below_their_banks(spark):
+    from gridloom.operators import points
+
+    cells = spark.createDataFrame([(0, r, c, abs(c - 8.0)) for r in range(17) for c in range(17)], "region long, row int, col int, z double")
+    line = lambda n, x: [(n, 0, k, float(x), float(k)) for k in range(2, 15)]
+    df = spark.createDataFrame([*line(1, 8), *line(2, 4), (3, 0, 0, 8.0, 8.0), (3, 0, 1, 8.0, 9.0)], "line long, region long, k int, x double, y double")
+    got = points.valley_floor(df, cells, 2.0, 17).first()
+    assert (got.samples, got.below) == (26, 0.5)
+    at = {(r.line, r.k, r.side): (r.x, r.y) for r in points.banks(df, 2.0).collect()}
+    assert at[1, 5, 0] == (8.0, 5.0) and {at[1, 5, 1], at[1, 5, -1]} == {(6.0, 5.0), (10.0, 5.0)} and not any(k[0] == 3 for k in at)
