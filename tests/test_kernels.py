@@ -332,3 +332,18 @@ def test_landscape_step_evolves_whole_fields(spark, duck, data):
             own = got[k, i]
             assert own.closed and np.allclose([own.uplift, own.cut, own.moved, own.change], [r[c] for c in ("uplift", "cut", "moved", "change")], atol=1e-6)
             assert np.isclose(own.uplift, 62 * 62 * 0.05 * r["dt"])
+
+
+@pytest.mark.parametrize("wide", [1, 256])
+def test_sweeps_do_not_change_fills(wide, monkeypatch):
+    """Sweeps and fronts end at the same levels, with plateaus and with seeds inside."""
+    monkeypatch.setattr(hydro, "WIDE", wide)
+    rng = np.random.default_rng(4)
+    for z in (rng.normal(size=(65, 65)), rng.integers(0, 4, (40, 33)).astype(float), np.zeros((9, 9))):
+        seeds = rng.random(z.shape) < 0.01
+        seeds[0, 0] = True
+        for lift in (0.0, 1e-6):
+            f = hydro.filled(z, lift, seeds)
+            p = np.pad(f, 1, constant_values=np.inf)
+            least = np.min([p[1 + a : 1 + a + z.shape[0], 1 + b : 1 + b + z.shape[1]] for a, b in hydro.NEIGHBOURS], 0)
+            assert np.array_equal(f[seeds], z[seeds]) and np.array_equal(f[~seeds], np.where(z > least, z, least + lift)[~seeds])
