@@ -54,11 +54,11 @@ _BLOCK = 512
 @query("point_lookup", f"{L} SELECT o_orderkey AS id, region, row, col, z FROM orders JOIN L ON row = o_orderkey % 64 AND col = o_custkey % 64")
 def point_lookup(spark, d):
     """Every point in every field. What comes out is points times fields, so its tasks follow the cores and
-    not the bytes that go in; a place meets its points once, with its heights in blocks of fields."""
+    not the bytes that go in, by a join that spills; a place meets its points once, with its heights in blocks of fields."""
     points = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 64).cast("int").alias("row"), (F.col("o_custkey") % 64).cast("int").alias("col"))
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = lattice(spark, d).groupBy("row", "col", F.expr(f"region div {_BLOCK}")).agg(F.collect_list(F.struct("region", "z")).alias("fields"))
-    met = points.repartition(tasks, "row", "col").join(blocks, ["row", "col"])
+    met = points.repartition(tasks, "row", "col").join(blocks.hint("merge"), ["row", "col"])
     return met.select("id", F.inline("fields"), "row", "col").select("id", "region", "row", "col", "z")
 
 

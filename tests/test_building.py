@@ -250,9 +250,9 @@ def test_valleys_lie_below_their_banks(spark):
     assert at[1, 5, 0] == (8.0, 5.0) and {at[1, 5, 1], at[1, 5, -1]} == {(6.0, 5.0), (10.0, 5.0)} and not any(k[0] == 3 for k in at)
 
 
-def test_points_meet_fields_in_tasks_that_follow_the_cores(spark, data):
+def test_points_meet_fields_in_tasks_that_follow_the_cores(spark):
     from gridloom.plans.registry import QUERIES
 
-    df = QUERIES["point_lookup"](spark, data)
+    df = QUERIES["point_lookup"](spark, "/root/testdata/sf0.01")
     own = [len(set(p)) for p in df.rdd.mapPartitions(lambda rows: [[(r.row, r.col) for r in rows]]).collect()]
     assert len(own) >= 4 * spark.sparkContext.defaultParallelism and max(own) < sum(own) / 4
