@@ -342,7 +342,7 @@ def schema_negotiation(spark, d):
         told = coverages.described(told.drop("xml"), "about").select("service", "available", "refused", "labels", F.slice(F.array(*map(F.lit, coverages.FORMS)), (F.col("service") % 3 + 1).cast("int"), F.lit(1)).alias("accepts"))
         count = s.agg(F.count("*").alias("n"))
         asked = c.join(F.broadcast(count)).select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("service"), F.concat(F.lit("Supplier#"), F.lpad((F.col("c_custkey") % F.col("n")).cast("string"), 9, "0")).alias("wanted"))  # one row
-        out = coverages.negotiated(asked.join(told, "service"), 0.1)
+        out = coverages.negotiated(coverages.asked(asked, told, "service"), 0.1)
         return checkpointed(out.select("id", "coverage", "easting", "northing", "refusal", "form", "value"))
 
 

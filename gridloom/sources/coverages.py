@@ -33,10 +33,23 @@ def described(docs: DataFrame, xml: str = "xml") -> DataFrame:
     return docs.withColumns({"labels": F.when(F.size(labels) > 0, labels), "srs": attribute("srsName"), "origin": numbers("pos", "double"), "low": low, "high": high, "size": size})
 
 
+def _tail(name: Column) -> Column:
+    return F.element_at(F.split(F.element_at(F.split(name, ":"), -1), "__"), -1)
+
+
+def asked(requests: DataFrame, services: DataFrame, by: str) -> DataFrame:
+    """requests (by, wanted) with what is told of their service; of `available` only the names that `wanted` can
+    mean, met by equality: no request has to read all that a service offers."""
+    offers = services.select(by, F.explode("available").alias("name"))
+    names = offers.withColumn("wanted", F.explode(F.array_distinct(F.array("name", _tail(F.col("name"))))))
+    names = names.groupBy(by, "wanted").agg(F.collect_list("name").alias("available"))
+    met = requests.join(services.drop("available"), by).join(names, [by, "wanted"], "left")
+    return met.withColumn("available", F.coalesce("available", F.array().cast("array<string>")))
+
+
 def resolved(wanted: Column, available: Column) -> tuple[Column, Column]:
     """(coverage, refusal): the one of that name, else the only one whose last part, after `__` or `:`, is that name."""
-    tail = lambda name: F.element_at(F.split(F.element_at(F.split(name, ":"), -1), "__"), -1)
-    close = F.filter(available, lambda a: tail(a) == wanted)
+    close = F.filter(available, lambda a: _tail(a) == wanted)
     exact = F.array_contains(available, wanted)
     coverage = F.when(exact, wanted).when(F.size(close) == 1, close[0])
     refusal = F.when(~exact & (F.size(close) > 1), F.concat(F.lit("ambiguous: "), F.array_join(F.array_sort(close), " "))).when(~exact & (F.size(close) < 1), F.lit("absent"))

@@ -256,3 +256,16 @@ def test_points_meet_fields_in_tasks_that_follow_the_cores(spark):
     df = QUERIES["point_lookup"](spark, "/root/testdata/sf0.01")
     own = [len(set(p)) for p in df.rdd.mapPartitions(lambda rows: [[(r.row, r.col) for r in rows]]).collect()]
     assert len(own) >= 4 * spark.sparkContext.defaultParallelism and max(own) < sum(own) / 4
+
+
+def test_requests_read_only_the_names_that_they_can_mean(spark):
+    from gridloom.sources import coverages
+
+    offers = [["a", "x:a", "x:y"], ["x:a", "b", "y__a", "y__a"], []] + [[f"s:{k}" for k in range(500)]]
+    told = spark.createDataFrame([(k, v, "closed" if k == 2 else None, None, ["none"]) for k, v in enumerate(offers)], "service int, available array<string>, refused string, labels array<string>, accepts array<string>")
+    rows = [(i, s, w) for i, (s, w) in enumerate([(0, "a"), (0, "x:a"), (0, "y"), (0, "z"), (1, "a"), (1, "b"), (1, "y__a"), (2, "a"), (3, "7"), (3, "s:7"), (3, "s")])]
+    requests = spark.createDataFrame(rows, "id int, service int, wanted string")
+    met = coverages.asked(requests, told, "service")
+    assert max(len(r.available) for r in met.collect()) == 3
+    answers = lambda df: [(r.id, r.coverage, r.refusal, r.form) for r in coverages.negotiated(df, 0.5).orderBy("id").collect()]
+    assert answers(met) == answers(requests.join(told, "service"))
