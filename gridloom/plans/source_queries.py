@@ -113,15 +113,27 @@ def manifest_scan(spark, d):
         return checkpointed(text.manifests(spark, f"{path}/m", "id bigint, name string, zone int"))
 
 
+#: Parts of consecutive keys whose reports share folders.
+_IN_FOLDER = 10_000
+
+
 @query("report_scan", "SELECT CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'schema-' || p_size END AS schema, p_partkey % 5 = 0 AS unreadable, count(*) AS files FROM part GROUP BY ALL")
 def report_scan(spark, d):
     """Reports in folders below one another, one a part; those that cannot be read stay as rows of their own."""
     key, size = F.col("p_partkey"), F.col("p_size")
     whole = F.to_json(F.struct(F.concat(F.lit("schema-"), size).alias("schema"), F.col("p_name").alias("name")))
-    made = read(spark, d, "part").select(key.alias("chunk"), F.concat(F.lit("r/"), size.cast("string")).alias("folder"), F.lit(0).alias("k"), whole.alias("whole"))
-    rows = made.select("folder", "chunk", "k", F.when(F.col("chunk") % 5 == 0, F.expr("left(whole, length(whole) - 9)")).otherwise(F.col("whole")).alias("line"))
+    folders = F.concat_ws("/", F.lit("r"), size.cast("string"), F.floor(key / _IN_FOLDER).cast("string"))
+    made = read(spark, d, "part").select(key.alias("chunk"), folders.alias("folder"), whole.alias("whole"))
+    rows = made.select("folder", "chunk", F.when(F.col("chunk") % 5 == 0, F.expr("left(whole, length(whole) - 9)")).otherwise(F.col("whole")).alias("line"))
     with folder(spark) as path:
-        _put(rows, path, "json")
+
+        def write(batches):
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    put_from_task(f"{path}/{r.folder}/{r.chunk}.json", r.line.encode())
+                yield pdf[["chunk"]].tail(0)
+
+        rows.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(write, "chunk bigint").count()
         return checkpointed(text.reports(spark, path).groupBy("schema", F.col("body").isNull().alias("unreadable")).agg(F.count("*").alias("files")))
 
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import checkpointed, store_of
+
 #: The columns of the tile metadata table, as its header names them.
 TILE_COLUMNS = ("Kachelname", "Aktualitaet", "Erfassungsmethode", "Fortfuehrung", "Fortfuehrungsmethode", "Genauigkeit", "Koordinatenreferenzsystem_Lage", "Koordinatenreferenzsystem_Hoehe", "Hoehenanomalie")
 
@@ -20,9 +22,48 @@ def manifests(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
 
 
+def _entries(spark: SparkSession, path: str) -> Iterator[DataFrame]:
+    """(path, name) of the files below a folder, a table for each depth; folders are listed by tasks, and
+    neither they nor files come to the driver."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            for top in pdf["path"]:
+                store, own = store_of(top)
+                found = store.get_file_info(fs.FileSelector(own))
+                yield pd.DataFrame({"path": [f"{top.rstrip('/')}/{x.base_name}" for x in found], "name": [x.base_name for x in found], "folder": [x.type == fs.FileType.Directory for x in found]}).astype({"path": object, "name": object, "folder": bool})
+
+    folders = spark.createDataFrame([(path,)], "path string")
+    while True:
+        here = checkpointed(folders.mapInPandas(listed, "path string, name string, folder boolean"))
+        yield here.where("NOT folder").select("path", "name")
+        folders = here.where("folder AND NOT startswith(name, '.') AND NOT startswith(name, '_')").select("path")
+        if folders.isEmpty():
+            return
+        folders = folders.repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 def reports(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, schema, body): every *.json below a folder; one that cannot be read stays, with nulls."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folder)
+    """(file, schema, body): every *.json below a folder; one that cannot be read stays, with nulls. Tasks list and
+    read, so that what the driver gets does not grow with the files."""
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 256):
+                paths, content = pdf["path"].iloc[k : k + 256].tolist(), []
+                for path in paths:
+                    store, own = store_of(path)
+                    with store.open_input_stream(own, compression=None) as f:
+                        content.append(f.read())
+                yield pd.DataFrame({"path": paths, "content": content})
+
+    found = None
+    for files in _entries(spark, folder):
+        found = files if found is None else found.union(files)
+    named = found.where("name LIKE '%.json' AND NOT startswith(name, '.') AND NOT startswith(name, '_')").select("path")
+    raw = named.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(load, "path string, content binary")
     body = raw.select(F.col("path").alias("file"), F.expr("try_validate_utf8(cast(content as string))").alias("text"))
     return body.select("file", F.get_json_object("text", "$.schema").alias("schema"), F.when(F.get_json_object("text", "$").isNotNull(), F.col("text")).alias("body"))
 

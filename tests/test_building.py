@@ -269,3 +269,15 @@ def test_requests_read_only_the_names_that_they_can_mean(spark):
     assert max(len(r.available) for r in met.collect()) == 3
     answers = lambda df: [(r.id, r.coverage, r.refusal, r.form) for r in coverages.negotiated(df, 0.5).orderBy("id").collect()]
     assert answers(met) == answers(requests.join(told, "service"))
+
+
+def test_reports_are_listed_by_tasks(spark, tmp_path):
+    from gridloom.sources import text
+
+    for name in ("a.json", "x/b.json", "x/y/c.json", "x/y/d.txt", "x/.e.json", "_t/f.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text('{"schema": "s"}')
+    (tmp_path / "x" / "g.json").write_bytes(b"\xff{")
+    got = text.reports(spark, str(tmp_path))
+    assert sorted((os.path.basename(r.file), r.schema, r.body is None) for r in got.collect()) == [("a.json", "s", False), ("b.json", "s", False), ("c.json", "s", False), ("g.json", None, True)]
+    assert not got.inputFiles()
