@@ -66,30 +66,79 @@ def least_squares2(x: str, y: str, z: str) -> dict[str, Column]:
     return {"a": mz - b * mx - c * my, "b": b, "c": c, "sound": det > 1e-6 * xx * yy}
 
 
-def banks(axes: DataFrame, offset: float) -> DataFrame:
+#: A vertex and its banks, as columns; and the most nodes of fields that go to every executor.
+PLACES, MOST_SENT = ("centre", "left", "right"), 2**17
+
+
+def banks(axes: DataFrame, offset: float, wide: bool = False) -> DataFrame:
     """Points on axes (line, k, x, y) of three vertices or more and, `offset` to either side of them, on what
     should be their banks: (line, k, side, x, y) with side 0, 1 and -1. The direction at a vertex is that
     from the one before to the one after; where the two are one place, there is none, and all three
-    points are the vertex."""
+    points are the vertex. Other columns stay."""
+    rest = [c for c in axes.columns if c not in ("line", "k", "x", "y")]
     w, whole = Window.partitionBy("line").orderBy("k"), Window.partitionBy("line")
 
     def along(c: str) -> Column:
         before, after = F.lag(c).over(w), F.lead(c).over(w)
         return F.when(before.isNull(), after - F.col(c)).when(after.isNull(), F.col(c) - before).otherwise((after - before) / 2)
 
-    out = axes.select("line", "k", "x", "y").withColumns({"tx": along("x"), "ty": along("y"), "n": F.count("*").over(whole)}).where("n >= 3")
+    out = axes.withColumns({"tx": along("x"), "ty": along("y"), "n": F.count("*").over(whole)}).where("n >= 3")
     size = F.sqrt(F.col("tx") * F.col("tx") + F.col("ty") * F.col("ty"))
-    out = out.withColumn("size", F.when(size == 0, 1.0).otherwise(size)).withColumn("side", F.explode(F.array(*map(F.lit, (0, 1, -1)))))
-    x, y = F.col("x") - offset * F.col("side") * F.col("ty") / F.col("size"), F.col("y") + offset * F.col("side") * F.col("tx") / F.col("size")
-    return out.select("line", "k", "side", x.alias("x"), y.alias("y"))
+    out = out.withColumn("size", F.when(size == 0, 1.0).otherwise(size))
+
+    def place(side: int) -> Column:
+        x, y = F.col("x") - offset * side * F.col("ty") / F.col("size"), F.col("y") + offset * side * F.col("tx") / F.col("size")
+        return F.struct(F.lit(side).alias("side"), x.alias("x"), y.alias("y"))
+
+    if wide:
+        three = F.struct(*(place(s).alias(n) for n, s in zip(PLACES, (0, 1, -1), strict=True)))
+        return out.select("line", "k", *rest, F.inline(F.array(three)))  # computed here, once: filters above do not take it apart
+    return out.select("line", "k", *rest, F.explode(F.array(*map(place, (0, 1, -1)))).alias("p")).select("line", "k", *rest, "p.side", "p.x", "p.y")
+
+
+def squares(cells: DataFrame, side: int) -> DataFrame:
+    """(region, r0, c0, z, turned): the heights at the four corners of each square, first row first, of a field and
+    of the field turned upside down; null where there is no node at all."""
+    ends = [(a, b, t) for t in (0, 1) for a in (0, 1) for b in (0, 1)]
+    row = lambda t: F.lit(side - 1) - F.col("row") if t else F.col("row")
+    at = F.array(*(F.struct((row(t) - a).cast("int").alias("r0"), (F.col("col") - b).cast("int").alias("c0"), F.lit(k).alias("k")) for k, (a, b, t) in enumerate(ends)))
+    held = cells.select("region", "z", F.explode(at).alias("p")).where(f"p.r0 BETWEEN 0 AND {side - 2} AND p.c0 BETWEEN 0 AND {side - 2}").groupBy("region", "p.r0", "p.c0")
+    z = [F.max(F.when(F.col("p.k") == k, F.col("z"))) for k in range(8)]
+    known = [F.max(F.col("p.k") < 4), F.max(F.col("p.k") >= 4)]
+    return held.agg(F.when(known[0], F.array(*z[:4])).alias("z"), F.when(known[1], F.array(*z[4:])).alias("turned"))
+
+
+def _weighed(heights: Column, fr: Column, fc: Column) -> Column:
+    """The bilinear height of a square; nodes without a height add nothing, four without have none."""
+    parts = [w * heights[k] for k, w in enumerate(((1 - fr) * (1 - fc), (1 - fr) * fc, fr * (1 - fc), fr * fc))]
+    return F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0))))
 
 
 def valley_floor(axes: DataFrame, cells: DataFrame, offset: float, side: int) -> DataFrame:
-    """(region, samples, below): of the vertices of axes (line, region, k, x, y) whose banks lie in the field, the share
-    that lies no higher than either bank. Axes of water that are where they should be give a large one, a
-    mirrored field does not."""
-    at = banks(axes, offset).join(axes.select("line", "k", "region"), ["line", "k"])
-    points = at.select(F.struct("line", "k", "side").alias("key"), "region", F.col("y").alias("r"), F.col("x").alias("c"))
-    z = bilinear(points, cells, "key", side)
-    three = z.groupBy("region", "key.line", "key.k").agg(F.count("*").alias("n"), F.max(F.when(F.col("key.side") == 0, F.col("z"))).alias("centre"), F.min(F.when(F.col("key.side") != 0, F.col("z"))).alias("bank")).where("n = 3")
-    return three.groupBy("region").agg(F.count("*").alias("samples"), F.avg((F.col("centre") <= F.col("bank") + 1e-9).cast("int")).alias("below"))
+    """(region, samples, below, mirrored): of the vertices of axes (line, region, k, x, y) whose banks lie in the field,
+    the share that lies no higher than either bank, and the same share in the field turned upside down. Axes of
+    water that are where they should be give a large one, a mirrored field does not. A vertex stays one row with
+    its three places, which meet the squares they lie in; fields that are few go to every executor."""
+    most = MOST_SENT // (side * side)
+    crossed = [r.region for r in axes.select("region").distinct().limit(most + 1).collect()]
+    few = len(crossed) <= most
+    around = squares(cells.where(F.col("region").isin(crossed)) if few else cells, side)
+    around = F.broadcast(around) if few else around
+    at = banks(axes, offset, wide=True)
+    for n in PLACES:
+        at = at.where(F.col(f"{n}.x").between(0, side - 1) & F.col(f"{n}.y").between(0, side - 1))
+    for n in PLACES:
+        r, c = F.col(f"{n}.y"), F.col(f"{n}.x")
+        at = at.withColumns({"r0": F.least(F.floor(r), F.lit(side - 2)).cast("int"), "c0": F.least(F.floor(c), F.lit(side - 2)).cast("int")}).join(around, ["region", "r0", "c0"])
+        fr, fc = r - F.col("r0"), c - F.col("c0")
+        here = F.struct(*(F.struct(F.col(h).isNotNull().alias("known"), _weighed(F.col(h), fr, fc).alias("z")).alias(h) for h in ("z", "turned")))
+        at = at.withColumn(n, here).drop("r0", "c0", "z", "turned")
+
+    def told(field: str) -> tuple[Column, Column]:
+        centre, *sides = (F.col(f"{n}.{field}.z") for n in PLACES)
+        known = F.col(f"centre.{field}.known") & F.col(f"left.{field}.known") & F.col(f"right.{field}.known")
+        return known, F.coalesce(centre <= F.least(*sides) + 1e-9, F.lit(False)).cast("int")
+
+    (own, low), (other, high) = told("z"), told("turned")
+    out = at.groupBy("region").agg(F.count(F.when(own, 1)).alias("samples"), F.avg(F.when(own, low)).alias("below"), F.avg(F.when(other, high)).alias("mirrored"))
+    return out.where("samples > 0")

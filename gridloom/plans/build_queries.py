@@ -373,7 +373,5 @@ def valley_floor(spark, d):
     key = F.col("o_orderkey")
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     a = read(spark, d, "orders").select(F.col("o_custkey").alias("line"), (F.col("o_custkey") % 7).alias("region"), place.alias("k"), ((key * 37 % 640).cast("double") / 10).alias("x"), ((key * 53 % 640).cast("double") / 10).alias("y"))
-    cells = lattice(spark, d)
-    turned = cells.withColumn("row", SIDE - 1 - F.col("row"))
-    own, other = (points.valley_floor(a, c, _OFF, SIDE) for c in (cells, turned))
-    return own.join(other.select("region", F.col("below").alias("mirrored")), "region").select("region", "samples", rounded("below").alias("below"), rounded("mirrored").alias("mirrored"))
+    out = points.valley_floor(a, lattice(spark, d), _OFF, SIDE).where("mirrored IS NOT NULL")
+    return out.select("region", "samples", rounded("below").alias("below"), rounded("mirrored").alias("mirrored"))

@@ -281,3 +281,21 @@ def test_reports_are_listed_by_tasks(spark, tmp_path):
     got = text.reports(spark, str(tmp_path))
     assert sorted((os.path.basename(r.file), r.schema, r.body is None) for r in got.collect()) == [("a.json", "s", False), ("b.json", "s", False), ("c.json", "s", False), ("g.json", None, True)]
     assert not got.inputFiles()
+
+
+@pytest.mark.parametrize("most", [2**17, 0])
+def test_vertices_stay_one_row_with_their_banks(spark, monkeypatch, most):
+    from gridloom.operators import points
+
+    monkeypatch.setattr(points, "MOST_SENT", most)
+    cells = spark.createDataFrame([(g, r, c, abs(c - 8.0) + 0.01 * r) for g in (0, 1) for r in range(17) for c in range(17)], "region long, row int, col int, z double")
+    axes = spark.createDataFrame([(n, n % 2, k, float((n * 37 + k * 5) % 170) / 10, float((n * 53 + k * 7) % 170) / 10) for n in range(40) for k in range(6)], "line long, region long, k int, x double, y double")
+    got = {r.region: (r.samples, r.below, r.mirrored) for r in points.valley_floor(axes, cells, 1.5, 17).collect()}
+    at = points.banks(axes, 1.5).select(F.struct("line", "k", "side").alias("key"), "region", F.col("y").alias("r"), F.col("x").alias("c"))
+    turned = cells.withColumn("row", 16 - F.col("row"))
+    for n, field in enumerate((cells, turned)):
+        z = {(r.region, *r.key): r.z for r in points.bilinear(at, field, "key", 17).collect()}
+        for g in (0, 1):
+            own = [k for k in z if k[0] == g and k[3] == 0 and all((*k[:3], s) in z for s in (1, -1))]
+            low = [z[k] <= min(z[(*k[:3], s)] for s in (1, -1)) + 1e-9 for k in own]
+            assert got[g][0] == len(own) > 20 and got[g][1 + n] == pytest.approx(sum(low) / len(low))
