@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def source(spark: SparkSession, folder: str, schema: str, files: int = 1) -> DataFrame:
@@ -66,8 +66,6 @@ def running_state(events: DataFrame) -> DataFrame:
         state.update((n, top))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "top": [top]})
 
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
     return events.groupBy("user_id").applyInPandasWithState(update, "user_id bigint, n bigint, top double", "n bigint, top double", "update", GroupStateTimeout.NoTimeout)
 
 
@@ -75,39 +73,34 @@ def running_state(events: DataFrame) -> DataFrame:
 ACCEPTED, OTHER_IDENTITY, OVER_ALLOWANCE = "accepted", "refused: another identity", "refused: over the allowance"
 
 
-class Receipts(StatefulProcessor):
-    """A receipt for each key, kept as state: the identity and size of the first payload within the allowance."""
-
-    def __init__(self, allowance: int):
-        self.allowance = allowance
+def _receipts(allowance: int):
+    """Keeps a receipt for each key as state: the identity and size of the first payload within the allowance.
+    Keys come to Python many to a batch, with their states, not by a call for each."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.receipt = handle.getValueState("receipt", "identity string, size bigint")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(rows).sort_values(["place", "identity"], kind="stable")  # of one key and batch, without payloads
-        known = self.receipt.get()[0] if self.receipt.exists() else None
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(frames)).sort_values(["place", "identity"], kind="stable")  # of one key and batch, without payloads
+        known = state.get[0] if state.exists else None
         out = []
-        for r in arrived.itertuples():
-            if known == r.identity:
+        for place, identity, size in zip(arrived["place"].tolist(), arrived["identity"].tolist(), arrived["size_"].tolist()):
+            if known == identity:
                 continue
-            outcome = OTHER_IDENTITY if known is not None else OVER_ALLOWANCE if r.size_ > self.allowance else ACCEPTED
+            outcome = OTHER_IDENTITY if known is not None else OVER_ALLOWANCE if size > allowance else ACCEPTED
             if outcome == ACCEPTED:
-                known = r.identity
-                self.receipt.update((r.identity, int(r.size_)))
-            out.append((key[0], r.place, r.identity, r.size_, outcome))
+                known = identity
+                state.update((identity, int(size)))
+            out.append((key[0], place, identity, size, outcome))
         yield pd.DataFrame(out, columns=["key", "place", "identity", "size", "outcome"])
 
-    def close(self) -> None:
-        pass
+    return update
 
 
 def received(deliveries: DataFrame, allowance: int, key: str = "url", place: str = "seq", identity: str = "sha256", size: str = "bytes") -> DataFrame:
     """(key, place, identity, size, outcome) of a stream of deliveries: the first payload of a key within
     the allowance is accepted, others of another identity are refused, and repeats leave no trace. What
     is known of a key survives restarts from the checkpoint. In a batch a key's deliveries count by
-    `place`; those without a key or an identity are left out. Needs the RocksDB state store."""
+    `place`; those without a key or an identity are left out."""
     own = deliveries.select(F.col(key).alias("key"), F.col(place).cast("long").alias("place"), F.col(identity).cast("string").alias("identity"), F.col(size).cast("long").alias("size_"))
     own = own.where("key IS NOT NULL AND identity IS NOT NULL")
     kind = own.schema["key"].dataType.simpleString()
-    return own.groupBy("key").transformWithStateInPandas(Receipts(allowance), f"key {kind}, place bigint, identity string, size bigint, outcome string", "Append", "None")
+    rows, kept = f"key {kind}, place bigint, identity string, size bigint, outcome string", "identity string, size bigint"
+    return own.groupBy("key").applyInPandasWithState(_receipts(allowance), rows, kept, "append", GroupStateTimeout.NoTimeout)

@@ -299,3 +299,8 @@ def test_vertices_stay_one_row_with_their_banks(spark, monkeypatch, most):
             own = [k for k in z if k[0] == g and k[3] == 0 and all((*k[:3], s) in z for s in (1, -1))]
             low = [z[k] <= min(z[(*k[:3], s)] for s in (1, -1)) + 1e-9 for k in own]
             assert got[g][0] == len(own) > 20 and got[g][1 + n] == pytest.approx(sum(low) / len(low))
+
+
+def test_receipts_come_many_keys_to_a_batch(spark, tmp_path):
+    stream = receipts.received(receipts.source(spark, str(tmp_path), "url string, seq long, sha256 string, bytes long", 1), 10)
+    assert "FlatMapGroupsInPandasWithState" in stream._jdf.queryExecution().logical().toString()
