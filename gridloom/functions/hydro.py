@@ -74,6 +74,69 @@ def _swept(level: np.ndarray, own: np.ndarray, hold: np.ndarray, lift: float) ->
         np.copyto(level[k], new, where=~hold[k])
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(level, root, taken) of n nodes joined by edges (a, b, w), w being whole and at least 0: the least
+    height that a path to a fixed node has to climb, that node (`n` where none is to be reached), and the
+    edges of a least spanning forest whose trees grow from nodes that are not fixed.
+
+    In each round every component without a fixed node takes its least edge; see operators.spill.
+    """
+    k = np.argsort(w, kind="stable")
+    a, b, node = a[k], b[k], np.arange(n)
+    steps, taken = [], []
+    while k.size:
+        # edges lie in order, so the one that is put down last is the least
+        least, place = np.full(n, k.size), np.arange(k.size)[::-1]
+        least[a[::-1]] = place
+        other = np.full(n, k.size)
+        other[b[::-1]] = place
+        least = np.where(fixed, k.size, np.minimum(least, other))
+        at = np.flatnonzero(least < k.size)
+        least = least[at]
+        to = node.copy()
+        to[at] = a[least] + b[least] - at
+        lesser = np.flatnonzero((to[to] == node) & (node < to))  # of two that point at each other
+        to[lesser] = lesser
+        while not np.array_equal(further := to[to], to):
+            to = further
+        taken.append(k[np.unique(least)])
+        moved = to[at] != at
+        steps.append((at[moved], to[at[moved]], w[k[least[moved]]]))
+        a, b = to[a], to[b]
+        apart = (a != b) & ~(fixed[a] & fixed[b])
+        a, b, k = a[apart], b[apart], k[apart]
+    level, root = np.full(n, -1), np.where(fixed, node, n)
+    for at, to, height in reversed(steps):
+        level[at], root[at] = np.maximum(height, level[to]), root[to]
+    return level, root, np.concatenate([np.empty(0, np.int64), *taken])
+
+
+def contracted(z: np.ndarray, there: np.ndarray, rim: np.ndarray, meets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(level, end, links) of a part of a field, given whole heights of at least 0. Where `there` is
+    false there is no cell; water leaves the field from `rim`, and other parts touch the cells `meets`.
+
+    `level` is what a cell has to climb to get out of the part or the field, `end` where it then is: a
+    cell of `meets`, z.size for outside, z.size + 1 for nowhere. `links`, rows (end, end, height), are a
+    least spanning forest of the ends, by ways within the part.
+    """
+    cell, outside = np.arange(z.size).reshape(z.shape), z.size
+    pairs = [(cell[:, :-1], cell[:, 1:]), (cell[:-1], cell[1:]), (cell[:-1, :-1], cell[1:, 1:]), (cell[:-1, 1:], cell[1:, :-1])]
+    a, b = (np.concatenate([p[side].ravel() for p in pairs]) for side in (0, 1))
+    z, there, leaves = z.ravel(), there.ravel(), np.flatnonzero(rim & there)
+    both = there[a] & there[b]
+    a, b = np.concatenate([a[both], leaves]), np.concatenate([b[both], np.full(leaves.size, outside)])
+    z = np.append(z, 0)
+    w = np.maximum(z[a], z[b])
+    fixed = np.append(meets.ravel() & there, True)
+    level, end, _ = forest(outside + 1, a, b, w, fixed)
+    level = np.where(fixed, z, level)
+    low, high, w = end[a], end[b], np.maximum(level[a], level[b])
+    apart = (low != high) & (low <= outside)
+    low, high, w = low[apart], high[apart], w[apart]
+    _, _, taken = forest(outside + 1, low, high, w, np.zeros(outside + 1, bool))
+    return level[:outside], end[:outside], np.stack([low[taken], high[taken], w[taken]], 1)
+
+
 def lowest_edge(z: np.ndarray) -> np.ndarray:
     """A mask of the lowest cell of the edge, the first in row order on a tie."""
     out = np.zeros(z.shape, bool)

@@ -78,8 +78,8 @@ def separated_strata(spark, d):
     SELECT L.region, L.row, L.col, round(FL.v, 7) + 0.0 AS fill FROM L JOIN FL USING (region, row, col)""",
 )
 def spill_levels(spark, d):
-    """The level that each pit fills to, flats left flat, by spanning forests over edges."""
-    return spill.levels(lattice(spark, d), SIDE).select("region", "row", "col", rounded("fill", 7).alias("fill"))
+    """The level that each pit fills to, flats left flat, by spanning forests in tiles, then over edges between them."""
+    return spill.levels(lattice(spark, d), SIDE, SIDE // 2).select("region", "row", "col", rounded("fill", 7).alias("fill"))
 
 
 #: Bytes that a payload may have to be received.

@@ -1,16 +1,18 @@
 """What SQL does not state of separation, fills, receipts and atlases: rounds, crashes, restarts, refusals."""
 
+import heapq
 import os
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import hydro
 from gridloom.operators import separation, spill
-from gridloom.plans import build_queries
-from gridloom.sources import atlas
+from gridloom.plans import build_queries, catalog
+from gridloom.sources import atlas, shared
 from gridloom.streaming import receipts
 
 
@@ -58,6 +60,56 @@ def test_spill_levels_equal_the_kernel(spark, side, kind):
         assert np.array_equal(got[k], hydro.filled(z, lift=0.0))
 
 
+def _spilled(cells, side):
+    """Levels of the cells {(row, col): z} that are there: by a heap, from the border."""
+    heap = [(z, at) for at, z in cells.items() if not {0, side - 1}.isdisjoint(at)]
+    heapq.heapify(heap)
+    out = {}
+    while heap:
+        level, at = heapq.heappop(heap)
+        if at not in out:
+            out[at] = level
+            for a, b in hydro.NEIGHBOURS:
+                if (n := (at[0] + a, at[1] + b)) in cells and n not in out:
+                    heapq.heappush(heap, (max(level, cells[n]), n))
+    return out
+
+
+@pytest.mark.parametrize(("tile", "holes"), [(1, 0.5), (8, 0.0), (8, 0.6), (30, 0.5)])
+def test_tiles_meet_in_the_same_levels(spark, tile, holes):
+    side, rng = 23, np.random.default_rng(tile)
+    fields = {k: {(r, c): float(rng.normal() if k else rng.integers(3)) for r in range(side) for c in range(side) if rng.random() >= holes} for k in range(3)}
+    rows = [(k, *at, z) for k, f in fields.items() for at, z in f.items()]
+    got = spill.levels(spark.createDataFrame(rows, "region long, row int, col int, z double"), side, tile).collect()
+    assert sorted((r.region, r.row, r.col, r.z, r.fill) for r in got) == sorted((k, *at, fields[k][at], level) for k, f in fields.items() for at, level in _spilled(f, side).items())
+    assert not holes or len(got) < len(rows)  # some cells are cut off
+
+
+def test_rounds_of_spill_levels_take_fewer_rows_than_there_are_cells(spark, data, monkeypatch):
+    """Edges of all cells went through the first round before, about four a cell."""
+    sizes, table = [], shared.Rounds.table
+
+    def counted(self, df):
+        sizes.append((out := table(self, df)).count())
+        return out
+
+    monkeypatch.setattr(shared.Rounds, "table", counted)
+    cells = catalog.QUERIES["spill_levels"](spark, data).count()
+    assert 0 < max(sizes) < cells / 4
+
+
+def test_spill_levels_agree_with_sql_on_odd_vectors(spark, tmp_path):
+    """Vectors that are not there let nothing through; a component that is not there is as low as any."""
+    rng = np.random.default_rng(7)
+    rows = [(k, [None if k == 20 and i in (30, 31) else float(v) for i, v in enumerate(rng.normal(size=64).round(2))]) for k in range(190) if k not in (70, 75, 100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = duck.execute(f"SELECT region, row, col, fill FROM ({catalog.ORACLE_SQL['spill_levels']})").fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["spill_levels"](spark, str(tmp_path)).select("region", "row", "col", "fill").collect()]
+    assert len(want) == (128 - 3) * 64 and sorted(got) == sorted(want)
+
+
 def _run(spark, folder, allowance):
     stream = receipts.received(receipts.source(spark, f"{folder}/in", "url string, seq long, sha256 string, bytes long", 1), allowance)
     run = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
