@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded, slope_class, varint_bytes, zigzag
@@ -47,19 +48,21 @@ def window_query(spark, d):
     return window(stored(spark, d), BOX, 8, 8)
 
 
-#: Fields whose heights at a place travel as one row.
-_BLOCK = 512
+#: Points of a place that meet a field together.
+_BLOCK = 256
 
 
 @query("point_lookup", f"{L} SELECT o_orderkey AS id, region, row, col, z FROM orders JOIN L ON row = o_orderkey % 64 AND col = o_custkey % 64")
 def point_lookup(spark, d):
     """Every point in every field. What comes out is points times fields, so its tasks follow the cores and
-    not the bytes that go in, by a join that spills; a place meets its points once, with its heights in blocks of fields."""
+    not the bytes that go in, by a join that spills. A place's points go in blocks, and a block's rows come field by
+    field: field and height stay the same over a block and its ids recur, so what keeps the rows keeps them in few bytes."""
     points = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 64).cast("int").alias("row"), (F.col("o_custkey") % 64).cast("int").alias("col"))
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = lattice(spark, d).groupBy("row", "col", F.expr(f"region div {_BLOCK}")).agg(F.collect_list(F.struct("region", "z")).alias("fields"))
-    met = points.repartition(tasks, "row", "col").join(blocks.hint("merge"), ["row", "col"])
-    return met.select("id", F.inline("fields"), "row", "col").select("id", "region", "row", "col", "z")
+    tasks = max(16 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    nth = F.row_number().over(Window.partitionBy("row", "col").orderBy("id"))
+    blocks = points.repartition(tasks, "row", "col").withColumn("block", F.floor((nth - 1) / _BLOCK)).groupBy("row", "col", "block").agg(F.collect_list("id").alias("ids"))
+    met = blocks.join(lattice(spark, d).hint("merge"), ["row", "col"])
+    return met.select(F.explode("ids").alias("id"), "region", "row", "col", "z")
 
 
 @query("multi_window", f"{L}, {WINDOWS_SQL} SELECT id, region, row, col, z FROM W JOIN L ON row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1")

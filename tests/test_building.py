@@ -310,6 +310,24 @@ def test_points_meet_fields_in_tasks_that_follow_the_cores(spark):
     assert len(own) >= 4 * spark.sparkContext.defaultParallelism and max(own) < sum(own) / 4
 
 
+def test_points_in_many_fields_are_kept_in_few_bytes(spark, tmp_path):
+    import duckdb
+    from gridloom.plans.registry import ORACLE_SQL, QUERIES
+
+    d = str(tmp_path)
+    spark.sql("SELECT 64 * id + 3 AS o_orderkey, CASE WHEN id < 900 THEN 5 WHEN id < 1250 THEN 70 WHEN id < 1260 THEN NULL ELSE id END AS o_custkey FROM range(1264)").write.parquet(f"{d}/orders.parquet")
+    spark.sql("SELECT id AS vec_id, transform(sequence(0, 63), x -> CAST(pmod(hash(id, x), 1000003) AS float)) AS embedding FROM range(64 * 601 + 9)").write.parquet(f"{d}/embeddings.parquet")
+    QUERIES["point_lookup"](spark, d).write.parquet(f"{d}/out")
+    rows, size = 1254 * 601, sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    c = duckdb.connect()
+    for name in ("orders", "embeddings"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet/*.parquet'")
+    own, there = f"SELECT id, region, row, col, z FROM '{d}/out/*.parquet'", ORACLE_SQL["point_lookup"]
+    assert c.execute(f"SELECT count(*) FROM ({own})").fetchall() == [(rows,)]
+    assert c.execute(f"SELECT count(*) FROM (({own}) EXCEPT ALL ({there}))").fetchall() == c.execute(f"SELECT count(*) FROM (({there}) EXCEPT ALL ({own}))").fetchall() == [(0,)]
+    assert size < 0.5 * rows
+
+
 def test_requests_read_only_the_names_that_they_can_mean(spark):
     from gridloom.sources import coverages
 
